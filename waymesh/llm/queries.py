@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymesh.llm import decontaminate, exact_dedup, language_id, simhash
+from waymesh.llm import decontaminate, exact_dedup, language_id, simhash, suffix_index
 from waymesh.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(read(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_index.remove_repeats(read(spark, sf_dir, "documents")).drop("kept_bytes")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -34,6 +38,7 @@ QUERIES: dict[str, Query] = {
     "op3_language_id": op3_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_simhash": op8_simhash,
+    "op9_suffix_array": op9_suffix_array,
     "op10_decontamination": op10_decontamination,
 }
 
