@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymesh.llm import decontaminate, exact_dedup, language_id, packing, simhash, suffix_index
+from waymesh.llm import decontaminate, exact_dedup, language_id, packing, simhash, suffix_index, warc
 from waymesh.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op4_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, read(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
+    "op4_warc_dictionary": op4_warc_dictionary,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_simhash": op8_simhash,
     "op9_suffix_array": op9_suffix_array,
@@ -48,6 +53,13 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_warc_dictionary": r"""
+        WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        g AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT p.page_id, p.payload_bytes, p.payload_digest,
+            CASE WHEN g.first_id IS NULL OR g.first_id = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN g.first_id <> p.page_id THEN g.first_id END AS refers_to
+        FROM p LEFT JOIN g USING (payload_digest)""",
     "op5_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
