@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymesh.llm import decontaminate, exact_dedup, language_id, line_dedup, packing, secrets, simhash, suffix_index, warc
+from waymesh.llm import decontaminate, exact_dedup, language_id, line_dedup, packing, pii, secrets, simhash, suffix_index, warc
 from waymesh.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(read(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
     "op4_warc_dictionary": op4_warc_dictionary,
