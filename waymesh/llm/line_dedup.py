@@ -63,7 +63,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     line within one edit. first: its first occurrence. earlier: that of the earliest line within one edit, or null."""
     distinct = cut(_lines(docs).groupBy("key").agg(F.min(_order()).alias("first"), F.count("*").alias("n"), F.min(_part_keys(F.col("line"))).alias("parts")))
     parts = distinct.select("key", "first", F.explode("parts").alias("part"))
-    shared = parts.groupBy(F.col("part").alias("p")).agg(F.count("*").alias("c")).filter("c > 1").select("p")
+    # What an aggregate finds is kept apart from the join that uses it, so that a hot key can be split there.
+    shared = cut(parts.groupBy(F.col("part").alias("p")).agg(F.count("*").alias("c")).filter("c > 1").select("p"))
     able = parts.join(shared, F.col("part") == F.col("p"), "left_semi").groupBy("key").agg(F.min("first").alias("first"))
 
     wanted = able.select(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.struct("key", "first").alias("w")).groupBy("doc_id", "th").agg(F.collect_list("w").alias("wanted"))
@@ -71,7 +72,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     lines = cut(of_doc.select("w.key", "w.first", F.element_at("lines", F.col("w.first.line_no") + 1).alias("line")).distinct())
 
     variants = lines.select("key", "first", F.explode(_deletions(F.col("line"))).alias("v"))
-    replaced = variants.groupBy(F.col("v.pos").alias("pos"), F.col("v.h").alias("h")).agg(F.min("first").alias("best"), F.count("*").alias("c")).filter("c > 1")
+    replaced = cut(variants.groupBy(F.col("v.pos").alias("pos"), F.col("v.h").alias("h")).agg(F.min("first").alias("best"), F.count("*").alias("c")).filter("c > 1"))
     by_replacing = variants.join(replaced, (F.col("v.pos") == replaced.pos) & (F.col("v.h") == replaced.h)).select("key", "best")
     # A line and those one character longer: the longer line's variant is the whole of the shorter.
     whole = lines.select(F.col("key").alias("short"), F.col("first").alias("short_first"))
@@ -85,7 +86,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     theirs = lines.select(F.col("first").alias("f"), F.col("line").alias("other"))
     verified = mine.join(theirs, F.col("best") == F.col("f")).filter(F.levenshtein("line", "other", 1) >= 0).select(F.col("key").alias("k"), "best")
     both = distinct.join(verified, F.col("key") == F.col("k"), "left").filter("n > 1 or best is not null")
-    return both.select("key", "first", F.col("best").alias("earlier"))
+    return cut(both.select("key", "first", F.col("best").alias("earlier")))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -88,7 +88,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reposito
     every = every.withColumn("secret", F.sha2(F.col("s.value"), 256))
     by_repository = every.groupBy("secret", "owner", "repository").agg(F.count("*").alias("n"))
     by_owner = by_repository.groupBy("secret", "owner").agg(F.count("*").alias("repositories"))
-    spread = by_owner.groupBy(F.col("secret").alias("k")).agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
+    # Kept apart, so that the join below has a plain exchange on both sides and a hot value can be split.
+    spread = cut(by_owner.groupBy(F.col("secret").alias("k")).agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories")))
 
     value = F.col("s.value")
     live = (F.col("owners") == 1) & (F.length(value) >= LIVE_LENGTH) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")

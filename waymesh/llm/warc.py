@@ -162,7 +162,8 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
     keyed = pages.withColumn("digest", F.sha2("html", 256))
     small = keyed.filter(F.octet_length("html") >= REVISIT_BYTES).select("id", "page_id", "digest")
     small = cut(small)
-    winners = small.groupBy(F.col("digest").alias("d")).agg(F.min("id").alias("best")).filter("best is not null")
+    # Only digests that repeat; kept apart, so that a hot one can be split in the join.
+    winners = cut(small.groupBy(F.col("digest").alias("d")).agg(F.min("id").alias("best"), F.count("*").alias("n")).filter("best is not null and n > 1").select("d", "best"))
     again = small.join(winners, F.col("digest") == F.col("d")).filter(~F.col("id").eqNullSafe(F.col("best")))
     again = again.select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), F.col("best").cast("string").alias("refers_to")).distinct()
     full = keyed.join(again, keyed.page_id.eqNullSafe(again["__page"]) & (keyed.digest == again["__digest"]), "left").select("page_id", "url", "html", "digest", "refers_to")
