@@ -1,0 +1,100 @@
+"""Outputs: styled GeoJSON, specs and tiles. Rows are written by the tasks that hold them."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from waymesh.functions.scalars import SAFE_INT
+from waymesh.sources.basemaps import BASEMAPS, get_basemap
+
+SPEC_VERSION = 1
+INLINE_ROWS = 100_000  # to_spec puts rows in one document; larger tables are written as GeoJSON lines or tiles
+
+
+def geojson_geometry(g: Column) -> Column:
+    """struct<gtype, parts> as JSON text."""
+    pair = lambda p: F.concat(F.lit("["), p["x"].cast("string"), F.lit(","), p["y"].cast("string"), F.lit("]"))
+    part = lambda v: F.concat(F.lit("["), F.array_join(F.transform(v, pair), ","), F.lit("]"))
+    parts = F.transform(g["parts"], part)
+    every = F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]"))
+    kind = g["gtype"]
+    coordinates = F.when(kind == "Point", pair(F.get(F.get(g["parts"], F.lit(0)), F.lit(0)))).when(kind.isin("LineString", "MultiPoint"), F.get(parts, F.lit(0))).when(kind == "MultiPolygon", F.concat(F.lit("["), every, F.lit("]"))).otherwise(every)
+    return F.when(g.isNull(), F.lit("null")).otherwise(F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), coordinates, F.lit("}")))
+
+
+def json_safe(df: DataFrame) -> DataFrame:
+    """Integers that JSON readers would round become text."""
+    wide = [f.name for f in df.schema.fields if isinstance(f.dataType, T.LongType)]
+    risky = [c for c, n in zip(wide, df.agg(*[F.max(F.abs(F.col(c))).alias(c) for c in wide]).first()) if n is not None and n > SAFE_INT] if wide else []
+    return df.withColumns({c: F.col(c).cast("string") for c in risky}) if risky else df
+
+
+def geojson_rows(df: DataFrame, geometry: str = "geometry") -> DataFrame:
+    """value: one feature a row, as JSON text."""
+    names = [c for c in df.columns if c not in (geometry, "vertices")]
+    props = F.to_json(F.struct(*names), {"ignoreNullFields": "false"}) if names else F.lit("{}")
+    return df.select(F.concat(F.lit('{"type":"Feature","properties":'), props, F.lit(',"geometry":'), geojson_geometry(F.col(geometry)), F.lit("}")).alias("value"))
+
+
+def write_geojson_lines(df: DataFrame, path: str, geometry: str = "geometry", compression: str = "none") -> None:
+    geojson_rows(json_safe(df), geometry).write.mode("overwrite").option("compression", compression).text(path)
+
+
+def to_spec(df: DataFrame, styler=None, class_col: str = "highway", basemap: str = "positron", tooltip: list[str] | None = None, options=None, most_rows: int = INLINE_ROWS) -> dict:
+    """One JSON document with styled features, extent, base maps, tooltip and legend. df needs geometry and vertices.
+
+    The document is what a browser loads, so it holds at most most_rows rows; a larger table is an error that names the
+    other outputs, never a shortened document."""
+    from waymesh.operators.profile import extent
+    from waymesh.operators.styling import bake, bake_options, build_styler
+
+    if df.limit(most_rows + 1).count() > most_rows:
+        raise ValueError(f"over {most_rows} rows; write GeoJSON lines or tiles instead")
+    meta = None
+    first = styler or build_styler(class_col=class_col)
+    if options:
+        styled, meta = bake_options(df, options)
+        first = next(iter(options.values()))
+        for entry in meta:
+            entry["legend"] = options[entry["name"]].legend(df)
+    else:
+        styled = bake(df, first)
+    box = extent(df).first()
+    names = [c for c in df.columns if c not in ("geometry", "vertices")]
+    main = get_basemap(basemap)
+    ordered = styled.orderBy("fid") if "fid" in styled.columns else styled
+    features = [json.loads(r.value) for r in geojson_rows(json_safe(ordered)).collect()]
+    describe = lambda m: {"key": m.key, "label": m.label, "url": m.url, "attr": m.attribution, "is_dark": m.is_dark, "satellite": m.satellite, "subdomains": m.subdomains}
+    spec = {
+        "waymesh": f"spec/{SPEC_VERSION}",
+        "crs": "EPSG:4326",
+        "bounds": [[box.miny, box.minx], [box.maxy, box.maxx]],
+        "render": {"sandwich": True, "line_cap": "round", "line_join": "round"},
+        "basemap": describe(main),
+        "basemaps": [describe(main), *(describe(m) for m in BASEMAPS.values() if m.key != main.key)],
+        "tooltip": [f for f in (names if tooltip is None else tooltip) if f in names],
+        "legend": first.legend(df),
+        "geojson": {"type": "FeatureCollection", "features": features},
+    }
+    return spec | ({"color_options": meta, "color_active": 0} if meta else {})
+
+
+def save_spec(spark: SparkSession, spec: dict, path: str) -> None:
+    spark.createDataFrame([(json.dumps(spec),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_spec(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def write_tiles(tiles: DataFrame, path: str) -> None:
+    """(z, x, y, tile) as Parquet by zoom, each zoom in tile order, so that a reader finds a tile by its statistics."""
+    tiles.repartitionByRange("z", "x", "y").sortWithinPartitions("z", "x", "y").write.mode("overwrite").partitionBy("z").parquet(path)
+
+
+def write_sidecar(side: DataFrame, path: str) -> None:
+    side.write.mode("overwrite").option("compression", "zstd").parquet(path)
