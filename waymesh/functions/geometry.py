@@ -6,7 +6,7 @@ The numpy parts are pandas UDFs over whole Arrow batches: simplification, clippi
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,9 +29,19 @@ def line(*points: tuple[Column, Column]) -> Column:
     return F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in points])
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def steps(v: Column) -> Column:
     """Lengths of a line's segments."""
-    return F.zip_with(F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0))), F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), lambda p, q: F.hypot(q["x"] - p["x"], q["y"] - p["y"]))
+
+    def pairs(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda p, q: F.hypot(q["x"] - p["x"], q["y"] - p["y"]))
+
+    return let(v, pairs)
 
 
 def length(v: Column) -> Column:
@@ -39,8 +49,11 @@ def length(v: Column) -> Column:
 
 
 def bounds(v: Column) -> Column:
-    xs, ys = F.transform(v, lambda p: p["x"]), F.transform(v, lambda p: p["y"])
-    return F.struct(F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"), F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))
+    def box(w: Column) -> Column:
+        xs, ys = F.transform(w, lambda p: p["x"]), F.transform(w, lambda p: p["y"])
+        return F.struct(F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"), F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))
+
+    return let(v, box)
 
 
 def is_finite(v: Column) -> Column:
@@ -99,30 +112,41 @@ def mid_vertex(v: Column) -> Column:
 
 def substring(v: Column, start: Column, end: Column) -> Column:
     """The part of a line between two distances along it."""
-    along = F.aggregate(
-        steps(v),
-        F.array(F.lit(0.0)),
-        lambda acc, d: F.concat(acc, F.array(F.element_at(acc, -1) + d)),
-    )
-    with_d = F.zip_with(v, along, lambda p, d: F.struct(p["x"].alias("x"), p["y"].alias("y"), d.alias("d")))
 
-    def at(d: Column) -> Column:
-        before = F.filter(with_d, lambda p: p["d"] <= d)
-        a = F.element_at(before, -1)
-        after = F.filter(with_d, lambda p: p["d"] > d)
-        b = F.when(F.size(after) > 0, F.get(after, F.lit(0))).otherwise(a)
-        t = F.when(b["d"] > a["d"], (d - a["d"]) / (b["d"] - a["d"])).otherwise(F.lit(0.0))
-        return F.struct((a["x"] + (b["x"] - a["x"]) * t).alias("x"), (a["y"] + (b["y"] - a["y"]) * t).alias("y"))
+    def at(w: Column, d: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            t = F.when(b["d"] > a["d"], (d - a["d"]) / (b["d"] - a["d"])).otherwise(F.lit(0.0))
+            return let(t, lambda u: F.struct((a["x"] + (b["x"] - a["x"]) * u).alias("x"), (a["y"] + (b["y"] - a["y"]) * u).alias("y")))
 
-    inner = F.transform(F.filter(with_d, lambda p: (p["d"] > start) & (p["d"] < end)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    return F.concat(F.array(at(start)), inner, F.array(at(end)))
+        before = F.element_at(F.filter(w, lambda p: p["d"] <= d), -1)
+        after = F.get(F.filter(w, lambda p: p["d"] > d), F.lit(0))
+        return let(before, lambda a: let(F.coalesce(after, a), lambda b: between(a, b)))
+
+    def part(w: Column) -> Column:
+        inner = F.transform(F.filter(w, lambda p: (p["d"] > start) & (p["d"] < end)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+        return F.concat(F.array(at(w, start)), inner, F.array(at(w, end)))
+
+    along = lambda w: F.aggregate(steps(w), F.array(F.lit(0.0)), lambda acc, d: F.concat(acc, F.array(F.element_at(acc, -1) + d)))
+    return let(v, lambda w: let(F.zip_with(w, along(w), lambda p, d: F.struct(p["x"].alias("x"), p["y"].alias("y"), d.alias("d"))), part))
 
 
 # -- numpy ----------------------------------------------------------------------------------------------------------
 
 
+def flat(v: Column) -> Column:
+    """A line as x0, y0, x1, y1, ...: the form in which lines go to numpy and back without a Python object per vertex."""
+    return F.flatten(F.transform(v, lambda p: F.array(p["x"], p["y"])))
+
+
+def unflat(c: Column) -> Column:
+    pairs = lambda w: F.transform(F.sequence(F.lit(0), F.floor(F.size(w) / 2).cast("int") - 1), lambda i: F.struct(F.get(w, 2 * i).alias("x"), F.get(w, 2 * i + 1).alias("y")))
+    return let(c, lambda w: F.when(F.size(w) > 0, pairs(w)).otherwise(F.array().cast(LINE)))
+
+
 def _points(value) -> np.ndarray:
-    return np.array([(p["x"], p["y"]) for p in value], float).reshape(-1, 2)
+    if len(value) and isinstance(value[0], dict):
+        value = [(p["x"], p["y"]) for p in value]
+    return np.asarray(value, float).reshape(-1, 2)
 
 
 def _rows(points: np.ndarray) -> list[dict]:
@@ -195,24 +219,43 @@ def buffer_points(points: np.ndarray, half: float) -> np.ndarray:
     return np.concatenate((left, right[::-1], left[:1])) if len(left) else left
 
 
-@F.pandas_udf(LINE_TYPE)
-def simplify(lines: pd.Series, tolerance: pd.Series) -> pd.Series:
-    return pd.Series([_rows(simplify_points(_points(v), t)) if len(v) > 2 else list(v) for v, t in zip(lines, tolerance)])
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _simplify(lines: pd.Series, tolerance: pd.Series) -> pd.Series:
+    return pd.Series([simplify_points(_points(v), t).ravel() if len(v) > 4 else v for v, t in zip(lines, tolerance)])
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def _clip(lines: pd.Series, minx: pd.Series, miny: pd.Series, maxx: pd.Series, maxy: pd.Series) -> pd.Series:
+    return pd.Series([[part.ravel() for part in clip_points(_points(v), box)] for v, *box in zip(lines, minx, miny, maxx, maxy)])
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _offset(lines: pd.Series, distance: pd.Series) -> pd.Series:
+    return pd.Series([offset_points(_points(v), d).ravel() for v, d in zip(lines, distance)])
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _ribbon(lines: pd.Series, half: pd.Series) -> pd.Series:
+    return pd.Series([buffer_points(_points(v), h).ravel() for v, h in zip(lines, half)])
+
+
+def simplify(v: Column, tolerance: Column) -> Column:
+    return unflat(_simplify(flat(v), tolerance))
 
 
-@F.pandas_udf(LINES_TYPE)
-def clip(lines: pd.Series, minx: pd.Series, miny: pd.Series, maxx: pd.Series, maxy: pd.Series) -> pd.Series:
-    return pd.Series([[_rows(part) for part in clip_points(_points(v), box)] for v, *box in zip(lines, minx, miny, maxx, maxy)])
+def clip(v: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """The parts of a line within a rectangle."""
+    return F.transform(_clip(flat(v), minx, miny, maxx, maxy), unflat)
 
 
-@F.pandas_udf(LINE_TYPE)
-def offset(lines: pd.Series, distance: pd.Series) -> pd.Series:
-    return pd.Series([_rows(offset_points(_points(v), d)) for v, d in zip(lines, distance)])
+def offset(v: Column, distance: Column) -> Column:
+    """The line shifted to its left."""
+    return unflat(_offset(flat(v), distance))
 
 
-@F.pandas_udf(LINE_TYPE)
-def ribbon(lines: pd.Series, half: pd.Series) -> pd.Series:
-    return pd.Series([_rows(buffer_points(_points(v), h)) for v, h in zip(lines, half)])
+def ribbon(v: Column, half: Column) -> Column:
+    """The outline of a ribbon along a line."""
+    return unflat(_ribbon(flat(v), half))
 
 
 def _read_wkb(data: bytes) -> tuple[str, list[list[dict]]]:

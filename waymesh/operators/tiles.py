@@ -79,7 +79,7 @@ def build_tiles(layers: Sequence[DataFrame], extent: int = 4096) -> DataFrame:
     rows = layers[0]
     for more in layers[1:]:
         rows = rows.unionByName(more)
-    feature = F.struct("fid", "props", "parts")
+    feature = F.struct("fid", "props", F.transform("parts", G.flat).alias("parts"))
     by_layer = rows.groupBy("z", "x", "y", "layer").agg(F.array_sort(F.collect_list(feature), lambda a, b: (a["fid"] - b["fid"]).cast("int")).alias("features"))
     cells = by_layer.groupBy("z", "x", "y").agg(F.array_sort(F.collect_list(F.struct("layer", "features"))).alias("layers"))
     return cells.select("z", "x", "y", encode(F.col("layers"), tile_bounds(F.col("z"), F.col("x"), F.col("y")), F.lit(extent)).alias("tile"))
