@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from waymesh.llm import line_dedup
 
 DOC = "doc_id long, text string"
@@ -39,7 +41,9 @@ def corpus():
     return rows + [(100, None), (101, ""), (102, "\n\n"), (None, base[0]), (103, "x" * 30 + "\n" + "x" * 31), (104, "y" * 40_000)]
 
 
-def test_dropped_lines_match_brute_force(spark):
+@pytest.mark.parametrize("few", [500_000, 0])  # 0: the keys meet their rows by a shuffle
+def test_dropped_lines_match_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(line_dedup, "FEW_KEYS", few)
     rows = corpus()
     want = brute(rows)
     got = line_dedup.dedup_lines(spark.createDataFrame([(*r, "x") for r in rows], DOC + ", line string").repartition(3)).collect()
@@ -60,7 +64,7 @@ def test_parts_meet_for_all_lengths(spark):
         for i in range(n):
             pairs += [(a, a[:i] + a[i + 1 :]), (a, a[:i] + "Z" + a[i + 1 :])]
     df = spark.createDataFrame(pairs, "a string, b string")
-    miss = df.select(line_dedup._part_keys(df.a).alias("x"), line_dedup._part_keys(df.b).alias("y")).filter("not arrays_overlap(x, y)")
+    miss = df.select(line_dedup._parts(df.a)["k"].alias("x"), line_dedup._parts(df.b)["k"].alias("y")).filter("not arrays_overlap(x, y)")
     assert miss.count() == 0
 
 

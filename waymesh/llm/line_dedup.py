@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from waymesh.llm.common import cut, documents, same_doc, with_text_hash
 
 LEAST_CHARS = 20
+FEW_KEYS = 500_000  # longs that may go to every task: 8 MB or so
 _END = r"\n"
 
 
@@ -31,24 +32,32 @@ def _hash(*columns: Column) -> Column:
     return F.struct(F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit(77), *columns).alias("h2"))
 
 
-def _part_keys(line: Column) -> Column:
-    """Hashes of the line's first and last part. Where a line one character shorter has shorter parts, those as well."""
+def _parts(line: Column) -> Column:
+    """array<struct<k, lo, hi>>: hashes of the line's first and last part, and the places where an edit can be if that part
+    is shared. Where a line one character shorter has shorter parts, those as well."""
     n = F.length(line)
-    keys = []
+    parts = []
     for size in (_part(n), _part(n - 1)):
-        for side, text in ((0, F.substring(line, 1, size)), (1, F.substring(line, F.greatest(n - size + 1, F.lit(1)), size))):
-            keys.append(F.xxhash64(F.lit(side), size, text))
-    return F.array_distinct(F.array(*keys))
+        for side, text, lo, hi in ((0, F.substring(line, F.lit(1), size), size + 1, n), (1, F.substring(line, F.greatest(n - size + 1, F.lit(1)), size), F.lit(1), n - size)):
+            parts.append(F.struct(F.xxhash64(F.lit(side), size, text).alias("k"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi")))
+    return F.array_distinct(F.array(*parts))
 
 
-def _deletions(line: Column) -> Column:
-    """array<struct<pos, h1, h2>> of every variant with the character at pos deleted."""
+def _deletions(line: Column, lo: Column, hi: Column) -> Column:
+    """array<struct<pos, h>> of the variants with the character at pos deleted, for pos from lo to hi."""
     return F.transform(
-        F.sequence(F.lit(1), F.length(line)),
-        lambda i: F.struct(i.alias("pos"), _hash(F.concat(F.substring(line, F.lit(1), i - 1), F.substring(line, i + 1, F.length(line)))).alias("h")),
+        F.sequence(lo, hi),
+        lambda i: F.struct(i.alias("pos"), F.xxhash64(F.concat(F.substring(line, F.lit(1), i - 1), F.substring(line, i + 1, F.length(line)))).alias("h")),
     )
 
 
+def _keep_known(df: DataFrame, on: str, keys: DataFrame) -> DataFrame:
+    """The rows of df whose `on` is in keys (one long column, distinct, kept). Few keys go to every task; more than
+    FEW_KEYS meet the rows by a shuffle that may be split."""
+    name = keys.columns[0]
+    return df.join(F.broadcast(keys) if keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS else keys, F.col(on) == F.col(name), "left_semi")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     each = docs.select("doc_id", "th", F.posexplode(F.split("text", _END, -1)).alias("line_no", "line"))
     return each.filter(F.length("line") >= LEAST_CHARS).select("doc_id", "th", "line_no", "line", _hash(F.col("line")).alias("key"))
@@ -59,32 +68,38 @@ def _order() -> Column:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text, th. (h1, h2, first, earlier): each distinct line that occurs more than once or has an earlier
-    line within one edit. first: its first occurrence. earlier: that of the earliest line within one edit, or null."""
-    distinct = cut(_lines(docs).groupBy("key").agg(F.min(_order()).alias("first"), F.count("*").alias("n"), F.min(_part_keys(F.col("line"))).alias("parts")))
-    parts = distinct.select("key", "first", F.explode("parts").alias("part"))
+    """docs: doc_id, text, th. (key, first, earlier): each distinct line that occurs more than once or has an earlier line
+    within one edit. first: its first occurrence. earlier: that of the earliest line within one edit, or null."""
+    every = _lines(docs)
+    part = lambda *more: every.select(F.explode(_parts(F.col("line"))).alias("p"), F.col("key.h1").alias("h1"), *more)
     # What an aggregate finds is kept apart from the join that uses it, so that a hot key can be split there.
-    shared = cut(parts.groupBy(F.col("part").alias("p")).agg(F.count("*").alias("c")).filter("c > 1").select("p"))
-    able = parts.join(shared, F.col("part") == F.col("p"), "left_semi").groupBy("key").agg(F.min("first").alias("first"))
-
-    wanted = able.select(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.struct("key", "first").alias("w")).groupBy("doc_id", "th").agg(F.collect_list("w").alias("wanted"))
-    of_doc = docs.join(wanted, same_doc(docs, wanted)).select(F.split("text", _END, -1).alias("lines"), F.explode("wanted").alias("w"))
-    lines = cut(of_doc.select("w.key", "w.first", F.element_at("lines", F.col("w.first.line_no") + 1).alias("line")).distinct())
-
-    variants = lines.select("key", "first", F.explode(_deletions(F.col("line"))).alias("v"))
-    replaced = cut(variants.groupBy(F.col("v.pos").alias("pos"), F.col("v.h").alias("h")).agg(F.min("first").alias("best"), F.count("*").alias("c")).filter("c > 1"))
-    by_replacing = variants.join(replaced, (F.col("v.pos") == replaced.pos) & (F.col("v.h") == replaced.h)).select("key", "best")
+    met = part().groupBy(F.col("p.k").alias("k")).agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b")
+    shared = cut(met.select("k"))
+    able = _keep_known(part("key", _order().alias("at"), "line").withColumn("pk", F.col("p.k")), "pk", shared)
+    lines = cut(able.groupBy("key").agg(F.min("at").alias("first"), F.min("line").alias("line"), F.min("p.lo").alias("lo"), F.max("p.hi").alias("hi")))
+
+    # Variants are rows of two longs until those that meet nothing are gone.
+    variants = lines.select("key", F.explode(_deletions(F.col("line"), F.col("lo"), F.col("hi"))).alias("v"))
+    placed = variants.select(F.xxhash64("v.pos", "v.h").alias("vk"), F.col("key.h1").alias("h1"), "key")
+    several = cut(placed.groupBy("vk").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select(F.col("vk").alias("k")))
+    replaced = _keep_known(placed, "vk", several).select("vk", "key").distinct()
+    first = lines.select(F.col("key").alias("lk"), "first")
+    replaced = cut(replaced.join(first, F.col("key") == F.col("lk")).select("vk", "key", "first"))
+    best = cut(replaced.groupBy(F.col("vk").alias("k")).agg(F.min("first").alias("best")))
+    by_replacing = replaced.join(best, F.col("vk") == F.col("k")).select("key", "best")
     # A line and those one character longer: the longer line's variant is the whole of the shorter.
-    whole = lines.select(F.col("key").alias("short"), F.col("first").alias("short_first"))
-    met = variants.groupBy("key", F.col("v.h").alias("h")).agg(F.min("first").alias("first")).join(whole, F.col("h") == F.col("short"))
-    longer = met.select("key", F.col("short_first").alias("best"))
-    shorter = met.groupBy(F.col("short").alias("key")).agg(F.min("first").alias("best"))
-    partner = by_replacing.unionByName(longer).unionByName(shorter).groupBy("key").agg(F.min("best").alias("best"))
+    whole = cut(lines.select(F.xxhash64("line").alias("wk"), F.col("key").alias("short"), F.col("first").alias("short_first")))
+    shorter_of = _keep_known(variants.select(F.col("v.h").alias("h"), "key"), "h", whole.select("wk").distinct()).distinct()
+    pairs = shorter_of.join(whole, F.col("h") == F.col("wk")).join(first, F.col("key") == F.col("lk"))
+    longer = pairs.select("key", F.col("short_first").alias("best"))
+    shorter = pairs.groupBy(F.col("short").alias("key")).agg(F.min("first").alias("best"))
+    partner = by_replacing.unionByName(longer).unionByName(shorter).groupBy(F.col("key").alias("k")).agg(F.min("best").alias("best"))
 
     # The partner's text is compared with the line's own.
-    mine = lines.join(partner.select(F.col("key").alias("k"), "best"), F.col("key") == F.col("k")).filter(F.col("best") < F.col("first")).select("key", "line", "best")
+    mine = lines.join(partner, F.col("key") == F.col("k")).filter(F.col("best") < F.col("first")).select("key", "line", "best")
     theirs = lines.select(F.col("first").alias("f"), F.col("line").alias("other"))
-    verified = mine.join(theirs, F.col("best") == F.col("f")).filter(F.levenshtein("line", "other", 1) >= 0).select(F.col("key").alias("k"), "best")
+    verified = cut(mine.join(theirs, F.col("best") == F.col("f")).filter(F.levenshtein("line", "other", 1) >= 0).select(F.col("key").alias("k"), "best"))
+    distinct = every.groupBy("key").agg(F.min(_order()).alias("first"), F.count("*").alias("n"))
     both = distinct.join(verified, F.col("key") == F.col("k"), "left").filter("n > 1 or best is not null")
     return cut(both.select("key", "first", F.col("best").alias("earlier")))
 
