@@ -228,4 +228,5 @@ def overlay_kind(df: DataFrame) -> DataFrame:
     t = F.col("geometry")["gtype"]
     kind = F.when(t.endswith("Polygon"), "fill").when(t.endswith("LineString"), "line").when(t.endswith("Point"), "circle")
     order = F.col("fid") if "fid" in df.columns else F.monotonically_increasing_id()
-    return df.filter(kind.isNotNull()).agg(F.coalesce(F.min_by(kind, order), F.lit("fill")).alias("kind"))
+    found = df.select(kind.alias("kind"), order.alias("at")).filter("kind is not null")
+    return found.agg(F.coalesce(F.min_by("kind", "at"), F.lit("fill")).alias("kind"))
