@@ -279,12 +279,13 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", length: int = LENGT
     kind = id_type(docs)
     schema = f"anchor long, piece long, doc_id {kind.simpleString()}, th long, start long, n int"
     rows = docs.select("doc_id", "text", "th").mapInArrow(_cutter(length, k, to_arrow_type(kind)), schema)
-    often = rows.groupBy(F.col("anchor").alias("a")).agg(F.count("*").alias("c")).filter("c > 1").select("a")
+    # What an aggregate finds is kept apart from the join that uses it, so that a hot anchor can be split there.
+    often = cut(rows.groupBy(F.col("anchor").alias("a")).agg(F.count("*").alias("c")).filter("c > 1").select("a"))
     rows = cut(rows.join(often, F.col("anchor") == F.col("a"), "left_semi"))
 
     each = cut(rows.groupBy("anchor", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "start", "n")).alias("at")))
     whole = each.filter("copies > 1").select("anchor", "piece", F.lit(0).cast("long").alias("lo"), F.col("at.n").cast("long").alias("hi"))
-    several = each.groupBy(F.col("anchor").alias("a")).agg(F.count("*").alias("c")).filter("c > 1")
+    several = cut(each.groupBy(F.col("anchor").alias("a")).agg(F.count("*").alias("c")).filter("c > 1"))
     chosen = each.join(several, F.col("anchor") == F.col("a"))
     wanted = chosen.select(
         F.col("at.doc_id").alias("doc_id"),
@@ -296,7 +297,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", length: int = LENGT
     cold = texts.filter(~F.col("hot")).select("anchor", "piece", "data").repartition("anchor").sortWithinPartitions("anchor", "piece")
     ranges = cold.mapInArrow(_indexer(length), "anchor long, piece long, lo long, hi long")
     windows = texts.filter("hot").select("anchor", "piece", "data").mapInArrow(_window_hashes(length), "anchor long, piece long, lo long, h1 long, h2 long")
-    twice = windows.groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.count("*").alias("c")).filter("c > 1").select("g1", "g2")
+    twice = cut(windows.groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.count("*").alias("c")).filter("c > 1").select("g1", "g2"))
     hot_ranges = windows.join(twice, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left_semi").select("anchor", "piece", "lo", (F.col("lo") + 1).alias("hi"))
     found = whole.unionByName(ranges).unionByName(hot_ranges).select(F.col("anchor").alias("a"), F.col("piece").alias("p"), "lo", "hi")
     spans = rows.join(found, (F.col("anchor") == F.col("a")) & (F.col("piece") == F.col("p"))).select("doc_id", "th", F.struct((F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi") - 1 + length).alias("b")).alias("r"))
