@@ -10,14 +10,14 @@ from waymesh.llm.common import cut
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
-    least = least.select("k", F.least("k", "m").alias("m"))
+    # Kept apart from the join, which can then split a node with very many neighbours.
+    least = cut(both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")).select("k", F.least("k", "m").alias("m")))
     return both.join(least, F.col("u") == F.col("k")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
+    least = cut(down.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")))
     hung = down.join(least, F.col("u") == F.col("k")).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).filter("u != v").distinct()
 
@@ -35,7 +35,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     if not before[0]:
         return now
     for _ in range(most_rounds):
-        now = cut(_small_star(_large_star(now)))
+        now = cut(_small_star(cut(_large_star(now))))
         after = state(now)
         if after == before:
             return now

@@ -292,7 +292,8 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     roots = components(near_edges(classes))
     placed = classes.join(roots, F.col("fp") == F.col("u"), "left").select("fp", "least_id", F.coalesce("v", "fp").alias("root"))
-    named = placed.groupBy(F.col("root").alias("r")).agg(F.min("least_id").alias("component_id"))
+    placed = cut(placed)
+    named = cut(placed.groupBy(F.col("root").alias("r")).agg(F.min("least_id").alias("component_id")))  # apart from the join, which may split a large component
     of_class = placed.join(named, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
     return rows.join(of_class, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
