@@ -227,7 +227,8 @@ def decontaminated(df: DataFrame, benchmark: DataFrame, mode: str = "documents",
 def _cleaner(windows: Windows, mode: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            given = batch.column("text").to_pylist()
+            texts = [t or "" for t in given]
             found = []
             for a, b in _batches(texts):
                 found += [(n, merge_spans(s)) for n, s, _ in scan(texts[a:b], windows)]
@@ -236,7 +237,7 @@ def _cleaner(windows: Windows, mode: str):
                 yield batch.filter(pa.array([not x for x in bad], pa.bool_()))
             else:
                 where = batch.schema.get_field_index("text")
-                cleaned = pa.array([clean_text(t, s) if x else t for t, (_, s), x in zip(texts, found, bad)], batch.column("text").type)
+                cleaned = pa.array([clean_text(t, s) if x else t for t, (_, s), x in zip(given, found, bad)], batch.column("text").type)
                 yield batch.set_column(where, "text", cleaned)
 
     return run

@@ -77,9 +77,13 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that exact_groups keeps, with all their columns."""
-    stay = exact_groups(df, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    """The rows of df that exact_groups keeps, with all their columns. The texts are shuffled once, and once more only if
+    rows with one id and one text are there to be told apart."""
+    found = cut(exact_groups(df, id_col, text_col))
+    stay = found.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
     keyed = df.withColumn("__key", F.sha2(normalised(text), 256))
     both = keyed.join(stay, keyed[id_col].eqNullSafe(stay["__id"]) & (keyed["__key"] == stay["__sha"]), "left_semi")
-    return both.dropDuplicates([id_col, "__key"]).select(*df.columns)
+    if not found.filter("not kept and doc_id <=> keep_id").isEmpty():
+        both = both.dropDuplicates([id_col, "__key"])
+    return both.select(*df.columns)
