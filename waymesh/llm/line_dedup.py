@@ -43,12 +43,15 @@ def _parts(line: Column) -> Column:
     return F.array_distinct(F.array(*parts))
 
 
+def _code_points(line: Column) -> Column:
+    """The line in four bytes for each character: parts of it are then copied without counting characters."""
+    return F.encode(line, "UTF-32")
+
+
 def _deletions(line: Column, lo: Column, hi: Column) -> Column:
-    """array<struct<pos, h>> of the variants with the character at pos deleted, for pos from lo to hi."""
-    return F.transform(
-        F.sequence(lo, hi),
-        lambda i: F.struct(i.alias("pos"), F.xxhash64(F.concat(F.substring(line, F.lit(1), i - 1), F.substring(line, i + 1, F.length(line)))).alias("h")),
-    )
+    """array<struct<pos, h>> of the variants with the character at pos deleted, for pos from lo to hi. line: code points."""
+    rest = F.lit(1 << 30)
+    return F.transform(F.sequence(lo, hi), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.concat(F.substring(line, F.lit(1), 4 * (i - 1)), F.substring(line, 4 * i + 1, rest))).alias("h")))
 
 
 def _keep_known(df: DataFrame, on: str, keys: DataFrame) -> DataFrame:
@@ -79,7 +82,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     lines = cut(able.groupBy("key").agg(F.min("at").alias("first"), F.min("line").alias("line"), F.min("p.lo").alias("lo"), F.max("p.hi").alias("hi")))
 
     # Variants are rows of two longs until those that meet nothing are gone.
-    variants = lines.select("key", F.explode(_deletions(F.col("line"), F.col("lo"), F.col("hi"))).alias("v"))
+    variants = lines.withColumn("points", _code_points(F.col("line"))).select("key", F.explode(_deletions(F.col("points"), F.col("lo"), F.col("hi"))).alias("v"))
     placed = variants.select(F.xxhash64("v.pos", "v.h").alias("vk"), F.col("key.h1").alias("h1"), "key")
     several = cut(placed.groupBy("vk").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select(F.col("vk").alias("k")))
     replaced = _keep_known(placed, "vk", several).select("vk", "key").distinct()
@@ -88,7 +91,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     best = cut(replaced.groupBy(F.col("vk").alias("k")).agg(F.min("first").alias("best")))
     by_replacing = replaced.join(best, F.col("vk") == F.col("k")).select("key", "best")
     # A line and those one character longer: the longer line's variant is the whole of the shorter.
-    whole = cut(lines.select(F.xxhash64("line").alias("wk"), F.col("key").alias("short"), F.col("first").alias("short_first")))
+    whole = cut(lines.select(F.xxhash64(_code_points(F.col("line"))).alias("wk"), F.col("key").alias("short"), F.col("first").alias("short_first")))
     shorter_of = _keep_known(variants.select(F.col("v.h").alias("h"), "key"), "h", whole.select("wk").distinct()).distinct()
     pairs = shorter_of.join(whole, F.col("h") == F.col("wk")).join(first, F.col("key") == F.col("lk"))
     longer = pairs.select("key", F.col("short_first").alias("best"))
