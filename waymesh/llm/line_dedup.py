@@ -83,17 +83,18 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
     # Variants are rows of two longs until those that meet nothing are gone.
     variants = lines.withColumn("points", _code_points(F.col("line"))).select("key", F.explode(_deletions(F.col("points"), F.col("lo"), F.col("hi"))).alias("v"))
-    placed = variants.select(F.xxhash64("v.pos", "v.h").alias("vk"), F.col("key.h1").alias("h1"), "key")
+    placed = variants.select(F.xxhash64("v.pos", "v.h").alias("vk"), F.col("v.h").alias("h"), F.col("key.h1").alias("h1"), "key")
     several = cut(placed.groupBy("vk").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select(F.col("vk").alias("k")))
-    replaced = _keep_known(placed, "vk", several).select("vk", "key").distinct()
     first = lines.select(F.col("key").alias("lk"), "first")
-    replaced = cut(replaced.join(first, F.col("key") == F.col("lk")).select("vk", "key", "first"))
-    best = cut(replaced.groupBy(F.col("vk").alias("k")).agg(F.min("first").alias("best")))
-    by_replacing = replaced.join(best, F.col("vk") == F.col("k")).select("key", "best")
-    # A line and those one character longer: the longer line's variant is the whole of the shorter.
     whole = cut(lines.select(F.xxhash64(_code_points(F.col("line"))).alias("wk"), F.col("key").alias("short"), F.col("first").alias("short_first")))
-    shorter_of = _keep_known(variants.select(F.col("v.h").alias("h"), "key"), "h", whole.select("wk").distinct()).distinct()
-    pairs = shorter_of.join(whole, F.col("h") == F.col("wk")).join(first, F.col("key") == F.col("lk"))
+    # One more pass over the variants finds those that meet another line's variant, and those that are a whole line.
+    met_keys = cut(several.unionByName(whole.select(F.col("wk").alias("k"))).distinct())
+    hits = _keep_known(placed.select("key", F.explode(F.array("vk", "h")).alias("at_key")), "at_key", met_keys).distinct()
+    hits = cut(hits.join(first, F.col("key") == F.col("lk")).select("at_key", "key", "first"))
+    best = cut(hits.groupBy(F.col("at_key").alias("k")).agg(F.min("first").alias("best")).join(several, "k", "left_semi"))
+    by_replacing = hits.join(best, F.col("at_key") == F.col("k")).select("key", "best")
+    # A line and those one character longer: the longer line's variant is the whole of the shorter.
+    pairs = hits.join(whole, F.col("at_key") == F.col("wk"))
     longer = pairs.select("key", F.col("short_first").alias("best"))
     shorter = pairs.groupBy(F.col("short").alias("key")).agg(F.min("first").alias("best"))
     partner = by_replacing.unionByName(longer).unionByName(shorter).groupBy(F.col("key").alias("k")).agg(F.min("best").alias("best"))
