@@ -14,6 +14,7 @@ from waymesh.functions import geometry as G
 from waymesh.functions import ramp
 from waymesh.operators import filters, profile, styling, tiles, verbs
 from waymesh.operators.styling import CategoricalStyler, ClassStyler, NumericStyler
+from waymesh.plans import flow
 from waymesh.sources import basemaps, ingest, palettes, settings, sinks
 from waymesh.streaming import styles as streams
 
@@ -308,3 +309,18 @@ def test_streams(spark, tmp_path):
     assert [r["__rs_fill"] for r in spark.table("styled").collect()] == ["#FF9100"]
     with pytest.raises(ValueError):
         streams.style_stream(stream, NumericStyler("v"), "highway")
+
+
+def test_whole_flow(spark):
+    features = [{"type": "Feature", "properties": {"highway": h, "edge_id": f"e{i}", "name": "S", "bridge": b}, "geometry": {"type": "LineString", "coordinates": v}} for i, (h, b, v) in enumerate([("primary", None, [[18.0, 59.0], [18.01, 59.0]]), ("primary", "yes", [[18.01, 59.0], [18.02, 59.0]]), ("path", None, [[18.0, 59.0], [18.0, 59.01]])])]
+    zone = {"type": "Feature", "properties": {"zone": 1}, "geometry": {"type": "Polygon", "coordinates": [[[18.0, 59.0], [18.1, 59.0], [18.1, 59.1], [18.0, 59.0]]]}}
+    net = flow.build(spark, features, exclude=["path"], color_table={"e0": "#123456"}, overlays={"zones": zone})
+    rows = net.edges.orderBy("fid").collect()
+    assert [r["__rs_fill"] for r in rows] == ["#123456", "#bbbbbb"] and [r.lvl for r in rows] == [0, 1] and [r.fid for r in rows] == [0, 1]
+    assert net.panel().collect()[0]["class"] == "primary" and net.extent().first().maxx == 18.02
+    assert net.slots().count() > 5 and {r.fid for r in net.decks().collect()} == {1}
+    assert net.tiles().count() > 3 and net.sidecar().count() == 2
+    assert [(r.name, r.kind) for r in net.overlay_catalog(spark).collect()] == [("zones", "fill")]
+    both = flow.build(spark, features, options={"Class": ClassStyler(), "Id": CategoricalStyler("edge_id", {"e0": "#1"})})
+    assert [o["name"] for o in both.options] == ["Class", "Id"] and both.edges.filter("edge_id = 'e0'").first()["__rs_fill__1"] == "#1"
+    assert styling.resolve_one(spark, "primary_link", bridge=True)["__rs_casing"] == "#000000"

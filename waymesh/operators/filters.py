@@ -40,6 +40,14 @@ def drop_non_lines(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     return df.filter(F.coalesce(F.col(geometry)["gtype"].isin(*LINE_TYPES), F.lit(False)))
 
 
+def drop_counts(df: DataFrame, geometry: str = "geometry") -> DataFrame:
+    """One row: rows, unusable, non_lines: what the two filters above would drop, for a warning."""
+    g = F.col(geometry)
+    usable = F.coalesce(g.isNotNull() & g["parts"].isNotNull() & (F.size(g["parts"]) > 0) & F.forall(g["parts"], is_finite), F.lit(False))
+    line = F.coalesce(g["gtype"].isin(*LINE_TYPES), F.lit(False))
+    return df.agg(F.count("*").alias("rows"), F.count_if(~usable).alias("unusable"), F.count_if(usable & ~line).alias("non_lines"))
+
+
 def require(df: DataFrame, *columns: str) -> DataFrame:
     """df, if it has the columns; else an error that lists what there is. No job runs."""
     if missing := [c for c in columns if c not in df.columns]:

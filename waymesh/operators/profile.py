@@ -56,6 +56,23 @@ def has_bridges(df: DataFrame, lvl: str = "lvl") -> DataFrame:
     return df.agg(F.coalesce(F.bool_or(F.col(lvl) > 0), F.lit(False)).alias("bridges"))
 
 
+def dash_values(df: DataFrame, dash: str = "__rs_dash") -> DataFrame:
+    """The distinct dash patterns, sorted."""
+    return df.filter(F.col(dash).isNotNull() & (F.col(dash) != "")).select(F.col(dash).alias("dash")).distinct().orderBy("dash")
+
+
+def geometry_types(df: DataFrame, geometry: str = "geometry") -> DataFrame:
+    """One row: types (sorted), all_null."""
+    t = F.col(geometry)["gtype"]
+    return df.agg(F.array_sort(F.collect_set(t)).alias("types"), F.every(t.isNull()).alias("all_null"))
+
+
+def running_total(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """df with the running sum of a column along each chain."""
+    w = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return df.withColumn("running", F.sum(value).over(w))
+
+
 def extent(df: DataFrame, lines: str = "vertices") -> DataFrame:
     """One row: minx, miny, maxx, maxy of a column of lines. Partial aggregation; no vertex is shuffled."""
     xs, ys = F.transform(lines, lambda p: p["x"]), F.transform(lines, lambda p: p["y"])

@@ -305,6 +305,19 @@ def join_colors(df: DataFrame, id_col: str, table: DataFrame, key: str | None =
     return df.join(side, F.col(id_col).cast("string") == F.col("__id"), "left").drop("__id")
 
 
+def color_rows(spark, table: DataFrame | Mapping) -> DataFrame:
+    """A colour table as rows; of a mapping the order is kept in __n."""
+    if isinstance(table, DataFrame):
+        return table
+    return spark.createDataFrame([(str(k), v, i) for i, (k, v) in enumerate(table.items())], "id string, color string, __n int")
+
+
+def resolve_one(spark, name: str | None, palette: Palette = "highsat", tunnel: bool = False, bridge: bool = False) -> dict:
+    """The style of one class, by the same plan as for a table."""
+    df = spark.createDataFrame([(name, str(tunnel), str(bridge))], "highway string, tunnel string, bridge string")
+    return bake(df, ClassStyler("highway", palette, tunnel_col="tunnel", bridge_col="bridge")).first().asDict()
+
+
 def to_arrays(df: DataFrame) -> DataFrame:
     """For array renderers: fill_rgba array<int> and width_f float, from the style columns."""
     from waymesh.functions.scalars import rgba

@@ -33,6 +33,12 @@ def query(sql: str | None = None, views: tuple[str, ...] = ()) -> Callable[[Quer
     return add
 
 
+def _broken(df: DataFrame) -> DataFrame:
+    """Some geometries null, some points."""
+    point = F.struct(F.lit("Point").alias("gtype"), F.col("geometry.parts"))
+    return df.withColumn("geometry", F.when(F.col("fid") % 10 == 3, F.lit(None)).when(F.col("fid") % 10 == 4, point).otherwise(F.col("geometry")))
+
+
 def _r(c, n: int = 6):
     return F.round(c, n)
 
@@ -401,6 +407,43 @@ def hit_test(spark, sf):
     return verbs.hit_test(areas, points, cell=0.05).select("area_id", "fid")
 
 
+@query(f", {_palette_sql("carto")}, s AS ({_style_sql()}) SELECT DISTINCT __rs_dash AS dash FROM s WHERE __rs_dash IS NOT NULL", ("edges",))
+def dash_values(spark, sf):
+    return profile.dash_values(styling.bake(view(spark, sf, "edges"), ClassStyler(palette="carto")))
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (fid % 10 = 3) AS unusable, count(*) FILTER (fid % 10 = 4) AS non_lines FROM v_edges", ("edges",))
+def drop_counts(spark, sf):
+    return filters.drop_counts(_broken(edges(spark, sf)))
+
+
+@query("SELECT 'LineString,Point' AS types, false AS all_null")
+def geometry_types(spark, sf):
+    return profile.geometry_types(_broken(edges(spark, sf))).withColumn("types", F.array_join("types", ","))
+
+
+@query("SELECT fid, CAST(sum(fid % 100) OVER (PARTITION BY name ORDER BY fid ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM v_chain", ("chain",))
+def running_length(spark, sf):
+    return profile.running_total(view(spark, sf, "chain").withColumn("v", F.col("fid") % 100), "name", "fid", "v").select("fid", "running")
+
+
+@query(_options_sql(False).replace("SELECT s.fid, __rs_fill,", "SELECT fid, __rs_fill__2 AS fill FROM (SELECT s.fid, __rs_fill,", 1) + ") AS x", ("edges",))
+def color_field(spark, sf):
+    out, meta = styling.bake_options(view(spark, sf, "edges"), _options("base"))
+    return out.select("fid", verbs.color_field(out, [m["name"] for m in meta], "Direction").alias("fill"))
+
+
+@query("SELECT fid, round(156543.03392 * cos(radians(ay / 1e6)) / pow(2, 18), 9) AS metres FROM v_edges", ("edges",))
+def metres_per_pixel(spark, sf):
+    return view(spark, sf, "edges").select("fid", _r(G.metres_per_pixel(F.col("ay") / 1e6, 18), 9).alias("metres"))
+
+
+@query(f", {_palette_sql()}, s AS ({_style_sql()}) SELECT fid, round(__rs_w * 3.0, 6) AS halo, round(__rs_w * 1.8, 6) AS ring, round(__rs_w * 1.5, 6) AS core FROM s", ("edges",))
+def selection_widths(spark, sf):
+    df = styling.bake(view(spark, sf, "edges"), ClassStyler())
+    return df.select("fid", *[_r(c).alias(k) for k, c in styling.selection_style(F.col("__rs_w")).items()])
+
+
 # -- network --------------------------------------------------------------------------------------------------------
 
 _TWOWAY = ", t AS (SELECT z AS ra, a AS rz, count(*) AS n FROM v_edges GROUP BY z, a), w AS (SELECT e.*, CASE WHEN e.a = e.z THEN coalesce(n, 0) >= 2 ELSE coalesce(n, 0) >= 1 END AS twoway FROM v_edges e LEFT JOIN t ON e.a = t.ra AND e.z = t.rz)"
@@ -561,9 +604,7 @@ def line_quarter_point(spark, sf):
 
 @query("SELECT fid, ax, ay, zx, zy FROM v_edges WHERE fid % 10 NOT IN (3, 4)", ("edges",))
 def ingest_normalise(spark, sf):
-    df = edges(spark, sf).drop("vertices")
-    broken = F.when(F.col("fid") % 10 == 3, F.lit(None)).when(F.col("fid") % 10 == 4, F.struct(F.lit("Point").alias("gtype"), F.col("geometry.parts"))).otherwise(F.col("geometry"))
-    table = ingest.normalise(df.withColumn("geometry", broken)).df
+    table = ingest.normalise(_broken(edges(spark, sf)).drop("vertices")).df
     end = lambda p, f: G.node_key(p[f])
     a, z = F.get("vertices", F.lit(0)), F.element_at("vertices", -1)
     return table.select("fid", end(a, "x").alias("ax"), end(a, "y").alias("ay"), end(z, "x").alias("zx"), end(z, "y").alias("zy"))

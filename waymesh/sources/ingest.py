@@ -78,12 +78,13 @@ def reproject(df: DataFrame, srid: int | None) -> DataFrame:
     return df.withColumn("geometry", F.when(g.isNotNull(), F.struct(g["gtype"].alias("gtype"), F.transform(g["parts"], G.from_mercator).alias("parts"))))
 
 
-def normalise(df: DataFrame, class_col: str = "highway", geometry: str | None = None, srid: int | None = 4326, rename: Mapping[str, str] | None = None, keep_non_lines: bool = False) -> EdgeTable:
+def normalise(df: DataFrame, class_col: str | None = "highway", geometry: str | None = None, srid: int | None = 4326, rename: Mapping[str, str] | None = None, keep_non_lines: bool = False) -> EdgeTable:
     """Any DataFrame as an edge table: renamed, decoded, without unusable geometries and non-lines, in longitude and
     latitude, NaN as null."""
     if rename:
         df = df.withColumnsRenamed(dict(rename))
-    require(df, class_col)
+    if class_col is not None:  # overlays have none
+        require(df, class_col)
     df = drop_unusable(decode_geometry(df, geometry))
     if not keep_non_lines:
         df = drop_non_lines(df)
@@ -154,9 +155,9 @@ def _from_feature_rows(rows: DataFrame) -> DataFrame:
     return parsed.select(*([F.col(f"p.`{c}`").alias(c) for c in read.columns if c != "geometry"]), geometry.alias("geometry"))
 
 
-def from_geojson(spark: SparkSession, obj, class_col: str = "highway", srid: int = 4326, rename: Mapping[str, str] | None = None) -> EdgeTable:
+def from_geojson(spark: SparkSession, obj, class_col: str | None = "highway", srid: int = 4326, rename: Mapping[str, str] | None = None, keep_non_lines: bool = False) -> EdgeTable:
     rows = spark.createDataFrame([(json.dumps(f),) for f in geojson_features(obj)], "value string")
-    return normalise(_from_feature_rows(rows), class_col, "geometry", srid, rename)
+    return normalise(_from_feature_rows(rows), class_col, "geometry", srid, rename, keep_non_lines)
 
 
 def read_geojson(spark: SparkSession, path: str, class_col: str = "highway", rename: Mapping[str, str] | None = None, lines: bool = False) -> EdgeTable:
