@@ -152,10 +152,10 @@ def literal_color(spark, sf):
     return view(spark, sf, "colors").select("place", S.color_or(F.col("color"), "#bbbbbb").alias("color"))
 
 
-@query("SELECT fid, CASE WHEN fid % 2 = 0 THEN '\"' || (9007199254740991 + fid) || '\"' ELSE CAST(fid AS VARCHAR) END AS text FROM v_edges WHERE fid > 0", ("edges",))
+@query("SELECT fid, CASE WHEN fid % 2 = 0 THEN '\"' || (9007199254740992 + fid) || '\"' ELSE CAST(fid AS VARCHAR) END AS text FROM v_edges", ("edges",))
 def exact_integers(spark, sf):
-    big = F.when(F.col("fid") % 2 == 0, F.col("fid") + F.lit(9007199254740991)).otherwise(F.col("fid"))
-    return view(spark, sf, "edges").filter("fid > 0").select("fid", S.exact_text(big).alias("text"))
+    big = F.when(F.col("fid") % 2 == 0, F.col("fid") + F.lit(9007199254740992)).otherwise(F.col("fid"))
+    return view(spark, sf, "edges").select("fid", S.exact_text(big).alias("text"))
 
 
 @query("SELECT fid, CASE WHEN v = floor(v) THEN format('{:,}', CAST(v AS BIGINT)) ELSE regexp_replace(regexp_replace(format('{:,.2f}', v), '0+$', ''), '\\.$', '') END AS tick FROM (SELECT fid, fid * 1000 + (fid % 4) * 0.25 AS v FROM v_edges)", ("edges",))
@@ -333,14 +333,10 @@ _LISTED = ", ".join(f"'{k}'" for k in (*widths.GROUP, *widths.LINKS))
 _RANK = f"{_LVL} * 1000.0 + CASE WHEN highway IN ({_LISTED}) THEN {_case("regexp_replace(highway, '_link$', '')", widths.Z_ORDER, 4)} - CASE WHEN highway LIKE '%\\_link' ESCAPE '\\' THEN 0.5 ELSE 0 END ELSE 4.0 END"
 
 
-@query(f"SELECT fid, CAST({_RANK} AS DOUBLE) AS rank, row_number() OVER (ORDER BY {_RANK}, fid) AS place FROM v_edges ORDER BY place LIMIT 500", ("edges",))
+@query(f"SELECT fid, CAST({_RANK} AS DOUBLE) AS rank FROM v_edges", ("edges",))
 def draw_order(spark, sf):
-    # The first 500 in draw order: a top-k report.
     df = _with_level(view(spark, sf, "edges")).withColumn("rank", widths.draw_rank(F.col("highway"), F.col("lvl")))
-    from pyspark.sql import Window as W
-
-    top = df.orderBy("rank", "fid").limit(500)
-    return top.select("fid", "rank", F.row_number().over(W.orderBy("rank", "fid")).cast("bigint").alias("place"))
+    return df.orderBy("rank", "fid").select("fid", "rank")
 
 
 # -- verbs ----------------------------------------------------------------------------------------------------------
@@ -459,9 +455,9 @@ def oneway_arrows(spark, sf):
     return graph.mark_twoway(view(spark, sf, "edges")).select("fid", F.col("__rs_oneway").alias("arrow"))
 
 
-@query("SELECT node, count(*) AS degree FROM (SELECT a AS node FROM v_sparse UNION ALL SELECT z FROM v_sparse) GROUP BY node", ("sparse",))
+@query("SELECT node, count(*) AS degree FROM (SELECT a AS node FROM v_edges UNION ALL SELECT z FROM v_edges) GROUP BY node", ("edges",))
 def node_degree(spark, sf):
-    return graph.node_degree(view(spark, sf, "sparse"))
+    return graph.node_degree(view(spark, sf, "edges"))
 
 
 @query("SELECT e.fid, min(f.fid) AS twin FROM v_edges e JOIN v_edges f ON least(e.a, e.z) = least(f.a, f.z) AND greatest(e.a, e.z) = greatest(f.a, f.z) AND e.fid <> f.fid GROUP BY e.fid", ("edges",))
@@ -474,9 +470,9 @@ def group_mode_class(spark, sf):
     return graph.group_mode(view(spark, sf, "edges"), ["oneway"], "highway").select("oneway", F.coalesce("mode", F.lit("~")).alias("mode"))
 
 
-@query(", n AS (SELECT fid, a AS node FROM v_sparse UNION ALL SELECT fid, z FROM v_sparse) SELECT node, min(fid) AS lo, max(fid) AS hi FROM n GROUP BY node HAVING count(*) = 2 AND min(fid) <> max(fid)", ("sparse",))
+@query(", n AS (SELECT fid, a AS node FROM v_chain UNION ALL SELECT fid, z FROM v_chain) SELECT node, min(fid) AS lo, max(fid) AS hi FROM n GROUP BY node HAVING count(*) = 2 AND min(fid) <> max(fid)", ("chain",))
 def continuation_edges(spark, sf):
-    return graph.continuations(view(spark, sf, "sparse"))
+    return graph.continuations(view(spark, sf, "chain"))
 
 
 _WALK = """, n AS (SELECT fid, name, a AS node FROM v_chain UNION ALL SELECT fid, name, z FROM v_chain),
@@ -537,10 +533,9 @@ def zoom_width(spark, sf):
     return have.join(F.broadcast(spark.createDataFrame(rows, "class string, zoom int, milli bigint")), "class")
 
 
-@query(_TWOWAY + ", z AS (SELECT unnest([14, 15, 16, 17, 18]) AS zoom) SELECT fid, zoom, CASE WHEN twoway THEN round(10.0 * 0.28 * least(greatest((zoom - 15) / 2.0, 0), 1), 3) ELSE 0.0 END AS shift, CASE WHEN twoway THEN 10.0 * (1 - 0.4 * least(greatest((zoom - 15) / 2.0, 0), 1)) ELSE 10.0 END AS width FROM w, z WHERE fid < 500", ("edges",))
+@query(_TWOWAY + ", z AS (SELECT unnest([14, 15, 16, 17, 18]) AS zoom) SELECT fid, zoom, CASE WHEN twoway THEN round(10.0 * 0.28 * least(greatest((zoom - 15) / 2.0, 0), 1), 3) ELSE 0.0 END AS shift, CASE WHEN twoway THEN 10.0 * (1 - 0.4 * least(greatest((zoom - 15) / 2.0, 0), 1)) ELSE 10.0 END AS width FROM w, z", ("edges",))
 def lane_offset(spark, sf):
-    # The first 500 ids: what is shown is a table by zoom.
-    df = graph.mark_twoway(view(spark, sf, "edges")).filter("fid < 500").crossJoin(F.broadcast(spark.range(14, 19).select(F.col("id").cast("int").alias("zoom"))))
+    df = graph.mark_twoway(view(spark, sf, "edges")).withColumn("zoom", F.explode(F.sequence(F.lit(14), F.lit(18))))
     return df.select("fid", "zoom", widths.lane_offset(F.lit(10.0), F.col("twoway"), F.col("zoom")).alias("shift"), widths.lane_width(F.lit(10.0), F.col("twoway"), F.col("zoom")).alias("width"))
 
 
@@ -594,11 +589,11 @@ def metric_length(spark, sf):
     return df.select("fid", _r(G.length(G.local_metres(F.col("vertices"), F.col("lon0"), F.col("lat0"))), 3).alias("metres"))
 
 
-@query("SELECT fid, round(ax / 1e6 + (zx - ax) / 1e6 * 0.25, 9) AS x, round(ay / 1e6 + (zy - ay) / 1e6 * 0.25, 9) AS y FROM v_edges WHERE ax <> zx OR ay <> zy", ("edges",))
+@query("SELECT fid, round(ax / 1e6 + (zx - ax) / 1e6 * 0.25, 9) AS x, round(ay / 1e6 + (zy - ay) / 1e6 * 0.25, 9) AS y FROM v_edges", ("edges",))
 def line_quarter_point(spark, sf):
     total = G.length(F.col("vertices"))
     part = G.substring(F.col("vertices"), total * 0.25, total * 0.5)
-    df = edges(spark, sf).filter("ax <> zx or ay <> zy").withColumn("p", F.get(part, F.lit(0)))
+    df = edges(spark, sf).withColumn("p", F.get(part, F.lit(0)))
     return df.select("fid", _r("p.x", 9).alias("x"), _r("p.y", 9).alias("y"))
 
 

@@ -30,11 +30,9 @@ VIEWS = {
         SELECT event_id AS fid, event_id AS a, event_id + 1 + CASE WHEN event_id % 5 = 0 THEN 24 ELSE 0 END AS z, event_type AS highway, value,
             CASE WHEN event_id % 2000 < 1000 THEN 'north' END AS name, event_id % 4000 < 500 AS ow
         FROM {events}""",
-    "sparse": """
-        SELECT o_orderkey AS fid, o_custkey AS a, (o_orderkey * 7) % 1500 AS z FROM {orders} WHERE o_orderkey % 12 = 0""",
     "colors": """
-        SELECT CASE WHEN p_partkey % 10 = 9 THEN p_partkey - 1 ELSE p_partkey END AS id, p_partkey AS place,
-            CASE p_partkey % 4 WHEN 0 THEN '#ff0000' WHEN 1 THEN ' teal ' WHEN 2 THEN '' END AS color FROM {part} WHERE p_partkey % 3 <> 1""",
+        SELECT 2 * CASE WHEN p_partkey % 10 = 9 THEN p_partkey - 1 ELSE p_partkey END AS id, p_partkey AS place,
+            CASE p_partkey % 4 WHEN 0 THEN '#ff0000' WHEN 1 THEN ' teal ' WHEN 2 THEN '' END AS color FROM {part}""",
     "dirty": """
         SELECT event_id AS fid, value, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN upper(event_type) WHEN event_id % 17 = 0 THEN ' ' || event_type || ' ' ELSE event_type END AS kind,
             CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS maybe FROM {events}""",
