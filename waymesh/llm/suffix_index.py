@@ -33,7 +33,8 @@ LENGTH = 200
 KGRAM = 32
 HOT = 20_000
 CHUNK = 1 << 19
-BATCH = 1 << 15  # windows in the index's smallest level
+BATCH = 1 << 15  # windows in the smallest level of an index
+FAMILY = 1 << 16  # windows beyond which an index is closed at the next change of the anchor
 _GRAM = Hasher(201)
 _PIECE = Hasher(202)
 _POS = np.uint64((1 << 20) - 1)
@@ -197,7 +198,7 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def _indexer(length: int, most: int = 1 << 21):
+def _indexer(length: int, most: int = FAMILY):
     """Rows come sorted by anchor. Out: for each piece the ranges of windows that occur in another piece.
 
     Pieces of different anchors have no window in common, so a family that has grown beyond `most` windows is closed
