@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import sqlite3
 import struct
 
 import numpy as np
@@ -55,6 +56,25 @@ def test_every_input_gives_the_same_table(spark, tmp_path):
     assert ends(renamed) == WANT
 
 
+def test_geopackage(spark, tmp_path):
+    path = str(tmp_path / "net.gpkg")
+    con = sqlite3.connect(path)
+    con.executescript("""
+        CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT, geometry_type_name TEXT, srs_id INTEGER, z INTEGER, m INTEGER);
+        INSERT INTO gpkg_geometry_columns VALUES ('roads', 'geom', 'LINESTRING', 4326, 0, 0), ('more', 'geom', 'LINESTRING', 4326, 0, 0);
+        CREATE TABLE roads (fid INTEGER PRIMARY KEY, geom BLOB, highway TEXT, aadt REAL, lit BOOLEAN);
+        CREATE TABLE more (fid INTEGER PRIMARY KEY, geom BLOB, highway TEXT);""")
+    head = lambda envelope: b"GP\0" + bytes([envelope << 1 | 1]) + struct.pack("<i", 4326) + b"\0" * (32 if envelope else 0)
+    for i, (k, v) in enumerate(LINES.items()):
+        con.execute("INSERT INTO roads VALUES (?, ?, ?, ?, ?)", (i, head(i) + wkb(v), k, 1.5, i))
+    con.execute("INSERT INTO roads VALUES (9, NULL, 'gone', NULL, NULL)")
+    con.commit()
+    con.close()
+    edges = ingest.as_edges(path, spark)
+    assert ends(edges) == WANT and [(r.fid, r.aadt, r.lit) for r in edges.df.orderBy("fid").collect()] == [(0, 1.5, False), (1, 1.5, True)]
+    assert ingest.read_edges(spark, path, layer="more").df.count() == 0
+
+
 def test_unusable_geometries_go(spark):
     rows = [("a", wkb(LINES["primary"])), ("b", None), ("c", wkb([[float("nan"), 1.0], [2.0, 3.0]])), ("d", b"\1" + struct.pack("<Idd", 1, 1.0, 2.0)), ("e", b"junk")]
     df = spark.createDataFrame(rows, "highway string, geometry binary")

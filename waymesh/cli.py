@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--include", nargs="*")
     p.add_argument("--exclude", nargs="*")
     p.add_argument("--srid", type=int, default=4326)
+    p.add_argument("--layer", help="of a GeoPackage")
     return p
 
 
@@ -39,7 +40,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("waymesh").getOrCreate()
     palette = load_palette(spark, a.palette) if a.palette.endswith(".json") else a.palette
     try:
-        edges = read_edges(spark, a.input, a.class_col, srid=a.srid)
+        edges = read_edges(spark, a.input, a.class_col, srid=a.srid, layer=a.layer)
         styler = build_styler(palette=palette, class_col=a.class_col, color_by=a.color_by, cmap=a.cmap, vmin=a.vmin, vmax=a.vmax)
     except Exception as e:  # a missing file or column: say so, as a command should
         print(f"waymesh: {e}", file=sys.stderr)

@@ -171,9 +171,13 @@ def read_geojson(spark: SparkSession, path: str, class_col: str = "highway", ren
     return normalise(_from_feature_rows(rows), class_col, "geometry", 4326, rename)
 
 
-def read_edges(spark: SparkSession, path: str, class_col: str = "highway", geometry: str | None = None, srid: int | None = 4326, rename: Mapping[str, str] | None = None) -> EdgeTable:
-    """A file or folder by its ending: parquet, orc, csv, json lines or GeoJSON."""
+def read_edges(spark: SparkSession, path: str, class_col: str = "highway", geometry: str | None = None, srid: int | None = 4326, rename: Mapping[str, str] | None = None, layer: str | None = None) -> EdgeTable:
+    """A file or folder by its ending: parquet, orc, csv, json lines, GeoJSON or GeoPackage (with a layer)."""
     end = path.rstrip("/").rpartition(".")[2].lower()
+    if end == "gpkg":
+        from waymesh.sources.geopackage import read_geopackage
+
+        return read_geopackage(spark, path, class_col, layer, rename=rename)
     if end in ("geojson", "geojsonl", "geojsons"):
         return read_geojson(spark, path, class_col, rename, lines=end != "geojson")
     if end == "csv":
