@@ -54,11 +54,31 @@ def _deletions(line: Column, lo: Column, hi: Column) -> Column:
     return F.transform(F.sequence(lo, hi), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.concat(F.substring(line, F.lit(1), 4 * (i - 1)), F.substring(line, 4 * i + 1, rest))).alias("h")))
 
 
+def _few(keys: DataFrame) -> bool:
+    return keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+
+
 def _keep_known(df: DataFrame, on: str, keys: DataFrame) -> DataFrame:
     """The rows of df whose `on` is in keys (one long column, distinct, kept). Few keys go to every task; more than
     FEW_KEYS meet the rows by a shuffle that may be split."""
-    name = keys.columns[0]
-    return df.join(F.broadcast(keys) if keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS else keys, F.col(on) == F.col(name), "left_semi")
+    return df.join(F.broadcast(keys) if _few(keys) else keys, F.col(on) == F.col(keys.columns[0]), "left_semi")
+
+
+def _able_lines(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, first, line, lo, hi): the distinct lines with a part in shared, and where an edit of them can be.
+
+    With few keys the lines are taken as they are read. With many, only their places are shuffled, and the text of each
+    distinct line that is left is fetched from the document where it comes first."""
+    few = _few(shared)
+    part = _lines(docs).select(F.explode(_parts(F.col("line"))).alias("p"), "key", _order().alias("at"), *(["line"] if few else []))
+    able = part.withColumn("pk", F.col("p.k")).join(F.broadcast(shared) if few else shared, F.col("pk") == F.col("k"), "left_semi")
+    span = (F.min("at").alias("first"), F.min("p.lo").alias("lo"), F.max("p.hi").alias("hi"))
+    if few:
+        return able.groupBy("key").agg(F.min("line").alias("line"), *span)
+    places = able.groupBy("key").agg(*span)
+    wanted = places.select(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.struct("key", "first", "lo", "hi").alias("w")).groupBy("doc_id", "th").agg(F.collect_list("w").alias("wanted"))
+    of_doc = docs.join(wanted, same_doc(docs, wanted)).select(F.split("text", _END, -1).alias("lines"), F.explode("wanted").alias("w"))
+    return of_doc.select("w.key", F.element_at("lines", F.col("w.first.line_no") + 1).alias("line"), "w.first", "w.lo", "w.hi").dropDuplicates(["key"])
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -74,12 +94,11 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text, th. (key, first, earlier): each distinct line that occurs more than once or has an earlier line
     within one edit. first: its first occurrence. earlier: that of the earliest line within one edit, or null."""
     every = _lines(docs)
-    part = lambda *more: every.select(F.explode(_parts(F.col("line"))).alias("p"), F.col("key.h1").alias("h1"), *more)
     # What an aggregate finds is kept apart from the join that uses it, so that a hot key can be split there.
-    met = part().groupBy(F.col("p.k").alias("k")).agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b")
+    part = every.select(F.explode(_parts(F.col("line"))).alias("p"), F.col("key.h1").alias("h1"))
+    met = part.groupBy(F.col("p.k").alias("k")).agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b")
     shared = cut(met.select("k"))
-    able = _keep_known(part("key", _order().alias("at"), "line").withColumn("pk", F.col("p.k")), "pk", shared)
-    lines = cut(able.groupBy("key").agg(F.min("at").alias("first"), F.min("line").alias("line"), F.min("p.lo").alias("lo"), F.max("p.hi").alias("hi")))
+    lines = cut(_able_lines(docs, shared))
 
     # Variants are rows of two longs until those that meet nothing are gone.
     variants = lines.withColumn("points", _code_points(F.col("line"))).select("key", F.explode(_deletions(F.col("points"), F.col("lo"), F.col("hi"))).alias("v"))
