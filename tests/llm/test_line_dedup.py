@@ -68,7 +68,9 @@ def test_parts_meet_for_all_lengths(spark):
     assert miss.count() == 0
 
 
-def test_repeated_rows_empty_table_and_plan(spark):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_repeated_rows_empty_table_and_plan(spark, monkeypatch, few):
+    monkeypatch.setattr(line_dedup, "FEW_KEYS", few)
     line = "the same line of more than twenty"
     df = spark.createDataFrame([(2, line), (2, line), (1, line + "!")], DOC)
     got = sorted((r.doc_id, r.n_dropped) for r in line_dedup.dedup_lines(df).collect())
