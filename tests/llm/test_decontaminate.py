@@ -65,3 +65,29 @@ def test_empty_tables(spark):
     row = decontaminate.contamination(docs, items).first()
     assert (row.n_words, row.n_hit, row.contaminated) == (2, 0, False)
     assert decontaminate.contamination(spark.createDataFrame([], DOC), items).collect() == []
+
+
+@pytest.mark.parametrize(("seed", "block"), [(1, 2_000_000), (2, 40), (5, 40)])
+def test_decontaminated_matches_brute_force_in_any_number_of_blocks(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    docs, items = corpus(seed)
+    # Each item alone hits less than a twentieth of the words, all together more.
+    few = [("alpha beta gamma", 300), ("delta eps zeta", 301), ("eta theta iota", 302), ("kappa lam my", 303)]
+    items += [(n, t) for t, n in few]
+    docs.append((200, "w " * 110 + " v ".join(t for t, _ in few)))
+    table = spark.createDataFrame(items, ITEM)
+    assert (len(decontaminate._item_blocks(table)) > 1) == (block == 40)
+    df = spark.createDataFrame([(t, i, "x") for i, t in docs], "text string, doc_id long, row string").repartition(3)
+    bad = [brute(t, items)[4] for _, t in docs]
+    assert bad[-1]
+    got = decontaminate.decontaminated(df, table)
+    assert got.columns == df.columns
+    key = lambda rows: sorted((str(i), str(t)) for i, t in rows)
+    assert key((r.doc_id, r.text) for r in got.collect()) == key(d for d, b in zip(docs, bad) if not b)
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 2_000_000)
+    want = decontaminate.decontaminated(df, table, mode="spans").collect()
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    cut = decontaminate.decontaminated(df, table, mode="spans")
+    assert cut.schema == df.schema
+    assert key((r.doc_id, r.text) for r in cut.collect()) == key((r.doc_id, r.text) for r in want)
+    assert {r.doc_id: r.text for r in want}[200].split() == ["w"] * 110 + ["v"] * 3

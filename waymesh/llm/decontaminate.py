@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from waymesh.llm.bytehash import Hasher
-from waymesh.llm.common import column, documents, id_type
+from waymesh.llm.common import column, cut, documents, id_type
 
 WINDOW = 13
 BLOCK_WORDS = 2_000_000
@@ -217,11 +217,49 @@ def clean_text(text: str, spans: list[tuple[int, int]]) -> str:
 def decontaminated(df: DataFrame, benchmark: DataFrame, mode: str = "documents", window: int = WINDOW) -> DataFrame:
     """df without its contaminated documents (mode "documents"), or with the hit spans cut out of their text ("spans").
 
-    Works in one pass over df, with no shuffle, when the benchmark is one block. Clean documents are left as they are.
+    Works in one pass over df, with no shuffle, when the benchmark is one block. With several, the hits of all blocks are
+    united by text before a document is judged, and spans are cut out of the text as it was given. Clean documents are
+    left as they are.
     """
-    for items in _item_blocks(benchmark):
-        df = df.mapInArrow(_cleaner(Windows(items, window), mode), df.schema)
-    return df
+    blocks = _item_blocks(benchmark)
+    if len(blocks) == 1:
+        return df.mapInArrow(_cleaner(Windows(blocks[0], window), mode), df.schema)
+    key = F.sha2(F.coalesce(column(df, "text", "string"), F.lit("")), 256)
+    bad = _contaminated_texts(df.select(key.alias("doc_id"), F.lit(0).cast("long").alias("row"), F.coalesce(column(df, "text", "string"), F.lit("")).alias("text")), blocks, window)
+    keyed = df.withColumn("__key", key)
+    if mode == "documents":
+        return keyed.join(bad, keyed["__key"] == bad["__bad"], "left_anti").select(*[keyed[c] for c in df.columns])
+    return keyed.join(bad, keyed["__key"] == bad["__bad"], "left").select(*[keyed[c] for c in df.columns], "__spans").mapInArrow(_cutter(df.columns), df.schema)
+
+
+def _contaminated_texts(rows: DataFrame, blocks: list[list[tuple]], window: int) -> DataFrame:
+    """(__bad, __spans): the contaminated texts by their hash, with the spans of all blocks. rows: doc_id (the hash), row, text.
+
+    Only texts that are hit are shuffled. It is kept apart, so that the join that uses it can split a hot text."""
+    schema = "doc_id string, row long, n_words long, spans array<struct<a:long,b:long>>, items array<string>"
+    every = None
+    for block in blocks:
+        hit = rows.mapInArrow(_scanner(Windows(block, window), pa.string()), schema).filter(F.size("spans") > 0)
+        every = hit if every is None else every.unionByName(hit)
+    # Copies of a text have the same spans in a block, so a set holds no more than one array for each block.
+    raw = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("raw"))
+    raw = raw.select("doc_id", F.lit(0).cast("long").alias("row"), "n_words", "raw", F.array().cast("array<string>").alias("items"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.b - s.a)
+    found = raw.mapInArrow(_union_spans(pa.string()), schema).filter(20 * n_hit >= F.col("n_words"))
+    return cut(found.select(F.col("doc_id").alias("__bad"), F.col("spans").alias("__spans")))
+
+
+def _cutter(columns: list[str]):
+    """Cuts the words of __spans out of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, spans = batch.column("text"), batch.column("__spans").to_pylist()
+            cleaned = [clean_text(t, [(x["a"], x["b"]) for x in s]) if s else t for t, s in zip(text.to_pylist(), spans)]
+            batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(cleaned, text.type))
+            yield batch.select(columns)
+
+    return run
 
 
 def _cleaner(windows: Windows, mode: str):
