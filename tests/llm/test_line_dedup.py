@@ -76,3 +76,18 @@ def test_repeated_rows_empty_table_and_plan(spark, monkeypatch, few):
     got = sorted((r.doc_id, r.n_dropped) for r in line_dedup.dedup_lines(df).collect())
     assert got == [(1, 0), (2, 1), (2, 1)]
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOC)).collect() == []
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_short_lines_match_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(line_dedup, "FEW_KEYS", few)
+    rng = random.Random(3)
+    short = ["".join(rng.choice("ab é") for _ in range(n)) for n in range(1, 20) for _ in range(3)]
+    short += [x + "Q" for x in short] + ["All rights reserved", "Share on Facebook", "版" * 19, "{", "}", "\r"]
+    rows = [(i, "\n".join(rng.choice(["", *short]) for _ in range(rng.randint(1, 6)))) for i in range(80)] + [(None, "}"), (90, "}\n\n}\n\n")]
+    near = line_dedup.NEAR_CHARS
+    places = sorted(((i is None, i or 0), n, line) for i, t in rows for n, line in enumerate(t.split("\n")) if line)
+    want = {(None if i[0] else i[1], n) for k, (i, n, line) in enumerate(places) if any(line == o or min(len(line), len(o)) >= near and within_one(line, o) for *_, o in places[:k])}
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, DOC).repartition(3)).collect()
+    assert {(r.doc_id, n) for r in got for n in r.dropped} == want
+    assert (None, 0) in want and (90, 2) in want and (90, 1) not in want

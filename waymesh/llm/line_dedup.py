@@ -5,7 +5,8 @@ Two lines are within one edit if they agree, if deleting the character at the sa
 variant with one character deleted. Lines that share (place, variant) all differ at that place only, so the earliest of
 them is a partner of each: an aggregation finds it, and no pairs are made. Insertions join variants with whole lines.
 
-Most lines have no partner, so variants are made only for lines that can have one. A single edit leaves the first or
+Equal lines of any length meet by their hash; only lines of NEAR_CHARS characters or more are compared within one edit.
+Most of them have no partner, so variants are made only for lines that can have one. A single edit leaves the first or
 the last part of a line untouched: each distinct line is keyed by both, and goes on only if another line shares one.
 Lines are aggregated before each shuffle, hot keys are summed where they are found, and joins may be split.
 """
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from waymesh.llm.common import cut, documents, same_doc, with_text_hash
 
-LEAST_CHARS = 20
+LEAST_CHARS = 1  # of a line that goes if the same line occurs earlier: all but empty lines
+NEAR_CHARS = 16  # of both lines where one goes for another within one edit; below, an edit makes another word or number
 FEW_KEYS = 500_000  # longs that may go to every task: 8 MB or so
 _END = r"\n"
 
@@ -70,7 +72,7 @@ def _able_lines(docs: DataFrame, shared: DataFrame) -> DataFrame:
     With few keys the lines are taken as they are read. With many, only their places are shuffled, and the text of each
     distinct line that is left is fetched from the document where it comes first."""
     few = _few(shared)
-    part = _lines(docs).select(F.explode(_parts(F.col("line"))).alias("p"), "key", _order().alias("at"), *(["line"] if few else []))
+    part = _near_lines(_lines(docs)).select(F.explode(_parts(F.col("line"))).alias("p"), "key", _order().alias("at"), *(["line"] if few else []))
     able = part.withColumn("pk", F.col("p.k")).join(F.broadcast(shared) if few else shared, F.col("pk") == F.col("k"), "left_semi")
     span = (F.min("at").alias("first"), F.min("p.lo").alias("lo"), F.max("p.hi").alias("hi"))
     if few:
@@ -86,6 +88,10 @@ def _lines(docs: DataFrame) -> DataFrame:
     return each.filter(F.length("line") >= LEAST_CHARS).select("doc_id", "th", "line_no", "line", _hash(F.col("line")).alias("key"))
 
 
+def _near_lines(lines: DataFrame) -> DataFrame:
+    return lines.filter(F.length("line") >= NEAR_CHARS)
+
+
 def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "line_no", "th")
 
@@ -95,7 +101,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     within one edit. first: its first occurrence. earlier: that of the earliest line within one edit, or null."""
     every = _lines(docs)
     # What an aggregate finds is kept apart from the join that uses it, so that a hot key can be split there.
-    part = every.select(F.explode(_parts(F.col("line"))).alias("p"), F.col("key.h1").alias("h1"))
+    part = _near_lines(every).select(F.explode(_parts(F.col("line"))).alias("p"), F.col("key.h1").alias("h1"))
     met = part.groupBy(F.col("p.k").alias("k")).agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b")
     shared = cut(met.select("k"))
     lines = cut(_able_lines(docs, shared))
@@ -130,9 +136,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_lines, n_dropped, dropped (line numbers from 0), text (of the lines that stay).
 
-    Lines end at a line feed. A line of LEAST_CHARS characters or more goes if the same line, or one within one edit
-    of it, occurs earlier in the corpus: in order of doc_id (null last), then line number. Lines that go count as earlier
-    lines for others. Shorter lines, null and empty texts stay as they are. Rows that repeat a doc_id and text are one
+    Lines end at a line feed. A line of any length but 0 goes if the same line occurs earlier in the corpus: in order of
+    doc_id (null last), then line number. A line of NEAR_CHARS characters or more also goes if another of as many, within
+    one edit of it, occurs earlier. Lines that go count as earlier lines for others. Empty lines, null and empty texts stay
+    as they are. Rows that repeat a doc_id and text are one
     document and keep the same lines. An empty table gives an empty result. Columns beyond id and text are ignored.
     """
     docs = with_text_hash(documents(df, id_col, text_col))
