@@ -60,3 +60,18 @@ def test_long_and_empty(spark):
     assert secrets.scan(spark.createDataFrame([], DOC)).collect() == []
     plan = secrets.scan(spark.createDataFrame([(1, long, "a")], DOC))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_many_repositories_of_one_owner(spark):
+    example, live, most = "0123456789abcdef01234567", "9f86d081884c7d659a2feaa0", secrets.WIDE_REPOSITORIES
+    rows = [(i, example, "a") for i in range(most)] + [(100 + i, live, "a") for i in range(most - 1)] + [(100, live, "a")] * 3
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, DOC).repartition(3)).collect()}
+    assert {(got[i].spans, got[i].n_copied, got[i].n_live, got[i].spread) for i in range(most)} == {("hex:0:24,copied:0:24", 1, 0, f"0:24:1:{most}")}
+    assert {(got[i].spans, got[i].n_copied, got[i].n_live, got[i].spread) for i in range(100, 99 + most)} == {("hex:0:24,live:0:24", 0, 1, f"0:24:1:{most - 1}")}
+
+
+def test_a_repository_of_two_owners_counts_once(spark):
+    value = "9f86d081884c7d659a2feaa0"
+    df = spark.createDataFrame([(1, value, "a", "r"), (2, value, "b", "r"), (3, value, "b", None), (4, "none", "b", "r")], DOC + ", repo string")
+    got = {r.doc_id: r.spread for r in secrets.scan(df, repository_col="repo").collect()}
+    assert got == {1: "0:24:2:2", 2: "0:24:2:2", 3: "0:24:2:2", 4: ""}

@@ -3,9 +3,10 @@
 Candidates are found in every text by regular expressions. Split and extract_all by the same expression give what
 stands between matches and the matches themselves, so their lengths add up to positions in code points. Each
 candidate's value is then looked up over the whole corpus by its hash: in how many repositories and under how many
-owners it occurs. A value that several owners have is a widely copied example; one that a single owner has, and that
-looks random, is taken for live. Counts are aggregated by (hash, owner, repository) before any shuffle, so a value in
-a third of all rows is summed where it is found; the join back carries one row for each value and may be split.
+owners it occurs. A value that several owners or many repositories have is a widely copied example; one that a single owner
+has in few repositories, and that looks random, is taken for live. Owners and repositories are made distinct before any
+shuffle, so a value in a third of all rows is summed where it is found; the join back carries one row for each value and
+may be split.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 
 WIDE_OWNERS = 3  # owners from which a value counts as a copied example
+WIDE_REPOSITORIES = 10  # the same for distinct repositories, whoever owns them
 LIVE_LENGTH = 16  # characters that a live-looking value has at least
 
 
@@ -70,12 +72,12 @@ def _count(rank: int) -> Column:
     return F.size(F.filter("found", lambda s: s["rank"] == rank)).cast("long")
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str | None = None, owner_col: str = "source", wide_owners: int = WIDE_OWNERS) -> DataFrame:
-    """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_copied, n_live.
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str | None = None, owner_col: str = "source", wide_owners: int = WIDE_OWNERS, wide_repositories: int = WIDE_REPOSITORIES) -> DataFrame:
+    """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_copied, n_live, spread.
 
-    spans has the base spans and, for a value that wide_owners owners or more have, copied:start:end; for one that a
-    single owner has, of LIVE_LENGTH characters or more with digits and letters, live:start:end. The repository is
-    repository_col, or the document itself. Null text counts as empty; null owners and repositories count as one owner
+    spans has the base spans and, for a value that wide_owners owners or wide_repositories repositories or more have,
+    copied:start:end; for one that a single owner has in fewer repositories, of LIVE_LENGTH characters or more with digits
+    and letters, live:start:end. spread has start:end:owners:repositories of each place. The repository is repository_col, or the document itself. Null text counts as empty; null owners and repositories count as one owner
     and one repository. Repeated rows each get their row and count as one repository. An empty table gives an empty
     result. Columns beyond those named are ignored.
     """
@@ -86,18 +88,22 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reposito
 
     every = rows.filter(F.size("found") > 0).select("row", "owner", "repository", F.explode("found").alias("s"))
     every = every.withColumn("secret", F.sha2(F.col("s.value"), 256))
-    by_repository = every.groupBy("secret", "owner", "repository").agg(F.count("*").alias("n"))
-    by_owner = by_repository.groupBy("secret", "owner").agg(F.count("*").alias("repositories"))
+    # Distinct owners and distinct repositories of each value: a repository of two owners counts once.
+    each = every.select("secret", F.explode(F.array(F.struct(F.lit(True).alias("owns"), F.col("owner").alias("name")), F.struct(F.lit(False).alias("owns"), F.col("repository").alias("name")))).alias("by"))
+    distinct = each.select("secret", "by.owns", "by.name").distinct()
     # Kept apart, so that the join below has a plain exchange on both sides and a hot value can be split.
-    spread = cut(by_owner.groupBy(F.col("secret").alias("k")).agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories")))
+    spread = cut(distinct.groupBy(F.col("secret").alias("k")).agg(F.count_if("owns").alias("owners"), F.count_if(~F.col("owns")).alias("repositories")))
 
     value = F.col("s.value")
+    wide = (F.col("owners") >= wide_owners) | (F.col("repositories") >= wide_repositories)
     live = (F.col("owners") == 1) & (F.length(value) >= LIVE_LENGTH) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-    judged = F.when(F.col("owners") >= wide_owners, F.lit(KINDS.index("hex") + 1)).when(live, F.lit(KINDS.index("hex") + 2))
-    added = every.join(spread, F.col("secret") == F.col("k")).select("row", F.col("s.start").alias("start"), judged.alias("rank"), F.col("s.end").alias("end"), F.lit(None).cast("string").alias("value")).filter("rank is not null")
-    by_row = added.groupBy(F.col("row").alias("r")).agg(F.collect_set(F.struct("start", "rank", "end", "value")).alias("added"))
+    judged = F.when(wide, F.lit(KINDS.index("hex") + 1)).when(live, F.lit(KINDS.index("hex") + 2))
+    met = every.join(spread, F.col("secret") == F.col("k")).select("row", F.col("s.start").alias("start"), judged.alias("rank"), F.col("s.end").alias("end"), F.lit(None).cast("string").alias("value"), "owners", "repositories")
+    judgements = F.collect_set(F.when(F.col("rank").isNotNull(), F.struct("start", "rank", "end", "value")))  # nulls aren't collected
+    by_row = met.groupBy(F.col("row").alias("r")).agg(judgements.alias("added"), F.array_sort(F.collect_set(F.struct("start", "end", "owners", "repositories"))).alias("places"))
 
     out = rows.join(by_row, F.col("row") == F.col("r"), "left")
     spans = F.array_sort(F.concat("found", F.coalesce("added", F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>"))))
     judged_as = lambda rank: F.coalesce(F.size(F.filter("added", lambda s: s["rank"] == rank)), F.lit(0)).cast("long")
-    return out.select("doc_id", _count(0).alias("n_assign"), _count(1).alias("n_access"), _count(2).alias("n_hex"), F.sha2(_joined(F.col("found")), 256).alias("base_sha256"), _joined(spans).alias("spans"), judged_as(3).alias("n_copied"), judged_as(4).alias("n_live"))
+    spread_of = F.array_join(F.transform(F.coalesce("places", F.array().cast("array<struct<start:int,end:int,owners:bigint,repositories:bigint>>")), lambda p: F.concat_ws(":", p["start"].cast("string"), p["end"].cast("string"), p["owners"].cast("string"), p["repositories"].cast("string"))), ",")
+    return out.select("doc_id", _count(0).alias("n_assign"), _count(1).alias("n_access"), _count(2).alias("n_hex"), F.sha2(_joined(F.col("found")), 256).alias("base_sha256"), _joined(spans).alias("spans"), judged_as(3).alias("n_copied"), judged_as(4).alias("n_live"), spread_of.alias("spread"))
