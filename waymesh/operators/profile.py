@@ -3,7 +3,7 @@ fixed number of values."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -122,23 +122,50 @@ def colour_option(df: DataFrame, column: str, ramp: str = "viridis") -> dict | N
     return {"color_by": column, "missing": "self", "colors": {r.value: stops[r.grp] for r in rows}}
 
 
+STEP = 1 << 20  # candidates that the search for breaks holds at once, or those of one value if they are more
+
+
+def _best_starts(best: np.ndarray, spread: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Of each j: the least best[s - 1] + spread(s, j + 1) over 1 <= s <= j, and the first such s.
+
+    The first best s never falls as j grows, so the middle j of a range bounds those of both halves: n log n in all.
+    The ranges of one depth are searched together."""
+    n = len(best)
+    now, came = np.full(n, np.inf), np.zeros(n, int)
+    lo, hi, first, last = (np.array([x]) for x in (1, n - 1, 1, n - 1))
+    while len(lo):
+        mid = (lo + hi) // 2
+        count = np.minimum(last, mid) - first + 1
+        total = np.cumsum(count)
+        at = 0
+        while at < len(mid):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + STEP, "right")))
+            j, size = mid[at:to], count[at:to]
+            begin = np.cumsum(size) - size
+            starts = np.arange(size.sum()) + np.repeat(first[at:to] - begin, size)
+            cost = best[starts - 1] + spread(starts, np.repeat(j, size) + 1)
+            now[j] = least = np.minimum.reduceat(cost, begin)
+            hits = np.flatnonzero(cost == np.repeat(least, size))
+            came[j] = starts[hits[np.searchsorted(hits, begin)]]
+            at = to
+        left, right = lo < mid, mid < hi
+        best_mid = came[mid]
+        lo, hi, first, last = (np.concatenate(x) for x in ((lo[left], mid[right] + 1), (mid[left] - 1, hi[right]), (first[left], best_mid[right]), (best_mid[left], last[right])))
+    return now, came
+
+
 def natural_breaks(values: Sequence[float], weights: Sequence[int], k: int) -> list[float]:
-    """Fisher, 1958: the upper ends of k classes of least squared deviation, over distinct values with their counts."""
+    """Fisher, 1958: the upper ends of k classes of least squared deviation, over sorted distinct values with their counts."""
     v, w = np.asarray(values, float), np.asarray(weights, float)
     k, n = min(k, len(v)), len(v)
-    sw, sx, sxx = (np.concatenate(([0], np.cumsum(a))) for a in (w, w * v, w * v * v))
+    c = v - np.average(v, weights=w)  # so that squares don't drown the differences
+    sw, sx, sxx = (np.concatenate(([0], np.cumsum(a))) for a in (w, w * c, w * c * c))
     spread = lambda a, b: (sxx[b] - sxx[a]) - (sx[b] - sx[a]) ** 2 / (sw[b] - sw[a])
-    best = np.array([spread(0, j) for j in range(1, n + 1)])
+    best = spread(0, np.arange(1, n + 1))
     back = []
     for _ in range(1, k):
-        now, came = np.full(n, np.inf), np.zeros(n, int)
-        for j in range(1, n):
-            starts = np.arange(1, j + 1)
-            total = best[starts - 1] + spread(starts, j + 1)
-            came[j] = starts[total.argmin()]
-            now[j] = total.min()
+        best, came = _best_starts(best, spread)
         back.append(came)
-        best = now
     ends, j = [], n - 1
     for came in reversed(back):
         ends.append(v[j])
@@ -146,12 +173,10 @@ def natural_breaks(values: Sequence[float], weights: Sequence[int], k: int) -> l
     return [*map(float, [v[j], *ends[::-1]])]
 
 
-MOST_DISTINCT = 2000  # for natural breaks: more distinct values are first averaged in as many equal-count bins
-
-
 def class_breaks(df: DataFrame, column: str, scheme: str = "quantiles", k: int = 5) -> list[float]:
     """Upper edges of k classes: quantiles, equal_interval, fisher_jenks or natural_breaks, std_mean. Unknown schemes are
-    quantiles. Nulls don't count; no values give no edges, equal values one."""
+    quantiles. Nulls don't count; no values give no edges, equal values one. Natural breaks are exact: the distinct values
+    and their counts come to the driver, 16 bytes for each."""
     value = as_number(F.col(column), df.schema[column].dataType)
     rows = df.select(value.alias("v")).filter("v is not null")
     low, high = rows.agg(F.min("v"), F.max("v")).first()
@@ -166,13 +191,9 @@ def class_breaks(df: DataFrame, column: str, scheme: str = "quantiles", k: int =
         mean, std = rows.agg(F.mean("v"), F.stddev_pop("v")).first()
         return sorted({*(x for x in (mean + m * std for m in (-2, -1, 1, 2)) if x < high), high})
     if name in ("fisher_jenks", "natural_breaks"):
-        counts = rows.groupBy("v").count()
-        if counts.limit(MOST_DISTINCT + 1).count() > MOST_DISTINCT:
-            edges = F.percentile("v", [i / MOST_DISTINCT for i in range(1, MOST_DISTINCT + 1)])
-            points = rows.agg(edges.alias("e")).first()["e"]
-            values, weights = np.unique(points, return_counts=True)
-        else:
-            found = counts.orderBy("v").collect()
-            values, weights = [r["v"] for r in found], [r["count"] for r in found]
+        found = rows.groupBy("v").count().toArrow()
+        values, weights = found["v"].to_numpy(), found["count"].to_numpy()
+        order = np.argsort(values)
+        values, weights = values[order], weights[order]
         return natural_breaks(values, weights, k)
     return list(rows.agg(F.percentile("v", [(i + 1) / k for i in range(k)]).alias("q")).first()["q"])
