@@ -83,3 +83,25 @@ def test_odd_rows(spark):
     assert language_id.fit(unlabelled) is None
     assert {r.lang_pred for r in language_id.identify(unlabelled, None).collect()} == {"und"}
     assert language_id.identify(df.limit(0), net).collect() == []
+
+
+def test_rare_languages_are_learned(spark):
+    """300 languages, and one of 3 rows beside common ones."""
+    rows = [(i, f"text {'abcdefghij'[i % 10] * 30}", f"l{i % 300:03d}", "s") for i in range(3000)]
+    df = spark.createDataFrame(rows, DOC)
+    counts = {r["lang"]: r["n"] for r in language_id.training_sample(df, max_docs=600).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert len(counts) == 300 and max(counts.values()) <= 2
+    few = [(i, "abc def", "big", "s") for i in range(4000)] + [(10_000 + i, "xyz", "rare", "s") for i in range(3)]
+    learned = sum(zlib.crc32(str(10_000 + i).encode()) % 4 != 2 for i in range(3))
+    counts = {r["lang"]: r["n"] for r in language_id.training_sample(spark.createDataFrame(few, DOC), max_docs=100).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert counts == {"big": 50, "rare": learned}
+    only = language_id.training_sample(spark.createDataFrame(few, DOC), max_docs=100, max_languages=1)
+    assert {r["lang"] for r in only.collect()} == {"big"}
+
+
+def test_other_column_names(spark):
+    rows = corpus(60)
+    df = spark.createDataFrame([(*r, 1) for r in rows], "id long, body string, lang string, source string, text int")
+    net = language_id.fit(df, "id", "body")
+    assert language_id.keep_identified(df, net, text_col="body").count() == 60
+    assert language_id.identify(df, net, "id", "body").filter("lang_pred <> 'und'").count() == 60

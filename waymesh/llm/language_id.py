@@ -2,8 +2,9 @@
 
 Bytes are embedded, filters of width 2, 3 and 4 run over each window of WINDOW bytes, every filter keeps its largest
 value, and a softmax layer over these gives the language. A text's answer is the mean over its windows, which cover
-all of it. The network is trained on the driver from a bounded sample of labelled rows (MAX_TRAIN_DOCS documents,
-TRAIN_WINDOWS windows of each, so at most 3 MB whatever the table's size); prediction is one pass with no shuffle.
+all of it. The network is trained on the driver from a bounded sample of labelled rows: MAX_TRAIN_DOCS documents, or one
+for each language if there are more languages, with TRAIN_WINDOWS windows of each. That is 3 MB, or 1 KB a language,
+whatever the table's size. Prediction is one pass with no shuffle.
 
 For prediction the first layer is folded into two tables over byte pairs, so a window costs two lookups a byte.
 """
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -27,7 +29,6 @@ FILTERS = 16
 DIM = 8
 MAX_TRAIN_DOCS = 3000
 TRAIN_WINDOWS = 4
-MAX_LANGUAGES = 200
 EPOCHS = 6
 UNKNOWN = "und"
 MIN_SCORE = 0.4  # keep_identified: under this, no language stands out
@@ -136,40 +137,52 @@ def cut_windows(data: bytes) -> np.ndarray:
 
 def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        windows, langs = [], []
-        for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-            all_windows = cut_windows((text or "").encode("utf-8", "surrogatepass"))
-            for i in np.unique(np.linspace(0, len(all_windows) - 1, TRAIN_WINDOWS).astype(int)):
-                windows.append(all_windows[i].tobytes())
-                langs.append(lang)
-        yield pa.record_batch([pa.array(windows, pa.binary()), pa.array(langs, pa.string())], ["window", "lang"])
+        windows = []
+        for text in batch.column("text").to_pylist():
+            every = cut_windows(text.encode("utf-8", "surrogatepass"))
+            windows.append([every[i].tobytes() for i in np.unique(np.linspace(0, len(every) - 1, TRAIN_WINDOWS).astype(int))])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("lang"), batch.column("at"), pa.array(windows, pa.list_(pa.binary()))], ["doc_id", "lang", "at", "windows"])
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_TRAIN_DOCS) -> Network | None:
-    """The network, from labelled rows outside the held-out quarter; None if there are none.
+def training_sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_TRAIN_DOCS, max_languages: int | None = None) -> DataFrame | None:
+    """(lang, windows): of each language the same share of max_docs, one row at least, or all rows where it has fewer;
+    those that come first by a hash of the id. None if no row has a label.
 
-    The sample: about max_docs rows and never more, the same share for each language as far as it has rows, chosen by
-    a hash of the id. Rows with null id, label or text, or a text without letters, aren't learned from. At most
-    MAX_LANGUAGES languages are learned, the most frequent ones.
+    A language's rows are thinned to about twice its share where they are read, so no more than that meets by language.
+    max_languages: only so many of the most frequent labels; by default all are learned.
     """
     rows = df.select(df[id_col].cast("string").alias("doc_id"), column(df, text_col, "string").alias("text"), column(df, lang_col, "string").alias("lang"))
     rows = rows.filter("doc_id is not null and lang is not null").filter(~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    ranked = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    counts = (ranked if max_languages is None else ranked.limit(max_languages)).collect()  # the vocabulary of labels
     if not counts:
         return None
-    share = max_docs // len(counts)
-    most = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, share / r["count"]))) for r in counts], F.lit(0.0))
-    rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    sample = rows.filter(rank < most * (1 << 30)).filter(F.col("text").rlike(r"\p{L}")).orderBy(rank, "doc_id").limit(max_docs)
-    got = sample.mapInArrow(_training_windows, "window binary, lang string").collect()
+    share = max(1, max_docs // len(counts))
+    part = df.sparkSession.createDataFrame([(r["lang"], min(1.0, (2 * share + 30) / r["count"])) for r in counts], "of string, part double")
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    thin = rows.join(F.broadcast(part), F.col("lang") == F.col("of")).withColumn("at", at).filter(F.col("at") < F.col("part") * (1 << 30))
+    lettered = thin.filter(F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang", "at")
+    windows = lettered.mapInArrow(_training_windows, "doc_id string, lang string, at long, windows array<binary>")
+    first = F.row_number().over(W.partitionBy("lang").orderBy("at", "doc_id", F.xxhash64("windows")))
+    return windows.withColumn("n", first).filter(F.col("n") <= share).select("lang", "windows")
+
+
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_TRAIN_DOCS, max_languages: int | None = None) -> Network | None:
+    """The network, from the training_sample of labelled rows outside the held-out quarter; None if there are none.
+
+    Rows with null id, label or text, or a text without letters, aren't learned from.
+    """
+    sample = training_sample(df, id_col, text_col, lang_col, max_docs, max_languages)
+    got = [(r["lang"], bytes(w)) for r in sample.collect() for w in r["windows"]] if sample is not None else []
     if not got:
         return None
-    windows = np.frombuffer(b"".join(bytes(r["window"]) for r in got), np.uint8).reshape(-1, WINDOW)
-    return train(windows, [r["lang"] for r in got])
+    got.sort()  # the same network however the rows came
+    windows = np.frombuffer(b"".join(w for _, w in got), np.uint8).reshape(-1, WINDOW)
+    return train(windows, [lang for lang, _ in got])
 
 
 def _predictor(network: Network, id_arrow: pa.DataType):
@@ -221,20 +234,21 @@ def identify(df: DataFrame, network: Network | None, id_col: str = "doc_id", tex
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(df: DataFrame, network: Network | None, min_score: float = MIN_SCORE) -> DataFrame:
+def keep_identified(df: DataFrame, network: Network | None, min_score: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
     """df without the rows whose language can't be told: und, or a score under min_score. One pass, no shuffle.
 
-    With no network (nothing to learn from) only rows without letters go.
+    With no network (nothing to learn from) only rows without letters go. Null texts go; repeated rows are judged alike;
+    an empty table gives an empty result; all columns stay as they are.
     """
     names = df.columns
-    marked = df.withColumn("__letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    marked = df.withColumn("__letters", F.coalesce(df[text_col].rlike(r"\p{L}"), F.lit(False)))
     if network is None:
         return marked.filter("__letters").drop("__letters")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = _predictor(network, pa.string())
         for batch in batches:
-            one = pa.record_batch([pa.nulls(batch.num_rows, pa.string()), batch.column("text"), batch.column("__letters")], ["doc_id", "text", "letters"])
+            one = pa.record_batch([pa.nulls(batch.num_rows, pa.string()), batch.column(text_col), batch.column("__letters")], ["doc_id", "text", "letters"])
             found = next(predict(iter([one])))
             lang, score = found.column("lang_pred").to_pylist(), found.column("score").to_pylist()
             keep = pa.array([x != UNKNOWN and s >= min_score for x, s in zip(lang, score)], pa.bool_())
