@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from waymesh.llm import packing
 
 DOC = "doc_id long, text string"
@@ -79,3 +81,11 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "ab"), (1, "ab")], DOC)
     assert [r.length for r in packing.pack_documents(df).collect()] == [3, 3]
     assert packing.pack_documents(spark.createDataFrame([], DOC)).collect() == []
+
+
+def test_many_equal_rows_are_spread_over_groups(spark):
+    df = spark.range(60_000).selectExpr("cast(null as long) as doc_id", "cast(null as string) as text")
+    got = packing.pack_documents(df)
+    sizes = [r["n"] for r in got.selectExpr("shiftright(bin_id, 32) as g").groupBy("g").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 60_000 and len(sizes) == 8 and max(sizes) < 3 * packing.GROUP
+    assert got.groupBy("bin_id").agg(F.sum("length").alias("n"), F.first("bin_used").alias("u")).filter("n <> u").isEmpty()

@@ -7,7 +7,8 @@ length that holds its contents. This is done for every limit on the longest leng
 of the group is kept, so the lengths are chosen together.
 
 Pieces are dealt by a hash into groups of about GROUP, so the work spreads at any size and no task grows with the
-table; only lengths are shuffled, never texts.
+table; only lengths are shuffled, never texts. Equal pieces (repeated rows) are counted first and dealt by DEAL copies at
+a time, so they spread like any others.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from waymesh.llm.common import documents, id_type
+from waymesh.llm.common import cut, documents, id_type
 
 CAPACITIES = (2048, 4096, 8192, 16384, 32768)
 GROUP = 8192
+DEAL = 256  # copies of one piece that go to a group together
 FIXED_COST = 256.0
 ATTENTION = 65536.0
 
@@ -90,6 +92,7 @@ def pack(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES) -> tupl
 
 def _packer(capacities: Sequence[int], id_arrow: pa.DataType):
     def run(table: pa.Table) -> pa.Table:
+        table = table.take(np.repeat(np.arange(table.num_rows), table.column("copies").to_numpy()))
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
         group = int(table.column("grp")[0].as_py())
         bins, offsets, sizes = pack(table.column("length").to_pylist(), capacities)
@@ -100,7 +103,7 @@ def _packer(capacities: Sequence[int], id_arrow: pa.DataType):
                 "doc_id": table.column("doc_id").cast(id_arrow),
                 "start": table.column("start"),
                 "length": table.column("length"),
-                "bin_id": pa.array(group * (1 << 20) + bins),
+                "bin_id": pa.array((group << 32) + bins),
                 "bin_offset": pa.array(offsets, pa.int64()),
                 "bin_capacity": pa.array(np.array(sizes, np.int64)[bins]),
                 "bin_used": pa.array(used[bins]),
@@ -124,7 +127,9 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sized = docs.select("doc_id", (F.octet_length("text") + 1 if length is None else length).cast("long").alias("total"))
     pieces = sized.select("doc_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("total") - 1, F.lit(0)), F.lit(largest).cast("long"))).alias("start"))
     pieces = pieces.select("doc_id", "start", F.least(F.col("total") - F.col("start"), F.lit(largest)).cast("long").alias("length")).filter("length > 0")
-    groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(groups)))
+    pieces = cut(pieces.groupBy("doc_id", "start", "length").agg(F.count("*").alias("n")))
+    groups = max(1, -(-(pieces.agg(F.sum("n")).first()[0] or 0) // group))
+    dealt = pieces.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(DEAL).cast("long"))))
+    dealt = dealt.select("doc_id", "start", "length", F.least(F.col("n") - F.col("at"), F.lit(DEAL)).alias("copies"), F.pmod(F.xxhash64("doc_id", "start", "length", "at"), F.lit(groups)).alias("grp"))
     schema = f"doc_id {kind.simpleString()}, start long, length long, bin_id long, bin_offset long, bin_capacity long, bin_used long"
     return dealt.groupBy("grp").applyInArrow(_packer(tuple(capacities), to_arrow_type(kind)), schema)
