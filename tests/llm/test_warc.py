@@ -5,6 +5,8 @@ import struct
 import pytest
 import zstandard
 
+from pyspark.sql import functions as F
+
 from waymesh.llm import warc
 from waymesh.llm.common import fresh_path
 
@@ -66,3 +68,15 @@ def test_round_trip(spark):
         want.append(tuple(map(str, (i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", first if again else None))))
     assert got == sorted(want)
     assert warc.round_trip(spark, spark.createDataFrame([], PAGE)).collect() == []
+
+
+def test_many_archives_are_read_by_many_tasks_and_orphans_go(spark, monkeypatch):
+    monkeypatch.setattr(warc, "READ_BYTES", 2000)
+    folder = fresh_path(spark, "warc")
+    df = spark.createDataFrame([(*r, "x", "y") for r in pages()], PAGE + ", refers_to string, name string")
+    manifest = warc.write_archives(df, folder, archive_bytes=20_000)
+    assert warc.read_archives(manifest, folder).rdd.getNumPartitions() > 3
+    names = sorted(r.name for r in manifest.collect())
+    some = manifest.filter(F.col("name") > names[1])
+    assert warc.remove_orphans(some, folder) == 2 and warc.remove_orphans(some, folder) == 0
+    assert warc.read_archives(some, folder).count() == sum(r.n_records for r in some.collect())

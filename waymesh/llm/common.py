@@ -11,14 +11,23 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode;
+    on a cluster it is an error, as executors would not see each other's files."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    if conf is None and sc.getCheckpointDir() is None and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="waymesh-checkpoint-"))
     return (conf or sc.getCheckpointDir()).rstrip("/")
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate files, wherever Spark can reach it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -23,10 +23,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymesh.llm.common import column, cut, fresh_path
+from waymesh.llm.common import column, cut, fresh_path, remove_folder
 
 SKIPPABLE = 0x184D2A5D
 ARCHIVE_BYTES = 16 << 20
+READ_BYTES = 4 << 20  # of archives that a task reads back, about; compressed, so several times as much when unpacked
 REVISIT_BYTES = 100
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 1 << 20
@@ -197,17 +198,41 @@ def _reader(folder: str, with_payload: bool):
 def read_archives(manifest: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """page_id, record_type, payload_digest, refers_to (page ids as text), payload_bytes, payload (null for revisits).
 
-    A record whose payload doesn't match its digest, or a cut archive, is an error."""
+    A record whose payload doesn't match its digest, or a cut archive, is an error. The bytes of the archives decide how
+    many tasks read them; names alone are so small that they would all be dealt to one."""
     schema = "page_id string, record_type string, payload_digest string, refers_to string, payload_bytes long, payload binary"
-    return manifest.select("name").repartition("name").mapInArrow(_reader(folder, with_payload), schema)
+    tasks = -(-(manifest.agg(F.sum("n_bytes")).first()[0] or 0) // READ_BYTES)
+    return manifest.select("name").repartition(max(1, tasks), "name").mapInArrow(_reader(folder, with_payload), schema)
+
+
+def _remover(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _file(folder)
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                store.delete_file(posixpath.join(base, name))
+            yield batch
+
+    return run
+
+
+def remove_orphans(manifest: DataFrame, folder: str) -> int:
+    """Deletes the archives in folder that the manifest doesn't list: those of attempts that failed or were given up. How
+    many they were. No writer may be at work there."""
+    spark = manifest.sparkSession
+    there = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    lost = there.join(manifest.select(F.col("name").alias("known")), F.col("name") == F.col("known"), "left_anti")
+    return lost.mapInArrow(_remover(folder), "name string").count()
 
 
 def round_trip(spark: SparkSession, df: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """Writes df to archives in the shared folder and reads them back: page_id, payload_bytes, payload_digest,
-    record_type, refers_to. A revisit's payload_bytes come from the record that it refers to."""
+    """Writes df to archives in the shared folder, reads them back and removes them: page_id, payload_bytes,
+    payload_digest, record_type, refers_to. A revisit's payload_bytes come from the record that it refers to."""
     folder = fresh_path(spark, "warc")
     kind = df.schema[id_col].dataType
-    rows = cut(read_archives(write_archives(df, folder, id_col), folder, with_payload=False).drop("payload"))
+    manifest = write_archives(df, folder, id_col)
+    rows = cut(read_archives(manifest, folder, with_payload=False).drop("payload"))
+    remove_folder(spark, folder)
     stored = rows.filter("record_type = 'response' and page_id is not null").select(F.col("page_id").alias("r"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("n")).distinct()
     both = rows.join(stored, (F.col("refers_to") == F.col("r")) & (F.col("payload_digest") == F.col("d")), "left")
     return both.select(F.col("page_id").cast(kind).alias("page_id"), F.coalesce("payload_bytes", "n").alias("payload_bytes"), "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
