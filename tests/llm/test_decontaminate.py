@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+import time
 
+import pyarrow as pa
 import pytest
 
 from waymesh.llm import decontaminate
@@ -91,3 +93,26 @@ def test_decontaminated_matches_brute_force_in_any_number_of_blocks(spark, monke
     assert cut.schema == df.schema
     assert key((r.doc_id, r.text) for r in cut.collect()) == key((r.doc_id, r.text) for r in want)
     assert {r.doc_id: r.text for r in want}[200].split() == ["w"] * 110 + ["v"] * 3
+
+
+def test_a_long_item_is_hashed_in_parts(spark, monkeypatch):
+    rng = random.Random(3)
+    body = " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 50)) for _ in range(300))
+    items, docs = [(1, body), (2, "p q")], [(i, " ".join(body.split()[i * 7 : i * 7 + 15])) for i in range(40)]
+    want = [tuple(map(str, (i, *brute(t, items)))) for i, t in docs]
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 20)
+    parts = pa.concat_tables([pa.Table.from_batches([b]) for b in decontaminate._part_maker(13)(iter([pa.record_batch([pa.array([1, 2]), pa.array([body, "p q"])], ["item_id", "text"])]))])
+    assert parts.num_rows > 10
+    found = decontaminate.scan([t for _, t in docs], decontaminate.Windows(parts))
+    got = [tuple(map(str, (i, n, sum(b - a for a, b in decontaminate.merge_spans(s)), len(x), decontaminate.items_digest(x), decontaminate.contaminated(sum(b - a for a, b in decontaminate.merge_spans(s)), n)))) for (i, _), (n, s, x) in zip(docs, found)]
+    assert got == want
+
+
+def test_two_million_words_are_hashed_in_a_minute():
+    rng = random.Random(4)
+    items = [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 9999)) for _ in range(2000)) for _ in range(1000)]
+    began = time.perf_counter()
+    batch = pa.record_batch([pa.array([str(i) for i in range(1000)]), pa.array(items)], ["item_id", "text"])
+    parts = pa.Table.from_batches(list(decontaminate._part_maker(13)(iter([batch]))))
+    windows = decontaminate.Windows(parts)
+    assert len(windows.by_size[13][0]) == 1000 * 1988 and time.perf_counter() - began < 60

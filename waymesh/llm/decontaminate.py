@@ -1,10 +1,11 @@
 """Benchmark decontamination by a broadcast hash set of test n-grams.
 
-The benchmark is a reference table. It is read in blocks of at most BLOCK_WORDS words; each block's windows go to
-the executors as a sorted array of 64-bit hashes with the windows themselves, a few MB whatever the benchmark's
-size. Documents are scanned in place, without a shuffle: the hashes of all token windows of a batch come from
-prefix sums, those found in the set are verified word by word. One block needs one pass; a larger benchmark takes a
-pass for each block, and the hits of a document are then merged.
+Tasks cut the benchmark into parts of at most PART_WORDS words and hash all windows of a part at once. The driver then
+takes the parts of one block at a time, of about BLOCK_WORDS words, and makes of them sorted arrays: 28 bytes for each
+window and the words themselves, so about 40 bytes a word and 40 MB a block, whatever the benchmark's size. They go
+to the executors as a broadcast variable. Documents are scanned in place, without a shuffle: the hashes of all token
+windows of a batch come from prefix sums, those found in the set are verified word by word. One block needs one pass; a
+larger benchmark takes a pass for each block, one after the other, and the hits of a document are then merged.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -22,7 +24,8 @@ from waymesh.llm.bytehash import Hasher
 from waymesh.llm.common import column, cut, documents, id_type
 
 WINDOW = 13
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000  # of the benchmark in one broadcast
+PART_WORDS = 50_000
 BATCH_BYTES = 1 << 20
 
 #: Lower case for A-Z; every byte of [\x00-\x2F\x3A-\x60\x7B-\x7F] that is then left becomes a space.
@@ -39,57 +42,100 @@ def tokens(text: str) -> list[bytes]:
     return [w for w in words(text) if w]
 
 
-class Windows:
-    """The windows of one block of the benchmark. items: (item_id, text) rows."""
+def _hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """texts, translated: of all words the start and end in the buffer, the number of the first word of each text and of
+    the end, prefix sums over the words' hashes, the buffer."""
+    buffer = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    is_word = np.concatenate(([False], buffer != 32, [False]))
+    edges = np.flatnonzero(is_word[1:] != is_word[:-1])
+    starts, ends = edges[0::2], edges[1::2]
+    limits = np.cumsum([len(p) + 1 for p in texts])
+    first = np.searchsorted(starts, np.concatenate(([0], limits)))
+    return starts, ends, first, _WORDS.prefix(_BYTES.spans(_BYTES.prefix(buffer), starts, ends)), buffer.tobytes()
+
+
+def _part_maker(window: int):
+    """Of each item its parts: words joined by single spaces, the hashes of its windows and their length. Parts of one item
+    overlap, so that each of its windows is in one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+                found = tokens(text)
+                size = min(window, len(found))
+                rows = []
+                for at in range(0, len(found) - size + 1 if size else 0, PART_WORDS):
+                    part = b" ".join(found[at : at + PART_WORDS + size - 1])
+                    hashes = _WORDS.grams(_hash_words([part])[3], size)
+                    rows.append((str(item), part, size, hashes.view(np.int64)))
+                if rows:
+                    ids, parts, sizes, hashes = zip(*rows)
+                    yield pa.record_batch(
+                        [pa.array(ids), pa.array(parts, pa.binary()), pa.array(sizes, pa.int32()), pa.array([len(h) for h in hashes], pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["item", "words", "size", "n", "hashes"]
+                    )
 
-    def __init__(self, items: list[tuple], window: int = WINDOW):
-        self.owners: dict[tuple[bytes, ...], list[str]] = {}
-        for item, text in items:
-            found = tokens(text)
-            size = min(window, len(found))
-            for i in range(len(found) - size + 1 if size else 0):
-                ids = self.owners.setdefault(tuple(found[i : i + size]), [])
-                if not ids or ids[-1] != str(item):
-                    ids.append(str(item))
-        self.by_size: dict[int, np.ndarray] = {}
-        for size in {len(w) for w in self.owners}:
-            own = [w for w in self.owners if len(w) == size]
-            self.by_size[size] = np.unique(np.array([_window_hash(w) for w in own], np.uint64))
+    return run
 
 
-def _window_hash(window: tuple[bytes, ...]) -> int:
-    each = np.array([_BYTES.spans(p := _BYTES.prefix(np.frombuffer(w, np.uint8)), np.array([0]), np.array([len(w)]))[0] for w in window], np.uint64)
-    return int(_WORDS.grams(_WORDS.prefix(each), len(window))[0])
+class Windows:
+    """The windows of one block of the benchmark: arrays only. parts: item, words, size, hashes."""
+
+    def __init__(self, parts: pa.Table):
+        self.items: list[str] = parts.column("item").to_pylist()
+        raw = parts.column("words").to_pylist()
+        self.buffer = b" ".join(raw)
+        before = np.concatenate(([0], np.cumsum([len(w) + 1 for w in raw]))).astype(np.int64)
+        sizes, hashes = parts.column("size").to_numpy(), parts.column("hashes").combine_chunks()
+        self.by_size: dict[int, tuple[np.ndarray, ...]] = {}  # of each size: hashes, rising, and the start, end and item of each window
+        for size in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == size)
+            keys, starts, ends, of = [], [], [], []
+            for i in own.tolist():
+                space = np.flatnonzero(np.frombuffer(raw[i], np.uint8) == 32)
+                begin, end = np.concatenate(([0], space + 1)), np.concatenate((space, [len(raw[i])]))
+                n = len(begin) - size + 1
+                keys.append(hashes[i].values.to_numpy().view(np.uint64))
+                starts.append(begin[:n] + before[i])
+                ends.append(end[size - 1 :] + before[i])
+                of.append(np.full(n, i, np.int32))
+            key = np.concatenate(keys)
+            order = np.argsort(key, kind="stable")
+            self.by_size[size] = tuple(x[order] for x in (key, np.concatenate(starts), np.concatenate(ends), np.concatenate(of)))
+
+    def owners(self, size: int, at: int, window: bytes) -> set[str]:
+        """The items with this window; at: where its hash stands first."""
+        keys, starts, ends, of = self.by_size[size]
+        found, key = set(), keys[at]
+        while at < len(keys) and keys[at] == key:
+            if self.buffer[starts[at] : ends[at]] == window:
+                found.add(self.items[of[at]])
+            at += 1
+        return found
 
 
 def scan(texts: list[str], windows: Windows) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
     """Of each text: its number of words, the word ranges (start, end) that windows cover, the items they are from."""
-    parts = [t.encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
-    buffer = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
-    is_word = np.concatenate(([False], buffer != 32, [False]))
-    edges = np.flatnonzero(is_word[1:] != is_word[:-1])
-    starts, ends = edges[0::2], edges[1::2]
-    limits = np.cumsum([len(p) + 1 for p in parts])
-    first = np.searchsorted(starts, np.concatenate(([0], limits)))
-    hashes = _BYTES.spans(_BYTES.prefix(buffer), starts, ends)
-    prefix = _WORDS.prefix(hashes)
-    raw = buffer.tobytes()
+    starts, ends, first, prefix, raw = _hash_words([t.encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts])
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     items: list[set[str]] = [set() for _ in texts]
-    for size, known in windows.by_size.items():
-        if len(hashes) < size:
+    known: dict[tuple[int, bytes], set[str]] = {}  # a window that comes again in this batch is looked up once
+    for size, (keys, *_) in windows.by_size.items():
+        if len(starts) < size:
             continue
         grams = _WORDS.grams(prefix, size)
-        at = np.searchsorted(known, grams)
-        hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == grams)
+        at = np.searchsorted(keys, grams)
+        hit = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == grams)
         for i in hit.tolist():
             doc = int(np.searchsorted(first, i, "right")) - 1
             if i + size > first[doc + 1]:
                 continue  # it runs over the end of the text
-            window = tuple(raw[a:b] for a, b in zip(starts[i : i + size].tolist(), ends[i : i + size].tolist()))
-            if (ids := windows.owners.get(window)) is not None:
+            window = b" ".join(raw[a:b] for a, b in zip(starts[i : i + size].tolist(), ends[i : i + size].tolist()))
+            ids = known.get((size, window))
+            if ids is None:
+                ids = known[size, window] = windows.owners(size, int(at[i]), window)
+            if ids:
                 spans[doc].append((i - int(first[doc]), i - int(first[doc]) + size))
-                items[doc].update(ids)
+                items[doc] |= ids
     return [(int(first[k + 1] - first[k]), spans[k], items[k]) for k in range(len(texts))]
 
 
@@ -118,13 +164,14 @@ def _batches(texts: list, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _scanner(windows: Windows, id_arrow: pa.DataType):
+def _scanner(windows: Broadcast, id_arrow: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = windows.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
             found = []
             for a, b in _batches(texts):
-                found += scan(texts[a:b], windows)
+                found += scan(texts[a:b], block)
             merged = [merge_spans(s) for _, s, _ in found]
             yield pa.record_batch(
                 [
@@ -140,13 +187,42 @@ def _scanner(windows: Windows, id_arrow: pa.DataType):
     return run
 
 
-def _item_blocks(benchmark: DataFrame) -> list[list[tuple]]:
-    """The benchmark in blocks whose size doesn't depend on it."""
-    items = benchmark.select(column(benchmark, "item_id", "string").alias("item_id"), F.coalesce(column(benchmark, "text", "string"), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.length("text") / 2 + 1).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-int(total) // BLOCK_WORDS))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return [[tuple(r) for r in items.filter(part == b).orderBy("item_id").collect()] for b in range(blocks)]
+class _Blocks:
+    """The benchmark in blocks of about BLOCK_WORDS words; only one of them is on the driver at a time."""
+
+    def __init__(self, benchmark: DataFrame, window: int):
+        items = benchmark.select(column(benchmark, "item_id", "string").alias("item_id"), F.coalesce(column(benchmark, "text", "string"), F.lit("")).alias("text"))
+        self.parts = cut(items.mapInArrow(_part_maker(window), "item string, words binary, size int, n long, hashes array<long>"))
+        self.n = max(1, -(-(self.parts.agg(F.sum("n")).first()[0] or 0) // BLOCK_WORDS))
+
+    def __len__(self) -> int:
+        return self.n
+
+    def load(self, b: int) -> Broadcast:
+        block = self.parts.filter(F.pmod(F.xxhash64("item", "words"), F.lit(self.n)) == b)
+        return self.parts.sparkSession.sparkContext.broadcast(Windows(block.select("item", "words", "size", "hashes").toArrow()))
+
+
+def _item_blocks(benchmark: DataFrame, window: int = WINDOW) -> _Blocks:
+    return _Blocks(benchmark, window)
+
+
+_FOUND = "row long, n_words long, spans array<struct<a:long,b:long>>, items array<string>"
+
+
+def _hits_of_all_blocks(rows: DataFrame, blocks: _Blocks) -> DataFrame:
+    """(doc_id, row, n_words, spans, items) of the documents that are hit, of all blocks together. rows: doc_id, row, text;
+    rows that agree on doc_id and row have one text. Block by block, each result written before the next is read."""
+    kind = id_type(rows)
+    every = None
+    for b in range(len(blocks)):
+        block = blocks.load(b)
+        # Copies of a text have the same hits in a block, so one of them is enough.
+        hit = cut(rows.mapInArrow(_scanner(block, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, {_FOUND}").filter(F.size("spans") > 0).distinct())
+        block.destroy()
+        every = hit if every is None else every.unionByName(hit)
+    raw = every.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("raw"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return cut(raw.mapInArrow(_union_spans(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, {_FOUND}"))
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -159,22 +235,16 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     """
     docs = documents(df, id_col, text_col)
     kind = id_type(df, id_col)
-    schema = f"doc_id {kind.simpleString()}, row long, n_words long, spans array<struct<a:long,b:long>>, items array<string>"
-    blocks = _item_blocks(benchmark)
+    blocks = _item_blocks(benchmark, window)
     if len(blocks) == 1:
         rows = docs.withColumn("row", F.lit(0).cast("long"))
-        found = rows.mapInArrow(_scanner(Windows(blocks[0], window), to_arrow_type(kind)), schema)
+        found = rows.mapInArrow(_scanner(blocks.load(0), to_arrow_type(kind)), f"doc_id {kind.simpleString()}, {_FOUND}")
     else:
-        from waymesh.llm.common import with_text_hash
-
-        rows = with_text_hash(docs).withColumnRenamed("th", "row")
-        parts = [rows.mapInArrow(_scanner(Windows(b, window), to_arrow_type(kind)), schema) for b in blocks]
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.unionByName(part)
-        merged = every.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("raw"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        again = rows.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"))  # one row per repeated row
-        found = merged.join(again, merged.doc_id.eqNullSafe(again["__id"]) & (merged.row == again["__row"])).mapInArrow(_union_spans(to_arrow_type(kind)), schema)
+        rows = docs.withColumn("row", F.xxhash64("text"))
+        hits = _hits_of_all_blocks(rows, blocks).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "spans", "items")
+        counted = rows.mapInArrow(_counter(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, row long, n_words long")
+        both = counted.join(hits, counted.doc_id.eqNullSafe(hits["__id"]) & (counted.row == hits["__row"]), "left")
+        found = both.withColumns({"spans": F.coalesce("spans", F.array().cast("array<struct<a:long,b:long>>")), "items": F.coalesce("items", F.array().cast("array<string>"))})
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.b - s.a)
     out = found.withColumn("n_hit", n_hit)
     return out.select(
@@ -188,6 +258,16 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     )
 
 
+def _counter(id_arrow: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            counts = [n for a, b in _batches(texts) for n in np.diff(_hash_words([t.encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts[a:b]])[2]).tolist()]
+            yield pa.record_batch([batch.column("doc_id").cast(id_arrow), batch.column("row"), pa.array(counts, pa.int64())], ["doc_id", "row", "n_words"])
+
+    return run
+
+
 def _union_spans(id_arrow: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,69 +294,56 @@ def clean_text(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join(out).decode("utf-8", "surrogatepass")
 
 
-def decontaminated(df: DataFrame, benchmark: DataFrame, mode: str = "documents", window: int = WINDOW) -> DataFrame:
+def decontaminated(df: DataFrame, benchmark: DataFrame, mode: str = "documents", window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """df without its contaminated documents (mode "documents"), or with the hit spans cut out of their text ("spans").
 
     Works in one pass over df, with no shuffle, when the benchmark is one block. With several, the hits of all blocks are
-    united by text before a document is judged, and spans are cut out of the text as it was given. Clean documents are
-    left as they are.
+    united by text before a document is judged, and spans are cut out of the text as it was given. Clean documents and null
+    texts are left as they are, with all their columns; repeated rows are judged alike; an empty table gives an empty result.
     """
-    blocks = _item_blocks(benchmark)
+    blocks = _item_blocks(benchmark, window)
     if len(blocks) == 1:
-        return df.mapInArrow(_cleaner(Windows(blocks[0], window), mode), df.schema)
-    key = F.sha2(F.coalesce(column(df, "text", "string"), F.lit("")), 256)
-    bad = _contaminated_texts(df.select(key.alias("doc_id"), F.lit(0).cast("long").alias("row"), F.coalesce(column(df, "text", "string"), F.lit("")).alias("text")), blocks, window)
+        return df.mapInArrow(_cleaner(blocks.load(0), mode, text_col), df.schema)
+    text = F.coalesce(df[text_col].cast("string"), F.lit(""))
+    key = F.sha2(text, 256)
+    hits = _hits_of_all_blocks(df.select(key.alias("doc_id"), F.lit(0).cast("long").alias("row"), text.alias("text")), blocks)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.b - s.a)
+    bad = hits.filter(20 * n_hit >= F.col("n_words")).select(F.col("doc_id").alias("__bad"), F.col("spans").alias("__spans"))
     keyed = df.withColumn("__key", key)
     if mode == "documents":
         return keyed.join(bad, keyed["__key"] == bad["__bad"], "left_anti").select(*[keyed[c] for c in df.columns])
-    return keyed.join(bad, keyed["__key"] == bad["__bad"], "left").select(*[keyed[c] for c in df.columns], "__spans").mapInArrow(_cutter(df.columns), df.schema)
+    return keyed.join(bad, keyed["__key"] == bad["__bad"], "left").select(*[keyed[c] for c in df.columns], "__spans").mapInArrow(_cutter(df.columns, text_col), df.schema)
 
 
-def _contaminated_texts(rows: DataFrame, blocks: list[list[tuple]], window: int) -> DataFrame:
-    """(__bad, __spans): the contaminated texts by their hash, with the spans of all blocks. rows: doc_id (the hash), row, text.
-
-    Only texts that are hit are shuffled. It is kept apart, so that the join that uses it can split a hot text."""
-    schema = "doc_id string, row long, n_words long, spans array<struct<a:long,b:long>>, items array<string>"
-    every = None
-    for block in blocks:
-        hit = rows.mapInArrow(_scanner(Windows(block, window), pa.string()), schema).filter(F.size("spans") > 0)
-        every = hit if every is None else every.unionByName(hit)
-    # Copies of a text have the same spans in a block, so a set holds no more than one array for each block.
-    raw = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("raw"))
-    raw = raw.select("doc_id", F.lit(0).cast("long").alias("row"), "n_words", "raw", F.array().cast("array<string>").alias("items"))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.b - s.a)
-    found = raw.mapInArrow(_union_spans(pa.string()), schema).filter(20 * n_hit >= F.col("n_words"))
-    return cut(found.select(F.col("doc_id").alias("__bad"), F.col("spans").alias("__spans")))
+def _with_text(batch: pa.RecordBatch, text_col: str, texts: list) -> pa.RecordBatch:
+    return batch.set_column(batch.schema.get_field_index(text_col), text_col, pa.array(texts, batch.column(text_col).type))
 
 
-def _cutter(columns: list[str]):
-    """Cuts the words of __spans out of text."""
+def _cutter(columns: list[str], text_col: str):
+    """Cuts the words of __spans out of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, spans = batch.column("text"), batch.column("__spans").to_pylist()
-            cleaned = [clean_text(t, [(x["a"], x["b"]) for x in s]) if s else t for t, s in zip(text.to_pylist(), spans)]
-            batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(cleaned, text.type))
-            yield batch.select(columns)
+            texts, spans = batch.column(text_col).to_pylist(), batch.column("__spans").to_pylist()
+            yield _with_text(batch, text_col, [clean_text(t, [(x["a"], x["b"]) for x in s]) if s else t for t, s in zip(texts, spans)]).select(columns)
 
     return run
 
 
-def _cleaner(windows: Windows, mode: str):
+def _cleaner(windows: Broadcast, mode: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = windows.value
         for batch in batches:
-            given = batch.column("text").to_pylist()
+            given = batch.column(text_col).to_pylist()
             texts = [t or "" for t in given]
             found = []
             for a, b in _batches(texts):
-                found += [(n, merge_spans(s)) for n, s, _ in scan(texts[a:b], windows)]
+                found += [(n, merge_spans(s)) for n, s, _ in scan(texts[a:b], block)]
             bad = [contaminated(sum(b - a for a, b in s), n) for n, s in found]
             if mode == "documents":
                 yield batch.filter(pa.array([not x for x in bad], pa.bool_()))
             else:
-                where = batch.schema.get_field_index("text")
-                cleaned = pa.array([clean_text(t, s) if x else t for t, (_, s), x in zip(given, found, bad)], batch.column("text").type)
-                yield batch.set_column(where, "text", cleaned)
+                yield _with_text(batch, text_col, [clean_text(t, s) if x else t for t, (_, s), x in zip(given, found, bad)])
 
     return run
 
