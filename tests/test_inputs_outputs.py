@@ -4,10 +4,12 @@ import gzip
 import json
 import sqlite3
 import struct
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waymesh import cli
@@ -16,6 +18,7 @@ from waymesh.functions import ramp
 from waymesh.operators import filters, profile, styling, tiles, verbs
 from waymesh.operators.styling import CategoricalStyler, ClassStyler, NumericStyler
 from waymesh.plans import flow
+from waymesh.plans.flow import build
 from waymesh.sources import basemaps, ingest, palettes, settings, sinks
 from waymesh.streaming import styles as streams
 
@@ -297,7 +300,7 @@ def test_spec_round_trip(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.to_spec(edges, most_rows=1)
     big = edges.withColumn("edge_id", F.lit((1 << 53) + 1))
-    assert f'"edge_id":"{(1 << 53) + 1}"' in sinks.geojson_rows(sinks.json_safe(big)).first().value
+    assert f'"edge_id":"{(1 << 53) + 1}"' in sinks.geojson_rows(big).first().value
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -344,3 +347,113 @@ def test_whole_flow(spark):
     both = flow.build(spark, features, options={"Class": ClassStyler(), "Id": CategoricalStyler("edge_id", {"e0": "#1"})})
     assert [o["name"] for o in both.options] == ["Class", "Id"] and both.edges.filter("edge_id = 'e0'").first()["__rs_fill__1"] == "#1"
     assert styling.resolve_one(spark, "primary_link", bridge=True)["__rs_casing"] == "#000000"
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_ids_are_dense_and_no_row_is_lost(spark, tmp_path, adaptive):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        df = spark.range(400_000).selectExpr("id", "id % 7 AS k", "'x' AS same", "repeat('ab', CAST(id % 50 AS INT)) AS pay", "id * 1.5 AS v")
+        for order in (["k"], ["same"], ["k", "pay"]):
+            path = str(tmp_path / f"ids-{adaptive}-{'-'.join(order)}")
+            ingest.with_ids(df, *order).write.parquet(path)
+            got = spark.read.parquet(path)
+            assert tuple(got.agg(F.count("*"), F.count_distinct("fid"), F.min("fid"), F.max("fid"), F.count_distinct("id")).first()) == (400_000, 400_000, 0, 399_999, 400_000)
+            pairs = got.select("fid", F.struct(*order).alias("o")).withColumn("before", F.lag("o").over(W.orderBy("fid")))
+            assert pairs.filter("before > o").isEmpty()
+        again = ingest.with_ids(df.repartition(7), "same").select("id", F.col("fid").alias("other"))
+        assert spark.read.parquet(str(tmp_path / f"ids-{adaptive}-same")).join(again, "id").filter("fid <> other").isEmpty()
+        assert ingest.with_ids(df.limit(0), "k").collect() == []
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_running_total_of_one_long_chain(spark):
+    df = spark.range(20_000).selectExpr("CAST(NULL AS STRING) AS name", "id", "id % 3 AS v", "CAST(id AS STRING) AS pay").unionByName(spark.range(5).selectExpr("'b' AS name", "id", "CAST(NULL AS LONG) AS v", "'p' AS pay")).repartition(5)
+    got = {(r.name, r.id): r.running for r in profile.running_total(df, "name", "id", "v").collect()}
+    assert len(got) == 20_005 and all(got["b", i] is None for i in range(5))
+    assert all(got[None, i] == 3 * (i // 3) + (0, 1, 3)[i % 3] for i in range(20_000))
+
+
+def utm(lon, lat, meridian, south):
+    """Snyder's series of the transverse Mercator projection."""
+    a, e2 = 6378137.0, 0.00669438002290
+    f, ep = np.radians(lat), 0.00669438002290 / (1 - 0.00669438002290)
+    n, t, c, x = a / np.sqrt(1 - e2 * np.sin(f) ** 2), np.tan(f) ** 2, ep * np.cos(f) ** 2, np.radians(lon - meridian) * np.cos(f)
+    m = a * ((1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * f - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * np.sin(2 * f) + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * np.sin(4 * f) - 35 * e2**3 / 3072 * np.sin(6 * f))
+    east = 0.9996 * n * (x + (1 - t + c) * x**3 / 6 + (5 - 18 * t + t**2 + 72 * c - 58 * ep) * x**5 / 120) + 500_000
+    north = 0.9996 * (m + n * np.tan(f) * (x**2 / 2 + (5 - t + 9 * c + 4 * c**2) * x**4 / 24 + (61 - 58 * t + t**2 + 600 * c - 330 * ep) * x**6 / 720))
+    return float(east), float(north + (10_000_000 if south else 0))
+
+
+def test_utm(spark):
+    for srid, meridian, lon, lat in ((32633, 15, 18.0686, 59.3293), (3006, 15, 12.5, 68.1), (32723, -45, -43.2105, -22.9519), (25832, 9, 9.0, 48.0)):
+        x, y = utm(lon, lat, meridian, lat < 0)
+        df = spark.createDataFrame([("a", ("LineString", [[(x, y), (x + 1, y)]]))], "highway string, geometry struct<gtype:string,parts:array<array<struct<x:double,y:double>>>>")
+        p = ingest.normalise(df, srid=srid).df.first().vertices[0]
+        assert abs(p.x - lon) < 1e-7 and abs(p.y - lat) < 1e-7
+    with pytest.raises(ValueError, match="reproject"):
+        ingest.normalise(df, srid=27700)
+
+
+def test_checked_input(spark):
+    line, point = ("LineString", [[(1.0, 2.0), (2.0, 3.0)]]), ("Point", [[(1.0, 2.0)]])
+    kind = "highway string, geometry struct<gtype:string,parts:array<array<struct<x:double,y:double>>>>"
+    with pytest.warns(UserWarning, match="1 of 3 rows are no lines"), pytest.warns(UserWarning, match="no usable geometry"):
+        table = ingest.normalise(spark.createDataFrame([("a", line), ("b", point), ("c", None)], kind), check=True)
+    assert table.df.count() == 1
+    for rows in ([], [("b", point)]):
+        with pytest.raises(ValueError):
+            ingest.normalise(spark.createDataFrame(rows, kind), check=True)
+
+
+def test_spec_arguments(spark):
+    edges = ingest.normalise(spark.createDataFrame([("primary", 5, "p", ("LineString", [[(18.0, 59.0), (18.1, 59.1)]])), ("service", 1 << 60, "q", ("LineString", [[(18.0, 59.0), (18.2, 59.1)]]))], "highway string, aadt long, k string, geometry struct<gtype:string,parts:array<array<struct<x:double,y:double>>>>")).df
+    spec = sinks.to_spec(edges, color_by="k", colors={"p": "#010203"}, basemap="satellite", basemaps=["osm", "blank"])
+    assert [f["properties"]["__rs_fill"] for f in spec["geojson"]["features"]] == ["#010203", "#cccccc"]
+    assert [f["properties"]["aadt"] for f in spec["geojson"]["features"]] == [5, str(1 << 60)]
+    assert [m["key"] for m in spec["basemaps"]] == ["satellite", "osm", "blank"] and spec["basemap"]["satellite"]
+    spec = sinks.to_spec(edges, options=[{"name": "Class"}, {"name": "K", "color_by": "k", "colors": {"q": "#040506"}, "missing": "self"}], palette="mono")
+    assert [o["name"] for o in spec["color_options"]] == ["Class", "K"] and [f["properties"]["__rs_fill__1"] for f in spec["geojson"]["features"]] == ["#cccccc", "#040506"]
+    assert [m["key"] for m in sinks.to_spec(edges)["basemaps"]] == list(basemaps.SWITCHER)
+
+
+def test_a_colour_table_without_order_must_have_one_row_for_each_id(spark):
+    df = spark.createDataFrame([(1,), (2,)], "id long")
+    once = spark.createDataFrame([(1, "#a"), (3, "#c")], "id long, color string")
+    assert [r.c for r in styling.join_colors(df, "id", once, into="c").orderBy("id").collect()] == ["#a", None]
+    with pytest.raises(Exception, match="several colours"):
+        styling.join_colors(df, "id", once.unionByName(once), into="c").collect()
+
+
+def test_layers_of_tiles(spark):
+    rows = [("primary", "Main", [(18.0 + i * 0.003, 59.0), (18.0015 + i * 0.003, 59.0004), (18.003 + i * 0.003, 59.0)]) for i in range(4)]
+    df = spark.createDataFrame([(c, n, ("LineString", [v])) for c, n, v in rows], "highway string, name string, geometry struct<gtype:string,parts:array<array<struct<x:double,y:double>>>>")
+    zone = {"type": "Feature", "properties": {"zone": 7}, "geometry": {"type": "Polygon", "coordinates": [[[18.0, 58.9], [18.5, 58.9], [18.5, 59.0], [18.0, 58.9]]]}}
+    poi = {"type": "Feature", "properties": {"n": "x"}, "geometry": {"type": "Point", "coordinates": [18.001, 59.0005]}}
+    small = replace(settings.DEFAULT, tiles={**settings.DEFAULT.tiles, "minzoom": 12, "maxzoom": 13})
+    net = build(spark, df, overlays={"zones": zone, "pois": poi}, settings=small)
+    layers = {}
+    for r in net.tiles().collect():
+        for name, features in read_tile(r.tile).items():
+            layers.setdefault(name, {}).setdefault(r.z, []).extend(features)
+    assert set(layers) == {"roads", "names", "arrows", "zones", "pois"}
+    assert set(layers["names"]) == {13} and set(layers["roads"]) == set(layers["zones"]) == {12, 13}
+    assert {f[1]["zone"] for f in layers["zones"][12]} == {14}  # zigzag of 7
+    box = net.tile_extent().first()
+    assert (box.minx, box.miny, box.maxx) == (18.0, 58.9, 18.5)
+    styles = {r.overlay: (r.kind, r.color, r.opacity, r.radius, r.outline) for r in net.overlay_styles().collect()}
+    assert styles == {"zones": ("fill", "#6aa9ff", 0.15, None, "#6aa9ff"), "pois": ("circle", "#6aa9ff", 0.85, 6.0, None)}
+
+
+def test_numbers_in_tiles():
+    rng = np.random.default_rng(1)
+    values = np.concatenate((rng.integers(0, 300, 50), rng.integers(0, 1 << 40, 50), [0, 127, 128, (1 << 62)]))
+    assert tiles._varints(values) == b"".join(tiles._varint(int(v)) for v in values)
+    assert [int(z) for z in tiles._zigzags(np.array([0, -1, 1, -2, 2147483647]))] == [tiles._zigzag(n) for n in (0, -1, 1, -2, 2147483647)]
+
+
+def test_crossed_outlines():
+    assert G.is_simple(np.array([[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]], float))
+    assert not G.is_simple(np.array([[0, 0], [1, 1], [1, 0], [0, 1], [0, 0]], float))

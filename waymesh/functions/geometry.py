@@ -91,6 +91,34 @@ def from_mercator(v: Column) -> Column:
     return F.transform(v, lambda p: F.struct(lon_of(p["x"]).alias("x"), lat_of(p["y"]).alias("y")))
 
 
+#: The GRS 80 ellipsoid's third flattening and rectifying radius, and the series of the inverse transverse
+#: Mercator projection (Krueger, 1912) to the third order; UTM's scale and false origin.
+_N = 1 / (2 * 298.257222101 - 1)
+_RADIUS = 6378137.0 / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_BETA = (_N / 2 - 2 / 3 * _N**2 + 37 / 96 * _N**3, _N**2 / 48 + _N**3 / 15, 17 / 480 * _N**3)
+_DELTA = (2 * _N - 2 / 3 * _N**2 - 2 * _N**3, 7 / 3 * _N**2 - 8 / 5 * _N**3, 56 / 15 * _N**3)
+UTM_SCALE, UTM_EAST, UTM_SOUTH = 0.9996, 500_000.0, 10_000_000.0
+
+
+def from_utm(v: Column, meridian: float, south: bool) -> Column:
+    """Longitude and latitude of a line in a zone of UTM, to a millimetre within the zone."""
+
+    def point(p: Column) -> Column:
+        up = (p["y"] - (UTM_SOUTH if south else 0.0)) / (UTM_SCALE * _RADIUS)
+        right = (p["x"] - UTM_EAST) / (UTM_SCALE * _RADIUS)
+        xi, eta = up, right
+        for i, b in enumerate(_BETA, 1):
+            xi = xi - b * F.sin(2 * i * up) * F.cosh(2 * i * right)
+            eta = eta - b * F.cos(2 * i * up) * F.sinh(2 * i * right)
+        chi = F.asin(F.sin(xi) / F.cosh(eta))
+        lat = chi
+        for i, d in enumerate(_DELTA, 1):
+            lat = lat + d * F.sin(2 * i * chi)
+        return F.struct((F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + meridian).alias("x"), F.degrees(lat).alias("y"))
+
+    return F.transform(v, point)
+
+
 def local_metres(v: Column, lon0: Column, lat0: Column) -> Column:
     """Metres east and north of (lon0, lat0), for short distances."""
     kx = F.cos(F.radians(lat0)) * DEGREE_M
@@ -110,26 +138,6 @@ def mid_vertex(v: Column) -> Column:
     return F.element_at(v, F.floor(F.size(v) / 2).cast("int") + 1)
 
 
-def substring(v: Column, start: Column, end: Column) -> Column:
-    """The part of a line between two distances along it."""
-
-    def at(w: Column, d: Column) -> Column:
-        def between(a: Column, b: Column) -> Column:
-            t = F.when(b["d"] > a["d"], (d - a["d"]) / (b["d"] - a["d"])).otherwise(F.lit(0.0))
-            return let(t, lambda u: F.struct((a["x"] + (b["x"] - a["x"]) * u).alias("x"), (a["y"] + (b["y"] - a["y"]) * u).alias("y")))
-
-        before = F.element_at(F.filter(w, lambda p: p["d"] <= d), -1)
-        after = F.get(F.filter(w, lambda p: p["d"] > d), F.lit(0))
-        return let(before, lambda a: let(F.coalesce(after, a), lambda b: between(a, b)))
-
-    def part(w: Column) -> Column:
-        inner = F.transform(F.filter(w, lambda p: (p["d"] > start) & (p["d"] < end)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-        return F.concat(F.array(at(w, start)), inner, F.array(at(w, end)))
-
-    along = lambda w: F.aggregate(steps(w), F.array(F.lit(0.0)), lambda acc, d: F.concat(acc, F.array(F.element_at(acc, -1) + d)))
-    return let(v, lambda w: let(F.zip_with(w, along(w), lambda p, d: F.struct(p["x"].alias("x"), p["y"].alias("y"), d.alias("d"))), part))
-
-
 # -- numpy ----------------------------------------------------------------------------------------------------------
 
 
@@ -149,10 +157,6 @@ def _points(value) -> np.ndarray:
     return np.asarray(value, float).reshape(-1, 2)
 
 
-def _rows(points: np.ndarray) -> list[dict]:
-    return [{"x": float(x), "y": float(y)} for x, y in points]
-
-
 def simplify_points(points: np.ndarray, tolerance: float) -> np.ndarray:
     """Douglas and Peucker, 1973."""
     keep = np.zeros(len(points), bool)
@@ -219,6 +223,31 @@ def buffer_points(points: np.ndarray, half: float) -> np.ndarray:
     return np.concatenate((left, right[::-1], left[:1])) if len(left) else left
 
 
+def part_of(points: np.ndarray, along: np.ndarray, start: float, end: float) -> np.ndarray:
+    """The part of a line between two distances along it; along: the distance of each point."""
+    at = np.array([start, end])
+    ends = np.stack([np.interp(at, along, points[:, 0]), np.interp(at, along, points[:, 1])], axis=1)
+    return np.concatenate((ends[:1], points[np.searchsorted(along, start, "right") : np.searchsorted(along, end, "left")], ends[1:]))
+
+
+def distances(points: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0.0], np.cumsum(np.hypot(*np.diff(points, axis=0).T))))
+
+
+def is_simple(ring: np.ndarray) -> bool:
+    """Whether a closed outline has no two sides that cross. All pairs of sides at once: for outlines of one slice."""
+    p, q = ring[:-1], ring[1:]
+    side = lambda a, b, c: (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
+    a, b, c, d = p[:, None], q[:, None], p[None], q[None]
+    crossing = (side(a, b, c) * side(a, b, d) < 0) & (side(c, d, a) * side(c, d, b) < 0)
+    return not crossing.any()
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _substring(lines: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
+    return pd.Series([part_of(p := _points(v), distances(p), a, b).ravel() if v is not None and len(v) else v for v, a, b in zip(lines, start, end)])
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _simplify(lines: pd.Series, tolerance: pd.Series) -> pd.Series:
     return pd.Series([simplify_points(_points(v), t).ravel() if len(v) > 4 else v for v, t in zip(lines, tolerance)])
@@ -243,6 +272,11 @@ def simplify(v: Column, tolerance: Column) -> Column:
     return unflat(_simplify(flat(v), tolerance))
 
 
+def substring(v: Column, start: Column, end: Column) -> Column:
+    """The part of a line between two distances along it."""
+    return unflat(_substring(flat(v), start, end))
+
+
 def clip(v: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
     """The parts of a line within a rectangle."""
     return F.transform(_clip(flat(v), minx, miny, maxx, maxy), unflat)
@@ -258,11 +292,11 @@ def ribbon(v: Column, half: Column) -> Column:
     return unflat(_ribbon(flat(v), half))
 
 
-def _read_wkb(data: bytes) -> tuple[str, list[list[dict]]]:
-    """(type, parts) of a line, a multi-line, a point or a polygon."""
+def _read_wkb(data: bytes) -> tuple[str, list[np.ndarray]]:
+    """(type, parts) of a line, a multi-line, a point or a polygon; each part as x0, y0, x1, y1, ..."""
     names = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon", 7: "GeometryCollection"}
 
-    def one(at: int) -> tuple[str, list[list[dict]], int]:
+    def one(at: int) -> tuple[str, list[np.ndarray], int]:
         order = "<" if data[at] else ">"
         code = int(np.frombuffer(data, order + "u4", 1, at + 1)[0])
         at += 9 if code & 0x20000000 else 5
@@ -271,9 +305,9 @@ def _read_wkb(data: bytes) -> tuple[str, list[list[dict]]]:
         if 1000 <= (code & 0xFFFF) < 4000:
             dims, kind = 2 + ((code & 0xFFFF) // 1000 == 3) + 1, (code & 0xFFFF) % 1000
 
-        def run(at: int, n: int) -> tuple[list[dict], int]:
+        def run(at: int, n: int) -> tuple[np.ndarray, int]:
             xy = np.frombuffer(data, order + "f8", n * dims, at).reshape(n, dims)
-            return _rows(xy[:, :2]), at + 8 * n * dims
+            return xy[:, :2].ravel(), at + 8 * n * dims
 
         count = lambda at: int(np.frombuffer(data, order + "u4", 1, at)[0])
         if kind == 1:
@@ -296,13 +330,13 @@ def _read_wkb(data: bytes) -> tuple[str, list[list[dict]]]:
     return one(0)[:2]
 
 
-def _read_wkt(text: str) -> tuple[str, list[list[dict]]]:
+def _read_wkt(text: str) -> tuple[str, list[np.ndarray]]:
     head, _, rest = text.partition("(")
     kind = {n.upper(): n for n in ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon")}[head.split()[0].upper()]
     parts = []
     for part in rest.replace("(", "|").replace(")", "|").split("|"):
         if part.strip(" ,"):
-            parts.append([{"x": float(p.split()[0]), "y": float(p.split()[1])} for p in part.strip(" ,").split(",")])
+            parts.append(np.array([p.split()[:2] for p in part.strip(" ,").split(",")], float).ravel())
     return kind, parts
 
 
@@ -316,11 +350,26 @@ def _decoded(values: Iterator, reader) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["gtype", "parts"])
 
 
-@F.pandas_udf(GEOMETRY_TYPE)
-def from_wkb(values: pd.Series) -> pd.DataFrame:
+_FLAT_TYPE = T.StructType([T.StructField("gtype", T.StringType()), T.StructField("parts", T.ArrayType(T.ArrayType(T.DoubleType())))])
+
+
+@F.pandas_udf(_FLAT_TYPE)
+def _wkb(values: pd.Series) -> pd.DataFrame:
     return _decoded(values, lambda v: _read_wkb(bytes(v)))
 
 
-@F.pandas_udf(GEOMETRY_TYPE)
-def from_wkt(values: pd.Series) -> pd.DataFrame:
+@F.pandas_udf(_FLAT_TYPE)
+def _wkt(values: pd.Series) -> pd.DataFrame:
     return _decoded(values, _read_wkt)
+
+
+def _geometry(flat_parts: Column) -> Column:
+    return let(flat_parts, lambda g: F.struct(g["gtype"].alias("gtype"), F.transform(g["parts"], unflat).alias("parts")))
+
+
+def from_wkb(c: Column) -> Column:
+    return _geometry(_wkb(c))
+
+
+def from_wkt(c: Column) -> Column:
+    return _geometry(_wkt(c))

@@ -8,16 +8,18 @@ No group is ever handed to one task, so a huge group (all unnamed roads, say) co
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waymesh.functions import geometry as G
 from waymesh.functions.scalars import flag_for_web
 from waymesh.functions.widths import GROUP, OTHER, width_at
+from waymesh.operators.profile import running_total
 from waymesh.session import cut
 from waymesh.sources.settings import DEFAULT
 
@@ -137,7 +139,9 @@ def group_mode(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
 
 
 def chain_lines(df: DataFrame, of: DataFrame, lines: str = "vertices", extra: Sequence[str] = ()) -> DataFrame:
-    """(chain, vertices, parts): the line of each chain and its edges in order. A row holds one chain."""
+    """(chain, vertices, parts): the line of each chain and its edges in order. A row holds one chain, so this is for chains
+    that are short by nature, such as bridges: over some ten million vertices (2 GB) a row can't be built and the job fails.
+    annotation_slots shows how long chains are worked on without being gathered."""
     edges = df.select(F.col("fid").alias("f"), lines, *extra).join(of, F.col("f") == F.col("fid"))
     v = F.when(F.col("forward"), F.col(lines)).otherwise(F.reverse(lines))
     part = F.struct("pos", "fid", "forward", v.alias("v"), *extra)
@@ -152,24 +156,55 @@ def slot_count(total: Column, slot_m: float) -> Column:
     return F.greatest(F.lit(1), (whole + F.when(total - whole * slot_m > slot_m * 0.3, 1).otherwise(0)).cast("int"))
 
 
+_SLOTS = T.ArrayType(T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("part", T.ArrayType(T.DoubleType()))]))
+
+
+def _slots_of_edge(slot_m: float) -> Callable[[Column, Column, Column], Column]:
+    """What an edge adds to each slot. lines: x0, y0, ... in metres; start: where the edge begins on its chain."""
+
+    @F.pandas_udf(_SLOTS)
+    def run(lines: pd.Series, start: pd.Series, slots: pd.Series) -> pd.Series:
+        out = []
+        for flat, at, n in zip(lines, start, slots):
+            points = G._points(flat)
+            along = G.distances(points)
+            own = []
+            for k in range(int(at / slot_m), min(int((at + along[-1]) / slot_m), n - 1) + 1):
+                a, b = max(0.0, k * slot_m - at), min(along[-1], (k + 1) * slot_m - at)
+                if b > a:
+                    own.append({"slot": k, "part": G.part_of(points, along, a, b).ravel()})
+            out.append(own)
+        return pd.Series(out)
+
+    return run
+
+
 def annotation_slots(df: DataFrame, slot_m: float = DEFAULT.slot_m, class_col: str = "highway") -> DataFrame:
     """(chain, slot, name, class, oneway, vertices): chains of one name, level and direction cut in slots of slot_m metres.
-    Names go to even slots, arrows to odd ones. df needs fid, vertices, a, z, twoway, __rs_oneway, lvl and name."""
+    Names go to even slots, arrows to odd ones. df needs fid, vertices, a, z, twoway, __rs_oneway, lvl and name.
+
+    A running total along each chain says where an edge begins on it; each edge is cut by itself, and only what lies in
+    one slot meets in one row. No chain is gathered whole, however long it is."""
     name = F.nullif(F.col("name"), F.lit("")) if "name" in df.columns else F.lit(None).cast("string")
     reps = cut(representatives(df).select("fid", "vertices", "a", "z", name.alias("name"), F.coalesce("lvl", F.lit(0)).alias("lvl"), F.col("__rs_oneway").alias("oneway"), F.col(class_col).alias("class")))
     group = ["name", "lvl", "oneway"]
     of = chains(reps, group, F.col("oneway"))
-    lines = chain_lines(reps, of).select("chain", "vertices")
+    v = F.when(F.col("forward"), F.col("vertices")).otherwise(F.reverse("vertices"))
+    edges = cut(reps.withColumnRenamed("fid", "f").join(of, F.col("f") == F.col("fid")).select("chain", "pos", v.alias("v"), *group))
+    first = F.get("v", F.lit(0))
+    heads = cut(edges.filter("pos = 0").select(F.col("chain").alias("c"), first["x"].alias("lon0"), first["y"].alias("lat0")))
+    local = edges.join(heads, F.col("chain") == F.col("c")).select("chain", "pos", "lon0", "lat0", G.flat(G.local_metres(F.col("v"), F.col("lon0"), F.col("lat0"))).alias("m"))
+    local = local.withColumn("len", G.length(G.unflat(F.col("m"))))
+    placed = cut(running_total(local, "chain", "pos", "len", into="end"))
+    totals = cut(placed.groupBy(F.col("chain").alias("c")).agg(slot_count(F.max("end"), slot_m).alias("n")))
+    own = placed.join(totals, F.col("chain") == F.col("c")).withColumn("s", F.explode(_slots_of_edge(float(slot_m))("m", F.col("end") - F.col("len"), F.col("n"))))
+    parts = own.groupBy("chain", F.col("s.slot").alias("slot")).agg(F.first("lon0").alias("lon0"), F.first("lat0").alias("lat0"), F.array_sort(F.collect_list(F.struct("pos", "s.part"))).alias("parts"))
+    joined = F.flatten(F.transform("parts", lambda p, i: F.when(i == 0, p["part"]).otherwise(F.slice(p["part"], 3, F.size(p["part"]) - 2))))
+    slots = parts.withColumn("m", G.unflat(joined)).filter(G.length(F.col("m")) >= slot_m * 0.2).drop("parts")
     mode = group_mode(reps, group, "class").withColumnsRenamed({g: f"__{g}" for g in group})
-    head = reps.select(F.col("fid").alias("f"), *group)
-    whole = lines.join(head, F.col("chain") == F.col("f"))
-    whole = whole.join(mode, F.col("name").eqNullSafe(F.col("__name")) & (F.col("lvl") == F.col("__lvl")) & (F.col("oneway") == F.col("__oneway")))
-    first = F.get("vertices", F.lit(0))
-    local = whole.withColumns({"lon0": first["x"], "lat0": first["y"]}).withColumn("m", G.local_metres(F.col("vertices"), F.col("lon0"), F.col("lat0"))).withColumn("total", G.length(F.col("m")))
-    slots = local.withColumn("slot", F.explode(F.sequence(F.lit(0), slot_count(F.col("total"), slot_m) - 1)))
-    slots = slots.withColumn("part", G.substring(F.col("m"), F.col("slot") * float(slot_m), F.least((F.col("slot") + 1) * float(slot_m), F.col("total"))))
-    slots = slots.filter(G.length(F.col("part")) >= slot_m * 0.2)
-    return slots.select("chain", "slot", "name", F.col("mode").alias("class"), F.col("oneway").cast("int").alias("oneway"), G.from_local(F.col("part"), F.col("lon0"), F.col("lat0")).alias("vertices"))
+    about = edges.filter("pos = 0").select(F.col("chain").alias("c"), *group)
+    about = cut(about.join(mode, F.col("name").eqNullSafe(F.col("__name")) & (F.col("lvl") == F.col("__lvl")) & (F.col("oneway") == F.col("__oneway"))).select("c", "name", "mode", "oneway"))
+    return slots.join(about, F.col("chain") == F.col("c")).select("chain", "slot", "name", F.col("mode").alias("class"), F.col("oneway").cast("int").alias("oneway"), G.from_local(F.col("m"), F.col("lon0"), F.col("lat0")).alias("vertices"))
 
 
 def name_slots(slots: DataFrame) -> DataFrame:
@@ -203,11 +238,6 @@ def deck_profile(length: float, ends: Sequence[float], head: bool, tail: bool, r
     return out
 
 
-def _slice(points: np.ndarray, along: np.ndarray, a: float, b: float) -> np.ndarray:
-    at = lambda d: np.array([[np.interp(d, along, points[:, 0]), np.interp(d, along, points[:, 1])]])
-    return np.concatenate((at(a), points[(along > a) & (along < b)], at(b)))
-
-
 def _decks(settings: Mapping[str, float]):
     ramp, step = max(settings["ramp_m"], 1.0), max(settings["step_m"], 0.25)
 
@@ -219,18 +249,18 @@ def _decks(settings: Mapping[str, float]):
                 lon0, lat0 = v[0]
                 kx = G.DEGREE_M * np.cos(np.radians(lat0))
                 points = (v - v[0]) * (kx, G.DEGREE_M)
-                along = np.concatenate(([0.0], np.cumsum(np.hypot(*np.diff(points, axis=0).T))))
+                along = G.distances(points)
                 size = np.cumsum([len(p["v"]) - 1 for p in c.parts])
                 ends = along[size]
                 pixel = G.PIXEL_M * np.cos(np.radians(lat0)) / 2 ** settings["match_zoom"]
 
                 def add(fid, kind, base, height, outline, chain=c.chain, kx=kx, lon0=lon0, lat0=lat0):
-                    if len(outline):
+                    if len(outline) and G.is_simple(outline):
                         xy = [{"x": round(x / kx + lon0, 6), "y": round(y / G.DEGREE_M + lat0, 6)} for x, y in outline]
                         rows.append((chain, fid, kind, round(base, 2), round(height, 2), xy))
 
                 for a, b, t in deck_profile(float(along[-1]), ends[:-1].tolist(), c.head, c.tail, ramp, step):
-                    part = _slice(points, along, a, b)
+                    part = G.part_of(points, along, a, b)
                     edge = c.parts[min(int(np.searchsorted(ends + 1e-6, (a + b) / 2)), len(c.parts) - 1)]
                     half = max(width_at(GROUP.get(str(edge["class"] or ""), OTHER), settings["match_zoom"]) * pixel / 2, 2.0) * settings["width_scale"]
                     base, height = settings["base_m"] * t, settings["base_m"] * t + settings["thickness_m"]
@@ -254,7 +284,8 @@ def bridge_decks(df: DataFrame, settings: Mapping[str, float] = DEFAULT.decks, c
     """(chain, fid, kind, base, height, vertices): bridges as outlines with heights. Each deck slice belongs to one directed
     edge; a two-way bridge has a half-width ribbon for each direction. Ends where no other bridge goes on slope to the ground.
 
-    Chains are set-based, as for slots; the numpy step gets one row for each chain."""
+    Chains are set-based, as for slots; the numpy step gets one row for each chain of bridges, see chain_lines. A slice whose
+    outline crosses itself, which no bridge has that is wider than its bends are tight, is left out."""
     bridges = df.filter("lvl >= 1 and a is not null and z is not null")
     pair = twins(bridges).withColumnRenamed("fid", "f")
     reps = representatives(bridges).join(pair, F.col("fid") == F.col("f"), "left").drop("f")

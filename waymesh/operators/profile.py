@@ -15,6 +15,7 @@ from waymesh.functions.ramp import sample
 from waymesh.functions.scalars import as_number, strip
 from waymesh.functions.widths import z_order
 from waymesh.operators.filters import is_public
+from waymesh.session import dealt_in_order, with_dense_ids
 
 FEW = 12  # distinct values up to which a column is treated as categories
 GROUPS = 5
@@ -67,10 +68,16 @@ def geometry_types(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     return df.agg(F.array_sort(F.collect_set(t)).alias("types"), F.every(t.isNull()).alias("all_null"))
 
 
-def running_total(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    """df with the running sum of a column along each chain."""
-    w = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("running", F.sum(value).over(w))
+def running_total(df: DataFrame, by: str, order: str, value: str, into: str = "running") -> DataFrame:
+    """df with the running sum of a column along each chain. Rows are dealt by (by, order) and summed where they are; each
+    partition's share of a chain then moves by what comes before it, so a chain of any length is summed by many tasks."""
+    dealt = dealt_in_order(df, by, order)
+    local = dealt.withColumn("__local", F.sum(value).over(W.partitionBy("__part", by).orderBy("__n").rowsBetween(W.unboundedPreceding, 0)))
+    shares = dealt.groupBy(by, "__part").agg(F.sum(value).alias("__share"))  # a row for each chain, and one for each partition
+    earlier = F.sum("__share").over(W.partitionBy(by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    before = shares.select(F.col(by).alias("__by"), F.col("__part").alias("__p"), earlier.alias("__before"))
+    both = local.join(before, local[by].eqNullSafe(before["__by"]) & (local["__part"] == before["__p"]))
+    return both.select(*[local[c] for c in df.columns], F.coalesce(F.col("__local") + F.col("__before"), "__local", "__before").alias(into))
 
 
 def extent(df: DataFrame, lines: str = "vertices") -> DataFrame:
@@ -97,14 +104,11 @@ def robust_range(df: DataFrame, column: str, low: float = 0.02, high: float = 0.
 
 
 def even_groups(df: DataFrame, column: str, groups: int = GROUPS) -> DataFrame:
-    """(value, grp): the sorted distinct values in at most `groups` runs; run i ends before value floor((i+1)*n/k).
-
-    The window runs over the distinct values, which colour_option keeps to FEW or to a vocabulary."""
-    values = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    n = F.count("*").over(W.partitionBy())
+    """(value, grp): the sorted distinct values in at most `groups` runs; run i ends before value floor((i+1)*n/k)."""
+    values = with_dense_ids(df.filter(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct(), "value", name="rank")
+    n = F.col("n")
     k = F.least(F.lit(groups), n)
-    rank = F.row_number().over(W.orderBy("value"))
-    return values.select("value", F.floor((rank * k - 1) / n).cast("int").alias("grp"))
+    return values.crossJoin(F.broadcast(values.agg(F.count("*").alias("n")))).select("value", F.floor(((F.col("rank") + 1) * k - 1) / n).cast("int").alias("grp"))
 
 
 def colour_option(df: DataFrame, column: str, ramp: str = "viridis") -> dict | None:

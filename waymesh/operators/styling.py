@@ -14,7 +14,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymesh.functions.ramp import MISSING_COLOR, ramp_color, sample
+from waymesh.functions.ramp import MISSING_COLOR, color_at, ramp_position, sample
 from waymesh.functions.scalars import as_number, base_class, clamp01, color_or, dash_text, flag_for_style, is_link, key_text
 from waymesh.sources.palettes import FALLBACK, Palette, palette_styles, palette_table
 from waymesh.sources.settings import DEFAULT, Settings
@@ -149,6 +149,7 @@ class NumericStyler:
     casing_opacity: float = 0.75
     nan_color: str = MISSING_COLOR
     missing: str = "base"
+    range_of: DataFrame | None = None  # where the ranges come from: the same rows before a join that they needn't repeat
 
     def _number(self, df: DataFrame, name: str) -> Column:
         return as_number(F.col(name), df.schema[name].dataType)
@@ -170,16 +171,17 @@ class NumericStyler:
         if self.vmin is not None and self.vmax is not None and not self.width_by:
             low, high, ranged = F.lit(float(self.vmin)), F.lit(float(self.vmax)), df  # nothing to aggregate
         else:
-            low, high, ranged = F.col("__lo"), F.col("__hi"), df.crossJoin(F.broadcast(self._range(df)))
+            low, high, ranged = F.col("__lo"), F.col("__hi"), df.crossJoin(F.broadcast(self._range(self.range_of if self.range_of is not None else df)))
         width = F.lit(float(self.width))
         if self.width_by:
             a, b = map(float, self.width_by)
             number = self._number(df, self._width_column(df))
             span = F.when(F.col("__whi") == F.col("__wlo"), F.lit(1.0)).otherwise(F.col("__whi") - F.col("__wlo"))
             width = F.coalesce(F.lit(a) + F.lit(b - a) * clamp01((number - F.col("__wlo")) / span), F.lit(a))
-        return ranged.withColumns(
-            {"__rs_fill": ramp_color(value, low, high, self.cmap, self.nan_color), "__rs_class": F.lit(None).cast("string"), MISSING: value.isNull(), **_constants(width, self.opacity, self.casing, self.casing_width, self.casing_opacity)}
-        ).drop("__lo", "__hi", "__wlo", "__whi")
+        placed = ranged.withColumn("__at", ramp_position(value, low, high, self.cmap))
+        return placed.withColumns(
+            {"__rs_fill": color_at(F.col("__at"), self.cmap, self.nan_color), "__rs_class": F.lit(None).cast("string"), MISSING: value.isNull(), **_constants(width, self.opacity, self.casing, self.casing_width, self.casing_opacity)}
+        ).drop("__at", "__lo", "__hi", "__wlo", "__whi")
 
     def legend(self, df: DataFrame) -> dict:
         r = self._range(df).first()
@@ -293,15 +295,17 @@ def bake_options(df: DataFrame, options: Mapping[str, Styler], style: Styler | N
 
 def join_colors(df: DataFrame, id_col: str, table: DataFrame, key: str | None = None, color: str | None = None, order: str | None = None, into: str = "__color") -> DataFrame:
     """Literal colours from a side table, by the text of the id. Of repeated ids the last row counts: the greatest in
-    order, if that column is named. The side table may be of any size; adaptive execution picks the join."""
+    order, a column of the table. Rows of a table have no order of their own, so without one repeated ids are an error.
+    The side table may be of any size; adaptive execution picks the join."""
     key, color = key or table.columns[0], color or table.columns[1]
     for c in (key, color, *([order] if order else [])):
         if c not in table.columns:
             raise ValueError(f"no column {c!r} in the colour table; there are {table.columns}")
     if order is None:
-        order = "__at"
-        table = table.withColumn("__at", F.monotonically_increasing_id())
-    side = table.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("__id")).agg(F.max_by(color, order).alias(into))
+        found = F.when(F.count("*") == 1, F.first(color)).otherwise(F.raise_error(F.lit("an id has several colours; name the column that orders them")).cast("string"))
+    else:
+        found = F.max_by(color, order)
+    side = table.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("__id")).agg(found.alias(into))
     return df.join(side, F.col(id_col).cast("string") == F.col("__id"), "left").drop("__id")
 
 

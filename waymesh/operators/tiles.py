@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from waymesh.functions import geometry as G
 from waymesh.operators.filters import min_zoom_of, tile_columns
+from waymesh.session import with_dense_ids
 from waymesh.sources.settings import DEFAULT
 
 
@@ -74,13 +75,37 @@ def tile_rows(df: DataFrame, class_col: str | None, keep: Sequence[str] = (), mi
     return fits.unionByName(cut.filter(F.size("parts") > 0))
 
 
+def overlay_rows(df: DataFrame, layer: str, options: Mapping[str, int] = DEFAULT.tiles) -> DataFrame:
+    """tile_rows of an overlay: features of any type, whole, in each tile that their box touches. df: geometry and
+    attributes; fid is the row's number by its geometry where it has none."""
+    df = df.drop("vertices").withColumn("__all", F.flatten("geometry.parts"))
+    ided = df if "fid" in df.columns else with_dense_ids(df, "__all")
+    names = [c for c in df.columns if c not in ("fid", "geometry", "__all")]
+    rows = ided.filter(F.size("__all") > 0).select(
+        "fid",
+        (F.to_json(F.struct(*names)) if names else F.lit("{}")).alias("props"),
+        F.col("geometry.gtype").alias("gtype"),
+        F.transform("geometry.parts", G.to_mercator).alias("parts"),
+        G.bounds(G.to_mercator(F.col("__all"))).alias("box"),
+    )
+    rows = rows.withColumn("z", F.explode(F.sequence(F.lit(options["minzoom"]), F.lit(options["maxzoom"]))))
+    spread = tile_cover(rows, F.col("z"))
+    return spread.select("z", "x", "y", F.lit(layer).alias("layer"), "fid", "props", "parts", shape_of(F.col("gtype")).alias("shape"))
+
+
+def shape_of(gtype: Column) -> Column:
+    """A tile's geometry type: 1 points, 2 lines, 3 polygons."""
+    return F.when(gtype.endswith("Point"), 1).when(gtype.endswith("Polygon"), 3).otherwise(2)
+
+
 def build_tiles(layers: Sequence[DataFrame], extent: int = 4096) -> DataFrame:
     """(z, x, y, tile): gzipped vector tiles from the tile_rows of several layers, one shuffle in all."""
-    rows = layers[0]
-    for more in layers[1:]:
+    shaped = [rows if "shape" in rows.columns else rows.withColumn("shape", F.lit(2)) for rows in layers]
+    rows = shaped[0]
+    for more in shaped[1:]:
         rows = rows.unionByName(more)
-    feature = F.struct("fid", "props", F.transform("parts", G.flat).alias("parts"))
-    by_layer = rows.groupBy("z", "x", "y", "layer").agg(F.array_sort(F.collect_list(feature), lambda a, b: (a["fid"] - b["fid"]).cast("int")).alias("features"))
+    feature = F.struct("fid", "props", F.coalesce("shape", F.lit(2)).alias("shape"), F.transform("parts", G.flat).alias("parts"))
+    by_layer = rows.groupBy("z", "x", "y", "layer").agg(F.array_sort(F.collect_list(feature)).alias("features"))
     cells = by_layer.groupBy("z", "x", "y").agg(F.array_sort(F.collect_list(F.struct("layer", "features"))).alias("layers"))
     return cells.select("z", "x", "y", encode(F.col("layers"), tile_bounds(F.col("z"), F.col("x"), F.col("y")), F.lit(extent)).alias("tile"))
 
@@ -129,26 +154,52 @@ def _value(v) -> bytes:
     return _field(1, str(v).encode())
 
 
-def encode_layer(name: str, features: Sequence[tuple[int, dict, list[np.ndarray]]], extent: int) -> bytes:
-    """A layer of lines, in the Mapbox Vector Tile format, version 2. features: (id, properties, parts in tile pixels)."""
+def _commands(parts: list[np.ndarray], shape: int) -> np.ndarray:
+    """The drawing of a feature: one move for all points; a move and a line for each line; a closing for each ring."""
+    if shape == 1:
+        points = np.concatenate(parts)
+        moves = np.diff(points, axis=0, prepend=np.zeros((1, 2), np.int64))
+        return np.concatenate(([len(points) << 3 | 1], _zigzags(moves.ravel())))
+    out, at = [], np.zeros(2, np.int64)
+    for part in parts:
+        part = part[np.concatenate(([True], (np.diff(part, axis=0) != 0).any(axis=1)))]
+        if shape == 3 and len(part) > 1 and (part[0] == part[-1]).all():
+            part = part[:-1]
+        if len(part) < shape:
+            continue
+        out += [[1 << 3 | 1], _zigzags(part[0] - at), [len(part) - 1 << 3 | 2], _zigzags(np.diff(part, axis=0).ravel()), *([[1 << 3 | 7]] if shape == 3 else [])]
+        at = part[-1]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _zigzags(n: np.ndarray) -> np.ndarray:
+    return n << 1 ^ n >> 63
+
+
+def _varints(values: np.ndarray) -> bytes:
+    """Many varints at once: seven bits a byte, the lowest first."""
+    v = np.asarray(values, np.uint64)
+    if not len(v):
+        return b""
+    digits = v[:, None] >> np.arange(0, 70, 7, dtype=np.uint64)
+    size = np.maximum((digits[:, :9] > 0).sum(axis=1), 1)
+    place = np.arange(10)
+    data = (digits & np.uint64(127)).astype(np.uint8) | np.where(place < size[:, None] - 1, np.uint8(128), np.uint8(0)).astype(np.uint8)
+    return data[place < size[:, None]].tobytes()
+
+
+def encode_layer(name: str, features: Sequence[tuple[int, dict, list[np.ndarray], int]], extent: int) -> bytes:
+    """A layer in the Mapbox Vector Tile format, version 2. features: (id, properties, parts in tile pixels, shape)."""
     keys: dict[str, int] = {}
     values: dict[tuple, int] = {}
     body = []
-    for fid, props, parts in features:
-        tags, drawing, at = [], [], np.zeros(2, np.int64)
+    for fid, props, parts, shape in features:
+        tags = []
         for k, v in props.items():
             tags += [keys.setdefault(k, len(keys)), values.setdefault((type(v), v if not isinstance(v, dict | list) else json.dumps(v)), len(values))]
-        for part in parts:
-            keep = np.concatenate(([True], (np.diff(part, axis=0) != 0).any(axis=1)))
-            part = part[keep]
-            if len(part) < 2:
-                continue
-            move = part[0] - at
-            drawing += [1 << 3 | 1, _zigzag(int(move[0])), _zigzag(int(move[1])), len(part) - 1 << 3 | 2]
-            drawing += [_zigzag(int(d)) for d in np.diff(part, axis=0).ravel()]
-            at = part[-1]
-        if drawing:
-            body.append(_field(2, _field(1, fid) + _field(2, b"".join(map(_varint, tags))) + _field(3, 2) + _field(4, b"".join(map(_varint, drawing)))))
+        drawing = _commands(parts, shape)
+        if len(drawing):
+            body.append(_field(2, _field(1, fid) + _field(2, _varints(tags)) + _field(3, shape) + _field(4, _varints(drawing))))
     head = _field(15, 2) + _field(1, name.encode())
     return head + b"".join(body) + b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, _value(v)) for _, v in values) + _field(5, extent)
 
@@ -166,7 +217,7 @@ def encode(layers: pd.Series, bounds: pd.DataFrame, extent: pd.Series) -> pd.Ser
                     p = G._points(part)
                     parts.append(np.stack([(p[:, 0] - minx) / (maxx - minx) * size, (maxy - p[:, 1]) / (maxy - miny) * size], axis=1).round().astype(np.int64))
                 props = {k: v for k, v in json.loads(f["props"]).items() if v is not None}
-                features.append((int(f["fid"]), props, parts))
+                features.append((int(f["fid"]), props, parts, int(f["shape"])))
             data.append(_field(3, encode_layer(layer["layer"], features, int(size))))
         out.append(gzip.compress(b"".join(data), 6, mtime=0))
     return pd.Series(out)

@@ -12,9 +12,11 @@ from waymesh.functions.scalars import level
 from waymesh.functions.widths import draw_rank
 from waymesh.operators import graph, profile, styling, tiles
 from waymesh.operators.filters import filter_classes
-from waymesh.sources.ingest import as_edges, overlay_kind, with_ids
+from waymesh.sources.ingest import as_edges, overlay_kind, overlay_style, with_ids
 from waymesh.sources.settings import DEFAULT, Settings
 
+LABEL_ZOOM = 13  # below it names and arrows would cover the map
+
 
 @dataclass(frozen=True)
 class Network:
@@ -38,10 +40,37 @@ class Network:
     def decks(self) -> DataFrame:
         return graph.bridge_decks(self.edges, self.settings.decks, self.class_col)
 
-    def tiles(self, keep: Sequence[str] = ()) -> DataFrame:
+    def tile_layers(self, keep: Sequence[str] = ()) -> list[DataFrame]:
+        """The rows of every layer: the roads, clipped; from LABEL_ZOOM on the slots of names and arrows, whole; and each
+        overlay, whole, under its name."""
+        o = self.settings.tiles
         flat = self.edges.drop("geometry", "a", "z")
-        roads = tiles.tile_rows(flat, self.class_col, [self.class_col, *keep], self.settings.min_zoom, self.settings.tiles)
-        return tiles.build_tiles([roads], self.settings.tiles["extent"])
+        layers = [tiles.tile_rows(flat, self.class_col, [self.class_col, *keep], self.settings.min_zoom, o)]
+        late = {**o, "minzoom": max(o["minzoom"], min(LABEL_ZOOM, o["maxzoom"]))}
+        slots = self.slots().withColumn("fid", F.col("chain"))
+        for name, rows in (("names", graph.name_slots(slots)), ("arrows", graph.arrow_slots(slots))):
+            layers.append(tiles.tile_rows(rows.drop("chain"), None, options=late, layer=name, whole=True))
+        for name, df in self.overlays.items():
+            layers.append(tiles.overlay_rows(df, name, o))
+        return layers
+
+    def tiles(self, keep: Sequence[str] = ()) -> DataFrame:
+        return tiles.build_tiles(self.tile_layers(keep), self.settings.tiles["extent"])
+
+    def tile_extent(self) -> DataFrame:
+        """One row: minx, miny, maxx, maxy over the edges and all overlays, as an archive's header has it."""
+        boxes = profile.extent(self.edges)
+        for df in self.overlays.values():
+            boxes = boxes.unionByName(profile.extent(df.select(F.flatten("geometry.parts").alias("vertices"))))
+        return boxes.agg(F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"))
+
+    def overlay_styles(self) -> DataFrame | None:
+        """Each overlay's rows with their style, see ingest.overlay_style; None without overlays."""
+        rows = None
+        for i, (name, df) in enumerate(self.overlays.items()):
+            styled = overlay_style(df, name, i)
+            rows = styled if rows is None else rows.unionByName(styled)
+        return rows
 
     def sidecar(self) -> DataFrame:
         return tiles.sidecar(self.edges.drop("vertices", "a", "z"))
@@ -64,15 +93,17 @@ def build(
     styler: styling.Styler | None = None,
     options: Mapping[str, styling.Styler] | None = None,
     color_table: DataFrame | Mapping | None = None,
+    color_order: str | None = None,
     id_col: str = "edge_id",
     overlays: Mapping[str, object] | None = None,
     settings: Settings = DEFAULT,
     **read,
 ) -> Network:
-    """Read, colour by table, filter, style, derive: in this order, so that a numeric range is that of the rows shown."""
+    """Read, colour by table, filter, style, derive: in this order, so that a numeric range is that of the rows shown.
+    color_order: the column of color_table whose greatest value counts where an id has several colours."""
     df = as_edges(data, spark, class_col=class_col, **read).df
     if color_table is not None:
-        df = styling.join_colors(df, id_col, styling.color_rows(spark, color_table), order="__n" if isinstance(color_table, Mapping) else None)
+        df = styling.join_colors(df, id_col, styling.color_rows(spark, color_table), order="__n" if isinstance(color_table, Mapping) else color_order)
         styler = styler or styling.ColorTableStyler("__color", class_col)
     df = filter_classes(df, class_col, include, exclude)
     if "fid" not in df.columns:

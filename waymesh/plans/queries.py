@@ -605,10 +605,10 @@ def ingest_normalise(spark, sf):
     return table.select("fid", end(a, "x").alias("ax"), end(a, "y").alias("ay"), end(z, "x").alias("zx"), end(z, "y").alias("zy"))
 
 
-@query("SELECT fid, row_number() OVER (ORDER BY highway NULLS FIRST, fid) - 1 AS dense FROM v_edges", ("edges",))
+@query("SELECT fid, row_number() OVER (ORDER BY highway NULLS FIRST, fid) - 1 AS dense, highway, name, aadt, round(ax / 1e6, 6) AS x FROM v_edges", ("edges",))
 def dense_ids(spark, sf):
-    df = view(spark, sf, "edges").withColumnRenamed("fid", "old").select("old", "highway")
-    return ingest.with_ids(df, "highway", "old").select(F.col("old").alias("fid"), F.col("fid").alias("dense"))
+    df = ingest.with_ids(edges(spark, sf).withColumnRenamed("fid", "old"), "highway", "old")
+    return df.select(F.col("old").alias("fid"), F.col("fid").alias("dense"), "highway", "name", "aadt", _r(F.get("vertices", F.lit(0))["x"]).alias("x"))
 
 
 @query()
@@ -618,10 +618,10 @@ def geojson_features(spark, sf):
 
 @query(f", {_palette_sql()}, s AS ({_style_sql()}) {_TWOWAY}, r AS (SELECT min(aadt) AS lo, max(aadt) AS hi FROM v_edges WHERE {_BASE} NOT IN ('footway', 'cycleway')) SELECT s.fid, __rs_class, __rs_w, __rs_casing, {_ramp_sql('w.aadt', 'lo', 'hi')} AS fill, w.twoway, CAST({_RANK.replace('highway', 'w.highway').replace('bridge', 'w.bridge').replace('tunnel', 'w.tunnel').replace('layer', 'w.layer')} AS DOUBLE) AS rank FROM s JOIN w ON w.fid = s.fid, r WHERE __rs_class NOT IN ('footway', 'cycleway')", ("edges",))
 def flagship(spark, sf):
-    """Filter, class style, ramp over the rows that are left, twins, draw order: one plan, whose only shuffles are the twins'
-    aggregate and join and the one-row range."""
-    marked = graph.mark_twoway(_with_level(view(spark, sf, "edges")))
-    kept = filters.filter_classes(marked, "highway", exclude=["footway", "cycleway"])
-    fill = NumericStyler("aadt", RAMP).apply(kept).withColumnRenamed("__rs_fill", "fill").drop(*[c for c in STYLE_COLUMNS if c != "__rs_fill"], MISSING)
+    """Filter, class style, ramp over the rows that are left, twins, draw order: one plan. The range comes from the edges
+    before the twin join, so the only shuffles are the twins' aggregate and join and the one-row range."""
+    df = _with_level(view(spark, sf, "edges"))
+    kept = lambda d: filters.filter_classes(d, "highway", exclude=["footway", "cycleway"])
+    fill = NumericStyler("aadt", RAMP, range_of=kept(df)).apply(kept(graph.mark_twoway(df))).withColumnRenamed("__rs_fill", "fill").drop(*[c for c in STYLE_COLUMNS if c != "__rs_fill"], MISSING)
     styled = styling.bake(fill, ClassStyler()).withColumn("rank", widths.draw_rank(F.col("highway"), F.col("lvl")))
     return styled.select("fid", "__rs_class", _r("__rs_w").alias("__rs_w"), "__rs_casing", "fill", "twoway", "rank")

@@ -8,6 +8,8 @@ objects that are there already (dicts, Arrow tables).
 from __future__ import annotations
 
 import json
+import re
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import singledispatch
@@ -19,10 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymesh.functions import geometry as G
-from waymesh.operators.filters import drop_non_lines, drop_unusable, require
+from waymesh.operators.filters import drop_counts, drop_non_lines, drop_unusable, require
+from waymesh.session import with_dense_ids
 
 #: Names under which a geometry column is looked for, in this order.
 GEOMETRY_NAMES = ("geometry", "geom", "wkb_geometry", "wkb", "the_geom", "wkt", "shape")
+GEOGRAPHIC = frozenset({4326, 4258, 4269, 4619})  # WGS 84, ETRS89, NAD83, SWEREF 99
 GEOMETRY_TYPES = ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon", "GeometryCollection")
 
 
@@ -67,25 +71,59 @@ def decode_geometry(df: DataFrame, name: str | None = None) -> DataFrame:
 
 
 def reproject(df: DataFrame, srid: int | None) -> DataFrame:
-    """To longitude and latitude. 4326 stays as it is, 3857 has a closed form; others are refused."""
-    if srid == 4326:
+    """To longitude and latitude. 4326 and other geographic systems within a metre of it stay as they are; 3857 and the
+    zones of UTM (and national systems with UTM's projection) have closed forms; others are refused."""
+    if srid in GEOGRAPHIC:
         return df
     if srid is None:
         raise ValueError("the coordinate system is unknown; give srid=")
-    if srid != 3857:
-        raise ValueError(f"can't reproject from {srid}; only 4326 and 3857 are supported")
+    if srid == 3857:
+        back = G.from_mercator
+    elif (zone := utm_zone(srid)) is not None:
+        back = lambda v: G.from_utm(v, *zone)
+    else:
+        raise ValueError(f"can't reproject from {srid}; supported are {sorted(GEOGRAPHIC)}, 3857 and the zones of UTM (326xx, 327xx, 258xx, 269xx, 3006)")
     g = F.col("geometry")
-    return df.withColumn("geometry", F.when(g.isNotNull(), F.struct(g["gtype"].alias("gtype"), F.transform(g["parts"], G.from_mercator).alias("parts"))))
-
-
-def normalise(df: DataFrame, class_col: str | None = "highway", geometry: str | None = None, srid: int | None = 4326, rename: Mapping[str, str] | None = None, keep_non_lines: bool = False) -> EdgeTable:
+    return df.withColumn("geometry", F.when(g.isNotNull(), F.struct(g["gtype"].alias("gtype"), F.transform(g["parts"], back).alias("parts"))))
+
+
+def utm_zone(srid: int) -> tuple[float, bool] | None:
+    """(central meridian, south) of an EPSG code with UTM's projection: WGS 84, ETRS89 and NAD83 zones, and SWEREF 99 TM."""
+    if srid == 3006:
+        return 15.0, False
+    for first, last, base, south in ((32601, 32660, 32600, False), (32701, 32760, 32700, True), (25828, 25838, 25800, False), (26901, 26923, 26900, False)):
+        if first <= srid <= last:
+            return 6.0 * (srid - base) - 183.0, south
+    return None
+
+
+def check_rows(df: DataFrame, keep_non_lines: bool = False) -> dict[str, int]:
+    """How many rows there are, and how many have no usable geometry or no line; df is decoded. Warns of those that
+    normalise() will drop; a table without rows, or without any row that stays, is an error. One pass over df."""
+    n = drop_counts(df).first().asDict()
+    lost = n["unusable"] + (0 if keep_non_lines else n["non_lines"])
+    if not n["rows"]:
+        raise ValueError("the table is empty")
+    if lost == n["rows"]:
+        raise ValueError(f"none of {n['rows']} rows has a {'usable geometry' if keep_non_lines else 'line'}")
+    if n["unusable"]:
+        warnings.warn(f"{n['unusable']} of {n['rows']} rows have no usable geometry and are dropped", stacklevel=3)
+    if n["non_lines"] and not keep_non_lines:
+        warnings.warn(f"{n['non_lines']} of {n['rows']} rows are no lines and are dropped", stacklevel=3)
+    return n
+
+
+def normalise(df: DataFrame, class_col: str | None = "highway", geometry: str | None = None, srid: int | None = 4326, rename: Mapping[str, str] | None = None, keep_non_lines: bool = False, check: bool = False) -> EdgeTable:
     """Any DataFrame as an edge table: renamed, decoded, without unusable geometries and non-lines, in longitude and
-    latitude, NaN as null."""
+    latitude, NaN as null. check: rows are counted first, see check_rows(); by default nothing is computed here."""
     if rename:
         df = df.withColumnsRenamed(dict(rename))
     if class_col is not None:  # overlays have none
         require(df, class_col)
-    df = drop_unusable(decode_geometry(df, geometry))
+    df = decode_geometry(df, geometry)
+    if check:
+        check_rows(df, keep_non_lines)
+    df = drop_unusable(df)
     if not keep_non_lines:
         df = drop_non_lines(df)
     df = reproject(df, srid)
@@ -96,16 +134,8 @@ def normalise(df: DataFrame, class_col: str | None = "highway", geometry: str |
 
 
 def with_ids(df: DataFrame, *order: str) -> DataFrame:
-    """Adds fid: dense from 0 in the order of some columns. A range partitioning gives each partition its offset, so no
-    task gets all rows."""
-    from pyspark.sql import Window as W
-
-    dealt = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    w = W.partitionBy("__part").orderBy(*order)
-    local = dealt.withColumn("__n", F.row_number().over(w) - 1)
-    sizes = dealt.groupBy("__part").count()
-    before = sizes.withColumn("__before", F.coalesce(F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")
-    return local.join(F.broadcast(before), "__part").withColumn("fid", F.col("__before") + F.col("__n")).drop("__part", "__n", "__before")
+    """Adds fid: dense from 0 in the order of some columns, the rest of the row deciding ties."""
+    return with_dense_ids(df, *order)
 
 
 # -- GeoJSON --------------------------------------------------------------------------------------------------------
@@ -146,13 +176,28 @@ def geojson_features(obj) -> list[dict]:
     raise TypeError("not GeoJSON: a collection, a feature, a geometry, a list of features or a spec is expected")
 
 
-def _from_feature_rows(rows: DataFrame) -> DataFrame:
-    """rows: one feature as JSON text in value. Properties become columns, their types found in one pass."""
-    spark = rows.sparkSession
-    read = spark.read.json(rows.select(F.get_json_object("value", "$.properties").alias("v")).filter("v is not null").rdd.map(lambda r: r.v))
-    parsed = rows.select(F.from_json(F.get_json_object("value", "$.properties"), read.schema).alias("p") if read.columns else F.lit(None).alias("p"), F.get_json_object("value", "$.geometry.type").alias("t"), F.get_json_object("value", "$.geometry.coordinates").alias("c"))
+#: What a JSON value's type is read as. Numbers with decimals are doubles, and what differs from row to row is text.
+_JSON_TYPES = (("OBJECT<", "STRUCT<"), (r"DECIMAL\(\d+, ?\d+\)", "DOUBLE"), (r"\bFLOAT\b", "DOUBLE"), (r"\b(?:VOID|VARIANT)\b", "STRING"))
+
+
+def json_schema(text: Column, rows: DataFrame) -> T.StructType:
+    """The common schema of JSON objects: one aggregate, no row leaves the JVM."""
+    ddl = rows.agg(F.schema_of_variant_agg(F.try_parse_json(text))).first()[0] or "VOID"
+    for pattern, kind in _JSON_TYPES:
+        ddl = re.sub(pattern, kind, ddl)
+    kind = T.StructType.fromDDL(f"v {ddl}")["v"].dataType
+    return kind if isinstance(kind, T.StructType) else T.StructType()
+
+
+def _from_feature_rows(rows: DataFrame, properties: T.StructType | str | None = None) -> DataFrame:
+    """rows: one feature as JSON text in value. Properties become columns; properties is their schema, or it is found in a
+    pass over all rows."""
+    text = F.get_json_object("value", "$.properties")
+    schema = json_schema(text, rows) if properties is None else T.StructType.fromDDL(properties) if isinstance(properties, str) else properties
+    names = [c for c in schema.names if c != "geometry"]
+    parsed = rows.select(F.from_json(text, schema).alias("p") if names else F.lit(None).alias("p"), F.get_json_object("value", "$.geometry.type").alias("t"), F.get_json_object("value", "$.geometry.coordinates").alias("c"))
     geometry = from_geojson_geometry(F.struct(F.col("t").alias("type"), F.col("c").alias("coordinates")))
-    return parsed.select(*([F.col(f"p.`{c}`").alias(c) for c in read.columns if c != "geometry"]), geometry.alias("geometry"))
+    return parsed.select(*[F.col(f"p.`{c}`").alias(c) for c in names], geometry.alias("geometry"))
 
 
 def from_geojson(spark: SparkSession, obj, class_col: str | None = "highway", srid: int = 4326, rename: Mapping[str, str] | None = None, keep_non_lines: bool = False) -> EdgeTable:
@@ -160,15 +205,16 @@ def from_geojson(spark: SparkSession, obj, class_col: str | None = "highway", sr
     return normalise(_from_feature_rows(rows), class_col, "geometry", srid, rename, keep_non_lines)
 
 
-def read_geojson(spark: SparkSession, path: str, class_col: str = "highway", rename: Mapping[str, str] | None = None, lines: bool = False) -> EdgeTable:
-    """A GeoJSON file, or one feature a line (lines), which Spark can split."""
+def read_geojson(spark: SparkSession, path: str, class_col: str = "highway", rename: Mapping[str, str] | None = None, lines: bool = False, properties: T.StructType | str | None = None) -> EdgeTable:
+    """A GeoJSON file, or one feature a line (lines), which Spark can split. A file that isn't in lines is one row, so it
+    must be under 2 GB. properties: the schema of the features' properties, which saves the pass that finds it."""
     if lines:
         rows = spark.read.text(path).filter(F.trim("value") != "")
     else:
         text = spark.read.text(path, wholetext=True)
         one = F.coalesce(F.get_json_object("value", "$.geojson.features"), F.get_json_object("value", "$.features"), F.concat(F.lit("["), F.col("value"), F.lit("]")))
         rows = text.select(F.explode(F.from_json(one, "array<string>")).alias("value"))
-    return normalise(_from_feature_rows(rows), class_col, "geometry", 4326, rename)
+    return normalise(_from_feature_rows(rows, properties), class_col, "geometry", 4326, rename)
 
 
 def read_edges(spark: SparkSession, path: str, class_col: str = "highway", geometry: str | None = None, srid: int | None = 4326, rename: Mapping[str, str] | None = None, layer: str | None = None) -> EdgeTable:
@@ -235,3 +281,30 @@ def overlay_kind(df: DataFrame) -> DataFrame:
     order = F.col("fid") if "fid" in df.columns else F.monotonically_increasing_id()
     found = df.select(kind.alias("kind"), order.alias("at")).filter("kind is not null")
     return found.agg(F.coalesce(F.min_by("kind", "at"), F.lit("fill")).alias("kind"))
+
+
+#: How an overlay is drawn where its owner says nothing.
+OVERLAY = {"color": "#6aa9ff", "radius": 6.0, "width": 2.0, "fill": 0.15, "circle": 0.85, "line": 0.9, "outline": 0.9}
+
+
+def overlay_style(df: DataFrame, name: str, position: int = 0, color: str | None = None, opacity: float | None = None, width: float | None = None, radius: float | None = None, outline: str | None = None, kind: str | None = None, under: bool = False) -> DataFrame:
+    """(overlay, position, under, kind, color, opacity, width, radius, outline, outline_opacity, geometry) of each feature.
+    All features of an overlay are drawn alike, as its first one asks for; width is that of lines and outlines."""
+    kinds = overlay_kind(df) if kind is None else df.sparkSession.createDataFrame([(kind,)], "kind string")
+    fill = F.lit(color or OVERLAY["color"])
+    drawn = F.col("kind")
+    share = F.lit(float(opacity)) if opacity is not None else F.when(drawn == "fill", OVERLAY["fill"]).when(drawn == "circle", OVERLAY["circle"]).otherwise(OVERLAY["line"])
+    only = lambda kind, value: F.when(drawn == kind, value)
+    return df.select("geometry").crossJoin(F.broadcast(kinds)).select(
+        F.lit(name).alias("overlay"),
+        F.lit(position).alias("position"),
+        F.lit(under).alias("under"),
+        "kind",
+        fill.alias("color"),
+        share.cast("double").alias("opacity"),
+        F.when(drawn != "circle", F.lit(float(OVERLAY["width"] if width is None else width))).alias("width"),
+        only("circle", F.lit(float(OVERLAY["radius"] if radius is None else radius))).alias("radius"),
+        only("fill", F.lit(outline) if outline else fill).alias("outline"),
+        only("fill", F.lit(OVERLAY["outline"])).alias("outline_opacity"),
+        "geometry",
+    )
