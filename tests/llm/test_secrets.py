@@ -1,6 +1,10 @@
 import hashlib
+import math
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from waymesh.llm import secrets
 
@@ -75,3 +79,30 @@ def test_a_repository_of_two_owners_counts_once(spark):
     df = spark.createDataFrame([(1, value, "a", "r"), (2, value, "b", "r"), (3, value, "b", None), (4, "none", "b", "r")], DOC + ", repo string")
     got = {r.doc_id: r.spread for r in secrets.scan(df, repository_col="repo").collect()}
     assert got == {1: "0:24:2:2", 2: "0:24:2:2", 3: "0:24:2:2", 4: ""}
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    text = "token=abcdefgh " * 200_000
+    began = time.perf_counter()
+    row = secrets.scan(spark.createDataFrame([(1, text, "a")], DOC)).select("n_assign", "base_sha256").first()
+    assert row.n_assign == 200_000 and time.perf_counter() - began < 60
+    assert row.base_sha256 == hashlib.sha256(",".join(f"assign:{i * 15}:{i * 15 + 14}" for i in range(200_000)).encode()).hexdigest()
+
+
+def test_randomness(spark):
+    values = {"9f86d081884c7d659a2feaa0": True, "aB3xK9pQ7mZ2vL5w": True, "my1secretpassword1": False, "aaaa1aaaa2aaaa3aaaa4": False, "abc1abc1abc1abc1": False, "1234567890abcdef": False, "short1": False, "abcdefghijklmnopqrs": False}
+    got = spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets.looks_random(F.col("v")).alias("r"), secrets.entropy(F.col("v")).alias("h")).collect()
+    assert {r.v: r.r for r in got} == values
+    for r in got:
+        assert abs(r.h + sum(r.v.count(c) / len(r.v) * math.log2(r.v.count(c) / len(r.v)) for c in set(r.v))) < 1e-9
+
+
+def test_sql_agrees(spark, sf_dir):
+    import duckdb
+
+    from waymesh.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = sorted(map(str, con.execute(queries.ORACLE_SQL["op7_secret_ownership"]).fetchall()))
+    assert sorted(str(tuple(r)) for r in queries.op7_secret_ownership(spark, sf_dir).collect()) == want

@@ -79,6 +79,36 @@ ORACLE_SQL: dict[str, str] = {
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, t.text_sha256 FROM t JOIN g USING (text_sha256)""",
+    "op7_secret_ownership": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, source FROM documents),
+        p(kind, rank, pattern, grp) AS (VALUES
+            ('assign', 0, '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1),
+            ('access', 1, 'AKIA[A-Z0-9]{16,}', 0), ('hex', 2, '[0-9a-f]{24,}', 0)),
+        m AS (
+            SELECT r, doc_id, source, kind, rank, string_split_regex(text, pattern) AS gaps, regexp_extract_all(text, pattern, 0) AS found,
+                CASE WHEN grp = 1 THEN regexp_extract_all(text, pattern, 1) ELSE regexp_extract_all(text, pattern, 0) END AS vals
+            FROM d, p WHERE regexp_matches(text, pattern)),
+        e AS (SELECT r, doc_id, source, kind, rank, unnest(range(1, len(found) + 1)) AS i, gaps, found, vals FROM m),
+        f AS (SELECT r, doc_id, source, kind, rank, i, len(gaps[i]) AS gap, len(found[i]) AS n, vals[i] AS v FROM e),
+        g AS (SELECT r, doc_id, source, kind, rank, v, n, CAST(sum(gap + n) OVER (PARTITION BY r, rank ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM f),
+        s AS (SELECT r, doc_id, source, kind, rank, v, stop - n AS start, stop FROM g WHERE rank > 0 OR len(v) >= 6),
+        spread AS (SELECT v, count(DISTINCT coalesce('=' || source, '')) AS owners, count(DISTINCT coalesce('=' || doc_id, '')) AS repositories FROM s GROUP BY v),
+        chars AS (SELECT v, unnest(string_split(v, '')) AS c FROM spread),
+        freq AS (SELECT v, c, count(*) / len(v) AS share FROM chars GROUP BY v, c),
+        bits AS (SELECT v, -sum(share * log2(share)) AS h FROM freq GROUP BY v),
+        verdict AS (
+            SELECT v, owners, repositories, CASE WHEN owners >= 3 OR repositories >= 10 THEN 'copied'
+                WHEN owners = 1 AND len(v) >= 16 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND h >= 2.8
+                    AND NOT regexp_matches(lower(v), 'example|sample|dummy|changeme|placeholder|password|secret|your|test|qwerty|abcdef|12345')
+                    AND NOT EXISTS (SELECT 1 FROM range(1, len(v) - 2) t(k) WHERE lower(v[k:k + 3]) = repeat(lower(v[k:k]), 4)) THEN 'live' END AS verdict
+            FROM spread JOIN bits USING (v)),
+        added AS (SELECT DISTINCT r, verdict AS kind, CASE verdict WHEN 'copied' THEN 3 ELSE 4 END AS rank, start, stop FROM s JOIN verdict USING (v) WHERE verdict IS NOT NULL),
+        base AS (SELECT r, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS joined FROM s GROUP BY r),
+        spans AS (SELECT r, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) AS spans, count(*) FILTER (rank = 3) AS n_copied, count(*) FILTER (rank = 4) AS n_live FROM (SELECT r, kind, rank, start, stop FROM s UNION ALL SELECT r, kind, rank, start, stop FROM added) GROUP BY r),
+        places AS (SELECT r, string_agg(start || ':' || stop || ':' || owners || ':' || repositories, ',' ORDER BY start, stop, owners, repositories) AS spread FROM (SELECT DISTINCT r, start, stop, owners, repositories FROM s JOIN verdict USING (v)) GROUP BY r)
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(joined, '')) AS base_sha256, coalesce(spans, '') AS spans,
+            coalesce(n_copied, 0) AS n_copied, coalesce(n_live, 0) AS n_live, coalesce(spread, '') AS spread
+        FROM d LEFT JOIN base USING (r) LEFT JOIN spans USING (r) LEFT JOIN places USING (r)""",
     "op10_decontamination": r"""
         WITH dw AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
