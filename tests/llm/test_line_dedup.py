@@ -1,6 +1,8 @@
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from waymesh.llm import line_dedup
 
@@ -91,3 +93,42 @@ def test_short_lines_match_brute_force(spark, monkeypatch, few):
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, DOC).repartition(3)).collect()
     assert {(r.doc_id, n) for r in got for n in r.dropped} == want
     assert (None, 0) in want and (90, 2) in want and (90, 1) not in want
+
+
+def test_variants_hash_like_whole_lines(spark):
+    """The hash of each variant is that of the line that it is, for lengths about the block sizes."""
+    rng = random.Random(4)
+    lines = ["".join(rng.choice("abcdé\U0001f600") for _ in range(n)) for n in (16, 63, 64, 65, 66, 128, 129, 130, 192, 193, 1000, 16_384, 16_385, 16_386, 20_000)]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("p", line_dedup._code_points(F.col("line"))).withColumn("n", F.length("line"))
+    got = df.select("line", F.explode_outer(line_dedup.let(F.col("p"), lambda p: line_dedup._deletions(p, F.col("n"), F.lit(1), F.col("n")))).alias("v"))
+    wanted = [(x, i) for x in lines for i in (range(1, len(x) + 1) if len(x) < 300 else sorted({1, 2, 63, 64, 65, 127, 128, 129, len(x) // 2, len(x) - 1, len(x)}))]
+    whole = spark.createDataFrame([(x, i, x[: i - 1] + x[i:]) for x, i in wanted], "w string, i int, r string")
+    whole = whole.withColumn("p", line_dedup._code_points(F.col("r"))).select("w", "i", line_dedup._whole(F.col("p"), F.length("r")).alias("h2"))
+    both = got.join(whole, (F.col("line") == F.col("w")) & (F.col("v.pos") == F.col("i")))
+    assert both.count() == len(wanted) and both.filter("v.h <> h2").isEmpty()
+
+
+def test_very_long_lines_and_many_lines(spark):
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefghij") for _ in range(100_000))
+    other = "".join(rng.choice("abcdefghij") for _ in range(100_000))
+    many = "\n".join(["the same line again and again"] * 60_000 + ["the last line, which is its own"])
+    rows = [(1, long), (2, long[:40_000] + "Q" + long[40_001:]), (3, long[:70_000] + long[70_001:]), (4, other), (5, other[:7] + "Z" + other[7:]), (6, many)]
+    began = time.perf_counter()
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOC)).collect()}
+    assert time.perf_counter() - began < 120
+    assert {i: x[1] for i, x in got.items()} == {1: 0, 2: 1, 3: 1, 4: 0, 5: 1, 6: 59_999}
+    assert got[6][2] == "the same line again and again\nthe last line, which is its own"
+
+
+def test_within_one_edit_of_long_lines(spark):
+    rng = random.Random(6)
+    rows = []
+    for n in (257, 300, 1000):
+        a = "".join(rng.choice("abé\U0001f600") for _ in range(n))
+        for i in (0, 1, n // 2, n - 2, n - 1):
+            edits = [a[:i] + a[i + 1 :], a[:i] + "Q" + a[i + 1 :], a[:i] + "Z" + a[i:], a[:i] + "QQ" + a[i + 2 :], a[:i] + a[i + 2 :], "Z" + a[:i] + "Z" + a[i + 1 :]]
+            rows += [(a, b, within_one(a, b)) for b in edits] + [(b, a, within_one(a, b)) for b in edits]
+        rows += [(a, a, True), (a, a + "x", True), (a, a + "xy", False)]
+    df = spark.createDataFrame(rows, "a string, b string, want boolean")
+    assert df.filter(line_dedup._within_one(F.col("a"), F.col("b")) != F.col("want")).isEmpty()

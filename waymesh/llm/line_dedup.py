@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymesh.functions.geometry import let
 from waymesh.llm.common import cut, documents, same_doc, with_text_hash
 
 LEAST_CHARS = 1  # of a line that goes if the same line occurs earlier: all but empty lines
@@ -50,10 +51,78 @@ def _code_points(line: Column) -> Column:
     return F.encode(line, "UTF-32")
 
 
-def _deletions(line: Column, lo: Column, hi: Column) -> Column:
-    """array<struct<pos, h>> of the variants with the character at pos deleted, for pos from lo to hi. line: code points."""
+BLOCK = 64  # code points hashed at once, at least
+
+
+def _block_size(m: Column) -> Column:
+    """For a line of m characters: about the root of m, in whole BLOCKs, so that work on a line grows as its length to 1.5."""
+    return (F.lit(BLOCK) * F.greatest(F.lit(1), F.floor(F.sqrt(m) / BLOCK))).cast("int")
+
+
+def _blocks(m: Column, size: Column) -> Column:
+    return F.ceil(m / size).cast("int")
+
+
+def _block_hashes(points: Column, size: Column, n: Column, shift: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.xxhash64(k, F.substring(points, 4 * (k * size + shift) + 1, 4 * size)))
+
+
+def _xor(hashes: Column) -> Column:
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda h, x: h.bitwiseXOR(x))
+
+
+def _whole(points: Column, m: Column) -> Column:
+    """The hash of a line of m characters: of each block by its place, put together by exclusive or."""
+    size = _block_size(m)
+    return F.when(m <= BLOCK, F.xxhash64(F.lit(0), points)).otherwise(_xor(_block_hashes(points, size, _blocks(m, size), 0)))
+
+
+def _deletions(points: Column, n: Column, lo: Column, hi: Column) -> Column:
+    """array<struct<pos, h>> of the variants of a line of n characters with the character at pos deleted, for pos from lo to
+    hi. h is what _whole gives for the variant: the blocks before pos are the line's own, those after it are the line's
+    shifted by one, so only the block around pos is hashed for each variant. points: the line by _code_points."""
     rest = F.lit(1 << 30)
-    return F.transform(F.sequence(lo, hi), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.concat(F.substring(line, F.lit(1), 4 * (i - 1)), F.substring(line, 4 * i + 1, rest))).alias("h")))
+    m = n - 1
+    short = F.transform(F.sequence(lo, hi), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(0), F.concat(F.substring(points, F.lit(1), 4 * (i - 1)), F.substring(points, 4 * i + 1, rest))).alias("h")))
+
+    def variants(state: Column) -> Column:
+        before, after, size = state["before"], state["after"], state["size"]
+
+        def one(i: Column) -> Column:
+            b = F.floor((i - 1) / size).cast("int")
+            middle = F.concat(F.substring(points, 4 * b * size + 1, 4 * (i - 1 - b * size)), F.substring(points, 4 * i + 1, 4 * ((b + 1) * size - i + 1)))
+            own = let(middle, lambda x: F.when(F.length(x) > 0, F.xxhash64(b, x)).otherwise(F.lit(0).cast("long")))
+            return F.struct(i.alias("pos"), F.get(before, b).bitwiseXOR(own).bitwiseXOR(F.get(after, b)).alias("h"))
+
+        return F.transform(F.sequence(lo, hi), one)
+
+    size = _block_size(m)
+    count = _blocks(m, size)
+    hashes = F.struct(_block_hashes(points, size, count, 0).alias("own"), _block_hashes(points, size, count, 1).alias("moved"), count.alias("count"), size.alias("size"))
+
+    def sums(h: Column) -> Column:
+        before = F.transform(F.sequence(F.lit(0), h["count"]), lambda b: _xor(F.slice(h["own"], F.lit(1), b)))
+        after = F.transform(F.sequence(F.lit(0), h["count"]), lambda b: _xor(F.slice(h["moved"], b + 2, h["count"])))
+        return F.struct(before.alias("before"), after.alias("after"), h["size"].alias("size"))
+
+    return F.when(m <= BLOCK, short).otherwise(let(let(hashes, sums), variants))
+
+
+def _within_one(a: Column, b: Column) -> Column:
+    """Whether two lines are within one edit. For long ones, where Spark's levenshtein takes the square of their length, the
+    common beginning is found by bisection, and what follows the edit is compared."""
+    steps = F.array(*[F.lit(1 << k) for k in range(28, -1, -1)])
+
+    def after_edit(both: Column) -> Column:
+        x, y = both["x"], both["y"]  # x is no shorter than y
+        n, m = F.length(x) / 4, F.length(y) / 4
+        same = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= m) & (F.substring(x, F.lit(1), 4 * (at + step)) == F.substring(y, F.lit(1), 4 * (at + step))), at + step).otherwise(at))
+        rest = F.lit(1 << 30)
+        return let(same, lambda at: (n - m <= 1) & (F.substring(x, 4 * (at + 1) + 1, rest) == F.substring(y, 4 * (at + F.when(n == m, 1).otherwise(0)) + 1, rest)))
+
+    swap = F.length(a) < F.length(b)
+    points = F.struct(_code_points(F.when(swap, b).otherwise(a)).alias("x"), _code_points(F.when(swap, a).otherwise(b)).alias("y"))
+    return F.when(F.length(a) <= 256, F.levenshtein(a, b, 1) >= 0).otherwise(let(points, after_edit))
 
 
 def _few(keys: DataFrame) -> bool:
@@ -72,7 +141,7 @@ def _able_lines(docs: DataFrame, shared: DataFrame) -> DataFrame:
     With few keys the lines are taken as they are read. With many, only their places are shuffled, and the text of each
     distinct line that is left is fetched from the document where it comes first."""
     few = _few(shared)
-    part = _near_lines(_lines(docs)).select(F.explode(_parts(F.col("line"))).alias("p"), "key", _order().alias("at"), *(["line"] if few else []))
+    part = _near_lines(_lines(docs)).select(F.explode_outer(_parts(F.col("line"))).alias("p"), "key", _order().alias("at"), *(["line"] if few else []))
     able = part.withColumn("pk", F.col("p.k")).join(F.broadcast(shared) if few else shared, F.col("pk") == F.col("k"), "left_semi")
     span = (F.min("at").alias("first"), F.min("p.lo").alias("lo"), F.max("p.hi").alias("hi"))
     if few:
@@ -84,7 +153,7 @@ def _able_lines(docs: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    each = docs.select("doc_id", "th", F.posexplode(F.split("text", _END, -1)).alias("line_no", "line"))
+    each = docs.select("doc_id", "th", F.posexplode_outer(F.split("text", _END, -1)).alias("line_no", "line"))
     return each.filter(F.length("line") >= LEAST_CHARS).select("doc_id", "th", "line_no", "line", _hash(F.col("line")).alias("key"))
 
 
@@ -101,17 +170,19 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     within one edit. first: its first occurrence. earlier: that of the earliest line within one edit, or null."""
     every = _lines(docs)
     # What an aggregate finds is kept apart from the join that uses it, so that a hot key can be split there.
-    part = _near_lines(every).select(F.explode(_parts(F.col("line"))).alias("p"), F.col("key.h1").alias("h1"))
+    part = _near_lines(every).select(F.explode_outer(_parts(F.col("line"))).alias("p"), F.col("key.h1").alias("h1"))
     met = part.groupBy(F.col("p.k").alias("k")).agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b")
     shared = cut(met.select("k"))
     lines = cut(_able_lines(docs, shared))
 
+    # explode_outer, here and above: of a plain explode the optimiser infers a filter that computes the array once more.
     # Variants are rows of two longs until those that meet nothing are gone.
-    variants = lines.withColumn("points", _code_points(F.col("line"))).select("key", F.explode(_deletions(F.col("points"), F.col("lo"), F.col("hi"))).alias("v"))
+    lines = lines.withColumn("n", F.length("line"))
+    variants = lines.select("key", F.explode_outer(let(_code_points(F.col("line")), lambda p: _deletions(p, F.col("n"), F.col("lo"), F.col("hi")))).alias("v"))
     placed = variants.select(F.xxhash64("v.pos", "v.h").alias("vk"), F.col("v.h").alias("h"), F.col("key.h1").alias("h1"), "key")
     several = cut(placed.groupBy("vk").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select(F.col("vk").alias("k")))
     first = lines.select(F.col("key").alias("lk"), "first")
-    whole = cut(lines.select(F.xxhash64(_code_points(F.col("line"))).alias("wk"), F.col("key").alias("short"), F.col("first").alias("short_first")))
+    whole = cut(lines.select(let(_code_points(F.col("line")), lambda p: _whole(p, F.col("n"))).alias("wk"), F.col("key").alias("short"), F.col("first").alias("short_first")))
     # One more pass over the variants finds those that meet another line's variant, and those that are a whole line.
     met_keys = cut(several.unionByName(whole.select(F.col("wk").alias("k"))).distinct())
     hits = _keep_known(placed.select("key", F.explode(F.array("vk", "h")).alias("at_key")), "at_key", met_keys).distinct()
@@ -127,7 +198,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     # The partner's text is compared with the line's own.
     mine = lines.join(partner, F.col("key") == F.col("k")).filter(F.col("best") < F.col("first")).select("key", "line", "best")
     theirs = lines.select(F.col("first").alias("f"), F.col("line").alias("other"))
-    verified = cut(mine.join(theirs, F.col("best") == F.col("f")).filter(F.levenshtein("line", "other", 1) >= 0).select(F.col("key").alias("k"), "best"))
+    verified = cut(mine.join(theirs, F.col("best") == F.col("f")).filter(_within_one(F.col("line"), F.col("other"))).select(F.col("key").alias("k"), "best"))
     distinct = every.groupBy("key").agg(F.min(_order()).alias("first"), F.count("*").alias("n"))
     both = distinct.join(verified, F.col("key") == F.col("k"), "left").filter("n > 1 or best is not null")
     return cut(both.select("key", "first", F.col("best").alias("earlier")))
@@ -151,7 +222,6 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     both = docs.join(by_doc, docs.doc_id.eqNullSafe(by_doc["__id"]) & (docs.th == by_doc["__th"]), "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     lines = F.split("text", _END, -1)
-    numbered = F.arrays_zip(F.sequence(F.lit(0), F.size(lines) - 1).alias("i"), lines.alias("line"))
-    kept = F.transform(F.filter(numbered, lambda x: ~F.array_contains(dropped, x["i"])), lambda x: x["line"])
+    kept = let(lines, lambda w: F.transform(F.array_except(F.sequence(F.lit(0), F.size(w) - 1), dropped), lambda i: F.get(w, i)))
     text = F.when(F.size(dropped) == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
     return both.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(dropped).cast("long").alias("n_dropped"), dropped.alias("dropped"), text.alias("text"))
