@@ -6,7 +6,7 @@ import corpus_pipeline
 from tests.llm.test_decontaminate import brute as contamination
 from tests.llm.test_exact_dedup import brute as exact
 from tests.llm.test_packing import check_whole
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_simhash import brute_near
 from waymesh.llm.common import read
 from waymesh.llm.packing import CAPACITIES
 
@@ -34,12 +34,9 @@ def test_stages(spark, sf_dir, tmp_path):
     assert set(kept) == want and two.columns == columns
 
     three = step("near deduplication", two)
-    fps = {i: brute_fingerprint(t) for i, t in kept.items()}
-    ids = sorted(fps)
-    linked = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if bin(fps[a] ^ fps[b]).count("1") <= 4]
-    label = brute_components(ids, linked)
+    label = brute_near(kept)
     kept = texts(three)
-    assert set(kept) == {i for i in ids if label[i] == i} and three.columns == columns
+    assert set(kept) == {i for i in label if label[i] == i} and three.columns == columns
 
     four = step("benchmark decontamination", three)
     items = [(r.item_id, r.text) for r in read(spark, sf_dir, "benchmark").collect()]

@@ -116,6 +116,43 @@ def test_documents_with_odd_rows(spark):
     assert empty.collect() == [] and empty.columns == ["doc_id", "fingerprint", "component_id"]
 
 
+def brute_sketch(text, size=5):
+    """Four fingerprints of the set of words, and the sketch, as plain numbers."""
+    words = (text or "").encode().lower().split()
+    shingles = {b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)} or ({b" ".join(words)} if words else set())
+    most = lambda hashes: sum(1 << b for b in range(128) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    views = [most([xxhash.xxh3_128_intdigest(w, seed) for w in set(words)]) for seed in (0, 1)]
+    return [x for v in views for x in (v & (1 << 64) - 1, v >> 64)], most([xxhash.xxh3_128_intdigest(x, 42) for x in shingles])
+
+
+def brute_near(texts):
+    """Labels of components over texts: id -> text."""
+    made = {i: brute_sketch(t) for i, t in texts.items()}
+    linked = [(a, b) for a, b in itertools.combinations(sorted(made), 2) if (made[a][1] ^ made[b][1]).bit_count() <= simhash.SKETCH_THRESHOLD and min((x ^ y).bit_count() for x, y in zip(made[a][0], made[b][0])) <= 4]
+    return brute_components(sorted(made), linked)
+
+
+def test_near_copies_match_brute_force_and_are_found(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(900)]
+    rows, pairs = [], []
+    for k in range(60):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(120, 400))]
+        rows.append((10 * k, " ".join(words)))
+        for c in range(1, rng.randint(1, 4)):
+            changed = [rng.choice(vocabulary) if rng.random() < 0.008 else w for w in words]
+            rows.append((10 * k + c, " ".join(changed).title()))
+            grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+            if len(grams(words) & grams(changed)) >= 0.8 * len(grams(words) | grams(changed)):
+                pairs.append((10 * k, 10 * k + c))
+    rows += [(1000, None), (1001, ""), (1002, " \n"), (1003, "one two three"), (1004, "One two  three"), (1005, "other words")]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, DOC).repartition(3)).collect()}
+    assert got == brute_near(dict(rows))
+    assert all(got[i] // 10 == i // 10 for i in got if i < 1000)
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs) > 20
+    assert got[1002] == got[1001] == 1000 and got[1004] == 1003 and got[1005] == 1005
+
+
 def test_drop_near_copies(spark):
     df = spark.createDataFrame([(5, "a b c d e f"), (3, "A B C D E F"), (9, "q w e r t y u i o p")], DOC)
     assert sorted(r.doc_id for r in simhash.drop_near_copies(df).collect()) == [3, 9]
