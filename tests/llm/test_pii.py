@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import pytest
 
@@ -21,6 +22,10 @@ KEY = b"test"
         ("DE89 3704 0044 0532 0130 00", [("iban", "DE89370400440532013000")]),
         ("Mrs. Anna Ward met MR WARD", [("given/f/latin", "anna"), ("surname/latin", "ward"), ("surname/latin", "ward")]),
         ("Госпожа Анна Белова", [("given/f/cyrillic", "анна"), ("surname/cyrillic", "белова")]),
+        ("Mr Ward met us. Later Ward left; Ward's car, WARD, award, a ward", [("surname/latin", "ward")] * 4),
+        ("Dr Alexandra Smith", [("given/f/latin", "alexandra"), ("surname/latin", "smith")]),
+        ("at 2001:DB8::1 or 2001:0db8:0000:0000:0000:0000:0000:0001, a::b: c::", [("ipv6", "2001:db8::1"), ("ipv6", "2001:db8::1")]),
+        ("on 2024-01-02-03 and 02.01.2024 version 1.2.3.4", []),
         ("token = 04dbebab91ab85687d33eeaaf9ac699e1188f962, 2024, v1.2", []),
     ],
 )
@@ -48,6 +53,63 @@ def test_formats():
     assert all(0 <= int(x) < 256 for x in pii.surrogate(KEY, "ipv4", "97.51.17.173", 0).split("."))
 
 
+def test_check_digits_case_and_made_names():
+    assert pii.iban_checks("DE", "370400440532013000") == "89"
+    new = pii.surrogate(KEY, "iban", "DE89370400440532013000", 0)
+    assert new[:2] == "DE" and pii.iban_checks("DE", new[4:]) == new[2:4] and len(new) == 22 and new[4:].isdigit()
+    mail = pii.in_format("John.Smith@Example.com", "email", pii.surrogate(KEY, "email", "john.smith@example.com", 0))
+    assert [c.isupper() for c in mail] == [c.isupper() for c in "John.Smith@Example.com"]
+    assert pii.in_format("2001:DB8::1", "ipv6", "2001:db8:0:1::ab") == "2001:DB8:0:1::AB"
+    for kind, script in (("given/f/latin", "latin"), ("given/m/cyrillic", "cyrillic"), ("surname/greek", "greek")):
+        made = [pii.made_name(KEY, kind, f"name{i}", 4) for i in range(500)]
+        assert len(set(made)) > 490 and all(pii.script_of(x) == script for x in made)
+    assert pii.made_name(KEY, "surname/cyrillic", "белова", 1).endswith(("ова", "ева", "ина"))
+    assert pii.made_name(KEY, "given/f/latin", "anna", 2)[-1] == "a" and pii.made_name(KEY, "given/m/latin", "karl", 2)[-1] != "a"
+
+
+def test_a_full_format_is_solved(spark):
+    """All numbers of three digits are real, and so is one name alone in its shape."""
+    rows = [("phone", f"{i:03d}") for i in range(1000)] + [("ssn", "12"), ("card", "-")]
+    got = pii.assign(spark.createDataFrame(rows, "kind string, value string"), KEY, most_rounds=3).collect()
+    assert {(r.kind, r.value) for r in got} == set(rows) and len({(r.kind, r.new) for r in got}) == len(rows)
+    assert all(r.new != r.value for r in got) and all(len(r.new) == 3 and r.new.isdigit() for r in got if r.kind == "phone")
+
+
+def test_a_corpus_keeps_entities_apart_and_together(spark):
+    """Against a plain pass: equal entities have equal surrogates everywhere, different ones different ones; none is left."""
+    rng = random.Random(3)
+    people = [(rng.choice(["Mr", "Frau", "Dr"]), "".join(rng.choice("bdklmnrst") + rng.choice("aeiou") for _ in range(3)).title()) for _ in range(120)]
+    mails = [f"{n.lower()}{i}@x{i % 7}.example.com" for i, (_, n) in enumerate(people)]
+    phones = [f"+4930{rng.randint(1000000, 9999999)}" for _ in range(60)]
+    rows = []
+    for i in range(200):
+        said = [f"{t} {n} came" if rng.random() < 0.7 else f"{t} {n.upper()}" for t, n in rng.sample(people, 2)] + [rng.choice(mails), rng.choice(phones), rng.choice(mails).upper(), f"then {people[i % 120][1]} went"]
+        rng.shuffle(said)
+        rows.append((i, ". ".join(said)))
+    df = spark.createDataFrame([(*r, "k", 1, 2) for r in rows], DOC + ", kind string, value int, th int").repartition(3)
+    got = {r.doc_id: r for r in pii.pseudonymise(df, key=KEY).collect()}
+    known = {}
+    for i, text in rows:
+        before = pii.find(text)
+        assert got[i].n_replaced == len(before) and got[i].n_entities == len({x[2:] for x in before})
+        done = shift = 0
+        out = got[i].text
+        for (a, b, kind, value), following in zip(before, [x[0] for x in before[1:]] + [len(text)]):
+            assert out[done + shift : a + shift] == text[done:a]
+            rest = text[b : min(b + 4, following)]
+            end = out.index(rest, a + shift) if rest else len(out)
+            if kind != "email":
+                known.setdefault((kind, value), set()).add(re.sub(r"\W", "", out[a + shift : end]).lower())
+            else:
+                end = a + shift + (b - a)
+                known.setdefault((kind, value), set()).add(out[a + shift : end].lower())
+            shift, done = end - b, b
+    assert all(len(x) == 1 for x in known.values())
+    news = [(k[0], *x) for k, x in known.items()]
+    assert len(set(news)) == len(news)
+    assert not {(k[0], re.sub(r"\W", "", k[1]) if k[0] != "email" else k[1]) for k in known} & set(news)
+
+
 def test_assign_is_distinct(spark):
     rng = random.Random(1)
     rows = {("surname/latin", f"name{i}") for i in range(300)} | {("surname/latin", n) for n in pii.SURNAMES["latin"]}
