@@ -74,9 +74,9 @@ def continuations(df: DataFrame, group: Sequence[str] = ()) -> DataFrame:
 
 def _successors(df: DataFrame, group: Sequence[str], oneway: Column) -> DataFrame:
     """(h, nxt): half-edges. h is twice the fid, plus one against the edge's direction."""
-    edges = df.select(*group, "fid", "a", "z", oneway.alias("ow"))
-    forward = edges.select(*group, (2 * F.col("fid")).alias("h"), "fid", F.col("z").alias("head"), "ow")
-    backward = edges.filter(~F.col("ow")).select(*group, (2 * F.col("fid") + 1).alias("h"), "fid", F.col("a").alias("head"), "ow")
+    edges = df.select(*group, "fid", "a", "z", oneway.alias("__oneway_only"))
+    forward = edges.select(*group, (2 * F.col("fid")).alias("h"), "fid", F.col("z").alias("head"), "__oneway_only")
+    backward = edges.filter(~F.col("__oneway_only")).select(*group, (2 * F.col("fid") + 1).alias("h"), "fid", F.col("a").alias("head"), "__oneway_only")
     half = forward.unionByName(backward)
     node = continuations(df, group).withColumnsRenamed({g: f"__{g}" for g in group})
     on = F.col("head") == F.col("node")
@@ -85,7 +85,7 @@ def _successors(df: DataFrame, group: Sequence[str], oneway: Column) -> DataFram
     met = half.join(node, on, "left").withColumn("other", F.col("lo") + F.col("hi") - F.col("fid"))
     start = edges.select(F.col("fid").alias("f2"), F.col("a").alias("a2"))
     found = met.join(start, F.col("other") == F.col("f2"), "left")
-    nxt = F.when(F.col("a2") == F.col("head"), 2 * F.col("other")).when(~F.col("ow"), 2 * F.col("other") + 1)
+    nxt = F.when(F.col("a2") == F.col("head"), 2 * F.col("other")).when(~F.col("__oneway_only"), 2 * F.col("other") + 1)
     return found.select("h", nxt.alias("nxt"))
 
 

@@ -14,7 +14,7 @@ from waymesh.operators import filters, graph, profile, styling, tiles, verbs
 from waymesh.operators.styling import MISSING, STYLE_COLUMNS, CategoricalStyler, ClassStyler, ColorTableStyler, NumericStyler
 from waymesh.plans.views import edges, view, view_sql
 from waymesh.sources import ingest, palettes, sinks
-from waymesh.sources.settings import MIN_ZOOM
+from waymesh.sources.settings import DEFAULT, MIN_ZOOM
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -485,24 +485,54 @@ def chain_components(spark, sf):
     return graph.chains(view(spark, sf, "chain"), ["name"]).select("fid", "chain")
 
 
-@query()
-def chain_order(spark, sf):
-    df = view(spark, sf, "chain")
-    return graph.chains(df, ["name"], F.col("ow"))
+_HALF = """, n AS (SELECT fid, name, ow, a AS node FROM v_chain UNION ALL SELECT fid, name, ow, z FROM v_chain),
+    k AS (SELECT name, ow, node, min(fid) AS lo, max(fid) AS hi FROM n GROUP BY name, ow, node HAVING count(*) = 2 AND min(fid) <> max(fid)),
+    half AS (SELECT 2 * fid AS h, fid, z AS head, name, ow FROM v_chain UNION ALL SELECT 2 * fid + 1, fid, a, name, ow FROM v_chain WHERE NOT ow),
+    succ AS (SELECT half.h, CASE WHEN o.a = half.head THEN 2 * o.fid ELSE 2 * o.fid + 1 END AS nxt
+        FROM half JOIN k ON half.name IS NOT DISTINCT FROM k.name AND half.ow = k.ow AND half.head = k.node JOIN v_chain o ON o.fid = k.lo + k.hi - half.fid WHERE o.a = half.head OR NOT half.ow),
+    walk(h, root, pos) AS (SELECT h, h, 0 FROM half WHERE h NOT IN (SELECT nxt FROM succ) UNION ALL SELECT s.nxt, w.root, w.pos + 1 FROM walk w JOIN succ s ON s.h = w.h),
+    low AS (SELECT root, min(h) AS least FROM walk GROUP BY root)
+    SELECT h // 2 AS fid, least // 2 AS chain, CAST(pos AS BIGINT) AS pos, h % 2 = 0 AS forward FROM walk JOIN low USING (root) WHERE least % 2 = 0"""
 
 
-def _network(spark, sf):
-    return graph.mark_twoway(_with_level(edges(spark, sf)))
+@query(view_sql("chain").replace("WITH ", "WITH RECURSIVE ", 1) + _HALF)
+def chain_order(spark, sf):
+    return graph.chains(view(spark, sf, "chain"), ["name", "ow"], F.col("ow"))
 
 
-@query()
+def _network(spark, sf):
+    return graph.mark_twoway(_with_level(graph.edge_nodes(edges(spark, sf, "streets"))))
+
+
+# Streets are cut where bridges begin and end; the way back of an edge is not drawn again. Segments in metres from a chain's
+# first vertex, then slots of 100 m as sums over the segments that they overlap.
+_SLOTS = """, e AS (SELECT fid, k, j, name, highway, ax, ay, mx, my, zx, zy, CASE WHEN bridge = 'yes' THEN 1 ELSE 0 END AS lvl, CASE WHEN bridge = 'yes' THEN 1 WHEN k % 2 = 0 AND j > 4 THEN 2 ELSE 0 END AS part,
+        CASE WHEN oneway IS NOT NULL THEN oneway = 'yes' ELSE k % 5 < 2 END AS ow FROM v_streets WHERE twice = 0),
+    c AS (SELECT *, min(fid) OVER (PARTITION BY k, part) AS chain FROM e),
+    votes AS (SELECT name, lvl, ow, highway, count(*) AS n, min(fid) AS first FROM c GROUP BY ALL),
+    mode AS (SELECT name, lvl, ow, arg_max(highway, n * 1000000000 - first) AS class FROM votes GROUP BY ALL),
+    about AS (SELECT c.chain, c.name, c.ow, mode.class, ax / 1e6 AS lon0, ay / 1e6 AS lat0 FROM c JOIN mode ON c.name IS NOT DISTINCT FROM mode.name AND c.lvl = mode.lvl AND c.ow = mode.ow WHERE fid = chain),
+    seg AS (SELECT chain, j * 2 AS i, ax AS x0, ay AS y0, mx AS x1, my AS y1 FROM c UNION ALL SELECT chain, j * 2 + 1, mx, my, zx, zy FROM c),
+    loc AS (SELECT chain, i, lon0, lat0, (x0 / 1e6 - lon0) * cos(radians(lat0)) * 111320.0 AS x0, (y0 / 1e6 - lat0) * 111320.0 AS y0, (x1 / 1e6 - lon0) * cos(radians(lat0)) * 111320.0 AS x1, (y1 / 1e6 - lat0) * 111320.0 AS y1 FROM seg JOIN about USING (chain)),
+    len AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS d FROM loc),
+    run AS (SELECT *, sum(d) OVER (PARTITION BY chain ORDER BY i ROWS UNBOUNDED PRECEDING) AS stop, sum(d) OVER (PARTITION BY chain) AS total FROM len),
+    sized AS (SELECT *, stop - d AS start, greatest(1, CAST(floor(total / 100.0) AS INT) + CASE WHEN total - floor(total / 100.0) * 100.0 > 30.0 THEN 1 ELSE 0 END) AS n FROM run),
+    cut AS (SELECT *, unnest(range(n)) AS slot FROM sized),
+    piece AS (SELECT *, greatest(start, slot * 100.0) AS a, least(stop, (slot + 1) * 100.0, total) AS b FROM cut WHERE start < (slot + 1) * 100.0 AND stop > slot * 100.0),
+    slots AS (SELECT chain, slot, sum(b - a) AS metres, count(*) + 1 AS n_vertices, arg_min(x0 + (x1 - x0) * (a - start) / d, i) AS x, arg_min(y0 + (y1 - y0) * (a - start) / d, i) AS y FROM piece GROUP BY chain, slot)
+    SELECT chain, CAST(slot AS INT) AS slot, name, class, CAST(ow AS INT) AS oneway, CAST(n_vertices AS INT) AS n_vertices, round(x / (cos(radians(lat0)) * 111320.0) + lon0, 6) AS x, round(y / 111320.0 + lat0, 6) AS y
+    FROM slots JOIN about USING (chain) WHERE metres >= 20.0"""
+
+
+@query(_SLOTS, ("streets",))
 def annotation_slots(spark, sf):
-    return graph.annotation_slots(_network(spark, sf), 5000.0).drop("vertices")
+    first = F.get("vertices", F.lit(0))
+    return graph.annotation_slots(_network(spark, sf)).select("chain", "slot", "name", "class", "oneway", F.size("vertices").alias("n_vertices"), first["x"].alias("x"), first["y"].alias("y"))
 
 
 @query()
 def bridge_decks(spark, sf):
-    return graph.bridge_decks(_network(spark, sf)).drop("vertices")
+    return graph.bridge_decks(_network(spark, sf)).select("chain", "fid", "kind", "base", "height", F.size("vertices").alias("n_vertices"), F.get("vertices", F.lit(0))["x"].alias("x"), F.get("vertices", F.lit(0))["y"].alias("y"))
 
 
 @query("SELECT fid, greatest(1, CAST(floor(v / 100.0) AS INT) + CASE WHEN v - floor(v / 100.0) * 100.0 > 30.0 THEN 1 ELSE 0 END) AS slots FROM (SELECT fid, fid % 1000 + 0.5 AS v FROM v_edges)", ("edges",))
@@ -563,16 +593,18 @@ def tile_cover(spark, sf):
     return tiles.tile_cover(boxes, F.lit(10)).select("fid", "x", "y")
 
 
-@query(f", {_BOX}, zs AS (SELECT unnest([6, 7, 8]) AS z), c AS (SELECT fid, z, {_cover_sql('z')} FROM box, zs WHERE {_MINZ} <= z), t AS (SELECT z, x, unnest(range(ya, yb + 1)) AS y FROM c) SELECT CAST(z AS INT) AS z, x, y, 'roads' AS layer, count(*) AS features FROM t GROUP BY z, x, y", ("edges",))
+_STREET_BOX = "box AS (SELECT fid, highway, " + ", ".join(f"{f}({', '.join(m.format(c=p + c) for p in 'amz')}) AS {c}{i}" for c, m in (("x", _MX), ("y", _MY)) for i, f in enumerate(("least", "greatest"))) + " FROM v_streets)"
+
+
+@query(f", {_STREET_BOX}, zs AS (SELECT unnest(range(6, 16)) AS z), c AS (SELECT fid, z, {_cover_sql('z')} FROM box, zs WHERE {_MINZ} <= z), t AS (SELECT z, x, unnest(range(ya, yb + 1)) AS y FROM c) SELECT CAST(z AS INT) AS z, x, y, 'roads' AS layer, count(*) AS features FROM t GROUP BY z, x, y", ("streets",))
 def tile_feature_counts(spark, sf):
-    rows = tiles.tile_rows(edges(spark, sf), "highway", ["highway"], MIN_ZOOM, {"minzoom": 6, "maxzoom": 8, "extent": 4096, "buffer_px": 80}, whole=True)
-    return tiles.tile_counts(rows)
+    return tiles.tile_counts(tiles.tile_rows(edges(spark, sf, "streets"), "highway", ["highway"], MIN_ZOOM, DEFAULT.tiles, whole=True))
 
 
 @query()
 def tiles_encoded(spark, sf):
-    df = styling.bake(edges(spark, sf), ClassStyler())
-    rows = tiles.tile_rows(df, "highway", ["highway"], MIN_ZOOM, {"minzoom": 8, "maxzoom": 11, "extent": 4096, "buffer_px": 80})
+    df = styling.bake(edges(spark, sf, "streets"), ClassStyler())
+    rows = tiles.tile_rows(df, "highway", ["highway"], MIN_ZOOM, DEFAULT.tiles)
     return tiles.build_tiles([rows]).select("z", "x", "y", F.length("tile").alias("n_bytes"))
 
 
@@ -611,9 +643,13 @@ def dense_ids(spark, sf):
     return df.select(F.col("old").alias("fid"), F.col("fid").alias("dense"), "highway", "name", "aadt", _r(F.get("vertices", F.lit(0))["x"]).alias("x"))
 
 
-@query()
+@query(
+    f""", {_palette_sql()}, s AS ({_style_sql().replace('v_edges', 'v_streets')}) SELECT '{{"type":"Feature","properties":{{"fid":' || fid || ',"highway":' || to_json(highway) || ',"name":' || coalesce(to_json(name), 'null') || ',"__rs_fill":' || to_json(__rs_fill) || ',"__rs_casing":' || coalesce(to_json(__rs_casing), 'null')
+    || '}},"geometry":{{"type":"LineString","coordinates":[[' || ax / 1e6 || ',' || ay / 1e6 || '],[' || mx / 1e6 || ',' || my / 1e6 || '],[' || zx / 1e6 || ',' || zy / 1e6 || ']]}}}}' AS value FROM s JOIN v_streets USING (fid)""",
+    ("streets",),
+)
 def geojson_features(spark, sf):
-    return sinks.geojson_rows(styling.bake(edges(spark, sf), ClassStyler()).drop("vertices"))
+    return sinks.geojson_rows(styling.bake(edges(spark, sf, "streets"), ClassStyler()).select("fid", "highway", "name", "__rs_fill", "__rs_casing", "geometry"))
 
 
 @query(f", {_palette_sql()}, s AS ({_style_sql()}) {_TWOWAY}, r AS (SELECT min(aadt) AS lo, max(aadt) AS hi FROM v_edges WHERE {_BASE} NOT IN ('footway', 'cycleway')) SELECT s.fid, __rs_class, __rs_w, __rs_casing, {_ramp_sql('w.aadt', 'lo', 'hi')} AS fill, w.twoway, CAST({_RANK.replace('highway', 'w.highway').replace('bridge', 'w.bridge').replace('tunnel', 'w.tunnel').replace('layer', 'w.layer')} AS DOUBLE) AS rank FROM s JOIN w ON w.fid = s.fid, r WHERE __rs_class NOT IN ('footway', 'cycleway')", ("edges",))

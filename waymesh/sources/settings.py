@@ -19,6 +19,7 @@ MIN_ZOOM = {
 }
 
 
+#: The defaults.
 @dataclass(frozen=True)
 class Settings:
     fill_opacity: float = 0.9
@@ -28,7 +29,7 @@ class Settings:
     tunnel_dash: tuple[int, int] = (4, 4)
     bridge_casing: str = "#000000"
     bridge_extra: float = 1.5
-    basemap: str = "positron"
+    basemap: str = "voyager"
     slot_m: float = 100.0
     min_zoom: Mapping[str, int] = field(default_factory=lambda: dict(MIN_ZOOM))
     tiles: Mapping[str, int] = field(default_factory=lambda: {"minzoom": 6, "maxzoom": 15, "extent": 4096, "buffer_px": 80})
