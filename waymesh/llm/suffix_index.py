@@ -10,7 +10,8 @@ are small rows (hash of the anchor, hash of the piece, where it is), about one f
 3. Different pieces under one anchor go to the index: their text is fetched from the documents, dealt by the anchor,
    and each task keeps a family of suffix arrays whose sizes double. A new batch gets its suffix array, is
    merge-scanned against the levels there are for matches of LENGTH bytes, and levels of equal size merge.
-   An anchor with more than HOT different pieces is split: its windows are dealt by their own content.
+   An anchor with more than HOT different pieces is split: its windows are dealt by a hash of their content, and those
+   that share one are compared by the SHA-256 of their bytes.
 4. Repeated windows return to the documents by a join on the piece; a document's text and its ranges meet by id.
 """
 
@@ -31,7 +32,7 @@ from waymesh.llm.common import cut, documents, id_type, same_doc, with_text_hash
 
 LENGTH = 200
 KGRAM = 32
-HOT = 20_000
+HOT = 512
 CHUNK = 1 << 19
 BATCH = 1 << 15  # windows in the smallest level of an index
 FAMILY = 1 << 16  # windows beyond which an index is closed at the next change of the anchor
@@ -237,16 +238,25 @@ def _indexer(length: int, most: int = FAMILY):
 
 
 def _window_hashes(length: int):
-    """Each window of a piece by two hashes of its content."""
-    other = Hasher(203)
+    """Each window of a piece by a hash of its content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for anchor, piece, data in zip(*(batch.column(c).to_pylist() for c in ("anchor", "piece", "data"))):
-                buffer = np.frombuffer(data, np.uint8)
-                h1, h2 = (h.grams(h.prefix(buffer), length).view(np.int64) for h in (_PIECE, other))
-                n = len(h1)
-                yield pa.record_batch([pa.array(np.full(n, anchor)), pa.array(np.full(n, piece)), pa.array(np.arange(n)), pa.array(h1), pa.array(h2)], ["anchor", "piece", "lo", "h1", "h2"])
+                h = _PIECE.grams(_PIECE.prefix(np.frombuffer(data, np.uint8)), length).view(np.int64)
+                yield pa.record_batch([pa.array(np.full(len(h), anchor)), pa.array(np.full(len(h), piece)), pa.array(np.arange(len(h))), pa.array(h)], ["anchor", "piece", "lo", "h"])
+
+    return run
+
+
+def _window_digests(length: int):
+    """Some windows of a piece by the SHA-256 of their bytes. los: where they start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for anchor, piece, data, los in zip(*(batch.column(c).to_pylist() for c in ("anchor", "piece", "data", "los"))):
+                digests = [hashlib.sha256(data[lo : lo + length]).digest() for lo in los]
+                yield pa.record_batch([pa.array(np.full(len(los), anchor)), pa.array(np.full(len(los), piece)), pa.array(los, pa.int64()), pa.array(digests, pa.binary())], ["anchor", "piece", "lo", "digest"])
 
     return run
 
@@ -297,9 +307,13 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", length: int = LENGT
     texts = cut(docs.join(wanted, same_doc(docs, wanted)).select("text", "wanted").mapInArrow(_fetcher(), "anchor long, piece long, hot boolean, data binary"))
     cold = texts.filter(~F.col("hot")).select("anchor", "piece", "data").repartition("anchor").sortWithinPartitions("anchor", "piece")
     ranges = cold.mapInArrow(_indexer(length), "anchor long, piece long, lo long, hi long")
-    windows = texts.filter("hot").select("anchor", "piece", "data").mapInArrow(_window_hashes(length), "anchor long, piece long, lo long, h1 long, h2 long")
-    twice = cut(windows.groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.count("*").alias("c")).filter("c > 1").select("g1", "g2"))
-    hot_ranges = windows.join(twice, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left_semi").select("anchor", "piece", "lo", (F.col("lo") + 1).alias("hi"))
+    hot_texts = texts.filter("hot").select("anchor", "piece", "data")
+    windows = hot_texts.mapInArrow(_window_hashes(length), "anchor long, piece long, lo long, h long")
+    met = cut(windows.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("c")).filter("c > 1").select("g"))
+    places = windows.join(met, F.col("h") == F.col("g"), "left_semi").groupBy(F.col("anchor").alias("a"), F.col("piece").alias("p")).agg(F.collect_list("lo").alias("los"))  # at most one for each offset in a piece
+    digests = cut(hot_texts.join(places, (F.col("anchor") == F.col("a")) & (F.col("piece") == F.col("p"))).select("anchor", "piece", "data", "los").mapInArrow(_window_digests(length), "anchor long, piece long, lo long, digest binary"))
+    twice = cut(digests.groupBy(F.col("digest").alias("g")).agg(F.count("*").alias("c")).filter("c > 1").select("g"))
+    hot_ranges = digests.join(twice, F.col("digest") == F.col("g"), "left_semi").select("anchor", "piece", "lo", (F.col("lo") + 1).alias("hi"))
     found = whole.unionByName(ranges).unionByName(hot_ranges).select(F.col("anchor").alias("a"), F.col("piece").alias("p"), "lo", "hi")
     spans = rows.join(found, (F.col("anchor") == F.col("a")) & (F.col("piece") == F.col("p"))).select("doc_id", "th", F.struct((F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi") - 1 + length).alias("b")).alias("r"))
     return spans.groupBy("doc_id", "th").agg(F.collect_list("r").alias("ranges"))
