@@ -22,10 +22,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).filter("u != v").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges: (u, v) of long. One row for each node of an edge that isn't its component's least: u, v the least node.
 
-    The rounds grow with the logarithm of the nodes; each is written to the shared folder, so the plan stays short and
+    The rounds grow with the logarithm of the nodes, and go on until nothing changes; each is written to the shared folder, so the plan stays short and
     survives lost executors. Nothing but the edge count and a checksum comes to the driver. Loops and repeated edges are
     allowed; no edges give no rows.
     """
@@ -34,10 +34,9 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     before = state(now)
     if not before[0]:
         return now
-    for _ in range(most_rounds):
+    while True:
         now = cut(_small_star(cut(_large_star(now))))
         after = state(now)
         if after == before:
             return now
         before = after
-    raise RuntimeError("components did not settle")
