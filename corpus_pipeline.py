@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from waymesh.llm import decontaminate, exact_dedup, language_id, packing, simhash
-from waymesh.llm.common import fresh_path, read
+from waymesh.llm.common import fresh_path, read, remove_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates that with the smallest id stays."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) that with the smallest id stays."""
     return simhash.drop_near_copies(docs)
 
 
@@ -51,11 +51,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The packed sequences. What a stage kept is written to the shared folder, and goes once the next stage has written; that
+    of the last but one stays, as the result reads it."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             path = fresh_path(spark, "pipeline")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before is not None:
+                remove_folder(spark, before)
+            before = path
     return docs

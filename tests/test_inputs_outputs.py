@@ -310,6 +310,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert [r.highway for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["primary"]
     for kind in ("geojsonl", "spec", "tiles"):
         assert cli.main([source, str(tmp_path / kind), "-f", kind], spark) == 0
+    styled = [source, str(tmp_path / "one"), "-f", "geojson", "--color-by", "highway", "--colors", '{"primary": "#010203"}']
+    assert cli.main(styled, spark) == 0
+    one = sinks.load_spec(spark, str(tmp_path / "one"))
+    assert one["type"] == "FeatureCollection" and {f["properties"]["highway"]: f["properties"]["__rs_fill"] for f in one["features"]} == {"primary": "#010203", "service": "#cccccc"}
+    numbers = [source, str(tmp_path / "wide"), "-f", "spec", "--color-by", "aadt", "--cmap", "YlOrRd_09", "--width-by", "1", "5", "--basemap", "satellite", "--tooltip", "aadt"]
+    assert cli.main(numbers, spark) == 0
+    wide = sinks.load_spec(spark, str(tmp_path / "wide"))
+    assert wide["basemap"]["key"] == "satellite" and wide["tooltip"] == ["aadt"] and sorted(f["properties"]["__rs_w"] for f in wide["geojson"]["features"]) == [1.0, 5.0]
     assert cli.main([source, str(tmp_path / "x"), "--class-col", "nope"], spark) == 2 and "nope" in capsys.readouterr().err
 
 

@@ -530,7 +530,35 @@ def annotation_slots(spark, sf):
     return graph.annotation_slots(_network(spark, sf)).select("chain", "slot", "name", "class", "oneway", F.size("vertices").alias("n_vertices"), first["x"].alias("x"), first["y"].alias("y"))
 
 
-@query()
+def _decks_sql() -> str:
+    """Bridges of the streets: slices every 2.5 m on the 40 m at either end and between edges on the level part; then the
+    ribbon of each side and the two rims, each by its first corner."""
+    d = DEFAULT.decks
+    width = _case("class", {c: widths.width_at(widths.GROUP[c], d["match_zoom"]) for c in ("residential", "primary", "tertiary", "motorway")}, 0)
+    ramp, step = d["ramp_m"], d["step_m"]
+    return f""", e AS (SELECT fid, k, j, highway AS class, k % 5 >= 2 AS two, ax, ay, mx, my, zx, zy, min(fid) OVER (PARTITION BY k) AS chain FROM v_streets WHERE twice = 0 AND bridge = 'yes'),
+        about AS (SELECT chain, ax / 1e6 AS lon0, ay / 1e6 AS lat0, cos(radians(ay / 1e6)) * 111320.0 AS kx, {G.PIXEL_M} * cos(radians(ay / 1e6)) / pow(2, {d['match_zoom']}) AS pixel FROM e WHERE fid = chain),
+        seg AS (SELECT chain, fid, two, class, j * 2 AS i, ax AS x0, ay AS y0, mx AS x1, my AS y1 FROM e UNION ALL SELECT chain, fid, two, class, j * 2 + 1, mx, my, zx, zy FROM e),
+        loc AS (SELECT chain, fid, two, class, i, (x0 / 1e6 - lon0) * kx AS x0, (y0 / 1e6 - lat0) * 111320.0 AS y0, (x1 / 1e6 - lon0) * kx AS x1, (y1 / 1e6 - lat0) * 111320.0 AS y1 FROM seg JOIN about USING (chain)),
+        len AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS d FROM loc),
+        run AS (SELECT *, sum(d) OVER (PARTITION BY chain ORDER BY i ROWS UNBOUNDED PRECEDING) AS stop, sum(d) OVER (PARTITION BY chain) AS total FROM len),
+        ends AS (SELECT chain, fid, any_value(total) AS total, max(stop) AS e FROM run GROUP BY chain, fid),
+        cuts AS (SELECT DISTINCT chain, v FROM (
+            SELECT chain, unnest([0.0, total, {ramp}, total - {ramp}]) AS v FROM ends UNION ALL SELECT chain, unnest(range(1, {int(ramp / step)})) * {step} FROM ends
+            UNION ALL SELECT chain, total - unnest(range(1, {int(ramp / step)})) * {step} FROM ends UNION ALL SELECT chain, e FROM ends WHERE e > {ramp} AND e < total - {ramp})),
+        slices AS (SELECT chain, v AS a, lead(v) OVER (PARTITION BY chain ORDER BY v) AS b FROM cuts),
+        placed AS (SELECT s.chain, a, b, r.fid, r.two, r.class, least((a + b) / 2 / {ramp}, (total - (a + b) / 2) / {ramp}, 1.0) AS u FROM slices s JOIN run r ON r.chain = s.chain AND (a + b) / 2 > r.stop - r.d AND (a + b) / 2 <= r.stop WHERE b - a > 1e-9),
+        corner AS (SELECT p.*, r.x0 + (r.x1 - r.x0) * (a - (r.stop - r.d)) / r.d AS px, r.y0 + (r.y1 - r.y0) * (a - (r.stop - r.d)) / r.d AS py, -(r.y1 - r.y0) / r.d AS nx, (r.x1 - r.x0) / r.d AS ny
+            FROM placed p JOIN run r ON r.chain = p.chain AND a + 1e-6 > r.stop - r.d AND a + 1e-6 <= r.stop),
+        bends AS (SELECT p.chain, a, count(r.stop) AS n FROM placed p LEFT JOIN run r ON r.chain = p.chain AND r.stop > a + 1e-6 AND r.stop < b - 1e-6 GROUP BY p.chain, a),
+        sized AS (SELECT f.*, n, {d['base_m']} * u * u * (3 - 2 * u) AS base, greatest({width} * pixel / 2, 2.0) * {d['width_scale']} AS half, {d['casing_px']} * pixel AS rim, kx, lon0, lat0 FROM corner f JOIN bends USING (chain, a) JOIN about USING (chain)),
+        parts AS (
+            SELECT *, CASE WHEN two AND side > 0 THEN fid + 1 ELSE fid END AS owner, 'deck' AS kind, base AS low, base + {d['thickness_m']} AS high, CASE WHEN two THEN side * half / 2 + half / 2 ELSE half END AS shift FROM sized, (VALUES (-1.0), (1.0)) t(side) WHERE two OR side > 0
+            UNION ALL SELECT *, fid, 'casing', greatest(base - 0.5, 0.0), base + {d['thickness_m']} * 0.35, side * (half + rim / 2) + rim / 2 FROM sized, (VALUES (-1.0), (1.0)) t(side))
+        SELECT chain, owner AS fid, kind, round(low, 2) AS base, round(high, 2) AS height, CAST(2 * (n + 2) + 1 AS INT) AS n_vertices, round((px + nx * shift) / kx + lon0, 6) AS x, round((py + ny * shift) / 111320.0 + lat0, 6) AS y FROM parts"""
+
+
+@query(_decks_sql(), ("streets",))
 def bridge_decks(spark, sf):
     return graph.bridge_decks(_network(spark, sf)).select("chain", "fid", "kind", "base", "height", F.size("vertices").alias("n_vertices"), F.get("vertices", F.lit(0))["x"].alias("x"), F.get("vertices", F.lit(0))["y"].alias("y"))
 
