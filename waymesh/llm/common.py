@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from waymesh.session import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode;
-    on a cluster it is an error, as executors would not see each other's files."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if conf is None and sc.getCheckpointDir() is None and not (sc.master == "local" or sc.master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="waymesh-checkpoint-"))
-    return (conf or sc.getCheckpointDir()).rstrip("/")
+__all__ = ["column", "cut", "documents", "fresh_path", "id_type", "read", "remove_folder", "same_doc", "shared_dir", "with_text_hash"]
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
@@ -32,12 +23,6 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def column(df: DataFrame, name: str, dtype: str) -> Column:
     """The column as dtype. A missing column counts as all null."""
     return df[name].cast(dtype) if name in df.columns else F.lit(None).cast(dtype)
