@@ -78,7 +78,8 @@ _SPELLED = sorted({x for titles in TITLES.values() for t in titles for x in (t,
 _GENDER = {t.lower(): g for g, titles in TITLES.items() for t in titles}
 _HEX = "0123456789abcdef"
 _WORD = re.compile(r"[\w'’-]+")
-_DATE = re.compile(r"(?:19|20)\d\d[-./ ](?:0?[1-9]|1[0-2])[-./ ](?:0?[1-9]|[12]\d|3[01])(?!\d)|(?:0?[1-9]|[12]\d|3[01])[-./ ](?:0?[1-9]|1[0-2])[-./ ](?:19|20)\d\d(?!\d)")
+_MONTH, _DAY = r"(?:0?[1-9]|1[0-2])", r"(?:0?[1-9]|[12]\d|3[01])"
+_DATE = re.compile(rf"(?:(?:19|20)\d\d[-./ ]{_MONTH}[-./ ]{_DAY}|{_DAY}[-./ ]{_MONTH}[-./ ](?:19|20)\d\d)(?:[-. ]\d{{1,2}}){{0,3}}")
 _VERSION = re.compile(r"(?i)\b(?:version|release|build|firmware|chapter|section)\s*$")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERN = re.compile(
@@ -159,7 +160,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 out.append((at, m.end(), kind, ".".join(str(int(x)) for x in raw.split("."))))
         else:
             digits = re.sub(r"\D", "", raw)
-            if kind == "phone" and (not 7 <= len(digits) <= 15 or _DATE.match(raw)):
+            if kind == "phone" and (not 7 <= len(digits) <= 15 or _DATE.fullmatch(raw)):
                 continue
             out.append((at, m.end(), kind, digits))
     names: dict[str, str] = {}
