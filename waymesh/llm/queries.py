@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymesh.llm import decontaminate, exact_dedup, language_id, line_dedup, packing, pii, secrets, simhash, suffix_index, warc
+from waymesh.llm import decontaminate, exact_dedup, language_id, line_dedup, packing, pii, secrets, simhash, suffix_index, token_files, warc
 from waymesh.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.round_trip(spark, read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), words_apart=True)
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -65,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_suffix_array": op9_suffix_array,
     "op10_decontamination": op10_decontamination,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
