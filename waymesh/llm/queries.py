@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymesh.llm import conversations, decontaminate, exact_dedup, language_id, line_dedup, packing, pii, secrets, simhash, suffix_index, token_files, warc
+from waymesh.llm import conversations, decontaminate, exact_dedup, language_id, line_dedup, packing, pii, resample, secrets, simhash, suffix_index, token_files, warc
 from waymesh.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.diagnose(conversations.damage(read(spark, sf_dir, "conversations")))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.importance(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op9_suffix_array": op9_suffix_array,
     "op10_decontamination": op10_decontamination,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_importance_resampling": op12_importance_resampling,
     "op13_token_files": op13_token_files,
 }
 
@@ -143,4 +149,5 @@ ORACLE_SQL: dict[str, str] = {
             coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM dw LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)""",
     "op11_conversation_repair": conversations.SQL,
+    "op12_importance_resampling": resample.SQL,
 }
