@@ -1,6 +1,6 @@
 """Command line: style an edge file and write it.
 
-    spark-submit -m waymesh.cli IN OUT --format geojsonl|geojson|spec|parquet|tiles [--class-col C] [--palette P] ...
+    spark-submit -m waymesh.cli IN OUT --format geojsonl|geojson|spec|parquet|tiles|pmtiles [--class-col C] [--palette P] ...
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="waymesh")
     p.add_argument("input")
     p.add_argument("output")
-    p.add_argument("-f", "--format", choices=("geojsonl", "geojson", "spec", "parquet", "tiles"), default="parquet", help="geojsonl: one feature a line, of any size; geojson and spec: one document")
+    p.add_argument("-f", "--format", choices=("geojsonl", "geojson", "spec", "parquet", "tiles", "pmtiles"), default="parquet", help="geojsonl: one feature a line, of any size; geojson and spec: one document; tiles: a table; pmtiles: one file")
     p.add_argument("--class-col", default="highway")
     p.add_argument("--palette", default="highsat", help=f"{', '.join(PALETTES)} or a JSON file")
     p.add_argument("--color-by")
@@ -60,11 +60,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         write_geojson_lines(styled, a.output)
     elif a.format == "geojson":
         save_spec(spark, to_geojson(styled), a.output)
-    elif a.format == "tiles":
+    elif a.format in ("tiles", "pmtiles"):
         from waymesh.operators.tiles import build_tiles, tile_rows
+        from waymesh.sources.archive import write_archive
 
         rows = tile_rows(styled if "fid" in styled.columns else with_ids(styled, a.class_col, "vertices"), a.class_col, [a.class_col])
-        write_tiles(build_tiles([rows]), a.output)
+        (write_tiles if a.format == "tiles" else write_archive)(build_tiles([rows]), a.output)
     else:
         styled.drop("vertices").write.mode("overwrite").parquet(a.output)
     return 0

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import gzip
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -221,3 +222,110 @@ def encode(layers: pd.Series, bounds: pd.DataFrame, extent: pd.Series) -> pd.Ser
             data.append(_field(3, encode_layer(layer["layer"], features, int(size))))
         out.append(gzip.compress(b"".join(data), 6, mtime=0))
     return pd.Series(out)
+
+
+# -- decoding -------------------------------------------------------------------------------------------------------
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
+    """(number, value) of each field of a message."""
+
+    def varint() -> int:
+        nonlocal at
+        n = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            n |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return n
+
+    at = 0
+    while at < len(data):
+        key = varint()
+        size = {1: 8, 5: 4}.get(key & 7)
+        if size is None:
+            value = varint()
+            if key & 7 == 0:
+                yield key >> 3, value
+                continue
+            size = value
+        yield key >> 3, data[at : at + size]
+        at += size
+
+
+def _read_varints(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.int64)
+    ends = np.flatnonzero(raw < 128)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    shift = (np.arange(len(raw)) - np.repeat(starts, ends - starts + 1)) * 7
+    return np.add.reduceat((raw & 127).astype(np.int64) << shift, starts)
+
+
+def _read_value(data: bytes):
+    number, v = next(_fields(data))
+    if number == 1:
+        return v.decode()
+    if number in (2, 3):
+        return float(np.frombuffer(v, "<f4" if number == 2 else "<f8")[0])
+    return bool(v) if number == 7 else (v >> 1) ^ -(v & 1) if number == 6 else v
+
+
+def _drawn(commands: np.ndarray, shape: int) -> list[list[dict[str, int]]]:
+    """The parts of a drawing, in tile pixels; rings end where they begin."""
+    parts: list[list[dict[str, int]]] = []
+    i = x = y = 0
+    while i < len(commands):
+        command, times = int(commands[i]) & 7, int(commands[i]) >> 3
+        i += 1
+        if command == 7:
+            parts[-1].append(parts[-1][0])
+            continue
+        for _ in range(times):
+            x += int(commands[i] >> 1) ^ -int(commands[i] & 1)
+            y += int(commands[i + 1] >> 1) ^ -int(commands[i + 1] & 1)
+            i += 2
+            if command == 1 and (shape != 1 or not parts):
+                parts.append([])
+            parts[-1].append({"x": x, "y": y})
+    return parts
+
+
+def decode_tile(tile: bytes) -> list[dict]:
+    """The features of a gzipped vector tile: layer, extent, fid, props (JSON text), shape and parts."""
+    out = []
+    for _, layer in _fields(gzip.decompress(tile)):
+        found: dict[int, list] = {}
+        for number, value in _fields(layer):
+            found.setdefault(number, []).append(value)
+        name, extent = found[1][0].decode(), found.get(5, [4096])[0]
+        keys, values = [k.decode() for k in found.get(3, [])], [_read_value(v) for v in found.get(4, [])]
+        for feature in found.get(2, []):
+            f = dict(_fields(feature))
+            tags = _read_varints(f.get(2, b"")).tolist()
+            props = {keys[k]: values[v] for k, v in zip(tags[::2], tags[1::2])}
+            out.append({"layer": name, "extent": extent, "fid": f.get(1, 0), "props": json.dumps(props, ensure_ascii=False), "shape": f.get(3, 0), "parts": _drawn(_read_varints(f.get(4, b"")), f.get(3, 0))})
+    return out
+
+
+_FEATURE_FIELDS = "layer string, extent int, fid bigint, props string, shape int, parts array<array<struct<x:int,y:int>>>"
+_POINTS = pa.list_(pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())])))
+_FEATURE_KINDS = {"layer": pa.string(), "extent": pa.int32(), "fid": pa.int64(), "props": pa.string(), "shape": pa.int32(), "parts": _POINTS}
+
+
+def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, tile in enumerate(batch.column("tile")):
+            features = decode_tile(tile.as_py())
+            where = [pa.array([batch.column(c)[i].as_py()] * len(features), batch.column(c).type) for c in "zxy"]
+            yield pa.record_batch([*where, *(pa.array([f[name] for f in features], kind) for name, kind in _FEATURE_KINDS.items())], ["z", "x", "y", *_FEATURE_KINDS])
+
+
+def tile_features(tiles: DataFrame) -> DataFrame:
+    """(z, x, y, layer, extent, fid, props, shape, parts): a row for each feature of gzipped vector tiles (z, x, y, tile). parts are
+    in pixels of the tile, from its north-western corner. Layers without features give no rows."""
+    rows = tiles.filter("tile is not null").select(F.col("z").cast("int").alias("z"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "tile")
+    return rows.mapInArrow(_decode_batches, f"z int, x long, y long, {_FEATURE_FIELDS}")

@@ -13,7 +13,7 @@ from waymesh.functions import widths
 from waymesh.operators import filters, graph, profile, styling, tiles, verbs
 from waymesh.operators.styling import MISSING, STYLE_COLUMNS, CategoricalStyler, ClassStyler, ColorTableStyler, NumericStyler
 from waymesh.plans.views import edges, view, view_sql
-from waymesh.sources import ingest, palettes, sinks
+from waymesh.sources import archive, ingest, palettes, sinks
 from waymesh.sources.settings import DEFAULT, MIN_ZOOM
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -629,6 +629,14 @@ def tile_feature_counts(spark, sf):
     return tiles.tile_counts(tiles.tile_rows(edges(spark, sf, "streets"), "highway", ["highway"], MIN_ZOOM, DEFAULT.tiles, whole=True))
 
 
+@query(ORACLE["tile_feature_counts"])
+def tiles_archive(spark, sf):
+    """All tiles of the streets in one archive, counted again as the archive is read."""
+    df = edges(spark, sf, "streets").select("fid", "highway", "vertices")
+    built = tiles.build_tiles([tiles.tile_rows(df, "highway", ["highway"], MIN_ZOOM, DEFAULT.tiles, whole=True)])
+    return archive.round_trip(built, lambda read: tiles.tile_features(read).groupBy("z", "x", "y", "layer").agg(F.count("*").alias("features")))
+
+
 @query()
 def tiles_encoded(spark, sf):
     df = styling.bake(edges(spark, sf, "streets"), ClassStyler())
