@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,8 @@ from waymesh.functions import widths
 from waymesh.operators import filters, graph, profile, styling, tiles, verbs
 from waymesh.operators.styling import MISSING, STYLE_COLUMNS, CategoricalStyler, ClassStyler, ColorTableStyler, NumericStyler
 from waymesh.plans.views import edges, view, view_sql
-from waymesh.sources import archive, ingest, palettes, sinks
+from waymesh.session import cut, shared_dir
+from waymesh.sources import archive, files, ingest, palettes, shapefile, sinks
 from waymesh.sources.settings import DEFAULT, MIN_ZOOM
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -673,6 +675,18 @@ def ingest_normalise(spark, sf):
     return table.select("fid", end(a, "x").alias("ax"), end(a, "y").alias("ay"), end(z, "x").alias("zx"), end(z, "y").alias("zy"))
 
 
+@query("SELECT fid, highway, name, k, fid * 0.25e0 AS quarter, ax, ay, mx, my, zx, zy FROM v_streets WHERE fid % 10 <> 3", ("streets",))
+def ingest_shapefile(spark, sf):
+    """The streets as shapefiles, every tenth row with a null shape, read back by ranges of records."""
+    folder = f"{shared_dir(spark)}/shapes-{uuid.uuid4().hex}"
+    df = edges(spark, sf, "streets").select("fid", "highway", "name", "k", (F.col("fid") * F.lit(0.25)).alias("quarter"), F.when(F.col("fid") % 10 != 3, F.col("geometry")).alias("geometry"))
+    shapefile.write_shapefiles(df, folder)
+    table = cut(shapefile.read_shapefile(spark, folder).df)
+    files.remove(folder)
+    corner = lambda i, f: G.node_key(F.get("vertices", F.lit(i))[f])
+    return table.select("fid", "highway", "name", "k", "quarter", *[corner(i, f).alias(p + f) for i, p in enumerate("amz") for f in "xy"])
+
+
 @query("SELECT fid, row_number() OVER (ORDER BY highway NULLS FIRST, fid) - 1 AS dense, highway, name, aadt, round(ax / 1e6, 6) AS x FROM v_edges", ("edges",))
 def dense_ids(spark, sf):
     df = ingest.with_ids(edges(spark, sf).withColumnRenamed("fid", "old"), "highway", "old")

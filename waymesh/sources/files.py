@@ -28,3 +28,9 @@ def listed(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 def sibling(path: str, ending: str) -> str:
     """The path with another ending."""
     return posixpath.splitext(path)[0] + ending
+
+
+def remove(folder: str) -> None:
+    """Deletes a folder of intermediate files."""
+    store, path = store_of(folder)
+    store.delete_dir(path)

@@ -218,8 +218,13 @@ def read_geojson(spark: SparkSession, path: str, class_col: str = "highway", ren
 
 
 def read_edges(spark: SparkSession, path: str, class_col: str = "highway", geometry: str | None = None, srid: int | None = 4326, rename: Mapping[str, str] | None = None, layer: str | None = None) -> EdgeTable:
-    """A file or folder by its ending: parquet, orc, csv, json lines, GeoJSON or GeoPackage (with a layer)."""
+    """A file or folder by its ending: parquet, orc, csv, json lines, GeoJSON, shapefile or GeoPackage (with a layer). The latter
+    two say which coordinate system they are in."""
     end = path.rstrip("/").rpartition(".")[2].lower()
+    if end == "shp":
+        from waymesh.sources.shapefile import read_shapefile
+
+        return read_shapefile(spark, path, class_col, rename=rename)
     if end == "gpkg":
         from waymesh.sources.geopackage import read_geopackage
 
