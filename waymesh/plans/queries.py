@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from waymesh.functions import geometry as G
 from waymesh.functions import scalars as S
 from waymesh.functions import widths
-from waymesh.operators import filters, graph, profile, styling, tiles, verbs
+from waymesh.operators import clicks, filters, graph, profile, styling, tiles, verbs
 from waymesh.operators.styling import MISSING, STYLE_COLUMNS, CategoricalStyler, ClassStyler, ColorTableStyler, NumericStyler
 from waymesh.plans.views import edges, view, view_sql
 from waymesh.session import cut, shared_dir
@@ -405,6 +405,56 @@ def hit_test(spark, sf):
     return verbs.hit_test(areas, points, cell=0.05).select("area_id", "fid")
 
 
+# Clicks beside the streets, two for each of their edges, some off their reach.
+_CLICKS = "clicks AS (SELECT fid AS click_id, mx + (fid % 5 - 2) * 60 AS cx, my + (fid % 7 - 3) * 60 AS cy FROM v_streets)"
+_NEAREST = f""", {_CLICKS}, seg AS (SELECT fid, ax / 1e6 AS px, ay / 1e6 AS py, mx / 1e6 AS qx, my / 1e6 AS qy FROM v_streets UNION ALL SELECT fid, mx / 1e6, my / 1e6, zx / 1e6, zy / 1e6 FROM v_streets),
+    cell AS (SELECT *, unnest(range(CAST(floor((least(px, qx) - 0.0005) / 0.01) AS BIGINT), CAST(floor((greatest(px, qx) + 0.0005) / 0.01) AS BIGINT) + 1)) AS gx FROM seg),
+    grid AS (SELECT *, unnest(range(CAST(floor((least(py, qy) - 0.0005) / 0.01) AS BIGINT), CAST(floor((greatest(py, qy) + 0.0005) / 0.01) AS BIGINT) + 1)) AS gy FROM cell),
+    pin AS (SELECT click_id, cx / 1e6 AS x, cy / 1e6 AS y, CAST(floor(cx / 1e6 / 0.01) AS BIGINT) AS gx, CAST(floor(cy / 1e6 / 0.01) AS BIGINT) AS gy FROM clicks),
+    flat AS (SELECT click_id, fid, (px - x) * cos(radians(y)) * 111320.0 AS x0, (py - y) * 111320.0 AS y0, (qx - x) * cos(radians(y)) * 111320.0 AS x1, (qy - y) * 111320.0 AS y1 FROM pin JOIN grid USING (gx, gy)),
+    foot AS (SELECT *, least(greatest(-(x0 * (x1 - x0) + y0 * (y1 - y0)) / ((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)), 0.0), 1.0) AS t FROM flat),
+    dist AS (SELECT click_id, fid, sqrt(pow(x0 + t * (x1 - x0), 2) + pow(y0 + t * (y1 - y0), 2)) AS d FROM foot),
+    road AS (SELECT click_id, arg_min(fid, (round(d, 6), fid)) AS fid, min(round(d, 6)) AS metres FROM dist WHERE d <= 10.0 GROUP BY click_id)"""
+
+
+def _clicks(spark, sf):
+    df = edges(spark, sf, "streets")
+    at = df.select(F.col("fid").alias("click_id"), ((F.col("mx") + (F.col("fid") % 5 - 2) * 60) / 1e6).alias("x"), ((F.col("my") + (F.col("fid") % 7 - 3) * 60) / 1e6).alias("y"))
+    return df.select("fid", "vertices"), at
+
+
+@query(_NEAREST + " SELECT click_id, metres FROM road", ("streets",))
+def nearest_road(spark, sf):
+    # The way back of a street lies on it, so which of the two is nearer hangs on the last bit: only the distance is compared.
+    roads, at = _clicks(spark, sf)
+    return clicks.nearest_line(at, roads).select("click_id", _r("metres").alias("metres"))
+
+
+# Blocks under every third street and stops over every seventh click.
+_OVERLAYS = """, block AS (SELECT DISTINCT k, (17000000 + (k % 800) * 9000 + 1000.5) / 1e6 AS x0, (17000000 + (k % 800) * 9000 + 4000.5) / 1e6 AS x1, (58000000 + (k // 800) * 5000 - 500.5) / 1e6 AS y0, (58000000 + (k // 800) * 5000 + 900.5) / 1e6 AS y1 FROM v_streets WHERE k % 3 = 0),
+    inside AS (SELECT click_id, min(k) AS fid FROM pin JOIN block ON x > x0 AND x < x1 AND y > y0 AND y < y1 GROUP BY click_id)"""
+
+
+@query(
+    _NEAREST + _OVERLAYS + """, best AS (SELECT click_id, CASE WHEN click_id % 7 = 0 THEN 'over' WHEN road.fid IS NOT NULL THEN 'road' ELSE 'under' END AS hit, inside.fid AS block FROM pin LEFT JOIN road USING (click_id) LEFT JOIN inside USING (click_id)
+        WHERE click_id % 7 = 0 OR road.fid IS NOT NULL OR inside.fid IS NOT NULL)
+    SELECT click_id, hit, CASE hit WHEN 'over' THEN 'stops' WHEN 'road' THEN 'roads' ELSE 'blocks' END AS layer, CASE WHEN hit = 'road' AND block IS NOT NULL THEN 'blocks:' || block ELSE '' END AS others FROM best""",
+    ("streets",),
+)
+def click_precedence(spark, sf):
+    roads, at = _clicks(spark, sf)
+    k = view(spark, sf, "streets").select("k").distinct().filter("k % 3 = 0")
+    x, y = 17000000 + (F.col("k") % 800) * 9000, 58000000 + F.floor(F.col("k") / 800) * 5000
+    x0, x1, y0, y1 = (x + 1000.5) / 1e6, (x + 4000.5) / 1e6, (y - 500.5) / 1e6, (y + 900.5) / 1e6
+    shape = lambda kind, v: F.struct(F.lit(kind).alias("gtype"), F.array(v).alias("parts")).alias("geometry")
+    blocks = k.select(F.col("k").alias("fid"), shape("Polygon", G.line((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))))
+    stops = at.filter("click_id % 7 = 0").select(F.col("click_id").alias("fid"), shape("Point", G.line((F.col("x"), F.col("y")))))
+    # A stop a click of its own, one metre wide: clicks lie further apart than that.
+    found = clicks.click(at, roads, [clicks.ClickLayer("blocks", blocks, under=True), clicks.ClickLayer("stops", stops, reach_m=1.0)])
+    others = F.array_join(F.transform("overlays", lambda o: F.concat(o["layer"], F.lit(":"), o["fid"].cast("string"))), ",")
+    return found.select("click_id", "hit", "layer", others.alias("others"))
+
+
 @query(f", {_palette_sql("carto")}, s AS ({_style_sql()}) SELECT DISTINCT __rs_dash AS dash FROM s WHERE __rs_dash IS NOT NULL", ("edges",))
 def dash_values(spark, sf):
     return profile.dash_values(styling.bake(view(spark, sf, "edges"), ClassStyler(palette="carto")))
