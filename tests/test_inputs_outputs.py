@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import random
 import sqlite3
 import struct
 from dataclasses import replace
@@ -462,6 +463,44 @@ def test_numbers_in_tiles():
     assert [int(z) for z in tiles._zigzags(np.array([0, -1, 1, -2, 2147483647]))] == [tiles._zigzag(n) for n in (0, -1, 1, -2, 2147483647)]
 
 
+def plain_drawing(parts, shape):
+    """A feature's drawing, value by value."""
+    if shape == 1:
+        points = [p for part in parts for p in part]
+        out, at = [len(points) << 3 | 1] if points else [], (0, 0)
+        for p in points:
+            out += [tiles._zigzag(p[0] - at[0]), tiles._zigzag(p[1] - at[1])]
+            at = p
+        return b"".join(map(tiles._varint, out))
+    out, at = [], (0, 0)
+    for part in parts:
+        part = [p for i, p in enumerate(part) if i == 0 or p != part[i - 1]]
+        if shape == 3 and len(part) > 1 and part[0] == part[-1]:
+            part = part[:-1]
+        if len(part) < shape:
+            continue
+        for i, p in enumerate(part):
+            out += ([9] if i == 0 else [len(part) - 1 << 3 | 2] if i == 1 else []) + [tiles._zigzag(p[0] - at[0]), tiles._zigzag(p[1] - at[1])]
+            at = p
+        out += [15] if shape == 3 else []
+    return b"".join(map(tiles._varint, out))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_drawings_of_many_features(seed):
+    rng = random.Random(seed)
+    features = []
+    for _ in range(60):
+        parts = [[(rng.randint(-2, 2), rng.choice([0, 0, 1, 5000])) for _ in range(rng.randint(0, 5))] for _ in range(rng.randint(0, 3))]
+        features.append((rng.choice([1, 2, 3]), [p + p[:1] if rng.random() < 0.5 else p for p in parts]))
+    points = np.array([p for _, parts in features for part in parts for p in part], np.int64).reshape(-1, 2)
+    sizes = np.array([len(part) for _, parts in features for part in parts], np.int64)
+    got = tiles._drawings(points, sizes, np.array([len(parts) for _, parts in features]), np.array([s for s, _ in features]))
+    assert got == [plain_drawing(parts, shape) for shape, parts in features]
+    none = np.zeros(0, np.int64)
+    assert tiles._drawings(none.reshape(-1, 2), none, np.array([0, 0]), np.array([1, 2])) == [b"", b""]
+
+
 def test_crossed_outlines():
     assert G.is_simple(np.array([[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]], float))
     assert not G.is_simple(np.array([[0, 0], [1, 1], [1, 0], [0, 1], [0, 0]], float))

@@ -14,6 +14,7 @@ from collections.abc import Iterator, Mapping, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,7 +109,8 @@ def build_tiles(layers: Sequence[DataFrame], extent: int = 4096) -> DataFrame:
     feature = F.struct("fid", "props", F.coalesce("shape", F.lit(2)).alias("shape"), F.transform("parts", G.flat).alias("parts"))
     by_layer = rows.groupBy("z", "x", "y", "layer").agg(F.array_sort(F.collect_list(feature)).alias("features"))
     cells = by_layer.groupBy("z", "x", "y").agg(F.array_sort(F.collect_list(F.struct("layer", "features"))).alias("layers"))
-    return cells.select("z", "x", "y", encode(F.col("layers"), tile_bounds(F.col("z"), F.col("x"), F.col("y")), F.lit(extent)).alias("tile"))
+    numbers = [F.col("z").cast("int").alias("z"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")]
+    return cells.select(*numbers, "layers").mapInArrow(_encoder(extent), "z int, x long, y long, tile binary")
 
 
 def tile_counts(rows: DataFrame) -> DataFrame:
@@ -155,22 +157,67 @@ def _value(v) -> bytes:
     return _field(1, str(v).encode())
 
 
-def _commands(parts: list[np.ndarray], shape: int) -> np.ndarray:
-    """The drawing of a feature: one move for all points; a move and a line for each line; a closing for each ring."""
-    if shape == 1:
-        points = np.concatenate(parts)
-        moves = np.diff(points, axis=0, prepend=np.zeros((1, 2), np.int64))
-        return np.concatenate(([len(points) << 3 | 1], _zigzags(moves.ravel())))
-    out, at = [], np.zeros(2, np.int64)
-    for part in parts:
-        part = part[np.concatenate(([True], (np.diff(part, axis=0) != 0).any(axis=1)))]
-        if shape == 3 and len(part) > 1 and (part[0] == part[-1]).all():
-            part = part[:-1]
-        if len(part) < shape:
-            continue
-        out += [[1 << 3 | 1], _zigzags(part[0] - at), [len(part) - 1 << 3 | 2], _zigzags(np.diff(part, axis=0).ravel()), *([[1 << 3 | 7]] if shape == 3 else [])]
-        at = part[-1]
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+def _drawings(points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, shapes: np.ndarray) -> list[bytes]:
+    """The drawing of each of many features at once: one move for all points; a move and a line for each line; a closing for each
+    ring. points: whole pixels; sizes: points of each part; parts: parts of each feature.
+
+    Points that repeat the one before are left out of lines and rings, as is a ring's last point where it is its first; a part
+    that has too few points then is not drawn, and a feature without a part has an empty drawing."""
+    feature = np.repeat(np.arange(len(parts)), parts)  # of each part
+    # The points of a feature are one part.
+    own = np.ones(len(feature), bool)
+    own[1:] = (feature[1:] != feature[:-1]) | (shapes[feature[1:]] != 1)
+    part = np.repeat(np.cumsum(own) - 1, sizes)  # of each point
+    feature = feature[own]
+    shape = shapes[feature]
+    sizes = np.bincount(part, minlength=len(feature))
+
+    def only(kept: np.ndarray) -> None:
+        nonlocal points, part, sizes
+        points, part = points[kept], part[kept]
+        sizes = np.bincount(part, minlength=len(feature))
+
+    again = np.zeros(len(points), bool)
+    again[1:] = (part[1:] == part[:-1]) & (points[1:] == points[:-1]).all(axis=1)
+    only(~again | (shape[part] == 1))
+    ends = np.cumsum(sizes)
+    rings = np.flatnonzero((shape == 3) & (sizes > 1))
+    closed = rings[(points[ends[rings] - 1] == points[ends[rings] - sizes[rings]]).all(axis=1)]
+    kept = np.ones(len(points), bool)
+    kept[ends[closed] - 1] = False
+    only(kept)
+    only((sizes >= shape)[part])
+
+    move = np.diff(points, axis=0, prepend=0)
+    begins = np.ones(len(points), bool)
+    begins[1:] = feature[part[1:]] != feature[part[:-1]]
+    move[begins] = points[begins]
+    drawn = np.flatnonzero(sizes)
+    size, kind = sizes[drawn], shape[drawn]
+    length = 1 + 2 * size + (kind > 1) + (kind == 3)
+    at = np.cumsum(length) - length
+    values = np.zeros(int(length.sum()), np.int64)
+    values[at] = np.where(kind == 1, size << 3 | 1, 9)
+    lines = kind > 1
+    values[at[lines] + 3] = size[lines] - 1 << 3 | 2
+    values[(at + length - 1)[kind == 3]] = 15
+    nth = np.arange(len(points)) - np.repeat(np.cumsum(size) - size, size)
+    place = np.repeat(at, size) + 1 + 2 * nth + (np.repeat(lines, size) & (nth > 0))
+    values[place], values[place + 1] = _zigzags(move[:, 0]), _zigzags(move[:, 1])
+
+    data = _varints(values)
+    bytes_to = np.concatenate(([0], np.cumsum(_varint_sizes(values))))
+    values_to = np.concatenate(([0], np.cumsum(np.bincount(feature[drawn], weights=length, minlength=len(parts)).astype(np.int64))))
+    bounds = bytes_to[values_to].tolist()
+    return [data[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
+def _varint_sizes(values: np.ndarray) -> np.ndarray:
+    v = np.asarray(values, np.uint64)
+    size = np.ones(len(v), np.int64)
+    for bits in range(7, 64, 7):
+        size += v >= np.uint64(1 << bits)
+    return size
 
 
 def _zigzags(n: np.ndarray) -> np.ndarray:
@@ -189,39 +236,62 @@ def _varints(values: np.ndarray) -> bytes:
     return data[place < size[:, None]].tobytes()
 
 
-def encode_layer(name: str, features: Sequence[tuple[int, dict, list[np.ndarray], int]], extent: int) -> bytes:
-    """A layer in the Mapbox Vector Tile format, version 2. features: (id, properties, parts in tile pixels, shape)."""
+def encode_layer(name: str, fids: Sequence[int], props: Sequence[str], shapes: Sequence[int], drawings: Sequence[bytes], extent: int) -> bytes:
+    """A layer in the Mapbox Vector Tile format, version 2. props: JSON objects; features without a drawing are left out."""
     keys: dict[str, int] = {}
     values: dict[tuple, int] = {}
-    body = []
-    for fid, props, parts, shape in features:
-        tags = []
-        for k, v in props.items():
-            tags += [keys.setdefault(k, len(keys)), values.setdefault((type(v), v if not isinstance(v, dict | list) else json.dumps(v)), len(values))]
-        drawing = _commands(parts, shape)
-        if len(drawing):
-            body.append(_field(2, _field(1, fid) + _field(2, _varints(tags)) + _field(3, shape) + _field(4, _varints(drawing))))
-    head = _field(15, 2) + _field(1, name.encode())
-    return head + b"".join(body) + b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, _value(v)) for _, v in values) + _field(5, extent)
-
-
-@F.pandas_udf(T.BinaryType())
-def encode(layers: pd.Series, bounds: pd.DataFrame, extent: pd.Series) -> pd.Series:
-    out = []
-    for row, minx, miny, maxx, maxy, size in zip(layers, bounds["minx"], bounds["miny"], bounds["maxx"], bounds["maxy"], extent):
-        data = []
-        for layer in row:
-            features = []
-            for f in layer["features"]:
-                parts = []
-                for part in f["parts"]:
-                    p = G._points(part)
-                    parts.append(np.stack([(p[:, 0] - minx) / (maxx - minx) * size, (maxy - p[:, 1]) / (maxy - miny) * size], axis=1).round().astype(np.int64))
-                props = {k: v for k, v in json.loads(f["props"]).items() if v is not None}
-                features.append((int(f["fid"]), props, parts, int(f["shape"])))
-            data.append(_field(3, encode_layer(layer["layer"], features, int(size))))
-        out.append(gzip.compress(b"".join(data), 6, mtime=0))
-    return pd.Series(out)
+    known: dict[str, bytes] = {}  # many features say the same
+
+    def tags(text: str) -> bytes:
+        found = known.get(text)
+        if found is None:
+            out = []
+            for k, v in json.loads(text).items():
+                if v is not None:
+                    out += [keys.setdefault(k, len(keys)), values.setdefault((type(v), v if not isinstance(v, dict | list) else json.dumps(v)), len(values))]
+            found = known[text] = _field(2, b"".join(map(_varint, out)))
+        return found
+
+    body = [_field(15, 2), _field(1, name.encode())]
+    for fid, text, shape, drawing in zip(fids, props, shapes, drawings):
+        if drawing:
+            body.append(_field(2, _field(1, fid) + tags(text) + _field(3, shape) + _field(4, drawing)))
+    return b"".join(body + [_field(3, k.encode()) for k in keys] + [_field(4, _value(v)) for _, v in values] + [_field(5, extent)])
+
+
+SLICE_TILES = 64  # tiles whose drawings are made at once
+
+
+def _encoder(extent: int):
+    def tiles_of(batch: pa.RecordBatch) -> list[bytes]:
+        lists = lambda a: (pc.list_value_length(a).to_numpy(), pc.list_flatten(a))
+        member = lambda a, name: pc.struct_field(a, name)
+        n_layers, layers = lists(batch.column("layers"))
+        n_features, features = lists(member(layers, "features"))
+        n_parts, lines = lists(member(features, "parts"))
+        n_numbers, numbers = lists(lines)
+        points = numbers.to_numpy(zero_copy_only=False).reshape(-1, 2)
+        # Where each point's tile lies.
+        z, x, y = (batch.column(c).to_numpy() for c in "zxy")
+        side = 2 * G.WORLD / 2.0**z
+        per_tile = np.bincount(np.repeat(np.repeat(np.repeat(np.arange(len(z)), n_layers), n_features), n_parts), weights=n_numbers / 2, minlength=len(z)).astype(np.int64)
+        over = lambda v: np.repeat(v, per_tile)
+        pixels = np.stack([(points[:, 0] - over(x * side - G.WORLD)) / over(side) * extent, (over(G.WORLD - y * side) - points[:, 1]) / over(side) * extent], axis=1).round().astype(np.int64)
+        shapes = member(features, "shape").to_numpy().astype(np.int64)
+        drawings = _drawings(pixels, n_numbers // 2, n_parts, shapes)
+        fids, props, kinds, names = member(features, "fid").to_pylist(), member(features, "props").to_pylist(), shapes.tolist(), member(layers, "layer").to_pylist()
+        ends = np.concatenate(([0], np.cumsum(n_features))).tolist()
+        coded = [_field(3, encode_layer(name, fids[a:b], props[a:b], kinds[a:b], drawings[a:b], extent)) for name, a, b in zip(names, ends, ends[1:])]
+        cuts = np.concatenate(([0], np.cumsum(n_layers))).tolist()
+        return [gzip.compress(b"".join(coded[a:b]), 6, mtime=0) for a, b in zip(cuts, cuts[1:])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, SLICE_TILES):
+                some = batch.slice(a, SLICE_TILES)
+                yield pa.record_batch([*(some.column(c) for c in "zxy"), pa.array(tiles_of(some), pa.binary())], ["z", "x", "y", "tile"])
+
+    return run
 
 
 # -- decoding -------------------------------------------------------------------------------------------------------
