@@ -1,6 +1,7 @@
 """Geometry as array<struct<x, y>> (a line), with higher-order functions; numpy only where a line is reshaped.
 
-The numpy parts are pandas UDFs over whole Arrow batches: simplification, clipping, offsets and buffers.
+The numpy parts are UDFs over Arrow batches: simplification and clipping work on all lines of a batch at once, parts of lines, offsets
+and buffers line by line.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -157,49 +160,78 @@ def _points(value) -> np.ndarray:
     return np.asarray(value, float).reshape(-1, 2)
 
 
-def simplify_points(points: np.ndarray, tolerance: float) -> np.ndarray:
-    """Douglas and Peucker, 1973."""
+def _each(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of groups of some counts: the group of each member, and its number within the group."""
+    group = np.repeat(np.arange(len(counts)), counts)
+    return group, np.arange(len(group)) - (np.cumsum(counts) - counts)[group]
+
+
+def simplify_lines(points: np.ndarray, sizes: np.ndarray, tolerance: np.ndarray) -> np.ndarray:
+    """Douglas and Peucker, 1973, on many lines at once: which points stay. sizes: points of each line.
+
+    Each round looks at all stretches of all lines that are still open, and opens the two halves of those whose farthest
+    point is beyond the tolerance; so rounds are as many as the deepest line needs."""
     keep = np.zeros(len(points), bool)
-    keep[[0, -1]] = True
-    todo = [(0, len(points) - 1)]
-    while todo:
-        a, b = todo.pop()
-        if b - a < 2:
-            continue
-        p, q = points[a], points[b]
-        d, inner = q - p, points[a + 1 : b] - p
-        norm = float(d @ d)
-        t = np.clip(inner @ d / norm, 0, 1) if norm else np.zeros(len(inner))
+    lines = np.flatnonzero(sizes)
+    ends = np.cumsum(sizes)[lines] - 1
+    a, b, limit = ends - sizes[lines] + 1, ends, np.asarray(tolerance, float)[lines]
+    keep[a] = keep[b] = True
+    while len(a := a[(wide := b - a > 1)]):
+        b, limit = b[wide], limit[wide]
+        of, nth = _each(b - a - 1)
+        at = a[of] + 1 + nth
+        d, inner = (points[b] - points[a])[of], points[at] - points[a][of]
+        norm = (d * d).sum(axis=1)
+        t = np.divide((inner * d).sum(axis=1), norm, out=np.zeros(len(at)), where=norm > 0).clip(0, 1)
         away = np.hypot(*(inner - t[:, None] * d).T)
-        far = int(away.argmax())
-        if away[far] > tolerance:
-            keep[a + 1 + far] = True
-            todo += [(a, a + 1 + far), (a + 1 + far, b)]
-    return points[keep]
+        begin = np.cumsum(b - a - 1) - (b - a - 1)
+        most = np.maximum.reduceat(away, begin)
+        far = np.minimum.reduceat(np.where(away == most[of], at, len(points)), begin)
+        split = most > limit
+        keep[far[split]] = True
+        a, b, limit = np.concatenate((a[split], far[split])), np.concatenate((far[split], b[split])), np.concatenate((limit[split], limit[split]))
+    return keep
+
+
+def simplify_points(points: np.ndarray, tolerance: float) -> np.ndarray:
+    return points[simplify_lines(points, np.array([len(points)]), np.array([tolerance]))]
+
+
+def clip_lines(points: np.ndarray, sizes: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of many lines within a rectangle each (Liang and Barsky, 1984): points, the points of each part, the parts of each
+    line. boxes: a row (minx, miny, maxx, maxy) for each line. A line that only touches its rectangle in one point has no part
+    unless it is a single segment."""
+    sides = np.maximum(sizes - 1, 0)
+    line, nth = _each(sides)
+    first = (np.cumsum(sizes) - sizes)[line] + nth
+    p, q = points[first], points[first + 1]
+    d, box = q - p, boxes[line]
+    t0, t1 = np.zeros(len(p)), np.ones(len(p))
+    for axis in (0, 1):
+        for edge, sign in ((box[:, axis], -1.0), (box[:, axis + 2], 1.0)):
+            room, speed = sign * (edge - p[:, axis]), sign * d[:, axis]
+            at = np.divide(room, speed, out=np.zeros(len(p)), where=speed != 0)
+            t1 = np.where(speed > 0, np.minimum(t1, at), t1)
+            t0 = np.where(speed < 0, np.maximum(t0, at), np.where((speed == 0) & (room < 0), 2.0, t0))
+    seen = np.flatnonzero((t0 < t1) | ((t0 == t1) & (sizes[line] == 2)))
+    p, q, d, t0, t1, line = p[seen], q[seen], d[seen], t0[seen], t1[seen], line[seen]
+    a = np.where(t0[:, None] == 0, p, p + t0[:, None] * d)
+    b = np.where(t1[:, None] == 1, q, p + t1[:, None] * d)
+    new = np.ones(len(seen), bool)  # does not go on where the side before it ended
+    new[1:] = (seen[1:] != seen[:-1] + 1) | (line[1:] != line[:-1]) | (t0[1:] > 0) | (t1[:-1] < 1)
+    place = np.cumsum(1 + new) - 1
+    out = np.empty((int(new.sum()) + len(seen), 2))
+    out[place] = b
+    out[place[new] - 1] = a[new]
+    part = np.cumsum(new) - 1
+    of_part = 1 + np.bincount(part) if len(part) else np.zeros(0, np.int64)
+    return out, of_part, np.bincount(line[new], minlength=len(sizes))
 
 
 def clip_points(points: np.ndarray, box: tuple[float, float, float, float]) -> list[np.ndarray]:
-    """The parts of a line within a rectangle (Liang and Barsky, 1984)."""
-    out: list[list[np.ndarray]] = []
-    for p, q in zip(points[:-1], points[1:]):
-        d, t0, t1 = q - p, 0.0, 1.0
-        for axis in (0, 1):
-            for edge, sign in ((box[axis], -1.0), (box[axis + 2], 1.0)):
-                room, speed = sign * (edge - p[axis]), sign * d[axis]
-                if speed == 0:
-                    t0 = t0 if room >= 0 else 2.0
-                elif speed > 0:
-                    t1 = min(t1, room / speed)
-                else:
-                    t0 = max(t0, room / speed)
-        if t0 > t1 or (t0 == t1 and len(points) > 2):
-            continue
-        a, b = p + t0 * d, p + t1 * d
-        if out and t0 == 0.0 and np.array_equal(out[-1][-1], a):
-            out[-1].append(b)
-        else:
-            out.append([a, b])
-    return [np.array(part) for part in out]
+    """The parts of one line within a rectangle."""
+    out, parts, _ = clip_lines(points, np.array([len(points)]), np.array([box], float))
+    return np.split(out, np.cumsum(parts)[:-1]) if len(parts) else []
 
 
 def offset_points(points: np.ndarray, distance: float) -> np.ndarray:
@@ -248,14 +280,33 @@ def _substring(lines: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
     return pd.Series([part_of(p := _points(v), distances(p), a, b).ravel() if v is not None and len(v) else v for v, a, b in zip(lines, start, end)])
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _simplify(lines: pd.Series, tolerance: pd.Series) -> pd.Series:
-    return pd.Series([simplify_points(_points(v), t).ravel() if len(v) > 4 else v for v, t in zip(lines, tolerance)])
+def _from_arrow(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The points of all lines, and how many each has; null lines have none."""
+    flat = lines.flatten()
+    return np.stack([pc.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in "xy"], axis=1), pc.fill_null(pc.list_value_length(lines), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _offsets(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+
+
+def _to_arrow(points: np.ndarray, sizes: np.ndarray, null: pa.Array | None = None) -> pa.Array:
+    return pa.ListArray.from_arrays(_offsets(sizes), pa.StructArray.from_arrays([pa.array(points[:, 0]), pa.array(points[:, 1])], ["x", "y"]), mask=null)
+
+
+@F.arrow_udf(LINE_TYPE)
+def _simplify(lines: pa.Array, tolerance: pa.Array) -> pa.Array:
+    points, sizes = _from_arrow(lines)
+    keep = simplify_lines(points, sizes, tolerance.to_numpy(zero_copy_only=False))
+    line, _ = _each(sizes)
+    return _to_arrow(points[keep], np.bincount(line[keep], minlength=len(sizes)), lines.is_null())
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
-def _clip(lines: pd.Series, minx: pd.Series, miny: pd.Series, maxx: pd.Series, maxy: pd.Series) -> pd.Series:
-    return pd.Series([[part.ravel() for part in clip_points(_points(v), box)] for v, *box in zip(lines, minx, miny, maxx, maxy)])
+@F.arrow_udf(LINES_TYPE)
+def _clip(lines: pa.Array, minx: pa.Array, miny: pa.Array, maxx: pa.Array, maxy: pa.Array) -> pa.Array:
+    points, sizes = _from_arrow(lines)
+    out, of_part, of_line = clip_lines(points, sizes, np.stack([c.to_numpy(zero_copy_only=False) for c in (minx, miny, maxx, maxy)], axis=1))
+    return pa.ListArray.from_arrays(_offsets(of_line), _to_arrow(out, of_part))
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -269,7 +320,7 @@ def _ribbon(lines: pd.Series, half: pd.Series) -> pd.Series:
 
 
 def simplify(v: Column, tolerance: Column) -> Column:
-    return unflat(_simplify(flat(v), tolerance))
+    return _simplify(v.cast(LINE), tolerance.cast("double"))
 
 
 def substring(v: Column, start: Column, end: Column) -> Column:
@@ -279,7 +330,7 @@ def substring(v: Column, start: Column, end: Column) -> Column:
 
 def clip(v: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
     """The parts of a line within a rectangle."""
-    return F.transform(_clip(flat(v), minx, miny, maxx, maxy), unflat)
+    return _clip(v.cast(LINE), *[c.cast("double") for c in (minx, miny, maxx, maxy)])
 
 
 def offset(v: Column, distance: Column) -> Column:
