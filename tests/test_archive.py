@@ -102,6 +102,7 @@ def test_decoded_features_are_those_that_were_encoded(spark):
     built = tiles.build_tiles([tiles.overlay_rows(df, "shapes", {"minzoom": 3, "maxzoom": 3, "extent": 4096, "buffer_px": 80})])
     got = {r.fid: r for r in tiles.tile_features(built).collect()}
     assert {(r.z, r.layer, r.extent) for r in got.values()} == {(3, "shapes", 4096)}
+    assert [(r.layer, r.extent, r.features) for r in tiles.tile_summary(built).collect()] == [("shapes", 4096, 3)]
     assert [json.loads(got[i].props) for i in (0, 7, 9)] == [{"name": "a", "number": 1.5, "flag": True}, {"name": "\u00e9", "flag": False}, {"number": -3.0}]
     assert [(got[i].shape, [len(p) for p in got[i].parts]) for i in (0, 7, 9)] == [(2, [3, 2]), (1, [1]), (3, [4])]
     assert got[9].parts[0][0] == got[9].parts[0][-1] and all(0 <= p.x <= 4096 and 0 <= p.y <= 4096 for r in got.values() for part in r.parts for p in part)

@@ -399,3 +399,28 @@ def tile_features(tiles: DataFrame) -> DataFrame:
     in pixels of the tile, from its north-western corner. Layers without features give no rows."""
     rows = tiles.filter("tile is not null").select(F.col("z").cast("int").alias("z"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "tile")
     return rows.mapInArrow(_decode_batches, f"z int, x long, y long, {_FEATURE_FIELDS}")
+
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for i, tile in enumerate(batch.column("tile")):
+            where = [batch.column(c)[i].as_py() for c in "zxy"]
+            for _, layer in _fields(gzip.decompress(tile.as_py())):
+                name, extent, features = "", 4096, 0
+                for number, value in _fields(layer):
+                    if number == 2:
+                        features += 1
+                    elif number == 1:
+                        name = value.decode()
+                    elif number == 5:
+                        extent = value
+                rows.append((*where, name, extent, features))
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64())
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], ["z", "x", "y", "layer", "extent", "features"])
+
+
+def tile_summary(tiles: DataFrame) -> DataFrame:
+    """(z, x, y, layer, extent, features): how many features each layer of gzipped vector tiles has; they are not decoded."""
+    rows = tiles.filter("tile is not null").select(F.col("z").cast("int").alias("z"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "tile")
+    return rows.mapInArrow(_summaries, "z int, x long, y long, layer string, extent int, features long")

@@ -681,12 +681,23 @@ def tile_feature_counts(spark, sf):
     return tiles.tile_counts(tiles.tile_rows(edges(spark, sf, "streets"), "highway", ["highway"], MIN_ZOOM, DEFAULT.tiles, whole=True))
 
 
-@query(ORACLE["tile_feature_counts"])
+# As above, without the lines that become one pixel of their tile: there is nothing to draw.
+_PIXEL = {"x": "round_even((p{p}x - (x * s - 20037508.342789244)) / s * 4096, 0)", "y": "round_even((20037508.342789244 - y * s - p{p}y) / s * 4096, 0)"}
+_AT = ", ".join(f"{m.format(c=p + c)} AS p{p}{c}" for c, m in (("x", _MX), ("y", _MY)) for p in "amz")
+
+
+@query(
+    f""", {_STREET_BOX}, pos AS (SELECT fid, {_AT} FROM v_streets), zs AS (SELECT unnest(range(6, 16)) AS z), c AS (SELECT fid, z, {_cover_sql('z')} FROM box, zs WHERE {_MINZ} <= z),
+        t AS (SELECT fid, z, 2 * 20037508.342789244 / pow(2, z) AS s, x, unnest(range(ya, yb + 1)) AS y FROM c)
+        SELECT CAST(z AS INT) AS z, x, y, 'roads' AS layer, count(*) AS features FROM t JOIN pos USING (fid)
+        WHERE NOT ({" AND ".join(f"{_PIXEL[c].format(p='a')} = {_PIXEL[c].format(p=p)}" for c in "xy" for p in "mz")}) GROUP BY z, x, y""",
+    ("streets",),
+)
 def tiles_archive(spark, sf):
     """All tiles of the streets in one archive, counted again as the archive is read."""
     df = edges(spark, sf, "streets").select("fid", "highway", "vertices")
     built = tiles.build_tiles([tiles.tile_rows(df, "highway", ["highway"], MIN_ZOOM, DEFAULT.tiles, whole=True)])
-    return archive.round_trip(built, lambda read: tiles.tile_features(read).groupBy("z", "x", "y", "layer").agg(F.count("*").alias("features")))
+    return archive.round_trip(built, lambda read: tiles.tile_summary(read).drop("extent"))
 
 
 @query()
