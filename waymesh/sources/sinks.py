@@ -48,10 +48,15 @@ def json_properties(df: DataFrame, names: list[str]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")) if parts else F.lit("{}")
 
 
+def feature_text(df: DataFrame, geometry: str = "geometry") -> Column:
+    """A row as a GeoJSON feature."""
+    props = json_properties(df, [c for c in df.columns if c not in (geometry, "vertices")])
+    return F.concat(F.lit('{"type":"Feature","properties":'), props, F.lit(',"geometry":'), geojson_geometry(df[geometry]), F.lit("}"))
+
+
 def geojson_rows(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     """value: one feature a row, as JSON text."""
-    props = json_properties(df, [c for c in df.columns if c not in (geometry, "vertices")])
-    return df.select(F.concat(F.lit('{"type":"Feature","properties":'), props, F.lit(',"geometry":'), geojson_geometry(df[geometry]), F.lit("}")).alias("value"))
+    return df.select(feature_text(df, geometry).alias("value"))
 
 
 def write_geojson_lines(df: DataFrame, path: str, geometry: str = "geometry", compression: str = "none") -> None:
