@@ -13,9 +13,10 @@ from waymesh.functions import scalars as S
 from waymesh.functions import widths
 from waymesh.operators import clicks, filters, graph, profile, styling, tiles, verbs
 from waymesh.operators.styling import MISSING, STYLE_COLUMNS, CategoricalStyler, ClassStyler, ColorTableStyler, NumericStyler
+from waymesh.plans import flow
 from waymesh.plans.views import edges, view, view_sql
 from waymesh.session import cut, shared_dir
-from waymesh.sources import archive, files, ingest, palettes, shapefile, sinks
+from waymesh.sources import archive, blobs, files, ingest, palettes, shapefile, sinks
 from waymesh.sources.settings import DEFAULT, MIN_ZOOM
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -748,6 +749,100 @@ def ingest_shapefile(spark, sf):
     return table.select("fid", "highway", "name", "k", "quarter", *[corner(i, f).alias(p + f) for i, p in enumerate("amz") for f in "xy"])
 
 
+def _corners(df, names="az"):
+    """The ends of each line (and what lies between) as millionths of a degree."""
+    corner = lambda i, f: G.node_key(F.element_at("vertices", i)[f])
+    return df.select("fid", *[corner(i, f).alias(p + f) for i, p in zip((1, 2, -1) if len(names) == 3 else (1, -1), names) for f in "xy"])
+
+
+@query("SELECT fid, ax, ay, mx, my, zx, zy FROM v_streets WHERE fid % 10 <> 7", ("streets",))
+def ingest_wkt(spark, sf):
+    """Well-known text in several spellings, some of it broken."""
+    pair = lambda p: F.concat_ws(" ", *[F.format_string("%.6f", F.col(p + c) / 1e6) for c in "xy"])
+    inner = F.concat_ws(", ", *map(pair, "amz"))
+    text = F.when(F.col("fid") % 10 == 7, "LINESTRING (1").when(F.col("fid") % 10 == 8, F.concat(F.lit("multilinestring(("), inner, F.lit("))"))).otherwise(F.concat(F.lit("LINESTRING ("), inner, F.lit(")")))
+    table = view(spark, sf, "streets").select("fid", "highway", text.alias("wkt"))
+    return _corners(ingest.normalise(table).df, "amz")
+
+
+@query("SELECT fid, highway, name, ax, ay, mx, my, zx, zy FROM v_streets", ("streets",))
+def ingest_geojson_lines(spark, sf):
+    """The streets as GeoJSON lines, read back."""
+    folder = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    df = edges(spark, sf, "streets").select("fid", "highway", "name", "geometry")
+    sinks.write_geojson_lines(df, folder)
+    table = cut(ingest.read_geojson(spark, folder, lines=True, properties="fid long, highway string, name string").df)
+    files.remove(folder)
+    return _corners(table, "amz").join(table.select("fid", "highway", "name"), "fid")
+
+
+@query("SELECT fid, ax, ay, zx, zy FROM v_edges", ("edges",))
+def reproject_mercator(spark, sf):
+    df = edges(spark, sf).select("fid", "highway", G.to_mercator(F.col("vertices")).alias("geometry"))
+    return _corners(ingest.normalise(df, srid=3857).df)
+
+
+@query("SELECT fid, highway, aadt FROM v_edges", ("edges",))
+def tooltip_fields(spark, sf):
+    return filters.tooltip_columns(edges(spark, sf), ["fid", "highway", "no_such_column", "aadt"])
+
+
+@query("SELECT fid, highway, name FROM v_edges WHERE name = 'road 7'", ("edges",))
+def popup_fields(spark, sf):
+    df = edges(spark, sf).select("fid", "highway", "name", "geometry").withColumns({"__rs_fill": F.lit("#000000"), "lvl": F.lit(0), "twoway": F.lit(True)})
+    return filters.popup_columns(df.filter("name = 'road 7'"), "all")
+
+
+@query(f", {_palette_sql('carto')}, s AS ({_style_sql()}) SELECT fid FROM s WHERE __rs_dash IS NULL", ("edges",))
+def undashed_edges(spark, sf):
+    return filters.undashed(styling.bake(view(spark, sf, "edges"), ClassStyler(palette="carto")), "__rs_dash").select("fid")
+
+
+@query("SELECT fid, highway, name FROM v_edges WHERE fid = 42", ("edges",))
+def select_edge(spark, sf):
+    return verbs.select_one(view(spark, sf, "edges"), 42).select("fid", "highway", "name")
+
+
+@query(ORACLE["annotation_slots"] + " AND slot % 2 = 0 AND name IS NOT NULL")
+def name_labels(spark, sf):
+    first = F.get("vertices", F.lit(0))
+    return graph.name_slots(graph.annotation_slots(_network(spark, sf))).select("chain", "slot", "name", "class", "oneway", F.size("vertices").alias("n_vertices"), first["x"].alias("x"), first["y"].alias("y"))
+
+
+@query(ORACLE["annotation_slots"] + " AND slot % 2 = 1 AND ow")
+def arrow_labels(spark, sf):
+    first = F.get("vertices", F.lit(0))
+    return graph.arrow_slots(graph.annotation_slots(_network(spark, sf))).select("chain", "slot", "name", "class", "oneway", F.size("vertices").alias("n_vertices"), first["x"].alias("x"), first["y"].alias("y"))
+
+
+_POINT_TILE = f"SELECT fid, {_MX.format(c='mx')} AS px, {_MY.format(c='my')} AS py FROM v_streets"
+
+
+@query(f", o AS ({_POINT_TILE}), zs AS (SELECT unnest(range(6, 16)) AS z) SELECT CAST(z AS INT) AS z, {_IDX.format(v='(px + 20037508.342789244)', z='z')} AS x, {_IDX.format(v='(20037508.342789244 - py)', z='z')} AS y, 'stops' AS layer, count(*) AS features FROM o, zs GROUP BY ALL", ("streets",))
+def overlay_tile_counts(spark, sf):
+    point = F.struct(F.lit("Point").alias("gtype"), F.array(G.line((F.col("mx") / 1e6, F.col("my") / 1e6))).alias("parts"))
+    return tiles.tile_counts(tiles.overlay_rows(view(spark, sf, "streets").select("fid", "name", point.alias("geometry")), "stops"))
+
+
+@query(f", {_STREET_BOX}, c AS (SELECT fid, {_cover_sql('12')} FROM box), t AS (SELECT fid, x, unnest(range(ya, yb + 1)) AS y FROM c) SELECT x, y, count(*) AS edges, min(mx) AS west, max(mx) AS east FROM t JOIN v_streets USING (fid) GROUP BY x, y", ("streets",))
+def tile_sidecar_join(spark, sf):
+    """What a page looks up for the edges of a tile: their middles, by id from the sidecar."""
+    df = edges(spark, sf, "streets")
+    side = tiles.sidecar(df.select("fid", "highway", "geometry")).select(F.col("fid").alias("f"), F.col("mid.x").alias("mid"))
+    cells = tiles.tile_cover(df.select("fid", G.bounds(G.to_mercator(F.col("vertices"))).alias("box")), F.lit(12))
+    mid = G.node_key(F.col("mid"))
+    return cells.join(side, F.col("fid") == F.col("f")).groupBy("x", "y").agg(F.count("*").alias("edges"), F.min(mid).alias("west"), F.max(mid).alias("east"))
+
+
+@query("SELECT * FROM (VALUES ('blocks', 0, 'fill'), ('stops', 1, 'circle'), ('roads2', 2, 'line')) t(name, position, kind)")
+def overlay_catalog(spark, sf):
+    df = edges(spark, sf, "streets")
+    ring = lambda: G.line(*[(F.col(p + "x") / 1e6, F.col(p + "y") / 1e6) for p in "amza"])
+    shape = lambda kind, v: df.select(F.struct(F.lit(kind).alias("gtype"), F.array(v).alias("parts")).alias("geometry"))
+    over = {"blocks": shape("Polygon", ring()), "stops": shape("Point", G.line((F.col("mx") / 1e6, F.col("my") / 1e6))), "roads2": shape("LineString", F.col("vertices"))}
+    return flow.Network(df, "highway", DEFAULT, overlays=over).overlay_catalog(spark)
+
+
 @query("SELECT fid, row_number() OVER (ORDER BY highway NULLS FIRST, fid) - 1 AS dense, highway, name, aadt, round(ax / 1e6, 6) AS x FROM v_edges", ("edges",))
 def dense_ids(spark, sf):
     df = ingest.with_ids(edges(spark, sf).withColumnRenamed("fid", "old"), "highway", "old")
@@ -763,6 +858,23 @@ def geojson_features(spark, sf):
     return sinks.geojson_rows(styling.bake(edges(spark, sf, "streets"), ClassStyler()).select("fid", "highway", "name", "__rs_fill", "__rs_casing", "geometry"))
 
 
+def _packed(df):
+    """What was packed, from what is unpacked again."""
+    text = F.coalesce(blobs.unpack(F.when(F.col("packed"), F.col("data"))), F.col("data"))
+    return df.select("chunk", "first", "n_features", "n_bytes", "packed", F.sha2(text, 256).alias("text_sha256"))
+
+
+@query(
+    "WITH one AS (" + ORACLE["geojson_features"].replace("AS value FROM s JOIN", "AS value, fid FROM s JOIN") + """),
+    c AS (SELECT fid // 10000 AS chunk, min(fid) AS first, count(*) AS n_features, '{"type":"FeatureCollection","features":[' || string_agg(value, ',' ORDER BY fid) || ']}' AS text FROM one GROUP BY fid // 10000)
+    SELECT chunk, first, n_features, CAST(strlen(text) AS BIGINT) AS n_bytes, strlen(text) >= 1000000 AS packed, sha256(text) AS text_sha256 FROM c"""
+)
+def packed_sources(spark, sf):
+    """The streets as a page loads them; chunks of under a million bytes stay text."""
+    df = styling.bake(edges(spark, sf, "streets"), ClassStyler()).select("fid", "highway", "name", "__rs_fill", "__rs_casing", "geometry")
+    return _packed(blobs.packed_features(df, "roads", min_bytes=1_000_000))
+
+
 @query(f", {_palette_sql()}, s AS ({_style_sql()}) {_TWOWAY}, r AS (SELECT min(aadt) AS lo, max(aadt) AS hi FROM v_edges WHERE {_BASE} NOT IN ('footway', 'cycleway')) SELECT s.fid, __rs_class, __rs_w, __rs_casing, {_ramp_sql('w.aadt', 'lo', 'hi')} AS fill, w.twoway, CAST({_RANK.replace('highway', 'w.highway').replace('bridge', 'w.bridge').replace('tunnel', 'w.tunnel').replace('layer', 'w.layer')} AS DOUBLE) AS rank FROM s JOIN w ON w.fid = s.fid, r WHERE __rs_class NOT IN ('footway', 'cycleway')", ("edges",))
 def flagship(spark, sf):
     """Filter, class style, ramp over the rows that are left, twins, draw order: one plan. The range comes from the edges

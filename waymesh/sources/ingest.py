@@ -48,6 +48,28 @@ def find_geometry(df: DataFrame, name: str | None = None) -> str:
     raise ValueError(f"no geometry column among {df.columns}; looked for {GEOMETRY_NAMES}")
 
 
+def _native(c: Column, kind: T.DataType) -> Column | None:
+    """Points, lines and lists of lines of coordinates: of structs (x, y, ...) or of lists [x, y, ...], as GeoArrow has them. None for
+    other types. Two levels of lists are a line, three a multi-line; the names of polygons and points of several parts are the
+    reader's to give, see from_arrow()."""
+    depth, inner = 0, kind
+    while isinstance(inner, T.ArrayType):
+        depth, inner = depth + 1, inner.elementType
+    if isinstance(inner, T.StructType) and set(inner.names) >= {"x", "y"}:
+        point = lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))
+    elif isinstance(inner, T.DoubleType | T.FloatType) and depth:
+        depth -= 1
+        point = lambda p: F.struct(F.get(p, F.lit(0)).cast("double").alias("x"), F.get(p, F.lit(1)).cast("double").alias("y"))
+    else:
+        return None
+    line = lambda v: F.transform(v, point)
+    forms = {0: ("Point", lambda: F.array(F.array(point(c)))), 1: ("LineString", lambda: F.array(line(c))), 2: ("MultiLineString", lambda: F.transform(c, line)), 3: ("MultiPolygon", lambda: F.transform(F.flatten(c), line))}
+    if depth not in forms:
+        return None
+    name, parts = forms[depth]
+    return F.when(c.isNotNull(), F.struct(F.lit(name).alias("gtype"), parts().alias("parts")))
+
+
 def decode_geometry(df: DataFrame, name: str | None = None) -> DataFrame:
     """The geometry column as struct<gtype, parts>, from WKB bytes, WKT text, a line of vertices or the struct itself. The
     column's type decides; no row is looked at."""
@@ -62,9 +84,7 @@ def decode_geometry(df: DataFrame, name: str | None = None) -> DataFrame:
         g = c
     elif isinstance(kind, T.StructType) and set(kind.names) >= {"type", "coordinates"}:
         g = from_geojson_geometry(c)
-    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-        g = F.when(c.isNotNull(), F.struct(F.lit("LineString").alias("gtype"), F.array(c.cast(G.LINE)).alias("parts")))
-    else:
+    elif (g := _native(c, kind)) is None:
         raise ValueError(f"can't read a geometry from {name}: {kind.simpleString()}")
     out = df.withColumn("geometry", g)
     return out if name == "geometry" else out.drop(name)
@@ -248,8 +268,47 @@ def from_sql(spark: SparkSession, query: str, class_col: str = "highway", geomet
     return normalise(df, class_col, geometry, srid, rename)
 
 
-def from_arrow(spark: SparkSession, table: pa.Table, class_col: str = "highway", geometry: str | None = None, srid: int | None = 4326, rename: Mapping[str, str] | None = None) -> EdgeTable:
-    return normalise(spark.createDataFrame(table), class_col, geometry, srid, rename)
+#: GeoArrow's names of geometry types.
+GEOARROW = {"point": "Point", "linestring": "LineString", "polygon": "Polygon", "multipoint": "MultiPoint", "multilinestring": "MultiLineString", "multipolygon": "MultiPolygon"}
+
+
+def _geoarrow(field: pa.Field, srid: int | None) -> tuple[str | None, int | None]:
+    """(geometry type, EPSG number) that a field's GeoArrow metadata give; None where they give none. With srid the metadata's own
+    coordinate system isn't looked at."""
+    about = field.metadata or {}
+    name = about.get(b"ARROW:extension:name", b"").decode()
+    if not name.startswith("geoarrow."):
+        return None, None
+    crs = json.loads(about.get(b"ARROW:extension:metadata") or b"{}").get("crs")
+    if isinstance(crs, dict):
+        crs = f"{crs.get('id', {}).get('authority')}:{crs.get('id', {}).get('code')}"
+    if crs is None or srid is not None:
+        return GEOARROW.get(name.removeprefix("geoarrow.")), None
+    if crs == "OGC:CRS84":
+        crs = "EPSG:4326"
+    known = re.fullmatch(r"EPSG:(\d+)", str(crs))
+    if known is None:
+        raise ValueError(f"the coordinate system {str(crs)[:80]!r} isn't known; give srid=")
+    return GEOARROW.get(name.removeprefix("geoarrow.")), int(known[1])
+
+
+def from_arrow(spark: SparkSession, table: pa.Table, class_col: str = "highway", geometry: str | None = None, srid: int | None = None, rename: Mapping[str, str] | None = None) -> EdgeTable:
+    """An Arrow table with GeoArrow coordinates, WKB or WKT. The coordinate system is srid if given, else what GeoArrow's metadata
+    say, else longitude and latitude; so does the geometry type, where the coordinates' nesting leaves it open."""
+    df = spark.createDataFrame(table)
+    name = find_geometry(df if not rename else df.withColumnsRenamed(dict(rename)), geometry)
+    back = {v: k for k, v in (rename or {}).items()}
+    field = table.schema.field(back.get(name, name))
+    gtype, own = _geoarrow(field, srid)
+    if rename:
+        df = df.withColumnsRenamed(dict(rename))
+    if gtype is not None:
+        df = decode_geometry(df, name)
+        g = F.col("geometry")
+        # Nesting tells lines of points from lists of lines; the metadata tell rings from lines, and several points from a line.
+        df = df.withColumn("geometry", F.when(g.isNotNull(), F.struct(F.lit(gtype).alias("gtype"), g["parts"].alias("parts"))))
+        name = "geometry"
+    return normalise(df, class_col, name, srid or own or 4326)
 
 
 @singledispatch
