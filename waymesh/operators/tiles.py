@@ -8,7 +8,9 @@ one padded tile skip clipping; only the others go through the numpy step. A tile
 from __future__ import annotations
 
 import gzip
+import io
 import json
+import tempfile
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -101,16 +103,16 @@ def shape_of(gtype: Column) -> Column:
 
 
 def build_tiles(layers: Sequence[DataFrame], extent: int = 4096) -> DataFrame:
-    """(z, x, y, tile): gzipped vector tiles from the tile_rows of several layers, one shuffle in all."""
+    """(z, x, y, tile): gzipped vector tiles from the tile_rows of several layers, one shuffle in all. Tasks stream over their features
+    in order, so a tile is never gathered before it is encoded; zooms up to 29."""
     shaped = [rows if "shape" in rows.columns else rows.withColumn("shape", F.lit(2)) for rows in layers]
     rows = shaped[0]
     for more in shaped[1:]:
         rows = rows.unionByName(more)
-    feature = F.struct("fid", "props", F.coalesce("shape", F.lit(2)).alias("shape"), F.transform("parts", G.flat).alias("parts"))
-    by_layer = rows.groupBy("z", "x", "y", "layer").agg(F.array_sort(F.collect_list(feature)).alias("features"))
-    cells = by_layer.groupBy("z", "x", "y").agg(F.array_sort(F.collect_list(F.struct("layer", "features"))).alias("layers"))
-    numbers = [F.col("z").cast("int").alias("z"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")]
-    return cells.select(*numbers, "layers").mapInArrow(_encoder(extent), "z int, x long, y long, tile binary")
+    tile = F.shiftleft(F.col("z").cast("long"), 58).bitwiseOR(F.shiftleft(F.col("x").cast("long"), 29)).bitwiseOR(F.col("y").cast("long"))
+    flat = rows.select(tile.alias("at"), "layer", "fid", "props", F.coalesce("shape", F.lit(2)).alias("shape"), F.transform("parts", G.flat).alias("parts"))
+    in_order = flat.repartition("at").sortWithinPartitions("at", "layer", "fid", "props", "shape", "parts")
+    return in_order.mapInArrow(_encoder(extent), "z int, x long, y long, tile binary")
 
 
 def tile_counts(rows: DataFrame) -> DataFrame:
@@ -236,60 +238,111 @@ def _varints(values: np.ndarray) -> bytes:
     return data[place < size[:, None]].tobytes()
 
 
-def encode_layer(name: str, fids: Sequence[int], props: Sequence[str], shapes: Sequence[int], drawings: Sequence[bytes], extent: int) -> bytes:
-    """A layer in the Mapbox Vector Tile format, version 2. props: JSON objects; features without a drawing are left out."""
-    keys: dict[str, int] = {}
-    values: dict[tuple, int] = {}
-    known: dict[str, bytes] = {}  # many features say the same
+BODY_BYTES = 32 << 20  # of a layer's features that are kept in memory
+KNOWN_PROPS = 1 << 16  # texts whose tags a layer remembers
 
-    def tags(text: str) -> bytes:
-        found = known.get(text)
+
+class _Layer:
+    """A layer in the Mapbox Vector Tile format, version 2, to which features are added in order. How long it is comes first in a
+    tile, so many features wait in a temporary file."""
+
+    def __init__(self, name: str) -> None:
+        self.keys: dict[str, int] = {}
+        self.values: dict[tuple, int] = {}
+        self.known: dict[str, bytes] = {}  # many features say the same
+        self.body = tempfile.SpooledTemporaryFile(BODY_BYTES)
+        self.body.write(_field(15, 2) + _field(1, name.encode()))
+
+    def _tags(self, text: str) -> bytes:
+        found = self.known.get(text)
         if found is None:
             out = []
             for k, v in json.loads(text).items():
                 if v is not None:
-                    out += [keys.setdefault(k, len(keys)), values.setdefault((type(v), v if not isinstance(v, dict | list) else json.dumps(v)), len(values))]
-            found = known[text] = _field(2, b"".join(map(_varint, out)))
+                    out += [self.keys.setdefault(k, len(self.keys)), self.values.setdefault((type(v), v if not isinstance(v, dict | list) else json.dumps(v)), len(self.values))]
+            if len(self.known) >= KNOWN_PROPS:
+                self.known.clear()
+            found = self.known[text] = _field(2, b"".join(map(_varint, out)))
         return found
 
-    body = [_field(15, 2), _field(1, name.encode())]
-    for fid, text, shape, drawing in zip(fids, props, shapes, drawings):
-        if drawing:
-            body.append(_field(2, _field(1, fid) + tags(text) + _field(3, shape) + _field(4, drawing)))
-    return b"".join(body + [_field(3, k.encode()) for k in keys] + [_field(4, _value(v)) for _, v in values] + [_field(5, extent)])
+    def add(self, fids: Sequence[int], props: Sequence[str], shapes: Sequence[int], drawings: Sequence[bytes]) -> None:
+        """props: JSON objects; features without a drawing are left out."""
+        self.body.writelines(_field(2, _field(1, fid) + self._tags(text) + _field(3, shape) + _field(4, drawing)) for fid, text, shape, drawing in zip(fids, props, shapes, drawings) if drawing)
+
+    def message(self, extent: int) -> tuple[int, Iterator[bytes]]:
+        """How many bytes the layer has, and they, piece by piece."""
+        self.body.writelines([*(_field(3, k.encode()) for k in self.keys), *(_field(4, _value(v)) for _, v in self.values), _field(5, extent)])
+        size = self.body.tell()
+        self.body.seek(0)
+        return size, iter(lambda: self.body.read(1 << 20), b"")
+
+
+def _tile(layers: Sequence[_Layer], extent: int) -> bytes:
+    out = io.BytesIO()
+    with gzip.GzipFile(fileobj=out, mode="wb", compresslevel=6, mtime=0) as packed:
+        for layer in layers:
+            size, pieces = layer.message(extent)
+            packed.write(_varint(3 << 3 | 2) + _varint(size))
+            for piece in pieces:
+                packed.write(piece)
+            layer.body.close()
+    return out.getvalue()
 
 
-SLICE_TILES = 64  # tiles whose drawings are made at once
+SLICE_FEATURES = 4096  # whose drawings are made at once
+OUT_BYTES = 4 << 20  # of tiles in a batch, or one tile
 
 
 def _encoder(extent: int):
-    def tiles_of(batch: pa.RecordBatch) -> list[bytes]:
+    def drawings_of(batch: pa.RecordBatch, at: np.ndarray, shapes: np.ndarray) -> list[bytes]:
         lists = lambda a: (pc.list_value_length(a).to_numpy(), pc.list_flatten(a))
-        member = lambda a, name: pc.struct_field(a, name)
-        n_layers, layers = lists(batch.column("layers"))
-        n_features, features = lists(member(layers, "features"))
-        n_parts, lines = lists(member(features, "parts"))
+        n_parts, lines = lists(batch.column("parts"))
         n_numbers, numbers = lists(lines)
         points = numbers.to_numpy(zero_copy_only=False).reshape(-1, 2)
         # Where each point's tile lies.
-        z, x, y = (batch.column(c).to_numpy() for c in "zxy")
+        z, x, y = at >> 58, at >> 29 & (1 << 29) - 1, at & (1 << 29) - 1
         side = 2 * G.WORLD / 2.0**z
-        per_tile = np.bincount(np.repeat(np.repeat(np.repeat(np.arange(len(z)), n_layers), n_features), n_parts), weights=n_numbers / 2, minlength=len(z)).astype(np.int64)
-        over = lambda v: np.repeat(v, per_tile)
+        own = np.bincount(np.repeat(np.arange(len(at)), n_parts), weights=n_numbers / 2, minlength=len(at)).astype(np.int64)
+        over = lambda v: np.repeat(v, own)
         pixels = np.stack([(points[:, 0] - over(x * side - G.WORLD)) / over(side) * extent, (over(G.WORLD - y * side) - points[:, 1]) / over(side) * extent], axis=1).round().astype(np.int64)
-        shapes = member(features, "shape").to_numpy().astype(np.int64)
-        drawings = _drawings(pixels, n_numbers // 2, n_parts, shapes)
-        fids, props, kinds, names = member(features, "fid").to_pylist(), member(features, "props").to_pylist(), shapes.tolist(), member(layers, "layer").to_pylist()
-        ends = np.concatenate(([0], np.cumsum(n_features))).tolist()
-        coded = [_field(3, encode_layer(name, fids[a:b], props[a:b], kinds[a:b], drawings[a:b], extent)) for name, a, b in zip(names, ends, ends[1:])]
-        cuts = np.concatenate(([0], np.cumsum(n_layers))).tolist()
-        return [gzip.compress(b"".join(coded[a:b]), 6, mtime=0) for a, b in zip(cuts, cuts[1:])]
+        return _drawings(pixels, n_numbers // 2, n_parts, shapes)
+
+    def tiles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+        now, name, layers = None, None, []
+        for whole in batches:
+            for first in range(0, whole.num_rows, SLICE_FEATURES):
+                batch = whole.slice(first, SLICE_FEATURES)
+                at, shapes = batch.column("at").to_numpy(), batch.column("shape").to_numpy().astype(np.int64)
+                drawings = drawings_of(batch, at, shapes)
+                fids, props, names, kinds, places = batch.column("fid").to_pylist(), batch.column("props").to_pylist(), batch.column("layer").to_pylist(), shapes.tolist(), at.tolist()
+                text = batch.column("layer").cast(pa.string()).dictionary_encode().indices.to_numpy()
+                starts = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (text[1:] != text[:-1])) + 1).tolist(), len(at)]
+                for a, b in zip(starts, starts[1:]):
+                    if places[a] != now:
+                        if layers:
+                            yield now, _tile(layers, extent)
+                        now, name, layers = places[a], None, []
+                    if names[a] != name:
+                        name = names[a]
+                        layers.append(_Layer(name))
+                    layers[-1].add(fids[a:b], props[a:b], kinds[a:b], drawings[a:b])
+        if layers:
+            yield now, _tile(layers, extent)
+
+    def batch_of(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        at = np.array([r[0] for r in rows], np.int64)
+        return pa.record_batch([pa.array((at >> 58).astype(np.int32)), pa.array(at >> 29 & (1 << 29) - 1), pa.array(at & (1 << 29) - 1), pa.array([r[1] for r in rows], pa.binary())], ["z", "x", "y", "tile"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, SLICE_TILES):
-                some = batch.slice(a, SLICE_TILES)
-                yield pa.record_batch([*(some.column(c) for c in "zxy"), pa.array(tiles_of(some), pa.binary())], ["z", "x", "y", "tile"])
+        rows, size = [], 0
+        for row in tiles_of(batches):
+            rows.append(row)
+            size += len(row[1])
+            if size >= OUT_BYTES or len(rows) >= 1024:
+                yield batch_of(rows)
+                rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
 
     return run
 
