@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from waymesh.operators import tiles
+from waymesh import session
+from waymesh.operators import graph, tiles
 
 
 def test_a_full_tile_is_streamed(spark):
@@ -35,3 +36,24 @@ def test_a_large_layer_waits_in_a_file(monkeypatch):
     monkeypatch.setattr(tiles, "KNOWN_PROPS", 2)
     large, layer = packed()
     assert layer.body._rolled and large == small
+
+
+def test_finished_half_edges_look_nothing_up(spark, monkeypatch):
+    plans = []
+    cut = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), cut(df))[1])
+    links = spark.createDataFrame([(i, i + 1 if i % 4 < 3 else None) for i in range(40)], "h long, nxt long")
+    paths, rings = graph._ranked(links)
+    assert rings.isEmpty() and {(r.h, r.last, r.d) for r in paths.collect()} == {(i, i - i % 4 + 3, 3 - i % 4) for i in range(40)}
+    looks_up = [[line for line in p.split("Join LeftOuter")[1].splitlines() if "Filter" in line and "isnotnull(nxt" in line] for p in plans if "Join LeftOuter" in p]
+    assert looks_up and all(looks_up)
+
+
+def test_chains_have_more_partitions_for_more_rows(spark, monkeypatch):
+    seen = []
+    cut = graph.cut
+    monkeypatch.setattr(session, "PARTITION_ROWS", 10)
+    monkeypatch.setattr(graph, "cut", lambda df: (seen.append(spark.conf.get("spark.sql.shuffle.partitions")), cut(df))[1])
+    df = spark.range(95).select(F.col("id").alias("fid"), F.col("id").alias("a"), (F.col("id") + 1).alias("z"))
+    assert {(r.fid, r.chain, r.pos, r.forward) for r in graph.chains(df).collect()} == {(i, 0, i, True) for i in range(95)}
+    assert set(seen) == {"10"} and spark.conf.get("spark.sql.shuffle.partitions") == "4"

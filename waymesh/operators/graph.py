@@ -20,7 +20,7 @@ from waymesh.functions import geometry as G
 from waymesh.functions.scalars import flag_for_web
 from waymesh.functions.widths import GROUP, OTHER, width_at
 from waymesh.operators.profile import running_total
-from waymesh.session import cut
+from waymesh.session import cut, partitions_for
 from waymesh.sources.settings import DEFAULT
 
 
@@ -84,7 +84,8 @@ def _successors(df: DataFrame, group: Sequence[str], oneway: Column) -> DataFram
         on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
     met = half.join(node, on, "left").withColumn("other", F.col("lo") + F.col("hi") - F.col("fid"))
     start = edges.select(F.col("fid").alias("f2"), F.col("a").alias("a2"))
-    found = met.join(start, F.col("other") == F.col("f2"), "left")
+    # Half-edges that end here look up numbers that no edge has, so that they don't all meet in one task under null.
+    found = met.join(start, F.coalesce("other", -1 - F.col("h")) == F.col("f2"), "left")
     nxt = F.when(F.col("a2") == F.col("head"), 2 * F.col("other")).when(~F.col("__oneway_only"), 2 * F.col("other") + 1)
     return found.select("h", nxt.alias("nxt"))
 
@@ -93,6 +94,8 @@ def _ranked(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """links: (h, nxt). Half-edges on paths as (h, last, d), d steps before the path's last; those on cycles as (h, nxt, low),
     low the cycle's least."""
     state = cut(links.select("h", "nxt", F.coalesce("nxt", "h").alias("last"), F.when(F.col("nxt").isNull(), 0).otherwise(1).cast("long").alias("d"), F.least("h", "nxt").alias("low")))
+    # Only open half-edges look up their next; those that are done wait to be looked up. Were they on the looking side, all of
+    # them would meet in one task under null.
     before = None
     while True:
         open_rows = state.filter("nxt is not null")
@@ -101,17 +104,16 @@ def _ranked(links: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         before = now
         t = state.select(F.col("h").alias("h2"), F.col("nxt").alias("nxt2"), F.col("last").alias("last2"), F.col("d").alias("d2"), F.col("low").alias("low2"))
-        joined = state.join(t, F.col("nxt") == F.col("h2"), "left")
+        joined = open_rows.join(t, F.col("nxt") == F.col("h2"), "left")
         jump = F.col("h2").isNotNull()
-        state = cut(
-            joined.select(
-                "h",
-                F.when(jump, F.col("nxt2")).alias("nxt"),
-                F.when(jump, F.col("last2")).otherwise(F.col("last")).alias("last"),
-                (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"),
-                F.least("low", "low2").alias("low"),
-            )
+        stepped = joined.select(
+            "h",
+            F.when(jump, F.col("nxt2")).alias("nxt"),
+            F.when(jump, F.col("last2")).otherwise(F.col("last")).alias("last"),
+            (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"),
+            F.least("low", "low2").alias("low"),
         )
+        state = cut(state.filter("nxt is null").unionByName(stepped))
     return state.filter("nxt is null").select("h", "last", "d"), state.filter("nxt is not null").select("h", "low")
 
 
@@ -121,15 +123,16 @@ def chains(df: DataFrame, group: Sequence[str] = (), oneway: Column | None = Non
     chain is the least fid of the run, whose edge runs forward; pos counts from the run's head. Where oneway holds, a run
     follows the edges' directions only. A closed ring starts with its least edge. fid must be unique and not negative.
     """
-    links = cut(_successors(df, group, F.lit(False) if oneway is None else oneway))
-    paths, rings = _ranked(links)
-    if not rings.isEmpty():
-        # Ring by ring the link into its least half-edge goes; then it is a path like any other.
-        ring = links.join(rings.withColumnRenamed("h", "hr"), F.col("h") == F.col("hr")).select("h", F.when(F.col("nxt") != F.col("low"), F.col("nxt")).alias("nxt"))
-        paths = paths.unionByName(_ranked(ring)[0])
-    heads = paths.groupBy(F.col("last").alias("l")).agg(F.min("h").alias("least"), F.max("d").alias("n"))
-    both = paths.join(heads, F.col("last") == F.col("l")).filter("least % 2 = 0")
-    return both.select(F.floor(F.col("h") / 2).alias("fid"), F.floor(F.col("least") / 2).alias("chain"), (F.col("n") - F.col("d")).alias("pos"), (F.col("h") % 2 == 0).alias("forward"))
+    with partitions_for(df.sparkSession, df.count()):
+        links = cut(_successors(df, group, F.lit(False) if oneway is None else oneway))
+        paths, rings = _ranked(links)
+        if not rings.isEmpty():
+            # Ring by ring the link into its least half-edge goes; then it is a path like any other.
+            ring = links.join(rings.withColumnRenamed("h", "hr"), F.col("h") == F.col("hr")).select("h", F.when(F.col("nxt") != F.col("low"), F.col("nxt")).alias("nxt"))
+            paths = paths.unionByName(_ranked(ring)[0])
+        heads = paths.groupBy(F.col("last").alias("l")).agg(F.min("h").alias("least"), F.max("d").alias("n"))
+        both = paths.join(heads, F.col("last") == F.col("l")).filter("least % 2 = 0")
+        return cut(both.select(F.floor(F.col("h") / 2).alias("fid"), F.floor(F.col("least") / 2).alias("chain"), (F.col("n") - F.col("d")).alias("pos"), (F.col("h") % 2 == 0).alias("forward")))
 
 
 def group_mode(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:

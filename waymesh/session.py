@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -28,6 +30,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+PARTITION_ROWS = 250_000
+
+
+@contextmanager
+def partitions_for(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Shuffles of what runs within have a partition for each PARTITION_ROWS rows where the session has fewer, so that a task's share
+    doesn't grow with the table. Adaptive execution joins partitions that are small."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(int(before), -(-rows // PARTITION_ROWS))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _has_map(kind: T.DataType) -> bool:
     if isinstance(kind, T.StructType):
         return any(_has_map(f.dataType) for f in kind.fields)
