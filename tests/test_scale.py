@@ -1,8 +1,10 @@
 """Steps that must not gather in one row, one task or one loop what grows with the data."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from waymesh import session
+from waymesh.functions import geometry as G
 from waymesh.operators import graph, tiles
 
 
@@ -57,3 +59,33 @@ def test_chains_have_more_partitions_for_more_rows(spark, monkeypatch):
     df = spark.range(95).select(F.col("id").alias("fid"), F.col("id").alias("a"), (F.col("id") + 1).alias("z"))
     assert {(r.fid, r.chain, r.pos, r.forward) for r in graph.chains(df).collect()} == {(i, 0, i, True) for i in range(95)}
     assert set(seen) == {"10"} and spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def some_lines(seed, n):
+    rng = np.random.default_rng(seed)
+    lines = [rng.integers(0, 5, (rng.integers(2, 9), 2)).astype(float) for _ in range(n)]
+    return rng, lines, np.concatenate(lines), np.array([len(v) for v in lines])
+
+
+def test_parts_of_many_lines():
+    rng, lines, points, sizes = some_lines(1, 200)
+    along = G.distances_of_lines(points, sizes)
+    each = [G.distances(v) for v in lines]
+    assert np.array_equal(along, np.concatenate(each))
+    line = rng.integers(0, len(lines), 2000)
+    ends = np.array([sorted(rng.choice(each[i]) if rng.random() < 0.5 else rng.random() * each[i][-1] for _ in range(2)) for i in line])
+    got, n = G.parts_of_lines(points, sizes, along, line, ends[:, 0], ends[:, 1])
+    want = [G.part_of(lines[i], each[i], a, b) for i, (a, b) in zip(line, ends)]
+    assert n.tolist() == [len(w) for w in want] and np.array_equal(got, np.concatenate(want))
+
+
+def test_outlines_of_many_lines(monkeypatch):
+    _, lines, points, sizes = some_lines(2, 300)
+    half = np.linspace(0.1, 2, len(lines))
+    rings, n = G.buffer_lines(points, sizes, half)
+    each = [G.buffer_points(v, h) for v, h in zip(lines, half)]
+    assert n.tolist() == [len(r) for r in each] and np.array_equal(rings, np.concatenate(each))
+    simple = G.are_simple(rings, n)
+    assert 0 < simple.sum() < len(simple)
+    monkeypatch.setattr(G, "PAIRS", 7)
+    assert np.array_equal(G.are_simple(rings, n), simple)

@@ -234,25 +234,57 @@ def clip_points(points: np.ndarray, box: tuple[float, float, float, float]) -> l
     return np.split(out, np.cumsum(parts)[:-1]) if len(parts) else []
 
 
-def offset_points(points: np.ndarray, distance: float) -> np.ndarray:
-    """The line shifted to its left by distance, with mitred corners."""
+def _mitres(points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of many lines their points without repeated ones, how many each has, and which way a shift to the left moves each point
+    (mitred corners). A line without length has no points."""
+    line, nth = _each(sizes)
+    keep = nth == 0
+    step = np.diff(points, axis=0, prepend=points[:1])
+    keep |= np.hypot(*step.T) > 0
+    long = np.bincount(line[keep], minlength=len(sizes)) > 1
+    keep &= long[line]
+    points, line = points[keep], line[keep]
+    sizes = np.bincount(line, minlength=len(sizes))
+    if not len(points):
+        return points, sizes, points
     d = np.diff(points, axis=0)
-    d = d[np.hypot(*d.T) > 0]
-    if not len(d):
-        return points[:0]
-    keep = np.concatenate(([True], np.hypot(*np.diff(points, axis=0).T) > 0))
-    points = points[keep]
-    normal = np.stack([-d[:, 1], d[:, 0]], axis=1) / np.hypot(*d.T)[:, None]
-    before, after = np.concatenate((normal[:1], normal)), np.concatenate((normal, normal[-1:]))
+    with np.errstate(invalid="ignore", divide="ignore"):  # what lies between two lines isn't used
+        normal = np.stack([-d[:, 1], d[:, 0]], axis=1) / np.hypot(*d.T)[:, None]
+    i = np.arange(len(points))
+    first, last = np.ones(len(points), bool), np.ones(len(points), bool)
+    first[1:] = last[:-1] = line[1:] != line[:-1]
+    before, after = normal[np.where(first, i, i - 1)], normal[np.where(last, i - 1, i)]
     bend = 1 + (before * after).sum(axis=1)
-    mitre = (before + after) / np.maximum(bend, 0.1)[:, None]
-    return points + distance * mitre
+    return points, sizes, (before + after) / np.maximum(bend, 0.1)[:, None]
+
+
+def offset_lines(points: np.ndarray, sizes: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Many lines shifted to their left, each by its distance: points, and how many each line has."""
+    points, sizes, mitre = _mitres(points, sizes)
+    return points + np.repeat(distance, sizes)[:, None] * mitre, sizes
+
+
+def buffer_lines(points: np.ndarray, sizes: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The closed outlines of ribbons of width 2*half with flat ends along many lines."""
+    points, sizes, mitre = _mitres(points, sizes)
+    shift = np.repeat(half, sizes)[:, None] * mitre
+    left, right = points + shift, points - shift
+    rings = np.where(sizes > 0, 2 * sizes + 1, 0)
+    line, nth = _each(rings)
+    n, start = sizes[line], (np.cumsum(sizes) - sizes)[line]
+    back = (nth >= n) & (nth < 2 * n)
+    at = start + np.where(back, 2 * n - 1 - nth, nth % np.maximum(2 * n, 1))
+    return np.where(back[:, None], right[at], left[at]), rings
+
+
+def offset_points(points: np.ndarray, distance: float) -> np.ndarray:
+    """The line shifted to its left by distance, with mitred corners."""
+    return offset_lines(points, np.array([len(points)]), np.array([distance]))[0]
 
 
 def buffer_points(points: np.ndarray, half: float) -> np.ndarray:
     """The closed outline of a ribbon of width 2*half with flat ends."""
-    left, right = offset_points(points, half), offset_points(points, -half)
-    return np.concatenate((left, right[::-1], left[:1])) if len(left) else left
+    return buffer_lines(points, np.array([len(points)]), np.array([half]))[0]
 
 
 def part_of(points: np.ndarray, along: np.ndarray, start: float, end: float) -> np.ndarray:
@@ -266,13 +298,72 @@ def distances(points: np.ndarray) -> np.ndarray:
     return np.concatenate(([0.0], np.cumsum(np.hypot(*np.diff(points, axis=0).T))))
 
 
-def is_simple(ring: np.ndarray) -> bool:
-    """Whether a closed outline has no two sides that cross. All pairs of sides at once: for outlines of one slice."""
-    p, q = ring[:-1], ring[1:]
+def distances_of_lines(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """distances of many lines. Lines of as many points are summed together, each on its own from its start."""
+    out = np.zeros(len(points))
+    step = np.hypot(*np.diff(points, axis=0, prepend=points[:1]).T)
+    begin = np.cumsum(sizes) - sizes
+    for n in np.unique(sizes[sizes > 1]):
+        at = begin[sizes == n][:, None] + np.arange(1, n)
+        out[at] = np.cumsum(step[at], axis=1)
+    return out
+
+
+def parts_of_lines(points: np.ndarray, sizes: np.ndarray, along: np.ndarray, line: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """part_of for many parts of many lines: points, and how many each part has. line: that of each part."""
+    n, of = len(line), _each(sizes)[0]
+    # Where starts and ends come among the points of their line; of equal distances, ends that leave a point out come first.
+    owner = np.concatenate((of, line, line, line))
+    value = np.concatenate((along, start, end, end))
+    rank = np.repeat((1, 2, 2, 0), (len(along), n, n, n))
+    order = np.lexsort((rank, value, owner))
+    passed = np.empty(len(order), np.int64)
+    passed[order] = np.cumsum(order < len(along))
+    after_start, after_end, before_end = np.split(passed[len(along) :], 3)
+    begin, last = (np.cumsum(sizes) - sizes)[line], np.cumsum(sizes)[line] - 1
+
+    def between(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+        j = np.clip(after - 1, begin, last)
+        k = np.minimum(j + 1, last)
+        gap = along[k] - along[j]
+        slope = np.divide(points[k] - points[j], gap[:, None], out=np.zeros((n, 2)), where=gap[:, None] > 0)
+        return np.where(((at <= along[j]) | (j == last))[:, None], points[j], slope * (at - along[j])[:, None] + points[j])
+
+    inner = np.maximum(before_end - after_start, 0)
+    out_sizes = inner + 2
+    part, nth = _each(out_sizes)
+    at = np.minimum(after_start[part] + nth - 1, len(points) - 1)
+    out = points[np.maximum(at, 0)]
+    out[nth == 0] = between(start, after_start)
+    out[nth == out_sizes[part] - 1] = between(end, after_end)
+    return out, out_sizes
+
+
+PAIRS = 1 << 20  # of sides that are compared at once
+
+
+def are_simple(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which of many closed outlines have no two sides that cross. All pairs of sides of an outline, some of them at a time: for
+    outlines of one slice."""
+    out = np.ones(len(sizes), bool)
+    begin = np.cumsum(sizes) - sizes
     side = lambda a, b, c: (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
-    a, b, c, d = p[:, None], q[:, None], p[None], q[None]
-    crossing = (side(a, b, c) * side(a, b, d) < 0) & (side(c, d, a) * side(c, d, b) < 0)
-    return not crossing.any()
+    for n in np.unique(sizes[sizes > 1]):
+        alike = np.flatnonzero(sizes == n)
+        rings, sides = max(1, PAIRS // int(n - 1) ** 2), max(1, PAIRS // int(n - 1))
+        for first in range(0, len(alike), rings):
+            some = alike[first : first + rings]
+            ring = points[begin[some][:, None] + np.arange(n)]
+            c, d = ring[:, None, :-1], ring[:, None, 1:]
+            for at in range(0, int(n) - 1, sides):
+                a, b = ring[:, at : min(at + sides, n - 1), None], ring[:, at + 1 : min(at + sides, n - 1) + 1, None]
+                crossing = (side(a, b, c) * side(a, b, d) < 0) & (side(c, d, a) * side(c, d, b) < 0)
+                out[some] &= ~crossing.any(axis=(1, 2))
+    return out
+
+
+def is_simple(ring: np.ndarray) -> bool:
+    return bool(are_simple(ring, np.array([len(ring)]))[0])
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -241,44 +243,76 @@ def deck_profile(length: float, ends: Sequence[float], head: bool, tail: bool, r
     return out
 
 
+DECK_CHAINS = 256  # whose outlines are made at once
+
+
 def _decks(settings: Mapping[str, float]):
     ramp, step = max(settings["ramp_m"], 1.0), max(settings["step_m"], 0.25)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for c in frame.itertuples():
-                v = G._points(c.vertices)
-                lon0, lat0 = v[0]
-                kx = G.DEGREE_M * np.cos(np.radians(lat0))
-                points = (v - v[0]) * (kx, G.DEGREE_M)
-                along = G.distances(points)
-                size = np.cumsum([len(p["v"]) - 1 for p in c.parts])
-                ends = along[size]
-                pixel = G.PIXEL_M * np.cos(np.radians(lat0)) / 2 ** settings["match_zoom"]
-
-                def add(fid, kind, base, height, outline, chain=c.chain, kx=kx, lon0=lon0, lat0=lat0):
-                    if len(outline) and G.is_simple(outline):
-                        xy = [{"x": round(x / kx + lon0, 6), "y": round(y / G.DEGREE_M + lat0, 6)} for x, y in outline]
-                        rows.append((chain, fid, kind, round(base, 2), round(height, 2), xy))
-
-                for a, b, t in deck_profile(float(along[-1]), ends[:-1].tolist(), c.head, c.tail, ramp, step):
-                    part = G.part_of(points, along, a, b)
-                    edge = c.parts[min(int(np.searchsorted(ends + 1e-6, (a + b) / 2)), len(c.parts) - 1)]
-                    half = max(width_at(GROUP.get(str(edge["class"] or ""), OTHER), settings["match_zoom"]) * pixel / 2, 2.0) * settings["width_scale"]
-                    base, height = settings["base_m"] * t, settings["base_m"] * t + settings["thickness_m"]
-                    if edge["twoway"] and edge["twin"] is not None and edge["twin"] == edge["twin"]:
-                        with_it, against = (edge["fid"], edge["twin"]) if edge["forward"] else (edge["twin"], edge["fid"])
-                        for side, fid in ((-1.0, with_it), (1.0, against)):
-                            add(int(fid), "deck", base, height, G.buffer_points(G.offset_points(part, side * half / 2), half / 2))
-                    else:
-                        add(int(edge["fid"]), "deck", base, height, G.buffer_points(part, half))
-                    if settings["casing_px"]:
-                        rim = settings["casing_px"] * pixel
-                        for side in (1.0, -1.0):
-                            strip = G.buffer_points(G.offset_points(part, side * (half + rim / 2)), rim / 2)
-                            add(int(edge["fid"]), "casing", max(base - 0.5, 0.0), base + settings["thickness_m"] * 0.35, strip)
-            yield pd.DataFrame(rows, columns=["chain", "fid", "kind", "base", "height", "vertices"])
+    width = lambda kind: width_at(GROUP.get(str(kind or ""), OTHER), settings["match_zoom"])
+
+    def decks_of(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+        degrees, sizes = G._from_arrow(batch.column("vertices"))
+        first = np.cumsum(sizes) - sizes
+        lon0, lat0 = degrees[first].T
+        kx = G.DEGREE_M * np.cos(np.radians(lat0))
+        points = (degrees - np.repeat(degrees[first], sizes, axis=0)) * np.stack([np.repeat(kx, sizes), np.full(len(degrees), G.DEGREE_M)], axis=1)
+        along = G.distances_of_lines(points, sizes)
+        pixel = G.PIXEL_M * np.cos(np.radians(lat0)) / 2 ** settings["match_zoom"]
+        n_edges, edges = pc.list_value_length(batch.column("parts")).to_numpy(), batch.column("parts").flatten()
+        member = lambda name: pc.struct_field(edges, name)
+        first_edge = np.cumsum(n_edges) - n_edges
+        chain_of, _ = G._each(n_edges)
+        # The vertex where an edge ends on its chain's line.
+        steps = np.cumsum(member("n").to_numpy() - 1)
+        ends = along[first[chain_of] + steps - np.concatenate(([0], steps))[first_edge][chain_of]]
+
+        slices, owner = [], []
+        for c, (head, tail) in enumerate(zip(batch.column("head").to_pylist(), batch.column("tail").to_pylist())):
+            own = ends[first_edge[c] : first_edge[c] + n_edges[c]]
+            found = deck_profile(float(along[first[c] + sizes[c] - 1]), own[:-1].tolist(), head, tail, ramp, step)
+            slices += found
+            at = np.array([(a + b) / 2 for a, b, _ in found])
+            owner.append(first_edge[c] + np.minimum(np.searchsorted(own + 1e-6, at), len(own) - 1))
+        start, end, share = np.array(slices, float).reshape(-1, 3).T
+        edge = np.concatenate([*owner, np.zeros(0, np.int64)]).astype(np.int64)
+        chain = chain_of[edge]
+        lines, n_points = G.parts_of_lines(points, sizes, along, chain, start, end)
+
+        kinds = pc.fill_null(member("class"), "").dictionary_encode()
+        widths = np.array([width(k) for k in kinds.dictionary.to_pylist()], float)[kinds.indices.to_numpy()]
+        half = np.maximum(widths[edge] * pixel[chain] / 2, 2.0) * settings["width_scale"]
+        rim = settings["casing_px"] * pixel[chain]
+        base = settings["base_m"] * share
+        fid, forward = member("fid").to_numpy(zero_copy_only=False)[edge], member("forward").to_numpy(zero_copy_only=False).astype(bool)[edge]
+        has_twin = pc.fill_null(pc.and_(member("twoway"), member("twin").is_valid()), False).to_numpy(zero_copy_only=False)[edge]
+        twin = pc.fill_null(member("twin"), 0).to_numpy(zero_copy_only=False).astype(np.int64)[edge]
+        every = np.arange(len(edge))
+        single, double = every[~has_twin], every[has_twin]
+        # (which slices, the owner, how far to the left, half the width) of each kind of ribbon.
+        ribbons = [(single, fid, 0 * half, half, "deck"), (double, np.where(forward, fid, twin), -half / 2, half / 2, "deck"), (double, np.where(forward, twin, fid), half / 2, half / 2, "deck")]
+        if settings["casing_px"]:
+            ribbons += [(every, fid, side * (half + rim / 2), rim / 2, "casing") for side in (1.0, -1.0)]
+        out = []
+        n_first = np.cumsum(n_points) - n_points
+        for of, whose, shift, wide, kind in ribbons:
+            line, nth = G._each(n_points[of])
+            shifted, n = G.offset_lines(lines[n_first[of][line] + nth], n_points[of], shift[of])
+            ring, n = G.buffer_lines(shifted, n, wide[of])
+            kept = G.are_simple(ring, n) & (n > 0)
+            ring = ring[np.repeat(kept, n)]
+            of, n = of[kept], n[kept]
+            c = np.repeat(chain[of], n)
+            ring = np.stack([ring[:, 0] / kx[c] + lon0[c], ring[:, 1] / G.DEGREE_M + lat0[c]], axis=1).round(6)
+            low, high = (base[of], base[of] + settings["thickness_m"]) if kind == "deck" else (np.maximum(base[of] - 0.5, 0.0), base[of] + settings["thickness_m"] * 0.35)
+            rounded = lambda v: pa.array([round(x, 2) for x in v.tolist()], pa.float64())
+            columns = [batch.column("chain").take(pa.array(chain[of])), pa.array(whose[of].astype(np.int64)), pa.array([kind] * len(of), pa.string()), rounded(low), rounded(high), G._to_arrow(ring, n)]
+            out.append(pa.record_batch(columns, ["chain", "fid", "kind", "base", "height", "vertices"]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, DECK_CHAINS):
+                yield from decks_of(batch.slice(a, DECK_CHAINS))
 
     return run
 
@@ -302,5 +336,6 @@ def bridge_decks(df: DataFrame, settings: Mapping[str, float] = DEFAULT.decks, c
     one = degree.filter("degree = 1").select(F.col("node").alias("g"))
     tips = tips.join(one, F.col("n1") == F.col("g"), "left").withColumn("head", F.col("g").isNotNull()).drop("g")
     tips = tips.join(one, F.col("n2") == F.col("g"), "left").withColumn("tail", F.col("g").isNotNull()).select(F.col("chain").alias("c"), "head", "tail")
-    rows = lines.join(tips, F.col("chain") == F.col("c")).select("chain", "vertices", "parts", "head", "tail")
-    return rows.mapInPandas(_decks(dict(settings)), _DECK)
+    edges = F.transform("parts", lambda p: F.struct(p["fid"].cast("long").alias("fid"), p["forward"].alias("forward"), F.size(p["v"]).cast("long").alias("n"), p["class"].alias("class"), p["twoway"].alias("twoway"), p["twin"].cast("long").alias("twin")))
+    rows = lines.join(tips, F.col("chain") == F.col("c")).select(F.col("chain").cast("long").alias("chain"), "vertices", edges.alias("parts"), "head", "tail")
+    return rows.mapInArrow(_decks(dict(settings)), _DECK)
