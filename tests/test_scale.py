@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from waymesh import session
 from waymesh.functions import geometry as G
-from waymesh.operators import graph, tiles
+from waymesh.operators import graph, profile, tiles
 
 
 def test_a_full_tile_is_streamed(spark):
@@ -89,3 +89,12 @@ def test_outlines_of_many_lines(monkeypatch):
     assert 0 < simple.sum() < len(simple)
     monkeypatch.setattr(G, "PAIRS", 7)
     assert np.array_equal(G.are_simple(rings, n), simple)
+
+
+def test_quantiles_without_gathering(spark):
+    for n in (0, 1, 2, 37, 101):
+        df = spark.range(n).select(F.when(F.col("id") % 5 > 0, (F.col("id") * 7919 % 50).cast("double")).alias("v"))
+        got = profile.robust_range(df, "v")
+        assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString()
+        want = df.agg(F.percentile("v", 0.02).alias("vlow"), F.percentile("v", 0.98).alias("vhigh")).first()
+        assert tuple(got.first()) == tuple(want)

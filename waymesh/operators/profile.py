@@ -3,6 +3,7 @@ fixed number of values."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -15,7 +16,7 @@ from waymesh.functions.ramp import sample
 from waymesh.functions.scalars import as_number, strip
 from waymesh.functions.widths import z_order
 from waymesh.operators.filters import is_public
-from waymesh.session import dealt_in_order, with_dense_ids
+from waymesh.session import cut, dealt_in_order, with_dense_ids
 
 FEW = 12  # distinct values up to which a column is treated as categories
 GROUPS = 5
@@ -98,9 +99,19 @@ def eligible_columns(df: DataFrame, geometry: str = "geometry") -> list[str]:
 
 
 def robust_range(df: DataFrame, column: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
-    """One row: vlow, vhigh, the exact quantiles with linear interpolation."""
+    """One row: vlow, vhigh, the exact quantiles with linear interpolation. Distinct values are counted, and a running total over
+    partitions says which ranks each has, so no task holds all of them."""
     value = as_number(F.col(column), df.schema[column].dataType)
-    return df.agg(F.percentile(value, low).alias("vlow"), F.percentile(value, high).alias("vhigh"))
+    counts = df.select(value.alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n")).withColumn("all", F.lit(0))
+    placed = cut(running_total(counts, "all", "v", "n", into="passed"))
+    n = placed.agg(F.coalesce(F.max("passed"), F.lit(0))).first()[0]
+
+    def at(share: float) -> Column:
+        x = share * (n - 1)
+        a, b = (F.min(F.when(F.col("passed") > f(x), F.col("v"))) for f in (math.floor, math.ceil))
+        return a if x == math.floor(x) else (math.ceil(x) - x) * a + (x - math.floor(x)) * b
+
+    return placed.agg(at(low).alias("vlow"), at(high).alias("vhigh"))
 
 
 def even_groups(df: DataFrame, column: str, groups: int = GROUPS) -> DataFrame:
