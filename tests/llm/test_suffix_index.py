@@ -82,6 +82,32 @@ def test_removal_matches_brute_force(spark, hot, seed):
     assert [got[i] for i in range(len(texts))] == brute(texts, 40)
 
 
+def near_copies():
+    """One passage, each copy with another byte changed."""
+    passage = "".join(random.Random(11).choices("abcdefgh ", k=300))
+    return [passage[:i] + "#" + passage[i + 1 :] for i in range(0, 300, 5)] + [passage, "ab" * 60, "ab" * 61, "tail " + passage[:90]]
+
+
+@pytest.mark.parametrize("recuts", [0, 1, 3])
+def test_hot_anchors_are_cut_again(spark, monkeypatch, recuts):
+    monkeypatch.setattr(suffix_index._index_ranges, "__defaults__", (recuts,))
+    texts = near_copies()
+    df = spark.createDataFrame(list(enumerate(texts)), DOC).repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_index.remove_repeats(df, length=40, k=8, hot=3 if recuts < 3 else 5).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 40)
+
+
+def test_near_copies_are_not_taken_window_by_window(spark, monkeypatch):
+    def fails(batches):
+        for batch in batches:
+            assert not batch.num_rows, "windows dealt one by one"
+        yield from ()
+
+    monkeypatch.setattr(suffix_index, "_window_hashes", lambda length: fails)
+    df = spark.createDataFrame(list(enumerate(near_copies())), DOC)
+    assert suffix_index.remove_repeats(df, length=40, k=8, hot=5).count() == len(near_copies())
+
+
 def test_odd_rows(spark):
     long = "".join(random.Random(9).choices("abcdefgh ", k=600_000))
     rows = [(1, "x" * 10), (1, long[:300]), (1, long[:300]), (None, None), (None, ""), (5, long)]

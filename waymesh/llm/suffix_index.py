@@ -10,8 +10,10 @@ are small rows (hash of the anchor, hash of the piece, where it is), about one f
 3. Different pieces under one anchor go to the index: their text is fetched from the documents, dealt by the anchor,
    and each task keeps a family of suffix arrays whose sizes double. A new batch gets its suffix array, is
    merge-scanned against the levels there are for matches of LENGTH bytes, and levels of equal size merge.
-   An anchor with more than HOT different pieces is split: its windows are dealt by a hash of their content, and those
-   that share one are compared by the SHA-256 of their bytes.
+   An anchor with more than HOT different pieces is hot: its pieces are cut again, by longer grams, and 2. and 3. are
+   repeated with what comes out. Windows that share a piece move together, so rows stay few. What is still hot after
+   RECUTS rounds is dealt window by window, by a hash of the content, and those that share one are compared by the
+   SHA-256 of their bytes.
 4. Repeated windows return to the documents by a join on the piece; a document's text and its ranges meet by id.
 """
 
@@ -33,6 +35,7 @@ from waymesh.llm.common import cut, documents, id_type, same_doc, with_text_hash
 LENGTH = 200
 KGRAM = 32
 HOT = 512
+RECUTS = 3  # rounds of longer grams; each halves what they are short of LENGTH
 CHUNK = 1 << 19
 BATCH = 1 << 15  # windows in the smallest level of an index
 FAMILY = 1 << 16  # windows beyond which an index is closed at the next change of the anchor
@@ -261,9 +264,43 @@ def _window_digests(length: int):
     return run
 
 
+def _window_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows side by side as one range. los: where the windows of a piece start."""
+    for batch in batches:
+        out = []
+        for anchor, piece, los in zip(*(batch.column(c).to_pylist() for c in ("anchor", "piece", "los"))):
+            at = np.sort(np.array(los, np.int64))
+            edge = np.flatnonzero(np.diff(at) > 1)
+            out += [(anchor, piece, lo, hi + 1) for lo, hi in zip(at[np.concatenate(([0], edge + 1))].tolist(), at[np.concatenate((edge, [len(at) - 1]))].tolist())]
+        if out:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], ["anchor", "piece", "lo", "hi"])
+
+
+def _recutter(length: int, k: int):
+    """Pieces cut again where the least gram of k bytes changes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                texts = part.column("data").to_pylist()
+                index, start, count, anchor, piece = pieces(texts, length, k)
+                pick = pa.array(index)
+                data = [texts[i][s : s + n - 1 + length] for i, s, n in zip(index.tolist(), start.tolist(), count.tolist())]
+                yield pa.record_batch(
+                    [part.column("anchor").take(pick), part.column("piece").take(pick), pa.array(start), pa.array(count), pa.array(anchor), pa.array(piece), pa.array(data, pa.binary())],
+                    ["of_anchor", "of_piece", "start", "n", "anchor", "piece", "data"],
+                )
+
+    return run
+
+
 # -- the whole ------------------------------------------------------------------------------------------------------
 
 
+_RANGES = "anchor long, piece long, lo long, hi long"
+
+
 def _fetcher():
     """The bytes of the pieces that a document stands for."""
 
@@ -284,6 +321,42 @@ def _fetcher():
     return run
 
 
+def _different(each: DataFrame, hot: int) -> DataFrame:
+    """The pieces that share their anchor with different ones. hot: whether with more than that many."""
+    several = cut(each.groupBy(F.col("anchor").alias("a")).agg(F.count("*").alias("c")).filter("c > 1"))
+    return each.join(several, F.col("anchor") == F.col("a")).withColumn("hot", F.col("c") > hot)
+
+
+def _index_ranges(texts: DataFrame, length: int, k: int, hot: int, recuts: int = RECUTS) -> DataFrame:
+    """texts: anchor, piece, hot, data, of different pieces. (anchor, piece, lo, hi): their windows that occur in another piece."""
+    cold = texts.filter(~F.col("hot")).select("anchor", "piece", "data").repartition("anchor").sortWithinPartitions("anchor", "piece")
+    ranges = cold.mapInArrow(_indexer(length), _RANGES)
+    hot_texts = texts.filter("hot").select("anchor", "piece", "data")
+    if hot_texts.isEmpty():
+        return ranges
+    if not recuts:
+        return ranges.unionByName(_window_ranges(hot_texts, length))
+    k = (k + length) // 2
+    rows = cut(hot_texts.mapInArrow(_recutter(length, k), "of_anchor long, of_piece long, start long, n long, anchor long, piece long, data binary"))
+    each = cut(rows.groupBy("anchor", "piece").agg(F.count("*").alias("copies"), F.min("n").alias("n"), F.min("data").alias("data")))
+    whole = each.filter("copies > 1").select("anchor", "piece", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"))
+    texts = cut(_different(each, hot).select("anchor", "piece", "hot", "data"))
+    found = whole.unionByName(_index_ranges(texts, length, k, hot, recuts - 1)).select(F.col("anchor").alias("a"), F.col("piece").alias("p"), "lo", "hi")
+    again = rows.join(found, (F.col("anchor") == F.col("a")) & (F.col("piece") == F.col("p")))
+    return ranges.unionByName(again.select(F.col("of_anchor").alias("anchor"), F.col("of_piece").alias("piece"), (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi")))
+
+
+def _window_ranges(texts: DataFrame, length: int) -> DataFrame:
+    """The same, by the windows' content. texts: anchor, piece, data."""
+    windows = texts.mapInArrow(_window_hashes(length), "anchor long, piece long, lo long, h long")
+    met = cut(windows.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("c")).filter("c > 1").select("g"))
+    places = windows.join(met, F.col("h") == F.col("g"), "left_semi").groupBy(F.col("anchor").alias("a"), F.col("piece").alias("p")).agg(F.collect_list("lo").alias("los"))  # at most one for each offset in a piece
+    digests = cut(texts.join(places, (F.col("anchor") == F.col("a")) & (F.col("piece") == F.col("p"))).select("anchor", "piece", "data", "los").mapInArrow(_window_digests(length), "anchor long, piece long, lo long, digest binary"))
+    twice = cut(digests.groupBy(F.col("digest").alias("g")).agg(F.count("*").alias("c")).filter("c > 1").select("g"))
+    found = digests.join(twice, F.col("digest") == F.col("g"), "left_semi").groupBy("anchor", "piece").agg(F.collect_list("lo").alias("los"))
+    return found.mapInArrow(_window_runs, _RANGES)
+
+
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", length: int = LENGTH, k: int = KGRAM, hot: int = HOT) -> DataFrame:
     """docs: doc_id, text, th. (doc_id, th, ranges): where strings of `length` bytes start that also start elsewhere,
     as byte ranges to remove; documents without any are missing."""
@@ -296,25 +369,14 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", length: int = LENGT
 
     each = cut(rows.groupBy("anchor", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "start", "n")).alias("at")))
     whole = each.filter("copies > 1").select("anchor", "piece", F.lit(0).cast("long").alias("lo"), F.col("at.n").cast("long").alias("hi"))
-    several = cut(each.groupBy(F.col("anchor").alias("a")).agg(F.count("*").alias("c")).filter("c > 1"))
-    chosen = each.join(several, F.col("anchor") == F.col("a"))
-    wanted = chosen.select(
+    wanted = _different(each, hot).select(
         F.col("at.doc_id").alias("doc_id"),
         F.col("at.th").alias("th"),
-        F.struct("anchor", "piece", (F.col("c") > hot).alias("hot"), F.col("at.start").alias("start"), (F.col("at.n") - 1 + length).alias("size")).alias("w"),
+        F.struct("anchor", "piece", "hot", F.col("at.start").alias("start"), (F.col("at.n") - 1 + length).alias("size")).alias("w"),
     )
     wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list("w").alias("wanted"))
     texts = cut(docs.join(wanted, same_doc(docs, wanted)).select("text", "wanted").mapInArrow(_fetcher(), "anchor long, piece long, hot boolean, data binary"))
-    cold = texts.filter(~F.col("hot")).select("anchor", "piece", "data").repartition("anchor").sortWithinPartitions("anchor", "piece")
-    ranges = cold.mapInArrow(_indexer(length), "anchor long, piece long, lo long, hi long")
-    hot_texts = texts.filter("hot").select("anchor", "piece", "data")
-    windows = hot_texts.mapInArrow(_window_hashes(length), "anchor long, piece long, lo long, h long")
-    met = cut(windows.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("c")).filter("c > 1").select("g"))
-    places = windows.join(met, F.col("h") == F.col("g"), "left_semi").groupBy(F.col("anchor").alias("a"), F.col("piece").alias("p")).agg(F.collect_list("lo").alias("los"))  # at most one for each offset in a piece
-    digests = cut(hot_texts.join(places, (F.col("anchor") == F.col("a")) & (F.col("piece") == F.col("p"))).select("anchor", "piece", "data", "los").mapInArrow(_window_digests(length), "anchor long, piece long, lo long, digest binary"))
-    twice = cut(digests.groupBy(F.col("digest").alias("g")).agg(F.count("*").alias("c")).filter("c > 1").select("g"))
-    hot_ranges = digests.join(twice, F.col("digest") == F.col("g"), "left_semi").select("anchor", "piece", "lo", (F.col("lo") + 1).alias("hi"))
-    found = whole.unionByName(ranges).unionByName(hot_ranges).select(F.col("anchor").alias("a"), F.col("piece").alias("p"), "lo", "hi")
+    found = whole.unionByName(_index_ranges(texts, length, k, hot)).select(F.col("anchor").alias("a"), F.col("piece").alias("p"), "lo", "hi")
     spans = rows.join(found, (F.col("anchor") == F.col("a")) & (F.col("piece") == F.col("p"))).select("doc_id", "th", F.struct((F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi") - 1 + length).alias("b")).alias("r"))
     return spans.groupBy("doc_id", "th").agg(F.collect_list("r").alias("ranges"))
 
