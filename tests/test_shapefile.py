@@ -3,6 +3,8 @@
 import struct
 from datetime import date
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from waymesh.sources import ingest, shapefile
@@ -118,6 +120,40 @@ def test_written_files_are_read_back(spark, tmp_path, monkeypatch):
         shapefile.read_table(spark, str(tmp_path / "none"))
 
 
+@pytest.mark.parametrize(("to", "texts"), [
+    ("long", ["7", "  -12", "007", "-", "5-", "1 2", "", "*****", "+3", "0x1F", "1_0"]),
+    ("double", ["1.", ".5", "1e5", "-1.5E2", "1e", "-0", "nan", "1e999", "", "inf", "+2.5", "1.2.3"]),
+    ("string", ["a ", " \0b\0", "", "  ", "\tc", "d\0e", "Straße"]),
+])
+@pytest.mark.parametrize("encoding", ["UTF-8", "latin-1", "cp437", "utf-16"])
+def test_attributes_at_once_are_those_one_by_one(to, texts, encoding):
+    rows = [t.encode().ljust(9, pad) for t in texts for pad in (b" ", b"\0")]
+    want = [shapefile._value(r, "C" if to == "string" else "N", to, encoding) for r in rows]
+    for some in [range(len(rows)), *([i] for i in range(len(rows)))]:  # together, and each alone
+        raw = np.frombuffer(b"".join(rows[i] for i in some), np.uint8).reshape(len(some), 9)
+        got = shapefile._values(raw, "C" if to == "string" else "N", to, encoding).to_pylist()
+        assert list(map(repr, got)) == [repr(want[i]) for i in some]
+
+
+def test_lines_are_read_and_written_at_once(tmp_path, monkeypatch):
+    """No Python call for each row or point."""
+    for name in ("_shape", "_value"):
+        monkeypatch.setattr(shapefile, name, lambda *_: pytest.fail("row by row"))
+    lines = [None if i % 5 == 3 else {"gtype": "LineString", "parts": [[{"x": i, "y": 1.5}, {"x": 2.0, "y": i / 3}]]} for i in range(300)]
+    lines[7] = {"gtype": "MultiLineString", "parts": [[{"x": 1.0, "y": 2.0}], [], [{"x": 3.0, "y": 4.0}, {"x": 5.0, "y": 6.0}]]}
+    rows = pa.record_batch([pa.array(range(300)), pa.array([f"n{i}" if i % 3 else None for i in range(300)]), pa.array(lines, shapefile.GEOMETRY)], ["fid", "name", "geometry"])
+    columns = [("fid", *shapefile._WRITTEN["bigint"]), ("name", *shapefile._WRITTEN["string"])]
+    ((name,),) = [m.column("name").to_pylist() for m in shapefile._writer(str(tmp_path), columns)(iter([rows.slice(0, 100), rows.slice(100)]))]
+    about = shapefile.describe(str(tmp_path / f"{name}.shp"))
+    batch = pa.record_batch([pa.array([shapefile.json.dumps(about)]), pa.array([0]), pa.array([300])], ["file", "first", "n"])
+    got = pa.Table.from_batches(list(shapefile._reader(about["columns"])(iter([batch]))))
+    assert got.to_pylist() == rows.to_pylist()
+    box = struct.unpack_from("<4d", (tmp_path / f"{name}.shp").read_bytes(), 36)
+    assert box == (0.0, 0.0, 299.0, 299 / 3)
+    with pytest.raises(ValueError, match="more than 254 bytes"):
+        list(shapefile._writer(str(tmp_path), columns[1:])(iter([pa.record_batch([pa.array(["x" * 255]), rows.column("geometry").slice(0, 1)], ["name", "geometry"])])))
+
+
 def test_damage(spark, tmp_path):
     save(tmp_path, "a", 3, [several(3, [[(1, 2), (3, 4)]])], [("n", "N", 3, 0)], [(b"1",), (b"2",)])
     with pytest.raises(ValueError, match="1 geometries and 2 rows"):

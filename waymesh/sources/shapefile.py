@@ -16,6 +16,7 @@ from datetime import date
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,6 +140,71 @@ def _value(raw: bytes, kind: str, to: str, encoding: str):
         return None
 
 
+def _ragged(starts: np.ndarray, sizes: np.ndarray, step: int) -> np.ndarray:
+    """starts[i], starts[i] + step, ... for sizes[i] items, one list after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes) * step, sizes) + np.arange(ends[-1] if len(ends) else 0) * step
+
+
+def _at(data: np.ndarray, places: np.ndarray, kind: str) -> np.ndarray:
+    """Numbers of a kind that begin at some bytes."""
+    size = np.dtype(kind).itemsize
+    if len(data) < size or not len(places):
+        return np.zeros(0, kind)
+    return np.ndarray((len(data) - size + 1,), f"V{size}", data, 0, (1,))[places].view(kind)
+
+
+def _lines(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.Array | None:
+    """The geometries of records that are all polylines or null shapes, at once; None where there are others, or odd ones. at: where
+    the records begin."""
+    if len(at) and int(size.min()) < 4:
+        return None
+    kind = _at(data, at, "<i4")
+    line = np.isin(kind, (POLYLINE, POLYLINE + 10, POLYLINE + 20))
+    if not (line | (kind == 0)).all() or line.any() and int(size[line].min()) < 44:
+        return None
+    some = at[line]
+    n_parts, n_points = (_at(data, some + k, "<i4").astype(np.int64) for k in (36, 40))
+    if len(some) and (int(n_parts.min()) < 1 or int(n_points.min()) < 0 or (44 + 4 * n_parts + 16 * n_points > size[line]).any()):
+        return None
+    first = _at(data, _ragged(some + 44, n_parts, 4), "<i4").astype(np.int64)
+    of_part = np.cumsum(n_parts) - n_parts
+    ends = np.append(first[1:], 0)
+    ends[of_part + n_parts - 1] = n_points
+    if first[of_part].any() or (ends < first).any():
+        return None
+    points = _at(data, _ragged(some + 44 + 4 * n_parts, n_points, 16), "V16").view("<f8").reshape(-1, 2)
+    pairs = pa.StructArray.from_arrays([pa.array(points[:, 0]), pa.array(points[:, 1])], ["x", "y"])
+    lines = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(ends - first))), pa.int32()), pairs)
+    count = np.zeros(len(at), np.int64)
+    count[line] = n_parts
+    parts = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), lines)
+    names = pa.array(np.where(count == 1, "LineString", "MultiLineString"), pa.string())
+    return pa.StructArray.from_arrays([names, parts], ["gtype", "parts"], mask=pa.array(~line)).cast(GEOMETRY)
+
+
+_PLAIN = {"long": b"0123456789- ", "double": b"0123456789-.eE ", "string": bytes(range(128))}
+
+
+def _values(raw: np.ndarray, kind: str, to: str, encoding: str) -> pa.Array:
+    """An attribute of some rows, raw (row, byte): at once where its bytes are plain, else value by value."""
+    n, width = raw.shape
+    raw = np.ascontiguousarray(raw)
+    ascii_like = encoding.lower().replace("_", "-") in ("utf-8", "utf8", "latin-1", "iso-8859-1", "iso8859-1", "ascii", "cp1252")
+    if to in _PLAIN and kind not in "IOB" and ascii_like and width and n:
+        plain = np.zeros(256, bool)
+        plain[list(_PLAIN[to])] = True
+        if plain[raw].all():
+            fixed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * width), pa.py_buffer(raw)])
+            text = pc.utf8_trim(fixed.cast(pa.string()), characters=" \0")
+            text = pc.if_else(pc.equal(text, ""), None, text)
+            try:
+                return text.cast(_ARROW[to])
+            except pa.ArrowInvalid:
+                pass  # a number among them can't be read
+    return pa.array([_value(r.tobytes(), kind, to, encoding) for r in raw], _ARROW[to])
+
+
 _ARROW = {"boolean": pa.bool_(), "date": pa.date32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
 
 
@@ -161,28 +227,37 @@ def _reader(columns: list):
                 some = index[b : b + 4096]
                 rows.seek(about["head_bytes"] + (a + b) * about["row_bytes"])
                 table = rows.read(len(some) * about["row_bytes"])
-                found, values = [], [[] for _ in columns]
+                if len(table) < len(some) * about["row_bytes"]:
+                    raise ValueError(f"{about['path']}: its attributes are cut short")
+                grid = np.frombuffer(table, np.uint8).reshape(len(some), about["row_bytes"])
+                kept = grid[:, 0] != ord("*")  # others are deleted
+                grid, some = grid[kept], some[kept]
+                if not len(some):
+                    continue
                 low = int(some[:, 0].min())
                 high = int((some[:, 0] + 8 + some[:, 1]).max())
                 together = high - low <= int((some[:, 1] + 8).sum()) * 2 + 4096  # records stand in order, as a rule
+                found = None
                 if together:
                     shapes.seek(low)
                     data = memoryview(shapes.read(high - low))
-                for i, (at, size) in enumerate(some.tolist()):
-                    row = table[i * about["row_bytes"] : (i + 1) * about["row_bytes"]]
-                    if row[:1] == b"*":  # deleted
-                        continue
-                    if together:
-                        record = data[at - low + 8 : at - low + 8 + size]
-                    else:
-                        shapes.seek(at + 8)
-                        record = memoryview(shapes.read(size))
-                    found.append(_shape(record))
-                    place = 1
-                    for k, (_, kind, width, to) in enumerate(about["columns"]):
-                        values[k].append(_value(row[place : place + width], kind, to, about["encoding"]))
-                        place += width
-                yield pa.record_batch([*(pa.array(v, _ARROW[c[3]]) for v, c in zip(values, columns)), pa.array(found, GEOMETRY)], [*names, "geometry"])
+                    if len(data) == high - low:
+                        found = _lines(np.frombuffer(data, np.uint8), some[:, 0] - low + 8, some[:, 1])
+                if found is None:
+                    each = []
+                    for at, size in some.tolist():
+                        if together:
+                            record = data[at - low + 8 : at - low + 8 + size]
+                        else:
+                            shapes.seek(at + 8)
+                            record = memoryview(shapes.read(size))
+                        each.append(_shape(record))
+                    found = pa.array(each, GEOMETRY)
+                place, values = 1, []
+                for _, kind, width, to in about["columns"]:
+                    values.append(_values(grid[:, place : place + width], kind, to, about["encoding"]))
+                    place += width
+                yield pa.record_batch([*values, found], [*names, "geometry"])
 
     return run
 
@@ -225,43 +300,70 @@ FILE_ROWS = 200_000
 WGS84 = 'GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]]'
 
 
-def _written(value, kind: str, width: int, name: str) -> bytes:
-    if value is None:
-        return b" " * width
-    if kind == "C":
-        data = value.encode()
-    elif kind == "L":
-        data = b"T" if value else b"F"
-    elif kind == "D":
-        data = value.strftime("%Y%m%d").encode()
+def _records(geometry: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The records of lines one after another, as 32-bit words; the words of each, without its head; and the boxes of those with points."""
+    valid = geometry.is_valid().to_numpy(zero_copy_only=False)
+    parts = geometry.filter(geometry.is_valid()).field("parts")
+    n_parts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    lines = parts.flatten()
+    n_line = pc.list_value_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
+    pairs = lines.flatten()
+    points = np.stack([pairs.field(c).to_numpy(zero_copy_only=False) for c in "xy"], axis=1).astype("<f8")
+    before = np.concatenate(([0], np.cumsum(n_line)))  # points before a part
+    of_part = np.cumsum(n_parts) - n_parts
+    start = before[of_part]
+    n_points = before[of_part + n_parts] - start
+    sizes = np.ones(len(geometry), np.int64)
+    sizes[valid] = 11 + n_parts + 4 * n_points
+    at = np.cumsum(sizes + 2) - sizes  # where each begins, after its head of two words
+    words = np.zeros(int((sizes + 2).sum()), np.int32)
+    words[at - 2] = np.arange(1, len(at) + 1).astype(">i4").view("<i4")
+    words[at - 1] = (2 * sizes).astype(">i4").view("<i4")
+    line = at[valid]
+    words[line], words[line + 9], words[line + 10] = POLYLINE, n_parts, n_points
+    words[_ragged(line + 11, n_parts, 1)] = before[:-1] - np.repeat(start, n_parts)
+    words[_ragged(line + 11 + n_parts, 4 * n_points, 1)] = points.view("<i4").ravel()
+    full = n_points > 0
+    boxes = np.zeros((int(full.sum()), 4), "<f8")
+    if len(boxes):
+        boxes[:, :2], boxes[:, 2:] = np.minimum.reduceat(points, start[full]), np.maximum.reduceat(points, start[full])
+        words[_ragged(line[full] + 1, np.full(len(boxes), 8), 1)] = boxes.view("<i4").ravel()
+    return words, sizes, boxes
+
+
+def _column(values: pa.Array, kind: str, width: int, name: str) -> np.ndarray:
+    """A column's attributes, (row, byte)."""
+    if kind == "L":
+        texts = pc.if_else(values, "T", "F")
+    elif kind == "C":
+        texts = values
+    elif kind == "N":
+        texts = values.cast(pa.string())
     else:
-        data = (str(value) if kind == "N" else repr(value)).encode().rjust(width)
-    if len(data) > width:
-        raise ValueError(f"{name}: {value!r} takes more than {width} bytes")
-    return data.ljust(width)
-
-
-def _polyline(parts: list) -> bytes:
-    first = np.cumsum([0, *map(len, parts)])
-    points = np.array([(p["x"], p["y"]) for part in parts for p in part], "<f8").reshape(-1, 2)
-    box = np.concatenate((points.min(axis=0), points.max(axis=0))) if len(points) else np.zeros(4)
-    return struct.pack("<i4d2i", POLYLINE, *box, len(parts), len(points)) + first[:-1].astype("<i4").tobytes() + points.tobytes()
+        texts = pa.array([None if v is None else v.strftime("%Y%m%d") if kind == "D" else repr(v) for v in values.to_pylist()], pa.string())
+    data = pc.fill_null(texts, "").cast(pa.binary())
+    sizes = pc.binary_length(data).to_numpy(zero_copy_only=False).astype(np.int64)
+    if len(sizes) and int(sizes.max()) > width:
+        raise ValueError(f"{name}: {values[int(np.argmax(sizes > width))].as_py()!r} takes more than {width} bytes")
+    out = np.full((len(values), width), ord(" "), np.uint8)
+    flat = np.frombuffer(b"".join(data.to_pylist()), np.uint8)
+    out.ravel()[_ragged(np.arange(len(values)) * width + (width - sizes if kind in "NF" else 0), sizes, 1)] = flat
+    return out
 
 
 def _writer(folder: str, columns: list[tuple[str, str, int, int]]):
-    def save(store, base: str, rows: list[tuple]) -> str:
+    def save(store, base: str, rows: pa.Table) -> str:
         name = uuid.uuid4().hex
-        shapes = [_polyline(r[-1]["parts"]) if r[-1] is not None else struct.pack("<i", 0) for r in rows]
-        boxes = np.array([struct.unpack_from("<4d", s, 4) for s in shapes if len(s) > 4]).reshape(-1, 4)
+        *attributes, geometry = (c.combine_chunks() for c in rows.columns)
+        words, sizes, boxes = _records(geometry)
         box = (*boxes[:, :2].min(axis=0), *boxes[:, 2:].max(axis=0)) if len(boxes) else (0.0,) * 4
         head = lambda size: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, size // 2) + struct.pack("<2i8d", 1000, POLYLINE, *box, 0, 0, 0, 0)
-        records = [struct.pack(">2i", i + 1, len(s) // 2) + s for i, s in enumerate(shapes)]
-        starts = HEADER + np.cumsum([0, *map(len, records)])
-        index = np.stack([starts[:-1] // 2, [len(s) // 2 for s in shapes]], axis=1).astype(">i4").tobytes()
+        starts = HEADER + 4 * (np.cumsum(sizes + 2) - sizes - 2)
+        index = np.stack([starts // 2, 2 * sizes], axis=1).astype(">i4").tobytes()
         fields = b"".join(struct.pack("<11sc4xBB14x", n.encode(), k.encode(), w, d) for n, k, w, d in columns)
-        table = b"".join(b" " + b"".join(_written(v, k, w, n) for v, (n, k, w, _) in zip(r, columns)) for r in rows)
-        attributes = struct.pack("<4BIHH20x", 3, 126, 1, 1, len(rows), 33 + len(fields), 1 + sum(c[2] for c in columns)) + fields + b"\r" + table + b"\x1a"
-        files = {".shx": head(HEADER + len(index)) + index, ".dbf": attributes, ".prj": WGS84.encode(), ".cpg": b"UTF-8", ".shp": head(int(starts[-1])) + b"".join(records)}
+        table = np.concatenate([np.full((len(sizes), 1), ord(" "), np.uint8), *(_column(v, k, w, n) for v, (n, k, w, _) in zip(attributes, columns))], axis=1).tobytes()
+        about = struct.pack("<4BIHH20x", 3, 126, 1, 1, len(sizes), 33 + len(fields), 1 + sum(c[2] for c in columns)) + fields + b"\r"
+        files = {".shx": head(HEADER + len(index)) + index, ".dbf": about + table + b"\x1a", ".prj": WGS84.encode(), ".cpg": b"UTF-8", ".shp": head(HEADER + words.nbytes) + words.tobytes()}
         for ending, data in files.items():  # the .shp last: without it nothing is read
             with store.open_output_stream(posixpath.join(base, name + ending), compression=None) as f:
                 f.write(data)
@@ -270,14 +372,17 @@ def _writer(folder: str, columns: list[tuple[str, str, int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = store_of(folder)
         store.create_dir(base, recursive=True)
-        rows: list[tuple] = []
+        held: list[pa.RecordBatch] = []
+        n = 0
         for batch in batches:
-            rows += zip(*(c.to_pylist() for c in batch.columns))
-            while len(rows) >= FILE_ROWS:
-                yield pa.record_batch([pa.array([save(store, base, rows[:FILE_ROWS])])], ["name"])
-                rows = rows[FILE_ROWS:]
-        if rows:
-            yield pa.record_batch([pa.array([save(store, base, rows)])], ["name"])
+            held.append(batch)
+            n += batch.num_rows
+            while n >= FILE_ROWS:
+                rows = pa.Table.from_batches(held)
+                yield pa.record_batch([pa.array([save(store, base, rows.slice(0, FILE_ROWS))])], ["name"])
+                held, n = rows.slice(FILE_ROWS).to_batches(), n - FILE_ROWS
+        if n:
+            yield pa.record_batch([pa.array([save(store, base, pa.Table.from_batches(held))])], ["name"])
 
     return run
 
