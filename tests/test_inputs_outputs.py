@@ -38,6 +38,18 @@ def ends(table):
 WANT = sorted((k, len(v), v[0][0], v[-1][1]) for k, v in LINES.items())
 
 
+def test_geometries_are_parsed_once(spark, tmp_path):
+    """Filters on the geometry don't parse it again: one expression for each of four nestings, Point's coordinates twice."""
+    (tmp_path / "x.geojsonl").write_text("\n".join(map(json.dumps, FEATURES)))
+    plan = ingest.read_geojson(spark, str(tmp_path / "x.geojsonl"), lines=True, properties="highway string").df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object(") == 3 and plan.count("from_json(") == 6
+    wkt = spark.createDataFrame([("a", "LINESTRING (1 2, 3 4)"), ("b", None), ("c", "POINT (1 2)")], "highway string, wkt string")
+    once = ingest.decode_geometry(wkt)._jdf.queryExecution().optimizedPlan().toString()
+    every = ingest.normalise(wkt).df
+    assert every._jdf.queryExecution().optimizedPlan().toString().count("LINESTRING") == once.count("LINESTRING")
+    assert [r.highway for r in every.collect()] == ["a"] and ingest.decode_geometry(wkt).count() == 3
+
+
 def test_every_input_gives_the_same_table(spark, tmp_path):
     rows = list(LINES.items())
     collection = {"type": "FeatureCollection", "features": FEATURES}

@@ -749,10 +749,10 @@ def ingest_shapefile(spark, sf):
     return table.select("fid", "highway", "name", "k", "quarter", *[corner(i, f).alias(p + f) for i, p in enumerate("amz") for f in "xy"])
 
 
-def _corners(df, names="az"):
+def _corners(df, names="az", also=()):
     """The ends of each line (and what lies between) as millionths of a degree."""
     corner = lambda i, f: G.node_key(F.element_at("vertices", i)[f])
-    return df.select("fid", *[corner(i, f).alias(p + f) for i, p in zip((1, 2, -1) if len(names) == 3 else (1, -1), names) for f in "xy"])
+    return df.select("fid", *also, *[corner(i, f).alias(p + f) for i, p in zip((1, 2, -1) if len(names) == 3 else (1, -1), names) for f in "xy"])
 
 
 @query("SELECT fid, ax, ay, mx, my, zx, zy FROM v_streets WHERE fid % 10 <> 7", ("streets",))
@@ -773,7 +773,7 @@ def ingest_geojson_lines(spark, sf):
     sinks.write_geojson_lines(df, folder)
     table = cut(ingest.read_geojson(spark, folder, lines=True, properties="fid long, highway string, name string").df)
     files.remove(folder)
-    return _corners(table, "amz").join(table.select("fid", "highway", "name"), "fid")
+    return _corners(table, "amz", ("highway", "name"))
 
 
 @query("SELECT fid, ax, ay, zx, zy FROM v_edges", ("edges",))

@@ -70,6 +70,12 @@ def _native(c: Column, kind: T.DataType) -> Column | None:
     return F.when(c.isNotNull(), F.struct(F.lit(name).alias("gtype"), parts().alias("parts")))
 
 
+def _once(c: Column) -> Column:
+    """c, worked out once for each row. A filter on a plain column's expression is pushed below it and works it out again, each time
+    that it names it; none is pushed below a generator."""
+    return F.explode(F.array(c))
+
+
 def decode_geometry(df: DataFrame, name: str | None = None) -> DataFrame:
     """The geometry column as struct<gtype, parts>, from WKB bytes, WKT text, a line of vertices or the struct itself. The
     column's type decides; no row is looked at."""
@@ -77,13 +83,13 @@ def decode_geometry(df: DataFrame, name: str | None = None) -> DataFrame:
     kind = df.schema[name].dataType
     c = F.col(name)
     if isinstance(kind, T.BinaryType):
-        g = G.from_wkb(c)
+        g = _once(G.from_wkb(c))
     elif isinstance(kind, T.StringType):
-        g = G.from_wkt(c)
+        g = _once(G.from_wkt(c))
     elif isinstance(kind, T.StructType) and set(kind.names) >= {"gtype", "parts"}:
         g = c
     elif isinstance(kind, T.StructType) and set(kind.names) >= {"type", "coordinates"}:
-        g = from_geojson_geometry(c)
+        g = _once(from_geojson_geometry(c))
     elif (g := _native(c, kind)) is None:
         raise ValueError(f"can't read a geometry from {name}: {kind.simpleString()}")
     out = df.withColumn("geometry", g)
@@ -217,7 +223,7 @@ def _from_feature_rows(rows: DataFrame, properties: T.StructType | str | None =
     names = [c for c in schema.names if c != "geometry"]
     parsed = rows.select(F.from_json(text, schema).alias("p") if names else F.lit(None).alias("p"), F.get_json_object("value", "$.geometry.type").alias("t"), F.get_json_object("value", "$.geometry.coordinates").alias("c"))
     geometry = from_geojson_geometry(F.struct(F.col("t").alias("type"), F.col("c").alias("coordinates")))
-    return parsed.select(*[F.col(f"p.`{c}`").alias(c) for c in names], geometry.alias("geometry"))
+    return parsed.select(*[F.col(f"p.`{c}`").alias(c) for c in names], _once(geometry).alias("geometry"))
 
 
 def from_geojson(spark: SparkSession, obj, class_col: str | None = "highway", srid: int = 4326, rename: Mapping[str, str] | None = None, keep_non_lines: bool = False) -> EdgeTable:
