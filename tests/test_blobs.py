@@ -4,6 +4,7 @@ import base64
 import gzip
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +33,17 @@ def test_features(spark):
     assert again == {c: r.data for c, r in got.items()}
 
 
+def test_results_leave_by_few_megabytes(spark):
+    """A batch of small blobs holds a lot of text."""
+    texts = pa.array([*(str(i) * 400_000 for i in range(40)), None, "é"])
+    packed = pa.concat_arrays(blobs._pack.func(iter([texts])))
+    assert packed.nbytes < 1 << 20
+    out = list(blobs._unpack.func(iter([packed])))
+    assert max(a.nbytes for a in out) < 6 << 20 and pa.concat_arrays(out).equals(texts)
+    rows = spark.range(64, numPartitions=1).select("id", F.repeat(F.col("id").cast("string"), 200_000).alias("t"))
+    assert rows.filter(blobs.unpack(blobs.pack(F.col("t"))).eqNullSafe(F.col("t"))).count() == 64
+
+
 def test_few_rows_and_no_ids(spark):
     df = network(spark, 3)
     row = blobs.packed_features(df, "x").first()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import gzip
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,16 +19,33 @@ from waymesh.sources.sinks import feature_text
 
 MIN_BYTES = 262_144  # of a chunk that is packed; smaller ones stay as they are
 CHUNK = 10_000  # ids in a chunk
+HELD = 4 << 20  # bytes of results that a task's Python holds at once
+
+
+def _each(work: Callable[[pa.Buffer], bytes], batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """work on each row's bytes. Rows are chunks of megabytes, and text is many times its blob: results leave by HELD bytes, however
+    many rows a batch has."""
+    for batch in batches:
+        held: list[bytes | None] = []
+        size = 0
+        for row in batch:
+            held.append(work(row.as_buffer()) if row.is_valid else None)
+            size += len(held[-1] or b"")
+            if size >= HELD:
+                yield pa.array(held, pa.string())
+                held, size = [], 0
+        if held:
+            yield pa.array(held, pa.string())
 
 
 @F.arrow_udf(T.StringType())
-def _pack(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else base64.b64encode(gzip.compress(t.encode(), 6, mtime=0)).decode() for t in texts.to_pylist()], pa.string())
+def _pack(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return _each(lambda t: base64.b64encode(gzip.compress(t, 6, mtime=0)), texts)
 
 
 @F.arrow_udf(T.StringType())
-def _unpack(blobs: pa.Array) -> pa.Array:
-    return pa.array([None if b is None else gzip.decompress(base64.b64decode(b)).decode() for b in blobs.to_pylist()], pa.string())
+def _unpack(blobs: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return _each(lambda b: gzip.decompress(base64.b64decode(b)), blobs)
 
 
 def pack(text: Column) -> Column:
