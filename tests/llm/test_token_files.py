@@ -97,6 +97,42 @@ def test_words_alone_give_the_ids_of_whole_texts(monkeypatch, piece, most):
     assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in TEXTS]
 
 
+def test_pieces_of_words_are_tokenised_once(monkeypatch):
+    """Case, punctuation and digits of a word cost no further call of the library; what its rules may change does."""
+    simple = ["Straße", "STRASSE,", "straße...", "(strasse)", "a1b22", "_x_=y|z", "Ärger-ÿ", "Œuvre", "it's", "x<|endoftext|>", "ñ", "n\u0303", "J\u030c", "²", "µ", "\u212a"]
+    texts = [" ".join(simple), " ".join(w.upper() for w in simple), " ".join(f"{w}!?" for w in simple)]
+    tokens, seen = token_files.Tokens(WORDS, True), []
+    encode = tokens.pieces.encode
+    monkeypatch.setattr(tokens.pieces, "encode", lambda new: seen.extend(new) or encode(new))
+    for text in texts:
+        _, ids = next(tokens.batches([text]))
+        assert ids.tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(seen) == len(set(seen)) and seen.count("strasse") == seen.count("straße") == 1 and not any(set(s) & set("'<>œµ") for s in seen)
+
+
+def test_recurring_words_outlast_a_full_memory():
+    calls = []
+    memory = token_files._Memory(lambda new: calls.append(new) or (np.arange(len(new)), np.ones(len(new), np.int64), np.array([ord(s) for s in new], np.uint32)), 8, 100)
+
+    def of(strings):
+        starts, sizes, ids = memory.of(list(strings))
+        assert sizes.tolist() == [1] * len(strings) and [chr(i) for i in ids[starts]] == list(strings)
+
+    for strings in ("abcd", "ab", "efgh", "aijb", "a", "ab", "klmnopqrst"):
+        of(strings)
+    assert calls == [list("abcd"), list("efgh"), list("ij"), list("klmnopqrst")]
+
+
+def test_coder_takes_a_step_for_each_id(monkeypatch):
+    """It took one for each of four digits."""
+    steps, part = [], token_coder._Mixer.part
+    monkeypatch.setattr(token_coder._Mixer, "part", lambda self, ids: steps.append(len(ids)) or part(self, ids))
+    ids = ids_like(5, 9000, 40_000)
+    data = token_coder.encode(ids, 4)
+    assert sum(steps) == len(ids) and np.array_equal(np.concatenate(list(token_coder.decode(data))), ids)
+    assert sum(steps) == 2 * len(ids)
+
+
 def plain(rows):
     return [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows]
 

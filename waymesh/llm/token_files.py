@@ -12,17 +12,20 @@ checksum.
 
 from __future__ import annotations
 
+import json
 import os
 import posixpath
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -33,94 +36,201 @@ from waymesh.llm import token_coder
 from waymesh.llm.common import cut, documents, fresh_path, id_type, remove_folder
 from waymesh.llm.warc import _file
 
-MAGIC = b"WMIDS\x01"
+MAGIC = b"WMIDS\x02"
 TRAILER = struct.Struct("<QI")  # bytes of the index, its CRC-32
 FILE_IDS = token_coder.LANES * token_coder.BLOCK
 END_ID = 2
-PIECE = 1 << 20  # characters that are tokenised at once
+PIECE = 1 << 22  # bytes of text that are tokenised at once
 READ_BYTES = 4 << 20
 
 
-class _Numbers(dict):
-    """Deals numbers to words as they come."""
+# Pieces of words for which the tokenizer below cuts and lower-cases as these patterns and Python do, and normal forms
+# change nothing: ASCII but for what its contractions and special tokens hold ('<>), and the Latin letters of ISO 8859-1.
+_SIMPLE = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff0-9!-&(-/:;=?@\[-`{-~]").fullmatch
+_PIECES = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-&(-/:;=?@\[-`{-~]+| ").findall
+_IS_SIMPLE = np.array([c < 256 and bool(chr(c) == " " or _SIMPLE(chr(c))) for c in range(257)])
+_SPACE = re.compile(r"[ \t\n\r]")
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        return n
+Flat = tuple[np.ndarray, np.ndarray, np.ndarray]  # of some strings: where their ids start, how many they are, all ids
+
+
+class _Memory:
+    """The ids of strings for as long as there is room; then those that did not come again are forgotten."""
+
+    def __init__(self, encode: Callable[[list[str]], Flat], most: int, most_ids: int):
+        self.encode = encode
+        self.numbers, self.n_ids = {}, 0
+        self.starts, self.sizes = np.zeros(most, np.int64), np.zeros(most, np.int64)
+        self.ids, self.again = np.zeros(most_ids, np.uint32), np.zeros(most, bool)
+
+    def _learn(self, new: list[str]) -> bool:
+        """Whether there was room."""
+        a, b = len(self.numbers), len(self.numbers) + len(new)
+        if b > len(self.starts):
+            return False
+        starts, sizes, ids = self.encode(new)
+        if self.n_ids + len(ids) > len(self.ids):
+            return False
+        self.starts[a:b], self.sizes[a:b] = starts + self.n_ids, sizes
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.n_ids += len(ids)
+        self.numbers.update(zip(new, range(a, b)))
+        return True
+
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.again)
+        total = int(self.sizes[keep].sum())
+        if 2 * len(keep) > len(self.starts) or 2 * total > len(self.ids):
+            keep, total = keep[:0], 0
+        strings = list(self.numbers)
+        self.numbers = {strings[i]: n for n, i in enumerate(keep.tolist())}
+        ends, self.ids[:total] = _gathered((self.starts, self.sizes, self.ids), keep)
+        self.sizes[: len(keep)] = self.sizes[keep]
+        self.starts[: len(keep)] = ends - self.sizes[: len(keep)]
+        self.n_ids = total
+        self.again[:] = False
+
+    def of(self, strings: list[str]) -> Flat:
+        """strings: all different."""
+        for _ in range(3):
+            at = np.fromiter(map(self.numbers.get, strings, repeat(-1)), np.int64, len(strings))
+            missing = np.flatnonzero(at < 0)
+            self.again[at[at >= 0]] = True
+            at[missing] = len(self.numbers) + np.arange(len(missing))
+            if not len(missing) or self._learn([strings[i] for i in missing.tolist()]):
+                return self.starts[at], self.sizes[at], self.ids
+            self._forget()
+        return self.encode(strings)  # these alone are too many
+
+
+def _gathered(flat: Flat, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of strings by their numbers: where the ids of each end, and all ids."""
+    starts, sizes, ids = flat
+    each = sizes[codes]
+    ends = np.cumsum(each)
+    return ends, ids[np.repeat(starts[codes] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _strings(array: pa.Array) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()
 
 
 class Tokens:
     """Ids of texts. words_apart: the tokenizer drops white space and no token reaches over it, so what stands between is
-    tokenised once for as long as it is remembered."""
+    tokenised once for as long as it is remembered. So are the pieces of such words, where it is known how the tokenizer
+    cuts them."""
 
     MOST_WORDS, MOST_IDS = 1 << 19, 1 << 22
 
     def __init__(self, file: str, words_apart: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(file)
         self.words_apart = words_apart
-        self.vocabulary = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
-        self.numbers, self.n_flat = _Numbers(), 0
-        self.starts, self.sizes = np.zeros(self.MOST_WORDS, np.int64), np.zeros(self.MOST_WORDS, np.int64)
-        self.flat = np.zeros(self.MOST_IDS, np.uint32)
-
-    def batches(self, texts: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.vocabulary = max(vocabulary.values()) + 1
+        suffix = self._suffix()
+        self.words = _Memory(self._by_pieces if suffix else self._whole, self.MOST_WORDS, self.MOST_IDS)
+        if suffix:
+            self.model = Tokenizer(self.tokenizer.model)
+            bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytewise])
+            self.last = np.zeros(self.vocabulary, bool)  # ids that end a piece
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+            self.pieces = _Memory(self._simple, self.MOST_WORDS, self.MOST_IDS)
+
+    def _suffix(self) -> str | None:
+        """What tokens end with at the end of a piece, if the tokenizer cuts words as the patterns above do."""
+        made = json.loads(self.tokenizer.to_str())
+        model, cuts = made["model"], made["pre_tokenizer"] or {}
+        bytewise = {"add_prefix_space": False, "use_regex": False}
+        two = cuts.get("pretokenizers", [])
+        known = (
+            made["normalizer"] == _NORMALIZER
+            and len(two) == 2
+            and two[0] == _SPLIT
+            and two[1]["type"] == "ByteLevel"
+            and all(two[1][k] == v for k, v in bytewise.items())
+            and not (made["truncation"] or made["padding"] or made["post_processor"])
+            and model["type"] == "BPE"
+            and not (model["dropout"] or model["continuing_subword_prefix"] or model["ignore_merges"])
+            and not any(all(map(_SIMPLE, t["content"])) or t["normalized"] for t in made["added_tokens"])
+        )
+        return model["end_of_word_suffix"] if known else None
+
+    def _whole(self, texts: list[str]) -> Flat:
+        """Each by itself, by the tokenizer."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.array([len(f) for f in found], np.int64)
+        return np.cumsum(sizes) - sizes, sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+
+    def _simple(self, pieces: list[str]) -> Flat:
+        """Pieces that the tokenizer would neither change nor cut: straight to its model, many in a row."""
+        rows = [" ".join(pieces[a : a + 512]) for a in range(0, len(pieces), 512)]
+        found = [e.ids for e in self.model.encode_batch_fast(rows, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, sum(map(len, found)))
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(pieces) or ends[-1] != len(ids):
+            return self._whole(pieces)
+        starts = np.zeros(len(ends), np.int64)
+        starts[1:] = ends[:-1]
+        return starts, ends - starts, ids
+
+    def _by_pieces(self, words: list[str]) -> Flat:
+        joined, simple, others = " ".join(words), np.ones(len(words), bool), []
+        points = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        odd = ~_IS_SIMPLE.take(points, mode="clip")
+        if odd.any():
+            simple[np.cumsum(points == ord(" "))[odd]] = False
+            others, joined = list(compress(words, ~simple)), " ".join(compress(words, simple))
+        starts, sizes, ids = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(0, np.uint32)
+        if len(others) < len(words):
+            parts = pa.array([" ", *_PIECES(joined.lower())]).dictionary_encode()  # so that a space is number 0
+            codes = parts.indices.to_numpy()[1:]
+            begin, count, known = self.pieces.of(_strings(parts.dictionary)[1:])
+            piece_ends, ids = _gathered((np.append(0, begin), np.append(0, count), known), codes)
+            ends = np.append(piece_ends[codes == 0], len(ids))
+            starts[simple] = np.append(0, ends[:-1])
+            sizes[simple] = ends - starts[simple]
+        if others:
+            begin, sizes[~simple], more = self._whole(others)
+            starts[~simple] = begin + len(ids)
+            ids = np.concatenate([ids, more])
+        return starts, sizes, ids
+
+    def batches(self, texts: pa.Array | list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
         """Of texts in turn: how many ids each has, and the ids of all of them. A text longer than PIECE comes in several
         parts, each alone; a part that isn't its text's last one has its size negative."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not self.words_apart:
-            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-                yield [len(e.ids)], np.array(e.ids, np.uint32)
+            for a in range(0, len(texts), 256):
+                for e in self.tokenizer.encode_batch_fast(texts.slice(a, 256).to_pylist(), add_special_tokens=False):
+                    yield [len(e.ids)], np.array(e.ids, np.uint32)
             return
-        words, counts, n = [], [], 0
-        for text in texts:
-            text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-            if n + len(text) > PIECE and counts:
-                yield self._ids(words, counts)
-                words, counts, n = [], [], 0
-            at = 0
-            while len(text) - at > PIECE and (end := text.find(" ", at + PIECE)) >= 0:
-                part = text[at:end].split(" ")
-                (size,), ids = self._ids(part, [len(part)])
+        ends, a = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while a < len(texts):
+            b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PIECE, "right"))
+            if b > a:
+                yield self._ids(texts.slice(a, b - a))
+                a = b
+                continue
+            text, at = texts[a].as_py(), 0
+            while len(text) - at > PIECE and (end := _SPACE.search(text, at + PIECE)):
+                (size,), ids = self._ids(pa.array([text[at : end.start()]]))
                 yield [~size], ids
-                at = end
-            more = (text[at:] if at else text).split(" ")
-            words += more
-            counts.append(len(more))
-            n += len(text) - at
-        if counts:
-            yield self._ids(words, counts)
-
-    def _learn(self, new: list[str]) -> bool:
-        """Takes in the words numbered last. Whether there was room for them."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        sizes = np.array([len(f) for f in found], np.int64)
-        b, total = len(self.numbers), int(sizes.sum())
-        a = b - len(new)
-        if b > self.MOST_WORDS or self.n_flat + total > self.MOST_IDS:
-            return False
-        self.starts[a:b], self.sizes[a:b] = self.n_flat + np.cumsum(sizes) - sizes, sizes
-        self.flat[self.n_flat : self.n_flat + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-        self.n_flat += total
-        return True
+                at = end.start()
+            yield self._ids(pa.array([text[at:]]))
+            a += 1
 
-    def _ids(self, words: list[str], counts: list[int]) -> tuple[list[int], np.ndarray]:
-        """counts: how many of the words each text has. How many ids each text has, and all ids."""
-        for _ in range(2):
-            before = len(self.numbers)
-            numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-            if before == len(self.numbers) or self._learn(list(islice(self.numbers, before, None))):
-                break
-            self.numbers, self.n_flat = _Numbers(), 0  # forgets all words, and tries again
-        else:  # these words alone are too many
-            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            sizes = np.array([len(f) for f in found], np.int64)
-            return np.add.reduceat(sizes, np.cumsum([0, *counts[:-1]])).tolist(), np.concatenate(found)
-        sizes = self.sizes[numbers]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[numbers] - ends + sizes, sizes) + np.arange(ends[-1])]
-        return np.add.reduceat(sizes, np.cumsum([0, *counts[:-1]])).tolist(), ids
+    def _ids(self, texts: pa.Array) -> tuple[list[int], np.ndarray]:
+        """How many ids each text has, and all ids."""
+        words = pc.ascii_split_whitespace(texts)
+        each = words.flatten().dictionary_encode()
+        ends, ids = _gathered(self.words.of(_strings(each.dictionary)), each.indices.to_numpy())
+        return np.diff(np.append(0, ends)[words.offsets.to_numpy()]).tolist(), ids
 
 
 @lru_cache(maxsize=1)
@@ -190,25 +300,24 @@ def _file_writer(folder: str, tokenizer: str, words_apart: bool, end_id: int, ki
 
         within = 0  # ids of a text so far, of which more parts come
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                doc_ids = iter(batch.column("doc_id").slice(a, 256).to_pylist())
-                for sizes, ids in tokens.batches(batch.column("text").slice(a, 256).to_pylist()):
-                    at = 0
-                    for size in sizes:
-                        whole, size = size >= 0, max(size, ~size)
-                        if file is not None and not within and file.n_ids + size + 1 > FILE_IDS:
-                            yield close()
-                            file = None
-                        if file is None:
-                            number += 1
-                            file = _Writer(store.open_output_stream(posixpath.join(base, name()), compression=None), digits)
-                        file.add(ids[at : at + size])
-                        at, within = at + size, within + size
-                        if whole:
-                            file.add(end)
-                            file.doc_ids.append(next(doc_ids))
-                            file.sizes.append(within + 1)
-                            within = 0
+            doc_ids = iter(batch.column("doc_id").to_pylist())
+            for sizes, ids in tokens.batches(batch.column("text")):
+                at = 0
+                for size in sizes:
+                    whole, size = size >= 0, max(size, ~size)
+                    if file is not None and not within and file.n_ids + size + 1 > FILE_IDS:
+                        yield close()
+                        file = None
+                    if file is None:
+                        number += 1
+                        file = _Writer(store.open_output_stream(posixpath.join(base, name()), compression=None), digits)
+                    file.add(ids[at : at + size])
+                    at, within = at + size, within + size
+                    if whole:
+                        file.add(end)
+                        file.doc_ids.append(next(doc_ids))
+                        file.sizes.append(within + 1)
+                        within = 0
         if file is not None:
             yield close()
 
