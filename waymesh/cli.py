@@ -61,10 +61,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.format == "geojson":
         save_spec(spark, to_geojson(styled), a.output)
     elif a.format in ("tiles", "pmtiles"):
-        from waymesh.operators.tiles import build_tiles, tile_rows
+        from waymesh.operators.tiles import build_tiles, packed_rows
         from waymesh.sources.archive import write_archive
 
-        rows = tile_rows(styled if "fid" in styled.columns else with_ids(styled, a.class_col, "vertices"), a.class_col, [a.class_col])
+        rows = packed_rows(styled if "fid" in styled.columns else with_ids(styled, a.class_col, "vertices"), a.class_col, [a.class_col])
         (write_tiles if a.format == "tiles" else write_archive)(build_tiles([rows]), a.output)
     else:
         styled.drop("vertices").write.mode("overwrite").parquet(a.output)

@@ -166,6 +166,12 @@ def _each(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return group, np.arange(len(group)) - (np.cumsum(counts) - counts)[group]
 
 
+def mercator_points(points: np.ndarray) -> np.ndarray:
+    """to_mercator of many points."""
+    lat = np.clip(points[:, 1], -89.9, 89.9)
+    return np.stack([points[:, 0] * (WORLD / 180.0), np.log(np.tan((lat + 90.0) * (math.pi / 360.0))) * (WORLD / math.pi)], axis=1)
+
+
 def simplify_lines(points: np.ndarray, sizes: np.ndarray, tolerance: np.ndarray) -> np.ndarray:
     """Douglas and Peucker, 1973, on many lines at once: which points stay. sizes: points of each line.
 

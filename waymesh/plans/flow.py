@@ -40,12 +40,12 @@ class Network:
     def decks(self) -> DataFrame:
         return graph.bridge_decks(self.edges, self.settings.decks, self.class_col)
 
-    def tile_layers(self, keep: Sequence[str] = ()) -> list[DataFrame]:
+    def tile_layers(self, keep: Sequence[str] = (), packed: bool = False) -> list[DataFrame]:
         """The rows of every layer: the roads, clipped; from LABEL_ZOOM on the slots of names and arrows, whole; and each
-        overlay, whole, under its name."""
+        overlay, whole, under its name. packed: the roads as packed_rows."""
         o = self.settings.tiles
         flat = self.edges.drop("geometry", "a", "z")
-        layers = [tiles.tile_rows(flat, self.class_col, [self.class_col, *keep], self.settings.min_zoom, o)]
+        layers = [(tiles.packed_rows if packed else tiles.tile_rows)(flat, self.class_col, [self.class_col, *keep], self.settings.min_zoom, o)]
         late = {**o, "minzoom": max(o["minzoom"], min(LABEL_ZOOM, o["maxzoom"]))}
         slots = self.slots().withColumn("fid", F.col("chain"))
         for name, rows in (("names", graph.name_slots(slots)), ("arrows", graph.arrow_slots(slots))):
@@ -55,7 +55,7 @@ class Network:
         return layers
 
     def tiles(self, keep: Sequence[str] = ()) -> DataFrame:
-        return tiles.build_tiles(self.tile_layers(keep), self.settings.tiles["extent"])
+        return tiles.build_tiles(self.tile_layers(keep, packed=True), self.settings.tiles["extent"])
 
     def tile_extent(self) -> DataFrame:
         """One row: minx, miny, maxx, maxy over the edges and all overlays, as an archive's header has it."""

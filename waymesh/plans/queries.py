@@ -704,7 +704,7 @@ def tiles_archive(spark, sf):
 @query()
 def tiles_encoded(spark, sf):
     df = styling.bake(edges(spark, sf, "streets"), ClassStyler())
-    rows = tiles.tile_rows(df, "highway", ["highway"], MIN_ZOOM, DEFAULT.tiles)
+    rows = tiles.packed_rows(df, "highway", ["highway"], MIN_ZOOM, DEFAULT.tiles)
     return tiles.build_tiles([rows]).select("z", "x", "y", F.length("tile").alias("n_bytes"))
 
 
